@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import bpe
+from lexmill.llm import bpe, decontam, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -23,5 +24,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with the loose ones that only one owner has."""
+    found = secret_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), keep=["doc_id"])
+
+    def count(kind: str):
+        return F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("__spans", lambda s: s["kind"] != "owned")
+    live = F.size(F.filter("__spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"), live)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document has in common with the benchmark's items."""
+    found = decontam.scan(
+        _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"), keep=["doc_id"]
+    )
+    n_hit = F.aggregate("__hits", F.lit(0), lambda s, h: s + h["b"] - h["a"]).cast("long")
+    return found.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        F.col("__longest").alias("longest_match"),
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_secret_scan": op3_secret_scan, "op5_decontamination": op5_decontamination}
 ORACLE_SQL: dict[str, str] = {}
