@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, secret_scan
+from lexmill.llm import bpe, decontam, near_dup, secret_scan
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -56,5 +56,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_secret_scan": op3_secret_scan, "op5_decontamination": op5_decontamination}
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    found = near_dup.groups(_read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("__n_shingles").alias("n_shingles"),
+        F.col("__component").alias("component_id"),
+        (F.col("doc_id") == F.col("__component")).alias("kept"),
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_decontamination": op5_decontamination,
+    "op6_near_dup": op6_near_dup,
+}
 ORACLE_SQL: dict[str, str] = {}
