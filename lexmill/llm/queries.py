@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, near_dup, secret_scan
+from lexmill.llm import bpe, decontam, lang_id, near_dup, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -67,10 +67,31 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose hashed id isn't held out."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = lang_id.train(docs, ~held & F.col("doc_id").isNotNull())
+    return lang_id.predict(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+
+
+#: The chain's categories, in order.
+CATEGORIES = ["quality", "toxic"]
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    chain = toxicity.train(docs, _read(spark, sf_dir, "labels", "doc_id", *CATEGORIES), CATEGORIES)
+    return toxicity.predict(docs, chain, keep=["doc_id"]).withColumnRenamed("rejected", "toxic")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_near_dup": op6_near_dup,
+    "op7_lang_id": op7_lang_id,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
