@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, lang_id, near_dup, secret_scan, toxicity
+from lexmill.llm import bpe, decontam, lang_id, near_dup, secret_scan, sharding, token_store, toxicity
+from lexmill.session import Workspace
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -24,6 +25,20 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    found = sharding.shard(_read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__crc32").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("__shard").alias("shard"),
+        F.col("__slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, with the loose ones that only one owner has."""
     found = secret_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), keep=["doc_id"])
@@ -39,6 +54,19 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"), live)
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to a content-addressed store and read back."""
+    store = token_store.write(
+        _read(spark, sf_dir, "documents", "doc_id", "text"),
+        Workspace(spark, "store").path,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+    )
+    return token_store.read_back(store).select(
+        F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document has in common with the benchmark's items."""
     found = decontam.scan(
@@ -88,7 +116,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
     "op3_secret_scan": op3_secret_scan,
+    "op4_token_store": op4_token_store,
     "op5_decontamination": op5_decontamination,
     "op6_near_dup": op6_near_dup,
     "op7_lang_id": op7_lang_id,
