@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, lang_id, near_dup, secret_scan, sharding, token_store, toxicity
+from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, secret_scan, sharding, token_store, toxicity, warc_zip
 from lexmill.session import Workspace
 
 
@@ -103,6 +103,22 @@ def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
 
 
+def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of embeddings by cosine."""
+    found = embed_dup.groups(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), keep=["vec_id"])
+    return found.select(
+        "vec_id", F.col("__n_links").alias("n_links"), F.col("__component").alias("component_id"), F.col("__kept").alias("kept")
+    )
+
+
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in ZIP archives, and read back."""
+    listing = warc_zip.write(_read(spark, sf_dir, "pages", "page_id", "url", "html"), Workspace(spark, "archives").path)
+    return warc_zip.read(spark, listing).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 #: The chain's categories, in order.
 CATEGORIES = ["quality", "toxic"]
 
@@ -122,6 +138,8 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_near_dup": op6_near_dup,
     "op7_lang_id": op7_lang_id,
+    "op8_embedding_dup": op8_embedding_dup,
+    "op9_warc_zip": op9_warc_zip,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
