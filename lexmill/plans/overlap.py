@@ -1 +1,84 @@
-"""Queries."""
+"""Queries on verbatim overlap."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lexmill.functions import overlap as fn
+from lexmill.functions.numbers import millionths
+from lexmill.functions.rules import containment_verdict
+from lexmill.functions.text import WORD
+from lexmill.operators import shingle
+from lexmill.plans.registry import query
+
+
+def _words(text="text"):
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), 1)
+
+
+def _pairs(t):
+    """Each document's words 11 to 30 with those of the next document in md5 order within its language."""
+    d = t.documents.select("doc_id", "lang", F.slice(_words(), 11, 20).alias("g")).where(F.size("g") > 0)
+    w = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    return d.withColumn("p", F.lead("g").over(w)).where("p is not null")
+
+
+_PAIRS = """d AS (SELECT doc_id, lang, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+'),11,30) AS g FROM documents),
+p AS (SELECT doc_id, lang, g, lead(g) OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS p FROM d WHERE len(g)>0),
+q AS (SELECT * FROM p WHERE p IS NOT NULL),
+a AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p,1) AS i FROM q), b AS (SELECT doc_id, unnest(g) AS t, generate_subscripts(g,1) AS j FROM q),
+h AS (SELECT doc_id, i, i-j AS d FROM a JOIN b USING (doc_id, t)), k AS (SELECT doc_id, d, i-row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS s FROM h),
+r AS (SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, d, s, count(*) AS n FROM k GROUP BY ALL) GROUP BY doc_id)"""
+
+
+@query(f"""WITH {_PAIRS} SELECT coalesce(lang,'ALL') AS lang, count(*) AS n, CAST(floor(avg(coalesce(longest_run,0))*1e6+0.5) AS BIGINT) AS mean_run, max(coalesce(longest_run,0)) AS max_run FROM q LEFT JOIN r USING (doc_id) GROUP BY GROUPING SETS ((lang),())""")
+def overlap_null_floor(t):
+    """The longest common run of unrelated passages, by language and pooled."""
+    pairs = _pairs(t)
+    runs = pairs.select("doc_id", "lang").join(fn.longest_runs(pairs, "doc_id", "p", "g"), "doc_id")
+    out = runs.groupingSets([[F.col("lang")], []], F.col("lang")).agg(F.count("*").alias("n"), F.avg("longest_run").alias("mean_run"), F.max("longest_run").alias("max_run"))
+    return out.select(F.coalesce("lang", F.lit("ALL")).alias("lang"), "n", millionths("mean_run").alias("mean_run"), "max_run")
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT doc_id, t, count(*) AS n FROM a GROUP BY ALL), e AS (SELECT doc_id, t, count(*) AS n FROM b GROUP BY ALL), o AS (SELECT doc_id, sum(least(c.n, e.n)) AS o FROM c JOIN e USING (doc_id, t) GROUP BY doc_id),
+x AS (SELECT doc_id, list_transform(range(1, greatest(len(p),len(g))+1), lambda i: p[i] IS NOT DISTINCT FROM g[i]) AS s, p, g FROM q)
+SELECT doc_id, CAST(CASE WHEN list_position(s, false)>0 THEN list_position(s,false)-1 ELSE least(len(p),len(g)) END AS BIGINT) AS prefix, CAST(floor(coalesce(2.0*coalesce(o,0)/(len(p)+len(g)),0)*1e6+0.5) AS BIGINT) AS f1, coalesce(longest_run,0) AS longest_run
+FROM x LEFT JOIN o USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def overlap_scores_native(t):
+    """Prefix, longest run and F1 of the same pairs."""
+    pairs = _pairs(t)
+    out = pairs.join(fn.longest_runs(pairs, "doc_id", "p", "g"), "doc_id")
+    p, g = F.col("p"), F.col("g")
+    return out.select("doc_id", fn.prefix_tokens(p, g).alias("prefix"), millionths(fn.token_f1(p, g)).alias("f1"), "longest_run")
+
+
+@query()
+def overlap_scores_full(t):
+    """All scores of each document's first 300 characters against the next one's."""
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    d = t.documents.select("doc_id", "lang", F.substring("text", 1, 300).alias("gold"))
+    return fn.scores(d.withColumn("pred", F.lead("gold").over(w)).where("pred is not null"), "doc_id", "pred", "gold")
+
+
+_SH = """list_distinct(list_transform(range(1, greatest(len(w)-6,1)), lambda i: array_to_string(list_slice(w,i,i+7),' ')))"""
+_WORDS = """list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text),'[^\\p{L}\\p{N}_\\s§]',' ','g'),'\\s+',' ','g')),' '), lambda x: x<>'')"""
+
+
+@query(f"""WITH b AS (SELECT item_id, unnest({_SH}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)), d AS (SELECT doc_id, unnest({_SH}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id), h AS (SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (s) GROUP BY ALL)
+SELECT item_id, doc_id, shared, CAST(floor(shared*1.0/n*1e6+0.5) AS BIGINT) AS share, CASE WHEN shared*1.0/n>=0.5 THEN 'match' WHEN shared*1.0/n>=0.2 THEN 'partial' ELSE 'none' END AS verdict FROM h JOIN n USING (item_id)""")
+def shingle_containment(t):
+    """Benchmark items against documents by shared shingles of eight words."""
+    out = shingle.containment(t.benchmark, t.documents, "item_id", "text", "doc_id", "text")
+    return out.select("item_id", "doc_id", "shared", millionths("share").alias("share"), containment_verdict(F.col("share")).alias("verdict"))
+
+
+@query(f"""WITH b AS (SELECT item_id, unnest({_SH}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)), d AS (SELECT DISTINCT doc_id, unnest({_SH}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+c AS (SELECT s, min(doc_id) AS lo, max(doc_id) AS hi FROM d GROUP BY s)
+SELECT item_id, count(*) AS shingles, CAST(floor(avg(CASE WHEN lo<>item_id OR hi<>item_id THEN 1.0 ELSE 0.0 END)*1e6+0.5) AS BIGINT) AS recur FROM b LEFT JOIN c USING (s) GROUP BY item_id""")
+def recurrence_fractions(t):
+    """How much of each item recurs in documents other than the one of its own number."""
+    spans = t.benchmark.select("item_id", F.col("item_id").alias("own"), "text")
+    out = shingle.recurrence(spans, t.documents, "item_id", "own", "text", "doc_id", "text")
+    return out.withColumn("recur", millionths("recur"))
