@@ -1,10 +1,11 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Texts that are equal form one class and are looked at once. Signatures are banded; texts that share a band are candidates.
-Instead of all pairs of a bucket, its members are compared with hubs: first the bucket's smallest member, then, among what
-isn't yet known to hang together, one member of each of 4, 16, 64, ... hash classes, until no two members of different
-components are left uncompared. A pair's signatures are compared batch by batch; it is dropped as soon as the posterior
-probability of reaching the threshold falls below the chosen miss probability. Survivors are verified on full shingle sets.
+A bucket's members are compared with hubs: first with its smallest member, then with one member of each of 16 hash classes,
+last with every member outside the component that holds most of the bucket; after that no two members of different components
+are left uncompared. A pair is compared batch by batch: first one bit of every hash inside the join, which lets only pairs out
+that may be similar, then whole hashes. It is dropped as soon as the posterior probability of reaching the threshold falls
+below the chosen miss probability. Survivors are verified on full shingle sets.
 """
 
 from __future__ import annotations
@@ -64,6 +65,24 @@ def signature(s: np.ndarray, n: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def bits(g: np.ndarray) -> list[int]:
+    """The lowest bit of each hash, as longs of 64 bits; what is left of the last one is 0."""
+    b = np.packbits((g & 1).astype(np.uint8))
+    return np.frombuffer(b.tobytes() + bytes(-len(b) % 8), "<i8").tolist()
+
+
+@cache
+def most_differing(n_hashes: int, threshold: float, miss: float) -> int:
+    """Most differing bits to go on: bits agree with probability (1 + similarity) / 2, similarities being equally likely."""
+    p = np.linspace(0.5, 1, 20001)[1:-1]
+    for d in range(n_hashes, -1, -1):
+        log = (n_hashes - d) * np.log(p) + d * np.log(1 - p)
+        w = np.exp(log - log.max())
+        if w[p >= (1 + threshold) / 2].sum() >= miss * w.sum():
+            return d
+    return 0
+
+
 @cache
 def least_matches(n_hashes: int, batch: int, threshold: float, miss: float) -> tuple[tuple[int, int], ...]:
     """(hashes seen, least matches to go on): with a uniform prior, P(similarity >= threshold | matches) >= miss."""
@@ -110,11 +129,11 @@ def groups(
     # 1. one pass over the texts: shingle counts, band keys and signatures
     base = df.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)], F.col(id_col).cast("long").alias("id"), *text_key(text), F.col(text).alias("t"))
     carried = [f"k_{i}" for i in range(len(keep))] + ["id", "k1", "k2"]
-    schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in carried) + ", n bigint, bands array<bigint>, sig binary"
+    schema = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in carried) + ", n bigint, bands array<bigint>, bits array<bigint>, sig binary"
 
     def sign():
         def run(r):
-            out = {c: r[c] for c in carried} | {"n": [], "bands": [], "sig": []}
+            out = {c: r[c] for c in carried} | {"n": [], "bands": [], "bits": [], "sig": []}
             for t in r["t"]:
                 s = shingles(t, size)
                 out["n"].append(len(s))
@@ -122,9 +141,11 @@ def groups(
                     g = signature(s, n_hashes)
                     keys = [xxhash.xxh3_64_intdigest(g[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)]
                     out["bands"].append(np.array(keys, np.uint64).astype(np.int64).tolist())
+                    out["bits"].append(bits(g))
                     out["sig"].append(g.tobytes())
                 else:
                     out["bands"].append(None)
+                    out["bits"].append(None)
                     out["sig"].append(None)
             return out
 
@@ -134,32 +155,47 @@ def groups(
 
     # 2. classes of equal texts, each known by its smallest row
     rep = ws.write(docs.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rep"), F.min("id").alias("id"), F.count("*").alias("c")), "classes")
-    signed = ws.write(docs.select("rid", "bands", "sig").join(rep.select("rep"), F.col("rid") == F.col("rep"), "left_semi"), "signed")
-    every = signed.select(F.explode("bands").alias("bucket"), F.col("rid").alias("x"))
+    mine = docs.select("rid", "n", "bands", "bits").join(rep.select("rep"), F.col("rid") == F.col("rep"), "left_semi")
+    mine = ws.write(mine.withColumnRenamed("rid", "x"), "mine")
+    every = mine.select(F.explode("bands").alias("bucket"), "x")
     shared = every.groupBy("bucket").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("bucket")
-    members = ws.write(every.join(shared, "bucket", "left_semi").select("bucket", "x", F.col("x").alias("comp")), "members0")
+    members = ws.write(every.join(shared, "bucket", "left_semi").select("bucket", "x"), "members")
+    taking = ws.write(members.select("x").distinct(), "taking")
+    about = ws.write(mine.join(taking, "x", "left_semi").select("x", "n", "bits"), "about")
+    signed = ws.write(docs.select("rid", "sig").join(taking, F.col("rid") == F.col("x"), "left_semi"), "signed")
+    members = ws.write(members.join(about, "x").select("bucket", "x", F.col("x").alias("comp"), "n", "bits"), "members0")
+    ws.drop("mine", "members", "taking", "about")
 
     # 3. rounds of hubs
-    edges, n, classes = None, 0, 1
-    while not members.isEmpty():
-        n += 1
-        part = F.pmod(F.xxhash64("x", F.lit(n)), F.lit(classes)) if classes > 1 else F.lit(0)
-        hubs = ws.write(members.groupBy("bucket", part.alias("part")).agg(F.min("x").alias("hub")).select("bucket", "hub"), f"hubs{n}")
-        comp_of = members.select(F.col("bucket").alias("b2"), F.col("x").alias("x2"), F.col("comp").alias("hub_comp"))
-        hubs = ws.write(hubs.join(comp_of, (hubs["bucket"] == comp_of["b2"]) & (hubs["hub"] == comp_of["x2"])).select("bucket", "hub", "hub_comp"), f"named{n}")
-        pairs = members.join(hubs, "bucket").where("comp <> hub_comp").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
-        links = _verify(df, ws, f"r{n}", ws.write(pairs, f"pairs{n}"), signed, rep, docs, text, size, need, of, miss, n_hashes)
+    differ = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("hub_bits", i))) for i in range(-(-n_hashes // 64))), F.lit(0))
+    alike = (F.col("comp") != F.col("hub_comp")) & (of * F.least("n", "hub_n") >= need * F.greatest("n", "hub_n"))
+    alike = alike & (differ <= most_differing(n_hashes, need / of, miss))
+    edges, comps, n = None, None, 0
+    for n, classes in enumerate((1, 16, None), 1):
+        if members.isEmpty():
+            break
+        named_hubs = [F.col("x").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")]
+        if classes:
+            part = F.pmod(F.xxhash64("x", F.lit(n)), F.lit(classes))
+            hubs = members.groupBy("bucket", part.alias("part")).agg(F.min("x").alias("x")).select("bucket", "x")
+            hubs = members.join(ws.write(hubs, f"picked{n}"), ["bucket", "x"], "left_semi")
+        else:
+            held = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+            most = held.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("most"))
+            hubs = members.join(ws.write(most, f"picked{n}"), "bucket").where("comp <> most")
+        hubs = ws.write(hubs.select("bucket", *named_hubs), f"hubs{n}")
+        pairs = members.join(hubs, (members["bucket"] == hubs["bucket"]) & alike)
+        pairs = pairs.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
+        links = _verify(df, ws, f"r{n}", ws.write(pairs, f"pairs{n}"), signed, rep, text, size, need, of, miss, n_hashes)
         edges = links if edges is None else edges.union(links)
         comps = components(edges, ws, f"cc{n}")
-        left = members.join(hubs.select("bucket", F.col("hub").alias("x")), ["bucket", "x"], "left_anti").select("bucket", "x")
-        left = ws.write(left, f"left{n}")
-        left = left.join(comps, left["x"] == comps["node"], "left").select("bucket", "x", F.coalesce("comp", "x").alias("comp"))
-        left = ws.write(left, f"labelled{n}")
-        open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        ws.drop(f"members{n - 1}")
-        members = ws.write(left.join(open_, "bucket", "left_semi"), f"members{n}")
-        ws.drop(f"hubs{n}", f"named{n}", f"pairs{n}", f"left{n}", f"labelled{n}")
-        classes *= 4
+        if classes:
+            left = members.join(hubs.select("bucket", F.col("hub").alias("x")), ["bucket", "x"], "left_anti").drop("comp")
+            left = left.join(comps, left["x"] == comps["node"], "left").select("bucket", "x", F.coalesce("comp", "x").alias("comp"), "n", "bits")
+            left = ws.write(left, f"left{n}")
+            open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+            members = ws.write(left.join(open_, "bucket", "left_semi"), f"members{n}")
+        ws.drop(f"members{n - 1}", f"picked{n}", f"hubs{n}", f"pairs{n}", f"left{n}")
     ws.drop(f"members{n}", "signed")
 
     # 4. back to rows
@@ -184,7 +220,7 @@ def groups(
     )
 
 
-def _verify(df, ws, name, pairs, signed, rep, docs, text, size, need, of, miss, n_hashes) -> DataFrame:
+def _verify(df, ws, name, pairs, signed, rep, text, size, need, of, miss, n_hashes) -> DataFrame:
     """The pairs (a, b) that are similar: first by signatures, then by full shingle sets."""
     threshold = need / of
     s = signed.select("rid", "sig")
