@@ -1 +1,192 @@
-"""Queries."""
+"""Queries on text hygiene, extraction and rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexmill.functions import rules
+from lexmill.functions import text as tx
+from lexmill.functions.numbers import millionths
+from lexmill.operators import stats
+from lexmill.plans.registry import query
+
+# literals that stand for model answers; conversations are added to them
+_ANSWERS = [
+    "UNKNOWN", "", "  ", "I cannot provide copyrighted text", "I do not have sufficient recall", "The Act cannot be superseded", "Some words\nunknown\n",
+    "I cannot provide the text you ask for", "Sorry, I am not certain of the wording", "I can't reproduce it; it is not in the public domain", "*unknown.*",
+]
+_VALUES = ", ".join("('" + a.replace("'", "''").replace("\n", "'||chr(10)||'") + "')" for a in _ANSWERS)
+
+
+def _re(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query(f"""WITH a AS (SELECT text FROM conversations WHERE role='assistant' UNION ALL SELECT * FROM (VALUES {_VALUES}) v(text)), t AS (SELECT trim(regexp_replace(coalesce(text,''),'^\\s+|\\s+$','','g')) AS t FROM a), h AS (SELECT t, substr(t,1,400) AS h FROM t),
+c AS (SELECT CASE WHEN t='' THEN 'empty' WHEN upper(regexp_replace(t,'^[ ."''*]+|[ ."''*]+$','','g'))='UNKNOWN' THEN 'unknown_bare'
+WHEN regexp_matches(h,'(?i){_re(rules.FIRST_PERSON)}') AND regexp_matches(h,'(?i){_re(rules.POLICY_EXPLICIT)}') THEN 'refusal_policy' WHEN regexp_matches(h,'(?i){_re(rules.FIRST_PERSON)}') AND regexp_matches(h,'(?i){_re(rules.EPISTEMIC)}') THEN 'unknown_explained'
+WHEN regexp_matches(h,'(?i){_re(rules.FIRST_PERSON)}') AND regexp_matches(h,'(?i){_re(rules.POLICY_GENERIC)}') THEN 'refusal_policy' WHEN regexp_matches(t,'(?i){rules.UNKNOWN_LINE}') THEN 'unknown_other' ELSE 'attempt' END AS category FROM h)
+SELECT category, count(*) AS n, CAST(floor(count(*)/CAST(sum(count(*)) OVER () AS DOUBLE)*1e6+0.5) AS BIGINT) AS share FROM c GROUP BY category""")
+def nonanswer_taxonomy(t):
+    """Kinds of answers with their shares."""
+    from lexmill.operators.balance import label_distribution
+
+    a = t.conversations.where("role = 'assistant'").select("text").union(t.spark.createDataFrame([(x,) for x in _ANSWERS], "text string"))
+    return label_distribution(a.select(rules.nonanswer(F.col("text")).alias("category")), "category").withColumn("share", millionths("share"))
+
+
+def _cases(text: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text},'(?i){_re(p)}') THEN '{k}'" for k, p in rules.FURNITURE) + " END"
+
+
+@query(f"""WITH s AS (SELECT item_id, text, item_id%7/10.0 AS self, item_id%5/10.0 AS post, CASE WHEN item_id%3=0 THEN 'post' ELSE 'pre' END AS arm FROM benchmark UNION ALL SELECT 1000+doc_id, substr(text,1,800), 0.0, 0.0, 'pre' FROM documents)
+SELECT item_id, CASE WHEN self>=0.25 THEN 'in_document_repetition' WHEN post>=0.25 THEN 'recurring_furniture' WHEN arm LIKE '%post%' THEN 'post_cutoff_predictable' WHEN ({_cases("substr(text,1,100)")}) IS NOT NULL THEN 'furniture_by_pattern' WHEN ({_cases("text")}) IS NOT NULL THEN 'quoted_in_context' ELSE 'MEMORISATION_CANDIDATE' END AS verdict, coalesce(({_cases("text")}),'-') AS category FROM s""")
+def hotspot_verdicts(t):
+    """K3: what makes a span unremarkable."""
+    s = t.benchmark.select("item_id", "text", (F.col("item_id") % 7 / 10).alias("self"), (F.col("item_id") % 5 / 10).alias("post"), F.when(F.col("item_id") % 3 == 0, "post").otherwise("pre").alias("arm"))
+    s = s.union(t.documents.select(F.col("doc_id") + 1000, F.substring("text", 1, 800), F.lit(0.0), F.lit(0.0), F.lit("pre")))
+    category, near = rules.first_match(F.substring("text", 1, 100), rules.FURNITURE), rules.first_match(F.col("text"), rules.FURNITURE)
+    return s.select("item_id", rules.hotspot_verdict(F.col("self"), F.col("post"), F.col("arm"), category, near).alias("verdict"), F.coalesce(near, F.lit("-")).alias("category"))
+
+
+@query("""SELECT source, sum(len(regexp_extract_all(text,'\\n[a-zà-öø-ÿ]'))) ::BIGINT AS wrapped, sum(len(regexp_extract_all(text,'\\n[^\\n]')))::BIGINT AS breaks, CAST(floor(avg(len(text))*1e6+0.5) AS BIGINT) AS mean_chars, sum(len(regexp_extract_all(text,'[A-Za-z]-\\n[a-z]')))::BIGINT AS hyphens FROM documents GROUP BY source""")
+def hard_wrap_stats(t):
+    """Line breaks inside sentences, by source."""
+    wrapped, breaks = tx.hard_wraps(F.col("text"))
+    return t.documents.groupBy("source").agg(F.sum(wrapped).alias("wrapped"), F.sum(breaks).alias("breaks"), millionths(F.avg(F.length("text"))).alias("mean_chars"), F.sum(F.regexp_count("text", F.lit(r"[A-Za-z]-\n[a-z]"))).alias("hyphens"))
+
+
+@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text,'([A-Za-z])-\\n([a-z])','\\1\\2','g'),'[ \\t]+',' ','g'),'\\n{3,}',chr(10)||chr(10),'g'))) AS tidy FROM documents""")
+def tidy_text(t):
+    """hyphenation undone, blanks and blank lines collapsed."""
+    return t.documents.select("doc_id", F.md5(tx.tidy(tx.dehyphenate(F.col("text"))).cast("binary")).alias("tidy"))
+
+
+@query("""WITH s AS (SELECT doc_id, list_transform(string_split(regexp_replace(text,'([.!?”])\\s+([A-ZÀ-ÖØ-Þ“])','\\1'||chr(1)||'\\2','g'),chr(1)), lambda x: trim(regexp_replace(x,'\\s+',' ','g'))) AS s FROM documents),
+u AS (SELECT doc_id, unnest(s) AS s FROM s) SELECT doc_id, count(*) AS sentences, count(*) FILTER (WHERE len(string_split(s,' ')) BETWEEN 22 AND 70 AND regexp_matches(s,'^\\p{Lu}') AND NOT regexp_matches(s,'\\d') AND NOT regexp_matches(s,'\\b(Id\\.|supra|infra|Cir\\.|U\\.S\\.C\\.)|[§¶]') AND len(s)-len(replace(s,'(',''))=len(s)-len(replace(s,')','')) AND len(s)-len(replace(s,'“',''))=len(s)-len(replace(s,'”',''))) AS usable FROM u GROUP BY doc_id""")
+def clean_sentences(t):
+    """Sentences of each document, and how many can be used as they are."""
+    s = t.documents.select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(tx.usable_sentence(F.col("s"))).alias("usable"))
+
+
+@query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(html,'<[^>]+>',' ','g'),'\\s+',' ','g'))) AS plain, regexp_extract(url,'^https?://([^/?#]+)',1) AS host, regexp_extract(url,'^https?://[^/?#]+([^?#]*)',1) AS path,
+CASE WHEN ltrim(lower(substr(html,1,200)))='' THEN 'empty' WHEN starts_with(ltrim(lower(substr(html,1,200))),'%pdf') THEN 'pdf' WHEN regexp_matches(ltrim(lower(substr(html,1,200))),'^<(!doctype html|html)') THEN 'html' WHEN starts_with(ltrim(lower(substr(html,1,200))),'pk') THEN 'zip' ELSE 'other' END AS kind,
+regexp_matches(lower(html),'<title>[^<]*(not found|404|access denied)') AS missing FROM pages""")
+def html_strip_and_sniff(t):
+    """Pages without tags, parts of the address, kind and soft 404."""
+    return t.pages.select(
+        "page_id", F.md5(tx.strip_tags(F.col("html")).cast("binary")).alias("plain"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"),
+        F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1).alias("path"), tx.file_kind(F.col("html")).alias("kind"), tx.soft_404(F.col("html")).alias("missing"),
+    )
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events""")
+def json_tolerant_extract(t):
+    """a value from JSON in the midst of other text."""
+    wrapped = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n``` done"))
+    return t.events.select("event_id", F.get_json_object(tx.first_json(wrapped), "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT conv_id, md5(string_agg(upper(role)||': '||text, chr(10) ORDER BY turn)) AS rendered FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def conversation_render(t):
+    """Conversations as text."""
+    turns = t.conversations.where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return turns.select("conv_id", F.md5(tx.render(F.col("t")).cast("binary")).alias("rendered"))
+
+
+@query("""SELECT s_suppkey, substr(regexp_replace(regexp_replace(lower(s_name),'[^a-z0-9]+','_','g'),'^_+|_+$','','g'),1,60) AS slug FROM supplier""")
+def slugify(t):
+    """names as slugs."""
+    return t.supplier.select("s_suppkey", tx.slug(F.col("s_name")).alias("slug"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN d=0 THEN 'same' WHEN d<=7 THEN 'close' ELSE 'off_by_'||d||'d' END AS agreement FROM (SELECT o_orderkey, abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l AS DATE))) AS d FROM orders JOIN (SELECT l_orderkey, min(l_shipdate) AS l FROM lineitem GROUP BY 1) ON o_orderkey=l_orderkey)""")
+def date_agreement(t):
+    """order dates against first ship dates."""
+    first = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("l"))
+    j = t.orders.select("o_orderkey", "o_orderdate").join(first, "o_orderkey")
+    return j.select("o_orderkey", tx.date_agreement(F.col("o_orderdate").cast("date"), F.col("l").cast("date")).alias("agreement"))
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(text,'\\S+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w)>=19 THEN array_to_string(list_slice(w,1,12),' ') END AS prompt, CASE WHEN len(w)>=19 THEN md5(array_to_string(list_slice(w,13,len(w)),' ')) END AS answer FROM w""")
+def prompt_split(t):
+    """the first twelve words and the rest."""
+    d = t.documents.select("doc_id", F.explode(F.array(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1))).alias("w"))
+    x = d.select("doc_id", tx.split_prompt(F.col("w"), 12).alias("x"))
+    return x.select("doc_id", "x.prompt", F.md5(F.col("x.answer").cast("binary")).alias("answer"))
+
+
+@query("""SELECT doc_id, CASE WHEN trim(text)='' THEN 'empty' WHEN len(trim(text))<300 THEN 'short' WHEN regexp_matches(substr(trim(text),1,200),'(?i)\\b(see (above|below|attached)|as (stated|noted) above)\\b') THEN 'pointer' END AS problem FROM documents""")
+def answer_validity(t):
+    """Answers that can't be used."""
+    return t.documents.select("doc_id", tx.answer_problem(F.col("text")).alias("problem"))
+
+
+@query()
+def unwrapped_lines(t):
+    """Documents with lines joined that the margin broke, and how many breaks went."""
+    out = t.documents.select("doc_id", "text", tx.unwrap_lines()(F.col("text")).alias("clean"))
+    n = lambda c: F.regexp_count(c, F.lit("\n"))
+    return out.select("doc_id", n("text").alias("before"), n("clean").alias("after"), F.md5(F.col("clean").cast("binary")).alias("clean"))
+
+
+@query()
+def permutation_test(t):
+    """Within-family divergence against families dealt anew."""
+    from lexmill.plans.panel import _families, _jsd
+
+    return stats.permutation_p(_jsd(t), _families(t), "model", "family", 500, 0)
+
+
+@query()
+def bootstrap_mean_ci(t):
+    """Percentile intervals of means by type."""
+    return stats.bootstrap_ci(t.events.select("event_type", "user_id", "value"), "event_type", "user_id", "value", 200, 0)
+
+
+@query("""SELECT g, up, down FROM (SELECT l_suppkey%5 AS g, count(*) FILTER (WHERE l_quantity>25) AS up, count(*) FILTER (WHERE l_quantity<25) AS down FROM lineitem GROUP BY 1)""")
+def sign_test_counts(t):
+    """Counts up and down of the sign test."""
+    x = t.lineitem.select((F.col("l_suppkey") % 5).alias("g"), (F.col("l_quantity") - 25).alias("d"))
+    return stats.sign_test(x, ["g"], "d").select("g", "up", "down")
+
+
+@query()
+def sign_test_p(t):
+    """Exact two-sided sign test, and R12: t test, of quantities against 25."""
+    x = t.lineitem.select((F.col("l_suppkey") % 5).alias("g"), (F.col("l_quantity") - 25).alias("d"))
+    return stats.sign_test(x, ["g"], "d").join(stats.t_test(x, ["g"], "d"), "g")
+
+
+@query()
+def mds_embedding(t):
+    """Two coordinates of each model from divergences."""
+    from lexmill.plans.panel import _jsd
+
+    return stats.mds(_jsd(t))
+
+
+@query()
+def prior_matched_null(t):
+    """Guesses drawn from the labels' own shares, 300 trials, by status."""
+    return stats.matched_null(t.orders, "o_orderstatus", "o_orderkey", "o_orderpriority", F.col("o_orderpriority") == "1-URGENT", 300, 0)
+
+
+@query()
+def split_half_replication(t):
+    """Correlation of divergences from two halves of the orders."""
+    from lexmill.operators import panel
+
+    s = t.lineitem.select((F.col("l_suppkey") % 12).alias("model"), F.col("l_orderkey").alias("c"), (F.col("l_partkey") % 40).alias("f"))
+    return stats.split_half(s, "c", lambda half: panel.jsd(panel.profiles(half, "model", "f", "c"), "model", "f"), 2, 0)
+
+
+@query()
+def distance_drivers(t):
+    """Divergence explained by a gap and by family."""
+    from lexmill.plans.panel import _families, _jsd
+
+    f = _families(t)
+    size = f.select("model", (F.col("model") * 1.0).alias("x"))
+    return stats.distance_drivers(_jsd(t), size, f, "model", "x", "family")
