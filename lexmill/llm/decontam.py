@@ -167,7 +167,7 @@ def scan(
     words. Items without id, text or words never occur; items that repeat count once. Without items nothing is hit. More
     items than one block holds are dealt with block by block, and the blocks' hits are merged.
     """
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__n_words", "__hits", "__items", "__longest")]
     blocks = _blocks(items, item_id, item_text, window, max_block_words)
     types = {f.name: f.dataType for f in df.schema.fields}
 

@@ -112,7 +112,7 @@ def groups(
     """
     spark = df.sparkSession
     ws = Workspace(spark, "embeddings")
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__n_links", "__component", "__kept")]
     v = F.col(vector)
     single = df.schema[vector].dataType.elementType.typeName() == "float"
     v, raw = (v, np.float32) if single else (F.transform(v, lambda x: x.cast("double")), np.float64)

@@ -140,16 +140,16 @@ _MODELS: dict[str, Model] = {}
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all by default) with lang_pred and score: the likeliest language and its probability.
+    """Columns `keep` (all by default) with __lang_pred and __score: the likeliest language and its probability.
 
     A null text, and one without letters, gets `und` and 0. Every row gets a prediction, repeated ones too; whole texts count.
     """
     import pickle
     import uuid
 
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__lang_pred", "__score")]
     held, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5)), uuid.uuid4().hex
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + ", __lang_pred string, __score double"
 
     def make():
         if mark not in _MODELS:
@@ -159,7 +159,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
         def run(r):
             got = [m.predict(t) for t in r["__t"]]
-            return {k: r[k] for k in keep} | {"lang_pred": [a for a, _ in got], "score": [b for _, b in got]}
+            return {k: r[k] for k in keep} | {"__lang_pred": [a for a, _ in got], "__score": [b for _, b in got]}
 
         return run
 

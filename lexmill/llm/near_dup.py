@@ -122,7 +122,7 @@ def groups(
     """
     spark = df.sparkSession
     ws = Workspace(spark, "neardup")
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__n_shingles", "__component", "__kept")]
     n_hashes = bands * rows
     need, of = similarity
 

@@ -100,7 +100,8 @@ def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = lang_id.train(docs, ~held & F.col("doc_id").isNotNull())
-    return lang_id.predict(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+    found = lang_id.predict(docs.withColumn("held_out", held), model, keep=["doc_id", "held_out"])
+    return found.withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
 
 
 def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of every document."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     chain = toxicity.train(docs, _read(spark, sf_dir, "labels", "doc_id", *CATEGORIES), CATEGORIES)
-    return toxicity.predict(docs, chain, keep=["doc_id"]).withColumnRenamed("rejected", "toxic")
+    return toxicity.predict(docs, chain, keep=["doc_id"]).withColumnsRenamed({f"__p_{c}": f"p_{c}" for c in CATEGORIES} | {"__rejected": "toxic"})
 
 
 QUERIES = {

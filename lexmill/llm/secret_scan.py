@@ -69,7 +69,7 @@ def scan(
     first slash. A null repository or owner counts as one of its own. A null or empty text has no spans. Rows that repeat
     are scanned each; an empty table gives an empty one.
     """
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__spans",)]
     ws = Workspace(df.sparkSession, "secrets")
     repo = F.coalesce(F.col(repository).cast("string"), F.lit("\0"))
     who = F.coalesce(F.col(owner).cast("string"), F.lit("\0")) if owner else F.substring_index(repo, "/", 1)

@@ -132,7 +132,7 @@ def shard(
     """
     spark = df.sparkSession
     ws = Workspace(spark, "shards")
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__size", "__crc32", "__shard", "__slot")]
     t = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         *[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)],

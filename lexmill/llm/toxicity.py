@@ -127,15 +127,17 @@ _CHAINS: dict[str, Chain] = {}
 
 
 def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all by default) with p_<category> of each category, and rejected: whether the last one is predicted.
+    """Columns `keep` (all by default) with __p_<category> of each category, and __rejected: whether the last one is predicted.
 
     A null text, and one without words, has probabilities of 0. Whole texts count; rows that repeat are predicted alike.
+    Columns of df that have the names of outputs are replaced.
     """
-    keep = df.columns if keep is None else keep
+    made = {f"__p_{c}" for c in chain.names} | {"__rejected"}
+    keep = [c for c in (df.columns if keep is None else keep) if c not in made]
     held, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(chain, 5)), uuid.uuid4().hex
     names = chain.names
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    schema += "".join(f", `p_{c}` double" for c in names) + ", rejected boolean"
+    schema += "".join(f", `__p_{c}` double" for c in names) + ", __rejected boolean"
 
     def make():
         if mark not in _CHAINS:
@@ -145,7 +147,7 @@ def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
 
         def run(r):
             p = [m.predict(features(t)) for t in r["__t"]]
-            return {k: r[k] for k in keep} | {f"p_{c}": [x[i] for x in p] for i, c in enumerate(names)} | {"rejected": [x[-1] >= m.threshold for x in p]}
+            return {k: r[k] for k in keep} | {f"__p_{c}": [x[i] for x in p] for i, c in enumerate(names)} | {"__rejected": [x[-1] >= m.threshold for x in p]}
 
         return run
 
