@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on labels, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", *CATEGORIES)
     chain = toxicity.train(docs, labels, CATEGORIES)
-    return toxicity.predict(docs, chain).where("not rejected").select(docs.columns)
+    return toxicity.predict(docs, chain).where("not __rejected").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
