@@ -240,6 +240,7 @@ def decontaminate(
     max_coverage of the words are hit, or that has no words left, is removed. Other documents pass unchanged, those without
     text among them. n_chars names a column that follows the text's length.
     """
+    names = df.columns
     found = scan(df, items, text, item_id, item_text, window, None, max_block_words)
 
     def make():
@@ -250,7 +251,7 @@ def decontaminate(
                 n_hit = sum(b - a for a, b in spans)
                 ok.append(not n_hit or n_hit <= max_coverage * n)
                 new.append(cut(t, spans) if n_hit and ok[-1] else t)
-            return {k: rows[k] for k in df.columns} | {text: new, "__ok": ok}
+            return {k: rows[k] for k in names} | {text: new, "__ok": ok}
 
         return run
 

@@ -120,6 +120,7 @@ def redact(
     column that follows the text's length.
     """
     found = scan(df, text, repository, owner, None, example_owners)
+    names = df.columns
     found = found.withColumn("__spans", F.filter("__spans", lambda s: s["verdict"] != "example"))
 
     def make():
@@ -135,7 +136,7 @@ def redact(
                         out += [t[at : s["start"]], mark]
                     at = max(at, s["end"])
                 new.append("".join(out) + t[at:])
-            return {k: rows[k] for k in df.columns} | {text: new}
+            return {k: rows[k] for k in names} | {text: new}
 
         return run
 

@@ -55,7 +55,7 @@ class Chain:
 
 
 def _fit(rows, labels, n) -> Ftrl:
-    return Ftrl(n, 2, alpha=0.3, l1=1.5, l2=0.05).fit(rows, labels, epochs=2)
+    return Ftrl(n, 2, alpha=0.3, l1=1.5, l2=0.05).fit(rows, labels, epochs=max(2, min(20, 10_000 // max(1, len(rows)))))
 
 
 def _score(model: Ftrl, rows) -> np.ndarray:
