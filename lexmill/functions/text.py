@@ -198,6 +198,7 @@ def unwrap_lines(wrap_min: int = 55):
     """A pandas UDF that joins lines broken at the margin: a fold over lines, each depending on the one kept before it."""
     import re
 
+    # List marks, headings, page numbers and footnotes at the start of a line.
     listed = re.compile(r"\s*(?:[A-Za-z][.)]\s|\(?[ivxlcIVXLC]+[.)]\s|\d{1,3}[.)]\s|\(\d{1,3}\)\s|[-•‣●*]\s)")
     heading = re.compile(r"\s*(?:[IVXL]+\.\s*)?[A-Z][A-Z0-9 ,.\-'&/()]{2,60}\s*$")
     noise = re.compile(r"\s*(?:page\s+\d+(?:\s+of\s+\d+)?|-\s*\d+\s*-|\d{1,4})\s*$", re.I)
