@@ -229,3 +229,20 @@ def test_workspace_roundtrip(spark):
     df = ws.write(spark.range(0), "none")
     assert df.count() == 0
     ws.drop("none")
+
+
+def test_names_headings_vocabulary(spark):
+    from lexmill.functions import headings, names
+
+    before = "Mr. Ann Lee said he knew Lee; His Leeway is himself."
+    after = names.swap(before, {"Mr. Ann Lee": "Ms. Eve Roe", "Lee": "Roe"}, "female")
+    assert after == "Ms. Eve Roe said she knew Roe; Her Leeway is herself."
+    assert not names.unexpected(before, after, ["Ann", "Lee", "Eve", "Roe"], True) and not names.leaks(after, ["Ann", "Lee"], ["Eve", "Roe"])
+    assert names.unexpected(before, after.replace("knew", "met"), ["Ann", "Lee", "Eve", "Roe"], True) == {"knew", "met"} and names.leaks(before, ["Ann"], []) == {"Ann"}
+    gold = "I. Background facts; II. Standard of review"
+    assert headings.score(gold, gold) == {"recall": 1.0, "extras": 0, "score": 1.0, "gold": 2, "pred": 2}
+    assert headings.score("Background facts; invented words here", gold)["recall"] == 0.5 and headings.score("x", "") is None
+    words = ["a", "b"]
+    assert headings.resolve([0, "1", "new", "new", 9, True, None, " ", 2], words) == ["a", "b", "new", "new", None, None, None, None, "new"] and words == ["a", "b", "new"]
+    r = spark.createDataFrame([("ab  c", gold), (None, None)], "t string, g string").select(headings.word_spans("t").alias("w"), headings.heading_score("g", "g").alias("s")).collect()
+    assert [tuple(x) for x in r[0].w] == [(0, 2), (4, 5)] and r[0].s.score == 1.0 and r[1].w is None
