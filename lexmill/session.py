@@ -35,11 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written below the shared folder, so that lost executors never cost a recomputation from the source."""
+    """Tables written below the shared folder, so that lost executors never cost a recomputation from the source.
+
+    What is left of them is deleted when the driver's JVM ends, as results may be read until then.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex[:12]}"
+        p, fs = self._at(self.path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+
+    def _at(self, path: str):
+        """A path, and the file system that it is on."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -51,10 +62,9 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.at(n))
-            p.getFileSystem(conf).delete(p, True)
+            p, fs = self._at(self.at(n))
+            fs.delete(p, True)
 
 
 def ship_package(spark: SparkSession) -> None:
