@@ -1,11 +1,11 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Texts that are equal form one class and are looked at once. Signatures are banded; texts that share a band are candidates.
-A bucket's members are compared with hubs: first with its smallest member, then with one member of each of 16 hash classes,
-last with every member outside the component that holds most of the bucket; after that no two members of different components
-are left uncompared. A pair is compared batch by batch: first one bit of every hash inside the join, which lets only pairs out
-that may be similar, then whole hashes. It is dropped as soon as the posterior probability of reaching the threshold falls
-below the chosen miss probability. Survivors are verified on full shingle sets.
+A bucket's members are compared with its smallest one first, which joins most of a large group. Where a bucket still holds
+members of different components, these are compared in blocks: a large bucket is cut into blocks, each pair of blocks is a
+task's business, and only links that join components leave the task. A pair is compared batch by batch: first one bit of every
+hash, then whole hashes. It is dropped as soon as the posterior probability of reaching the threshold falls below the chosen
+miss probability. Survivors are verified on full shingle sets.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import math
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from lexmill.session import Workspace
 BANDS, ROWS = 40, 6  # a pair at similarity 0.75 shares a band with probability 0.9996
 #: Hashes compared at a time, and the probability at which a pair at the threshold may be dropped.
 BATCH, MISS = 32, 1e-6
+#: A bucket is cut into at most 32 blocks, as far as these hold from LEAST_BLOCK to MOST_BLOCK members.
+LEAST_BLOCK, MOST_BLOCK = 256, 4096
 #: Classes of texts in surviving pairs whose keys are broadcast, at 16 bytes each; more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 500_000
 
@@ -166,40 +169,31 @@ def groups(
     members = ws.write(members.join(about, "x").select("bucket", "x", F.col("x").alias("comp"), "n", "bits"), "members0")
     ws.drop("mine", "members", "taking", "about")
 
-    # 3. rounds of hubs
+    # 3. each bucket's smallest member against the others
     differ = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("hub_bits", i))) for i in range(-(-n_hashes // 64))), F.lit(0))
-    alike = (F.col("comp") != F.col("hub_comp")) & (of * F.least("n", "hub_n") >= need * F.greatest("n", "hub_n"))
-    alike = alike & (differ <= most_differing(n_hashes, need / of, miss))
-    edges, comps, n = None, None, 0
-    for n, classes in enumerate((1, 16, None), 1):
-        if members.isEmpty():
-            break
-        named_hubs = [F.col("x").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")]
-        if classes:
-            part = F.pmod(F.xxhash64("x", F.lit(n)), F.lit(classes))
-            hubs = members.groupBy("bucket", part.alias("part")).agg(F.min("x").alias("x")).select("bucket", "x")
-            hubs = members.join(ws.write(hubs, f"picked{n}"), ["bucket", "x"], "left_semi")
-        else:
-            held = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-            most = held.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("most"))
-            hubs = members.join(ws.write(most, f"picked{n}"), "bucket").where("comp <> most")
-        hubs = ws.write(hubs.select("bucket", *named_hubs), f"hubs{n}")
-        pairs = members.join(hubs, (members["bucket"] == hubs["bucket"]) & alike)
-        pairs = pairs.select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).distinct()
-        links = _verify(df, ws, f"r{n}", ws.write(pairs, f"pairs{n}"), signed, rep, text, size, need, of, miss, n_hashes)
-        edges = links if edges is None else edges.union(links)
-        comps = components(edges, ws, f"cc{n}")
-        if classes:
-            left = members.join(hubs.select("bucket", F.col("hub").alias("x")), ["bucket", "x"], "left_anti").drop("comp")
-            left = left.join(comps, left["x"] == comps["node"], "left").select("bucket", "x", F.coalesce("comp", "x").alias("comp"), "n", "bits")
-            left = ws.write(left, f"left{n}")
-            open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            members = ws.write(left.join(open_, "bucket", "left_semi"), f"members{n}")
-        ws.drop(f"members{n - 1}", f"picked{n}", f"hubs{n}", f"pairs{n}", f"left{n}")
-    ws.drop(f"members{n}", "signed")
+    alike = (of * F.least("n", "hub_n") >= need * F.greatest("n", "hub_n")) & (differ <= most_differing(n_hashes, need / of, miss))
+    comps = None
+    if not members.isEmpty():
+        first = members.groupBy("bucket").agg(F.min("x").alias("x"))
+        hubs = members.join(ws.write(first, "first"), ["bucket", "x"], "left_semi")
+        hubs = ws.write(hubs.select("bucket", F.col("x").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "hubs")
+        pairs = members.join(hubs, "bucket").where((F.col("x") != F.col("hub")) & alike)
+        pairs = ws.write(pairs.select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct(), "pairs")
+        edges = _verify(df, ws, pairs, signed, rep, text, size, need, of, miss, n_hashes)
+        comps = components(edges, ws, "cc1")
+        left = members.select("bucket", "x", "n").join(hubs.select("bucket", F.col("hub").alias("x")), ["bucket", "x"], "left_anti")
+        left = left.join(comps, left["x"] == comps["node"], "left").select("bucket", "x", F.coalesce("comp", "x").alias("comp"), "n")
+        left = ws.write(left, "left")
+        open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
+        members = ws.write(left.join(open_.where("lo <> hi").select("bucket", "m"), "bucket"), "open")
+        ws.drop("members0", "first", "hubs", "pairs", "left")
+        if not members.isEmpty():
+            edges = edges.union(_in_blocks(df, ws, members, signed, rep, text, size, need, of, miss, n_hashes))
+            comps = components(edges, ws, "cc2")
+    ws.drop("signed", "open")
 
     # 4. back to rows
-    if edges is None:
+    if comps is None:
         named = rep.select("k1", "k2", "rep", F.col("rep").alias("comp"), "id")
     else:
         comps = comps.select("node", "comp")
@@ -220,12 +214,72 @@ def groups(
     )
 
 
-def _verify(df, ws, name, pairs, signed, rep, text, size, need, of, miss, n_hashes) -> DataFrame:
+def _sets(df, ws, name, members, rep, text, size) -> DataFrame:
+    """(rep, s): the shingle sets of the classes that members (rep) lists, made from their texts again."""
+    wanted = ws.write(members.distinct().join(rep, "rep").select("rep", "k1", "k2"), f"{name}-wanted")
+    texts = df.select(*text_key(text), F.col(text).alias("t"))
+    few = wanted.count() <= MAX_BROADCAST_KEYS
+    texts = texts.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("rep", "t")
+
+    def sets():
+        def run(r):
+            return {"rep": r["rep"], "s": [shingles(t, size).tobytes() for t in r["t"]]}
+
+        return run
+
+    full = map_rows(texts, sets, "rep bigint, s binary")
+    full = ws.write(full.groupBy("rep").agg(F.first("s").alias("s")), f"{name}-sets")
+    ws.drop(f"{name}-wanted")
+    return full
+
+
+def similar(p: bytes, q: bytes, need: int, of: int) -> bool:
+    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return of * both >= need * (len(x) + len(y) - both)
+
+
+def _in_blocks(df, ws, members, signed, rep, text, size, need, of, miss, n_hashes) -> DataFrame:
+    """Links (a, b) between members (bucket, x, comp, n, m) of a bucket that are of different components."""
+    full = _sets(df, ws, "blocks", members.select(F.col("x").alias("rep")), rep, text, size)
+    full = ws.write(full.join(signed.select(F.col("rid").alias("rep"), "sig"), "rep").withColumnRenamed("rep", "x"), "full")
+    block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("m") / 32)))
+    n = F.ceil(F.col("m") / block).cast("int")
+    each = members.withColumn("b", F.pmod(F.xxhash64("x"), n).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
+    each = each.select("bucket", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "x", "comp", "n")
+    each = ws.write(each, "each").join(full, "x")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        label, b, n = (pdf[c].to_numpy().copy() for c in ("comp", "b", "n"))
+        out: list[tuple[int, int]] = []
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), n_hashes)
+        sets, x = pdf["s"].tolist(), pdf["x"].tolist()
+        for i in range(len(pdf) - 1):
+            if (label == label[0]).all():
+                break
+            j = np.arange(i + 1, len(pdf))
+            j = j[(label[j] != label[i]) & (of * np.minimum(n[j], n[i]) >= need * np.maximum(n[j], n[i]))]
+            if key[1] != key[2]:
+                j = j[b[j] != b[i]]
+            if len(j):
+                j = j[plausible(np.broadcast_to(sig[i], (len(j), n_hashes)), sig[j], need / of, BATCH, miss)]
+            for k in j.tolist():
+                if label[k] != label[i] and similar(sets[i], sets[k], need, of):
+                    out.append((x[i], x[k]))
+                    label[label == label[k]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    links = ws.write(each.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a bigint, b bigint"), "block-links")
+    ws.drop("blocks-sets", "full", "each")
+    return links
+
+
+def _verify(df, ws, pairs, signed, rep, text, size, need, of, miss, n_hashes) -> DataFrame:
     """The pairs (a, b) that are similar: first by signatures, then by full shingle sets."""
     threshold = need / of
     s = signed.select("rid", "sig")
     one = pairs.join(s.select(F.col("rid").alias("a"), F.col("sig").alias("sa")), "a")
-    one = ws.write(one, f"{name}-sa")
+    one = ws.write(one, "sa")
     two = one.join(s.select(F.col("rid").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def compare():
@@ -238,36 +292,19 @@ def _verify(df, ws, name, pairs, signed, rep, text, size, need, of, miss, n_hash
 
         return run
 
-    alive = ws.write(map_rows(two, compare, "a bigint, b bigint"), f"{name}-alive")
-    ws.drop(f"{name}-sa")
-    wanted = alive.select(F.col("a").alias("rep")).union(alive.select(F.col("b").alias("rep"))).distinct()
-    wanted = ws.write(wanted.join(rep, "rep").select("rep", "k1", "k2"), f"{name}-wanted")
-    texts = df.select(*text_key(text), F.col(text).alias("t"))
-    few = wanted.count() <= MAX_BROADCAST_KEYS
-    texts = texts.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("rep", "t")
-
-    def sets():
-        def run(r):
-            return {"rep": r["rep"], "s": [shingles(t, size).tobytes() for t in r["t"]]}
-
-        return run
-
-    full = map_rows(texts, sets, "rep bigint, s binary")
-    full = ws.write(full.groupBy("rep").agg(F.first("s").alias("s")), f"{name}-sets")
-    one = ws.write(alive.join(full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a"), f"{name}-fa")
+    alive = ws.write(map_rows(two, compare, "a bigint, b bigint"), "alive")
+    ws.drop("sa")
+    full = _sets(df, ws, "pairs", alive.select(F.col("a").alias("rep")).union(alive.select(F.col("b").alias("rep"))), rep, text, size)
+    one = ws.write(alive.join(full.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a"), "fa")
     two = one.join(full.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def confirm():
         def run(r):
-            ok = []
-            for p, q in zip(r["sa"], r["sb"], strict=True):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(of * both >= need * (len(x) + len(y) - both))
+            ok = [similar(p, q, need, of) for p, q in zip(r["sa"], r["sb"], strict=True)]
             return {c: [v for v, k in zip(r[c], ok, strict=True) if k] for c in ("a", "b")}
 
         return run
 
-    links = ws.write(map_rows(two, confirm, "a bigint, b bigint"), f"{name}-links")
-    ws.drop(f"{name}-alive", f"{name}-wanted", f"{name}-sets", f"{name}-fa")
+    links = ws.write(map_rows(two, confirm, "a bigint, b bigint"), "links")
+    ws.drop("alive", "pairs-sets", "fa")
     return links
