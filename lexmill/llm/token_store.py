@@ -11,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from lexmill.session import Workspace
 #: Least and largest chunk in ids, and the mean distance of cuts beyond the least; ids that the rolling hash covers.
 MIN_CHUNK, MAX_CHUNK, MEAN_CHUNK, WINDOW = 128, 2048, 512, 16
 #: Pre-tokens whose ids a worker remembers, and the longest one.
-MEMO_SIZE, MEMO_CHARS = 400_000, 64
+MEMO_SIZE, MEMO_CHARS = 1_000_000, 64
 
 
 class Encoder:
@@ -44,20 +45,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.find = pretokenizer(pattern) if pattern else None
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as little-endian numbers of four bytes; emptied when full
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
         if not self.find:
-            return [x.ids for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         found = [self.find(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(found))
+        new = set(filterfalse(self.memo.__contains__, chain.from_iterable(found)))
         if len(self.memo) + len(new) > MEMO_SIZE:
             self.memo.clear()
-        new.difference_update(self.memo)
+            new = set(chain.from_iterable(found))
         pieces = list(new)
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.memo.update((p, x.ids) for p, x in zip(pieces, got, strict=True))
-        out = [list(chain.from_iterable(map(self.memo.__getitem__, x))) for x in found]
+        self.memo.update((p, array("I", x.ids).tobytes()) for p, x in zip(pieces, got, strict=True))
+        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, x)), "<u4") for x in found]
         for p in pieces:
             if len(p) > MEMO_CHARS:
                 del self.memo[p]
@@ -170,14 +172,13 @@ def write(
 
         def run(r):
             out = {"id": r["id"], "n": [], "chunks": [], "data": []}
-            for ids in enc.encode_all(r["t"]):
+            for a in enc.encode_all(r["t"]):
                 if end_id is not None:
-                    ids = [*ids, end_id]
-                a = np.array(ids, np.uint32)
+                    a = np.append(a, np.uint32(end_id))
                 at, recipe, data = 0, [], []
                 for e in cuts(a):
                     part = a[at:e]
-                    d = digest(part.astype("<u4").tobytes())
+                    d = digest(part.astype("<u4", copy=False).tobytes())
                     recipe.append({"d": d, "n": e - at})
                     data.append(None if d in seen else pack(part))
                     seen.add(d)

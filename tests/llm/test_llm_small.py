@@ -138,7 +138,7 @@ def test_token_store(spark):
     at = 0
     back = {r.id: r.ids for r in token_store.reconstruct(store, docs(spark).select(F.col("doc_id").alias("id"))).collect()}
     for i, t in enumerate(TEXTS):
-        ids = enc.encode_all([t])[0] + [2]
+        ids = [*enc.encode_all([t])[0].tolist(), 2]
         assert (got[i].start, got[i].n, got[i].crc) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and list(back[i]) == ids
         at += len(ids)
     assert store.chunks.count() == store.chunks.select("d").distinct().count()
