@@ -1,8 +1,10 @@
-"""Near-duplicates of embeddings by spherical-cap filters.
+"""Near-duplicates of embeddings by cross-polytope hashing in many independent tables.
 
-Filter directions are a structured random product code: a direction is a codeword from each of several blocks of the (rotated)
-space. A vector is list-decoded to all directions whose inner product with it exceeds a bound; vectors that share a filter are
-compared exactly. Equal vectors form a class that is looked at once.
+In a table a vector is turned at random, and its bucket is the axis that it then lies nearest to, with the sign; several turns
+are joined where one has too few buckets. Each vector is in exactly one bucket of each table. As the turns are uniform, whether
+a pair meets in a table depends on its cosine alone, not on where it lies, and tables are independent, so that the chance of
+missing a pair is known whatever the number of vectors. Vectors that share a bucket are compared exactly. Equal vectors form a
+class that is looked at once.
 """
 
 from __future__ import annotations
@@ -18,42 +20,58 @@ from lexmill.llm.common import map_rows
 from lexmill.llm.graph import components
 from lexmill.session import Workspace
 
-#: Expected number of filters that two vectors at the least similarity share; about e^-SHARED of such pairs are missed.
+#: A pair at the least similarity is missed by all tables with a chance of at most e^-SHARED.
 SHARED = 16.0
-#: Classes that a filter should hold on average, and rows of a block within a filter.
-BUCKET, BLOCK = 300, 1024
+#: Rows of a block within a bucket, which buckets hold on average at most; axes that a turned vector is compared with at most.
+BLOCK, AXES = 1024, 64
+#: Pairs from which the chance of meeting in a table is measured.
+TRIALS = 1 << 16
 
 
-def _tail(a: float) -> float:
-    from math import erfc, sqrt
-
-    return 0.5 * erfc(a / sqrt(2))
+@cache
+def together(dim: int, cosine: float) -> float:
+    """A lower bound (three standard errors) of the chance that two vectors of that cosine get the same bucket in one turn."""
+    if dim == 1:
+        return 1.0
+    rng, hits, step = np.random.default_rng(7), 0, max(1, (1 << 20) // dim)
+    for at in range(0, TRIALS, step):
+        x, z = rng.standard_normal((2, min(step, TRIALS - at), dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (x * z).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        hits += int((nearest(x[:, :AXES]) == nearest(y[:, :AXES])).sum())
+    p = hits / TRIALS
+    return max(p - 3 * np.sqrt(p * (1 - p) / TRIALS) - 9 / TRIALS, 1 / TRIALS)
+
+
+def plan(n: int, cosine: float, dim: int) -> tuple[int, int]:
+    """(turns a table, tables) for n vectors: the fewest turns that keep buckets to a block on average, and as many tables as
+    SHARED asks for. Where all vectors fit into a block nothing is turned, and the only bucket holds them all."""
+    turns, buckets = 0, 2 * min(dim, AXES)
+    while n > BLOCK * buckets**turns and buckets ** (turns + 1) < 1 << 31:
+        turns += 1
+    p = together(dim, cosine) ** turns if turns else 1.0
+    return turns, 1 if p == 1 else int(np.ceil(SHARED / -np.log1p(-p)))
 
 
 @cache
-def _both(a: float, rho: float) -> float:
-    """P(both > a) of two standard normal numbers with correlation rho."""
-    x = np.linspace(a, a + 8, 4001)
-    from math import erfc, sqrt
+def turned(dim: int, n: int) -> np.ndarray:
+    """The axes of n random turns side by side, (dim, n * axes)."""
+    rng, axes = np.random.default_rng([64, dim]), min(dim, AXES)
+    return np.hstack([np.zeros((dim, 0)), *[np.linalg.qr(rng.standard_normal((dim, axes)))[0] for _ in range(n)]])
 
-    inner = np.array([0.5 * erfc((a - rho * v) / sqrt(2 * (1 - rho * rho))) for v in x])
-    return float(np.trapezoid(inner * np.exp(-x * x / 2) / np.sqrt(2 * np.pi), x))
 
+def nearest(z: np.ndarray) -> np.ndarray:
+    """The number of the signed axis (last dimension) that each vector lies nearest to."""
+    at = np.abs(z).argmax(-1)
+    return 2 * at + (np.take_along_axis(z, at[..., None], -1)[..., 0] < 0)
 
-def plan(n: int, rho: float) -> tuple[float, int, int]:
-    """(bound in standard deviations, blocks, codewords a block) for n vectors: as high a bound as keeps filters filled.
 
-    The number of filters follows from the bound: SHARED / P(both pass). Up to 2^21 filters; from there on buckets grow.
-    """
-    best = None
-    for a in np.arange(0.6, 4.6, 0.1):
-        filters = SHARED / _both(round(float(a), 1), rho)
-        blocks = 2 if filters <= 4096 else 3
-        words = int(np.ceil(filters ** (1 / blocks)))
-        best = (float(a), blocks, words)
-        if n * _tail(a) <= BUCKET or filters > 1 << 21:
-            break
-    return best
+def buckets(x: np.ndarray, turns: int, tables: int) -> np.ndarray:
+    """Each unit vector's bucket in each table, (vectors, tables)."""
+    axes = min(x.shape[1], AXES)
+    z = (x @ turned(x.shape[1], turns * tables)).reshape(len(x), tables, turns, axes)
+    return (nearest(z) * (2 * axes) ** np.arange(turns)).sum(-1).astype(np.int32)
 
 
 @cache
@@ -71,6 +89,7 @@ def code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray
 def decode(x: np.ndarray, bound: float, blocks: int, words: int) -> list[list[int]]:
     """For each unit vector all filters whose direction has an inner product of at least bound / sqrt(dim) with it.
 
+    List decoding of a product code; groups() doesn't use it any more, as how many filters a pair shares depends on where it lies.
     Block by block, a partial direction goes on only if the best words of the other blocks could still lift it to the bound.
     """
     dim = x.shape[1]
@@ -127,44 +146,42 @@ def groups(
     classes = good.groupBy("v").agg(F.min("rid").alias("rep"), F.min("id").alias("id"), F.count("*").alias("c"))
     classes = ws.write(classes, "classes")
     n = classes.count()
-    bound, blocks, words = plan(max(n, 1), cosine)
+    turns, tables = plan(n, cosine, dim)
 
     def split():
         def run(r):
             if not r["rep"]:
-                return {"rep": [], "c": [], "u": [], "f": []}
+                return {"rep": [], "c": [], "u": [], "w": [], "f": []}
             x = np.array(r["v"], raw)
-            return {"rep": r["rep"], "c": r["c"], "u": [u.tobytes() for u in x], "f": decode(unit(x), bound, blocks, words)}
+            w = buckets(unit(x), turns, tables)
+            return {"rep": r["rep"], "c": r["c"], "u": [u.tobytes() for u in x], "w": [k.tobytes() for k in w], "f": w.tolist()}
 
         return run
 
-    found = ws.write(map_rows(classes.select("rep", "c", "v"), split, "rep bigint, c bigint, u binary, f array<bigint>"), "filters")
-    each = found.select("rep", F.explode("f").alias("f"))
-    sizes = ws.write(each.groupBy("f").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    # a filter of many rows is cut into blocks, and each pair of blocks is a group of its own
-    each = found.select("rep", "c", "u", F.col("f").cast("array<int>").alias("fs"), F.explode("f").alias("f")).join(sizes, "f")
+    found = ws.write(map_rows(classes.select("rep", "c", "v"), split, "rep bigint, c bigint, u binary, w binary, f array<int>"), "filters")
+    each = found.select(F.posexplode("f").alias("t", "f"))
+    sizes = ws.write(each.groupBy("t", "f").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    # a bucket of many rows is cut into blocks, and each pair of blocks is a group of its own
+    each = found.select("rep", "c", "u", "w", F.posexplode("f").alias("t", "f")).join(sizes, ["t", "f"])
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     each = each.withColumn("b", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    each = each.select("f", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "c", "u", "fs")
+    each = each.select("t", "f", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "c", "u", "w")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f, lo, hi = (int(k) for k in key)
+        t, _, lo, hi = (int(k) for k in key)
         rep, c, b = pdf["rep"].to_numpy(), pdf["c"].to_numpy(), pdf["b"].to_numpy()
         x = unit(np.frombuffer(b"".join(pdf["u"]), raw).reshape(len(pdf), dim))
-        i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-        if lo != hi:
-            cross = b[i] != b[j]
-            i, j = i[cross], j[cross]
-        # a pair counts in the first filter that both have
-        width = max(map(len, pdf["fs"]))
-        fs = np.full((len(pdf), width), -1, np.int64)
-        for k, s in enumerate(pdf["fs"]):
-            fs[k, : len(s)] = s
-        low = np.where((fs >= 0) & (fs < f), fs, -1)
+        if lo == hi:
+            i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+        else:
+            p, q = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+            i, j = np.nonzero(x[p] @ x[q].T >= cosine)
+            i, j = p[i], q[j]
+        # a pair counts in the first table where both have the same bucket
+        before = np.frombuffer(b"".join(pdf["w"]), np.int32).reshape(len(pdf), -1)[:, :t]
         first = np.ones(len(i), bool)
-        for at in range(0, len(i), 4096):
-            p, q = low[i[at : at + 4096]], low[j[at : at + 4096]]
-            first[at : at + 4096] = ~((p[:, :, None] == q[:, None, :]) & (p >= 0)[:, :, None]).any(axis=(1, 2))
+        for at in range(0, len(i), 65536):
+            first[at : at + 65536] = ~(before[i[at : at + 65536]] == before[j[at : at + 65536]]).any(axis=1)
         links = np.zeros(len(pdf), np.int64)
         np.add.at(links, i[first], c[j[first]])
         np.add.at(links, j[first], c[i[first]])
@@ -185,7 +202,7 @@ def groups(
         use = (links > 0) | (top != np.arange(len(pdf)))
         return pd.DataFrame({"a": rep[use], "b": rep[top][use], "links": links[use]})
 
-    got = ws.write(each.groupBy("f", "lo", "hi").applyInPandas(compare, "a bigint, b bigint, links bigint"), "compared")
+    got = ws.write(each.groupBy("t", "f", "lo", "hi").applyInPandas(compare, "a bigint, b bigint, links bigint"), "compared")
     comps = components(got.select("a", "b"), ws, "cc")
     links = got.groupBy("a").agg(F.sum("links").alias("links"))
     named = classes.select("rep", "id", "c").join(comps, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -339,6 +340,29 @@ def test_embeddings(spark):
     assert embed_dup.groups(df.limit(0)).count() == 0
 
 
+def isolated_pairs(n, cosine, dim=64):
+    """n unit vectors, and one more for each at that cosine."""
+    x, z = np.random.default_rng(12).standard_normal((2, n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (x * z).sum(1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [10_256, 50_000, 250_000, 1_000_000, 10_000_000])
+@pytest.mark.parametrize("cosine", [0.9, 0.92, 0.98])
+def test_embedding_pairs_meet_at_any_size(n, cosine):
+    turns, tables = embed_dup.plan(n, 0.9, 64)
+    x, y = (embed_dup.buckets(v, turns, tables) for v in isolated_pairs(2000, cosine))
+    assert turns and (x == y).any(axis=1).mean() >= 0.999
+
+
+def test_isolated_embedding_pairs_are_linked(spark):
+    x, y = isolated_pairs(8000, 0.901)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(16000), "embedding": np.vstack([x, y]).astype(np.float32).tolist()}), "vec_id bigint, embedding array<float>")
+    got = embed_dup.groups(df, keep=["vec_id"]).groupBy("__n_links").count().collect()
+    assert {r["__n_links"]: r["count"] for r in got}.get(0, 0) <= 16
+
+
 def test_list_decoding_is_complete():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((50, 64))
