@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,19 +46,18 @@ def lcs(p: Column, g: Column) -> Column:
 
 
 def lcs_length(a: list, b: list) -> int:
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        now = [0]
-        for j, y in enumerate(b):
-            now.append(prev[j] + 1 if x == y else max(now[j], prev[j + 1]))
-        prev = now
-    return prev[-1]
-
-
-@F.pandas_udf(T.IntegerType())
-def lcs_len(p: pd.Series, g: pd.Series) -> pd.Series:
-    """The same for longer arrays, in Python."""
-    return pd.Series([lcs_length(list(a), list(b)) for a, b in zip(p, g, strict=True)], dtype="int32")
+    """The same, a row of the table at a time as the bits of one number."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    masks = {x: sum(1 << i for i in at) for x, at in where.items()}
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        if m := masks.get(y):
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l(length: Column, p: Column, g: Column) -> Column:
@@ -64,10 +65,85 @@ def rouge_l(length: Column, p: Column, g: Column) -> Column:
     return F.coalesce(ratio(2 * length, F.size(p) + F.size(g)), F.lit(0.0))
 
 
+class Blocks:
+    """Longest common blocks of two sequences, with difflib's choice among equal ones: first in a, then first in b.
+
+    Every stretch of 2^k items has a number, the same for equal stretches (prefix doubling); a stretch of any length is told by
+    the numbers of its first and its last 2^k items. So a block is found by bisecting its length, without a table of all pairs.
+    """
+
+    #: Pairs of items up to which difflib's own way is quicker.
+    SMALL = 20_000
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+        ids: dict = {}
+        self.levels = [[np.array([ids.setdefault(x, len(ids)) for x in s], np.int64) for s in (a, b)]]
+        self.width = len(ids) + 1
+
+    def level(self, k: int) -> list[np.ndarray]:
+        while len(self.levels) <= k:
+            half = 1 << len(self.levels) - 1
+            keys = [s[: max(len(s) - half, 0)] * self.width + s[half:] for s in self.levels[-1]]
+            of = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            self.width = max(self.width, int(of.max(initial=0)) + 1)
+            self.levels.append([of[: len(keys[0])], of[len(keys[0]) :]])
+        return self.levels[k]
+
+    def stretches(self, size: int, alo: int, ahi: int, blo: int, bhi: int) -> list[np.ndarray]:
+        """A number for each stretch of that size in both ranges."""
+        k = size.bit_length() - 1
+        rest = size - (1 << k)
+        return [s[lo : hi - size + 1] * self.width + s[lo + rest : hi - size + 1 + rest] for s, lo, hi in zip(self.level(k), (alo, blo), (ahi, bhi), strict=True)]
+
+    def longest(self, alo: int, ahi: int, blo: int, bhi: int, most: int) -> tuple[int, int, int]:
+        """(i, j, size) of the longest common block of a[alo:ahi] and b[blo:bhi], which has at most `most` items."""
+        low, high = 0, min(most, ahi - alo, bhi - blo)
+        probe = 1
+        while low < high:
+            size = min(probe, high) if probe else (low + high + 1) // 2
+            if np.isin(*self.stretches(size, alo, ahi, blo, bhi)).any():
+                low, probe = size, probe * 2
+            else:
+                high, probe = size - 1, 0
+        if not low:
+            return alo, blo, 0
+        x, y = self.stretches(low, alo, ahi, blo, bhi)
+        i = int(np.isin(x, y).argmax())
+        return alo + i, blo + int((y == x[i]).argmax()), low
+
+    def matched(self) -> int:
+        """Items in the blocks of Ratcliff and Obershelp: the longest one, and so on left and right of it."""
+        total, todo = 0, [(0, len(self.a), 0, len(self.b), len(self.a))]
+        while todo:
+            alo, ahi, blo, bhi, most = todo.pop()
+            if (ahi - alo) * (bhi - blo) <= self.SMALL:
+                if alo < ahi and blo < bhi:
+                    m = difflib.SequenceMatcher(None, self.a[alo:ahi], self.b[blo:bhi], autojunk=False)
+                    total += sum(x.size for x in m.get_matching_blocks())
+                continue
+            i, j, size = self.longest(alo, ahi, blo, bhi, most)
+            if size:
+                total += size
+                todo += [(alo, i, blo, j, size), (i + size, ahi, j + size, bhi, size)]
+        return total
+
+
 @F.pandas_udf(T.DoubleType())
 def char_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    out = [(2 * Blocks(x or "", y or "").matched() / (len(x or "") + len(y or ""))) if x or y else 1.0 for x, y in zip(a, b, strict=True)]
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("run", "lcs", "shared")]))
+def token_overlap(p: pd.Series, g: pd.Series) -> pd.DataFrame:
+    """Longest run, common subsequence and common multiset of tokens joined by blanks, for texts of any length."""
+    out = []
+    for x, y in zip(p, g, strict=True):
+        x, y = x.split(" ") if x else [], y.split(" ") if y else []
+        out.append((Blocks(x, y).longest(0, len(x), 0, len(y), len(x))[2], lcs_length(x, y), (Counter(x) & Counter(y)).total()))
+    return pd.DataFrame(out, columns=["run", "lcs", "shared"]).astype("int32")
 
 
 def longest_runs(pairs: DataFrame, key: str, p: str, g: str) -> DataFrame:
@@ -86,22 +162,22 @@ def longest_runs(pairs: DataFrame, key: str, p: str, g: str) -> DataFrame:
 
 def scores(df: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
     """All overlap scores of (pred, gold) texts; rows whose gold text has no token are left out. The key must be unique."""
-    from lexmill.functions.text import normalize, tokens
+    from lexmill.functions.text import WORD, normalize
 
-    x = df.select(key, pred, gold, tokens(F.col(pred), True).alias("p"), tokens(F.col(gold), True).alias("g")).where(F.size("g") > 0)
+    x = df.select(key, normalize(F.col(pred), compat=True).alias("np"), normalize(F.col(gold), compat=True).alias("ng"))
+    x = x.select("*", *[F.regexp_extract_all(n, F.lit(WORD), 1).alias(t) for n, t in (("np", "p"), ("ng", "g"))]).where(F.size("g") > 0)
+    x = x.withColumn("o", token_overlap(F.array_join("p", " "), F.array_join("g", " ")))
     p, g = F.col("p"), F.col("g")
-    np_, ng = normalize(F.col(pred), compat=True), normalize(F.col(gold), compat=True)
-    out = x.join(longest_runs(x, key, "p", "g"), key)
-    return out.select(
+    return x.select(
         key,
-        (np_ == ng).cast("int").alias("exact_match"),
+        (F.col("np") == F.col("ng")).cast("int").alias("exact_match"),
         prefix_tokens(p, g).alias("prefix_tokens"),
         ratio(prefix_tokens(p, g), F.size(g)).alias("prefix_frac"),
-        "longest_run",
-        ratio("longest_run", F.size(g)).alias("longest_run_frac"),
-        rouge_l(lcs_len(p, g), p, g).alias("rouge_l"),
-        token_f1(p, g).alias("token_f1"),
-        char_ratio(np_, ng).alias("char_ratio"),
+        F.col("o.run").cast("long").alias("longest_run"),
+        ratio(F.col("o.run"), F.size(g)).alias("longest_run_frac"),
+        rouge_l(F.col("o.lcs"), p, g).alias("rouge_l"),
+        F.coalesce(ratio(2 * F.col("o.shared"), F.size(p) + F.size(g)), F.lit(0.0)).alias("token_f1"),
+        char_ratio("np", "ng").alias("char_ratio"),
         F.size(g).alias("gold_tokens"),
         F.size(p).alias("pred_tokens"),
     )

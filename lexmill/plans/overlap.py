@@ -55,10 +55,13 @@ def overlap_scores_native(t):
 
 @query()
 def overlap_scores_full(t):
-    """All scores of each document's first 300 characters against the next one's."""
+    """All scores of each document's whole text against the next one's of its language."""
     w = Window.partitionBy("lang").orderBy("doc_id")
-    d = t.documents.select("doc_id", "lang", F.substring("text", 1, 300).alias("gold"))
-    return fn.scores(d.withColumn("pred", F.lead("gold").over(w)).where("pred is not null"), "doc_id", "pred", "gold")
+    after = t.documents.select("doc_id", F.lead("doc_id").over(w).alias("next")).where("next is not null")
+    texts = t.documents.select("doc_id", F.col("text").alias("gold"))
+    pred = texts.select(F.col("doc_id").alias("next"), F.col("gold").alias("pred"))
+    pairs = after.join(texts, "doc_id").join(pred, "next").where("pred is not null")
+    return fn.scores(pairs, "doc_id", "pred", "gold")
 
 
 _SH = """list_distinct(list_transform(range(1, greatest(len(w)-6,1)), lambda i: array_to_string(list_slice(w,i,i+7),' ')))"""

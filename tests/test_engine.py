@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import overlap, rules, text
 from lexmill.operators import balance, evaluation, panel, relational, sampling, sequence, shingle, stats
+from lexmill.plans.registry import QUERIES
 from lexmill.session import Workspace
 from lexmill.sources import providers, readers, sinks
 from lexmill.streaming import resume
@@ -39,6 +40,28 @@ def test_overlap_against_python(spark):
         assert native[k] == overlap.lcs_length(p, g)
 
 
+def test_whole_texts_are_scored(spark, tmp_path):
+    head = "the same words stand at the head of both texts " * 20
+    rows = [(1, "en", head + "and then one ends like this"), (2, "en", head + "but something else is behind them")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["overlap_scores_full"](spark, str(tmp_path)).collect()
+    a, b = (r[2] for r in rows)
+    assert len(got) == 1 and (got[0].exact_match, got[0].gold_tokens, got[0].pred_tokens, got[0].prefix_tokens) == (0, 206, 206, 200)
+    assert got[0].char_ratio == SequenceMatcher(None, b, a, autojunk=False).ratio()
+
+
+def test_blocks_of_long_sequences():
+    rng = random.Random(1)
+    for k in range(60):
+        a, b = ("".join(rng.choice("ab c"[: 2 + k % 3]) for _ in range(rng.randint(0, 400))) for _ in "ab")
+        b = b + a[50:150] + b if k % 4 == 0 else b
+        blocks = overlap.Blocks(a, b)
+        blocks.SMALL = 30
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        assert blocks.matched() == sum(x.size for x in m.get_matching_blocks())
+        assert blocks.longest(0, len(a), 0, len(b), len(a))[2] == m.find_longest_match().size
+
+
 def test_scramble_keeps_words_and_breaks_runs(spark):
     words = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(1, words)], "k int, g array<string>").withColumn("p", sampling.scramble(F.col("g"), 40, "s"))
