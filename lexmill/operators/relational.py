@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import Workspace
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row for each key, the first in the given order. The order's columns must tell rows of a key apart."""
@@ -104,12 +108,33 @@ def common_arm(date: Column, cutoffs: Sequence[str]) -> Column:
     return F.when(d <= F.lit(min(cutoffs)).cast("date"), "pre").when(d > F.lit(max(cutoffs)).cast("date"), "post")
 
 
-def three_layer_dedup(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of new that share none of the keys with old; null keys share nothing."""
+def three_layer_dedup(new: DataFrame, old: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of new that share none of the keys with old; null keys share nothing.
+
+    With an order, whose columns tell rows apart, a row is also left out if it shares a key with an earlier row that is kept.
+    Each round keeps the rows that are the first of all their keys, and drops what shares a key with them.
+    """
     out = new
     for k in keys:
         out = out.join(old.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-    return out.select(new.columns)
+    out = out.select(new.columns)
+    if not order:
+        return out
+    ws, n, kept = Workspace(new.sparkSession, "layers"), 0, []
+    left = ws.write(out.withColumn("__o", F.struct(*order)), "left-0")
+    while not left.isEmpty() or not kept:
+        n += 1
+        found = left
+        for i, k in enumerate(keys):
+            found = found.join(left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("__o").alias(f"__m{i}")), k, "left")
+        first = [F.col(k).isNull() | (F.col(f"__m{i}") == F.col("__o")) for i, k in enumerate(keys)]
+        kept.append(ws.write(found.where(reduce(and_, first)).select(left.columns), f"kept-{n}"))
+        rest = left.join(kept[-1].select("__o"), "__o", "left_anti")
+        for k in keys:
+            rest = rest.join(kept[-1].where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+        left = ws.write(rest.select(left.columns), f"left-{n}")
+        ws.drop(f"left-{n - 1}")
+    return reduce(DataFrame.union, kept).select(new.columns)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], item: str) -> DataFrame:

@@ -116,6 +116,15 @@ def three_layer_dedup(t):
     return op.three_layer_dedup(new, old, ["host", "body", "slot"]).select("page_id", "host")
 
 
+@query()
+def three_layer_dedup_whole(t):
+    """Pages by https that are new by address, folded title and id against all others, one page for each of these."""
+    title = F.trim(F.regexp_replace(F.lower(F.regexp_extract("html", r"(?i)<title[^>]*>([^<]*)", 1)), r"[^\p{L}\p{N}]+", " "))
+    address = F.lower(F.regexp_extract("url", r"^(?i:https?)://([^?#]*)", 1))
+    p = t.pages.select("page_id", F.nullif(address, F.lit("")).alias("address"), F.nullif(title, F.lit("")).alias("title"), F.coalesce(F.col("url").rlike("^(?i)https:"), F.lit(False)).alias("new"))
+    return op.three_layer_dedup(p.where("new"), p.where("not new"), ["address", "title", "page_id"], ["page_id"]).drop("new")
+
+
 @query("""WITH c AS (SELECT c_custkey AS id, unnest(string_split(replace(c_name,'#',' '),' ')) AS w FROM customer), s AS (SELECT s_suppkey AS id, unnest(string_split(replace(s_name,'#',' '),' ')) AS w FROM supplier),
 u AS (SELECT id, w, 1 AS a, 0 AS b FROM c UNION ALL SELECT id, w, 0, 1 FROM s) SELECT id, w, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM u GROUP BY id, w HAVING sum(a)<>sum(b)""")
 def multiset_difference(t):

@@ -169,6 +169,27 @@ def test_wide_and_three_layers(spark):
     assert [r.a for r in relational.three_layer_dedup(new, old, ["a", "b"]).collect()] == [1]
 
 
+def test_layers_within_the_new_rows(spark):
+    rng = random.Random(3)
+    key = lambda n: None if rng.random() < 0.2 else rng.randrange(n)
+    new, old = [(i, key(60), key(40)) for i in range(120)], [(-1, key(60), key(40)) for _ in range(8)]
+    seen, want = [{r[1] for r in old}, {r[2] for r in old}], []
+    for i, a, b in new:
+        if not any(x is not None and x in s for x, s in zip((a, b), seen, strict=True)):
+            want.append(i)
+            seen[0].add(a), seen[1].add(b)
+    frames = [spark.createDataFrame(x, "i int, a int, b int") for x in (new, old)]
+    assert sorted(r.i for r in relational.three_layer_dedup(*frames, ["a", "b"], ["i"]).collect()) == want
+    assert relational.three_layer_dedup(frames[0].limit(0), frames[1], ["a", "b"], ["i"]).count() == 0
+
+
+def test_layers_over_all_pages(spark, tmp_path):
+    page = lambda i, url, title: (i, url, f"<title>{title}</title>")
+    rows = [page(200, "http://a.org/x", "One"), page(101, "https://a.org/x?q=1", "Two"), page(102, "https://b.org/", "one!"), page(104, "https://c.org/", "Three"), page(106, "https://c.org/#top", "Four"), page(108, "https://d.org/", "Four")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r.page_id for r in QUERIES["three_layer_dedup_whole"](spark, str(tmp_path)).collect()) == [104, 108]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "m__one.csv").write_text('case_id,refused,prediction\nc1,1,"two\nlines"\nc2,,x\n')
     got = {r.case_id: r for r in readers.csv_by_model(spark, str(tmp_path / "*.csv"), schema="case_id string, refused int, prediction string, model string, ts string").collect()}
