@@ -77,6 +77,15 @@ def test_nonanswers(spark, answer, kind):
     assert df.select(rules.nonanswer(F.col("a"), F.lit(True))).first()[0] == "error"
 
 
+def test_hotspots_behind_the_beginning(spark, tmp_path):
+    text = "word " * 400 + "for the foregoing reasons " + "word " * 400
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.lo: r.verdict for r in QUERIES["hotspot_verdicts_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(0, len(text), 400)) and got[2000] == "furniture_by_pattern"
+    assert {lo for lo, v in got.items() if v == "quoted_in_context"} == {1600, 2400}
+
+
 def test_common_arm(spark):
     arms = [one(spark, relational.common_arm(F.lit(d), ["2025-01-31", "2026-01-31", "2026-02-28"]))[0] for d in ("2025-01-31", "2025-07-01", "2026-03-01")]
     assert arms == ["pre", None, "post"]
