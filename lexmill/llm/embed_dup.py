@@ -124,8 +124,8 @@ def groups(
 ) -> DataFrame:
     """Every row of df (columns `keep`, all by default) with __n_links, __component and __kept.
 
-    Two rows are linked if the cosine of their vectors, in double precision, is at least `cosine`. A vector that is null, empty,
-    zero, of another length than most, or that holds null or non-finite components is linked with nothing. __n_links counts the
+    Two rows are linked if their vectors have the same length and their cosine, in double precision, is at least `cosine`. A vector
+    that is null, empty, zero, or that holds null or non-finite components is linked with nothing. __n_links counts the
     other rows linked directly, __component is the smallest id reachable, __kept whether that is the row's own. Rows that repeat
     a vector are linked with each other. An empty table gives an empty one.
     """
@@ -139,36 +139,40 @@ def groups(
     ok = F.coalesce(finite & (F.size(v) > 0) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)], F.col(id_col).cast("long").alias("id"), F.when(ok, v).alias("v"))
     rows = ws.write(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    dims = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = dims[0]["d"] if dims else 1
-    good = rows.where(F.size("v") == dim)
+    good = rows.where("v is not null")
 
     classes = good.groupBy("v").agg(F.min("rid").alias("rep"), F.min("id").alias("id"), F.count("*").alias("c"))
     classes = ws.write(classes, "classes")
-    n = classes.count()
-    turns, tables = plan(n, cosine, dim)
+    plans = {r["d"]: plan(r["count"], cosine, r["d"]) for r in classes.groupBy(F.size("v").alias("d")).count().collect()}
 
     def split():
         def run(r):
-            if not r["rep"]:
-                return {"rep": [], "c": [], "u": [], "w": [], "f": []}
-            x = np.array(r["v"], raw)
-            w = buckets(unit(x), turns, tables)
-            return {"rep": r["rep"], "c": r["c"], "u": [u.tobytes() for u in x], "w": [k.tobytes() for k in w], "f": w.tolist()}
+            out = {"rep": [], "c": [], "d": [], "u": [], "w": [], "f": []}
+            for d in sorted(set(map(len, r["v"]))):
+                at = [k for k, v in enumerate(r["v"]) if len(v) == d]
+                x = np.array([r["v"][k] for k in at], raw)
+                w = buckets(unit(x), *plans[d])
+                for name in ("rep", "c"):
+                    out[name] += [r[name][k] for k in at]
+                out["d"] += [d] * len(at)
+                out["u"] += [u.tobytes() for u in x]
+                out["w"] += [k.tobytes() for k in w]
+                out["f"] += w.tolist()
+            return out
 
         return run
 
-    found = ws.write(map_rows(classes.select("rep", "c", "v"), split, "rep bigint, c bigint, u binary, w binary, f array<int>"), "filters")
-    each = found.select(F.posexplode("f").alias("t", "f"))
-    sizes = ws.write(each.groupBy("t", "f").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    found = ws.write(map_rows(classes.select("rep", "c", "v"), split, "rep bigint, c bigint, d int, u binary, w binary, f array<int>"), "filters")
+    each = found.select("d", F.posexplode("f").alias("t", "f"))
+    sizes = ws.write(each.groupBy("d", "t", "f").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     # a bucket of many rows is cut into blocks, and each pair of blocks is a group of its own
-    each = found.select("rep", "c", "u", "w", F.posexplode("f").alias("t", "f")).join(sizes, ["t", "f"])
+    each = found.select("rep", "c", "d", "u", "w", F.posexplode("f").alias("t", "f")).join(sizes, ["d", "t", "f"])
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     each = each.withColumn("b", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    each = each.select("t", "f", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "c", "u", "w")
+    each = each.select("d", "t", "f", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "c", "u", "w")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, _, lo, hi = (int(k) for k in key)
+        dim, t, _, lo, hi = (int(k) for k in key)
         rep, c, b = pdf["rep"].to_numpy(), pdf["c"].to_numpy(), pdf["b"].to_numpy()
         x = unit(np.frombuffer(b"".join(pdf["u"]), raw).reshape(len(pdf), dim))
         if lo == hi:
@@ -202,7 +206,7 @@ def groups(
         use = (links > 0) | (top != np.arange(len(pdf)))
         return pd.DataFrame({"a": rep[use], "b": rep[top][use], "links": links[use]})
 
-    got = ws.write(each.groupBy("t", "f", "lo", "hi").applyInPandas(compare, "a bigint, b bigint, links bigint"), "compared")
+    got = ws.write(each.groupBy("d", "t", "f", "lo", "hi").applyInPandas(compare, "a bigint, b bigint, links bigint"), "compared")
     comps = components(got.select("a", "b"), ws, "cc")
     links = got.groupBy("a").agg(F.sum("links").alias("links"))
     named = classes.select("rep", "id", "c").join(comps, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")

@@ -363,6 +363,13 @@ def test_isolated_embedding_pairs_are_linked(spark):
     assert {r["__n_links"]: r["count"] for r in got}.get(0, 0) <= 16
 
 
+def test_embeddings_of_mixed_lengths(spark):
+    vectors = [[1.0, 0.0, 0.0]] * 3 + [[1.0, 2.0], [1.0, 2.1], [-1.0, 2.0], [4.0], [5.0], [-1.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: (r["__n_links"], r["__component"]) for r in embed_dup.groups(df).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def test_list_decoding_is_complete():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((50, 64))
