@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ class Encoder:
     """A tokenizer of the tokenizers library, with the ids of pre-tokens seen lately.
 
     Pre-tokens are encoded independently of each other by a byte-level BPE, so a text's ids are those of its pre-tokens in a
-    row; the library encodes each pre-token. Without a pattern it gets whole texts.
+    row; the library encodes each pre-token. It gets whole texts without a pattern, and where a text holds an added token.
     """
 
     def __init__(self, path: str, pattern: str | None):
@@ -43,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.find = pretokenizer(pattern) if pattern else None
         self.memo: dict[str, bytes] = {}  # ids as little-endian numbers of four bytes; emptied when full
 
@@ -51,7 +53,9 @@ class Encoder:
         """The ids of each text."""
         if not self.find:
             return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        found = [self.find(t) if t else [] for t in texts]
+        whole = [k for k, t in enumerate(texts) if t and self.added and self.added.search(t)]
+        aside = set(whole)
+        found = [self.find(t) if t and k not in aside else [] for k, t in enumerate(texts)]
         new = set(filterfalse(self.memo.__contains__, chain.from_iterable(found)))
         if len(self.memo) + len(new) > MEMO_SIZE:
             self.memo.clear()
@@ -63,6 +67,8 @@ class Encoder:
         for p in pieces:
             if len(p) > MEMO_CHARS:
                 del self.memo[p]
+        for k, x in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+            out[k] = np.array(x.ids, "<u4")
         return out
 
 

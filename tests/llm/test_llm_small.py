@@ -153,6 +153,12 @@ def test_token_store(spark):
     assert token_store.read_back(none).count() == 0
 
 
+@pytest.mark.parametrize("pattern", [P.PATTERN, None])
+def test_added_tokens_are_encoded_as_such(pattern):
+    got = token_store.Encoder(P.path("byte_bpe_50k.json"), pattern).encode_all(["a<|endoftext|>b", None, "a b", "<|endoftext|>"])
+    assert [x.tolist() for x in got] == [[64, 50256, 65], [], [64, 275], [50256]]
+
+
 def test_crc_joined_and_cuts():
     a, b = b"hello", b"other bytes" * 99
     assert token_store.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
