@@ -97,7 +97,9 @@ def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     left out. Without any row the model knows no language.
     """
     usable = df.where(learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h"))
-    sizes = dict(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    sizes = dict(usable.groupBy("lang").count().limit(MAX_LANGS + 1).collect())
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages, which is what a model is made for")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.ones(DIM), Ftrl(DIM, 1), 1.0)

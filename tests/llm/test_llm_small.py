@@ -290,6 +290,12 @@ def test_language(spark):
     assert lang_id.predict(df.limit(0), model).count() == 0
 
 
+def test_too_many_languages_are_an_error(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(lang_id.MAX_LANGS + 1)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.train(df, F.lit(True))
+
+
 def test_temperature():
     logits = np.array([[8.0, 0.0]] * 100)
     labels = np.array([0] * 70 + [1] * 30)
