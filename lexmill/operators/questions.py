@@ -16,6 +16,9 @@ LENGTHS = (6, 12, 24, 48)
 def questions(df: DataFrame, key: str, text: str, depths: Sequence[float] = (0.25, 0.5, 0.75), least_words: int = 8) -> DataFrame:
     """(key, qid, prompt, answer): first and last usable sentence, and a completion at each depth through the sentences.
 
+    Of the surveyed question ids (D9) these are all: none on headings, footnotes or metadata, no long continuation, no found and
+    evidence; a document without an answer to a question gives no row for it. 48 words need a fourth depth.
+
     A completion's prompt takes 6, 12, 24 or 48 words, in rotation over depths; it comes from the first sentence long enough from
     the depth on, else from the last one before it.
     """

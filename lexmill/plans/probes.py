@@ -77,7 +77,7 @@ def numbered_lists(t):
 
 @query()
 def probe_questions(t):
-    """Questions from documents."""
+    """D9 in part, W9, W12, W15: questions from documents: first and last sentence, completions at three depths."""
     return op.questions(t.documents, "doc_id", "text")
 
 
