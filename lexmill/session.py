@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, a laptop).
+#: Used only where a local session names no shared folder (tests, a laptop).
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 
 
@@ -30,8 +30,12 @@ def get_spark(app: str = "lexmill", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session has one below /tmp;
+    a cluster's has none, which is an error, as executors wouldn't see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or DEFAULT_SHARED).rstrip("/")
 
 
 class Workspace:
