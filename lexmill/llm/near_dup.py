@@ -40,7 +40,7 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     words = text.encode().translate(_LOWER).split() if text else []  # bytes.split() cuts at \\x20 and \\x09-\\x0d only
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) <= size:
+    if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(words) - size + 1
