@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a Python worker turns into objects at a time; a batch of long texts stays small.
-STEP = 256
+#: Rows that a Python worker turns into objects at a time, and bytes of strings beyond which a block ends earlier.
+STEP, STEP_BYTES = 256, 8 << 20
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in blocks of at most STEP rows and STEP_BYTES bytes of strings; a larger row is a block of its own."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(held)
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = min(int(np.searchsorted(upto, before + STEP_BYTES, "right")), at + STEP)
+        end = max(end, at + 1)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType | str) -> DataFrame:
-    """Runs a function over blocks of at most STEP rows of an Arrow batch.
+    """Runs a function over blocks of an Arrow batch (see blocks()); very long texts so come a few at a time.
 
     make() is called once in each task; what it returns takes {column: list of values} and gives {column: list or
     Arrow array} of the schema's columns, with as many rows as it likes.
@@ -27,8 +45,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
+            for part in blocks(batch):
                 got = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in arrow], schema=arrow)
 
