@@ -1,15 +1,17 @@
-"""Near-duplicates of embeddings by cross-polytope hashing in many independent tables.
-
-In a table a vector is turned at random, and its bucket is the axis that it then lies nearest to, with the sign; several turns
-are joined where one has too few buckets. Each vector is in exactly one bucket of each table. As the turns are uniform, whether
-a pair meets in a table depends on its cosine alone, not on where it lies, and tables are independent, so that the chance of
-missing a pair is known whatever the number of vectors. Vectors that share a bucket are compared exactly. Equal vectors form a
-class that is looked at once.
+"""Near-duplicates of embeddings by spherical-cap filters.
+
+A filter is a direction, and a vector passes it if their inner product is large enough. Directions are the words of random
+product codes: a code turns the space at random, cuts it into blocks and has some codewords for each; every choice of one
+codeword a block is a direction. List decoding finds all directions of a code that a vector passes without trying each.
+Vectors that share a filter are compared exactly. Codes are turned independently, so the chance that a pair shares no filter
+of a code depends on its cosine alone, not on where it lies; it is measured, and the number of codes follows from it. Equal
+vectors form a class that is looked at once.
 """
 
 from __future__ import annotations
 
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,96 +22,148 @@ from lexmill.llm.common import map_rows
 from lexmill.llm.graph import components
 from lexmill.session import Workspace
 
-#: A pair at the least similarity is missed by all tables with a chance of at most e^-SHARED.
-SHARED = 16.0
-#: Rows of a block within a bucket, which buckets hold on average at most; axes that a turned vector is compared with at most.
-BLOCK, AXES = 1024, 64
-#: Pairs from which the chance of meeting in a table is measured.
-TRIALS = 1 << 16
+#: A pair at the least similarity shares no filter of any code with a chance of at most e^-SHARED.
+SHARED = 14.0
+#: Rows of a block within a filter; vectors that pass a filter on average, as far as the dimension allows.
+BLOCK, PASSING = 1024, 512
+#: Filters of one code that a vector passes on average; most codewords of a block (few vectors need few directions, which one block
+#: holds; directions of several blocks depend on each other more, so that more have to be listed); share of the partners at the
+#: least cosine of a filter's vectors that pass it too, at least (narrower caps would keep partners apart in few dimensions).
+LISTED, MOST_WORDS, FOLLOW = 4, 4096, 0.2
+#: Pairs, and codes that they are dealt to, from which the chance of meeting in a code is measured.
+TRIALS, CODES = 8192, 8
 
 
 @cache
-def together(dim: int, cosine: float) -> float:
-    """A lower bound (three standard errors) of the chance that two vectors of that cosine get the same bucket in one turn."""
-    if dim == 1:
-        return 1.0
-    rng, hits, step = np.random.default_rng(7), 0, max(1, (1 << 20) // dim)
-    for at in range(0, TRIALS, step):
-        x, z = rng.standard_normal((2, min(step, TRIALS - at), dim))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        z -= (x * z).sum(1, keepdims=True) * x
-        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z / np.linalg.norm(z, axis=1, keepdims=True)
-        hits += int((nearest(x[:, :AXES]) == nearest(y[:, :AXES])).sum())
-    p = hits / TRIALS
-    return max(p - 3 * np.sqrt(p * (1 - p) / TRIALS) - 9 / TRIALS, 1 / TRIALS)
+def _angles(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles, and the share of the sphere within each of them from a direction."""
+    phi = np.linspace(0, np.pi, 200_001)
+    with np.errstate(divide="ignore"):
+        density = np.exp((dim - 2) * np.log(np.sin(phi))) if dim > 2 else np.ones_like(phi)
+    share = np.concatenate([[0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    return phi, share / share[-1]
 
 
-def plan(n: int, cosine: float, dim: int) -> tuple[int, int]:
-    """(turns a table, tables) for n vectors: the fewest turns that keep buckets to a block on average, and as many tables as
-    SHARED asks for. Where all vectors fit into a block nothing is turned, and the only bucket holds them all."""
-    turns, buckets = 0, 2 * min(dim, AXES)
-    while n > BLOCK * buckets**turns and buckets ** (turns + 1) < 1 << 31:
-        turns += 1
-    p = together(dim, cosine) ** turns if turns else 1.0
-    return turns, 1 if p == 1 else int(np.ceil(SHARED / -np.log1p(-p)))
+def share_of(dim: int, bound: float) -> float:
+    """The share of the sphere with an inner product of at least `bound` with a direction."""
+    phi, share = _angles(dim)
+    return float(np.interp(np.arccos(bound), phi, share))
 
 
-@cache
-def turned(dim: int, n: int) -> np.ndarray:
-    """The axes of n random turns side by side, (dim, n * axes)."""
-    rng, axes = np.random.default_rng([64, dim]), min(dim, AXES)
-    return np.hstack([np.zeros((dim, 0)), *[np.linalg.qr(rng.standard_normal((dim, axes)))[0] for _ in range(n)]])
+def follows(dim: int, bound: float, cosine: float) -> float:
+    """Of the partners at that cosine of a cap's vectors, the share that is in the cap too."""
+    phi, share = _angles(dim)
+    edge = np.arccos(bound)
+    inside = np.interp(np.linspace(0, 1, 201)[1:] * np.interp(edge, phi, share), share, phi)  # angles of equally many vectors each
+    need = (bound - cosine * np.cos(inside)) / (np.sqrt(1 - cosine * cosine) * np.maximum(np.sin(inside), 1e-12))
+    if dim == 2:  # the partner lies to either side
+        return float(((need <= -1) + 0.5 * ((need > -1) & (need <= 1))).mean())
+    return float(np.interp(np.arccos(np.clip(need, -1, 1)), *_angles(dim - 1)).mean())
+
+
+class Plan(NamedTuple):
+    """Filters for a number of vectors: least inner product, blocks and codewords of a code, codes. Without codes there is one bucket."""
 
+    bound: float
+    blocks: int
+    words: int
+    codes: int
 
-def nearest(z: np.ndarray) -> np.ndarray:
-    """The number of the signed axis (last dimension) that each vector lies nearest to."""
-    at = np.abs(z).argmax(-1)
-    return 2 * at + (np.take_along_axis(z, at[..., None], -1)[..., 0] < 0)
+    @property
+    def filters(self) -> int:
+        """Of one code."""
+        return self.words**self.blocks
 
 
-def buckets(x: np.ndarray, turns: int, tables: int) -> np.ndarray:
-    """Each unit vector's bucket in each table, (vectors, tables)."""
-    axes = min(x.shape[1], AXES)
-    z = (x @ turned(x.shape[1], turns * tables)).reshape(len(x), tables, turns, axes)
-    return (nearest(z) * (2 * axes) ** np.arange(turns)).sum(-1).astype(np.int32)
+@cache
+def plan(n: int, cosine: float, dim: int) -> Plan:
+    """Caps that PASSING of n vectors pass on average, as many directions a code that a vector passes LISTED of them, and as many
+    codes as SHARED asks for, by the measured chance of meeting."""
+    if n <= BLOCK or cosine <= 0:
+        return Plan(-1.0, 1, 1, 0)
+    if dim == 1:
+        return Plan(0.5, 1, 2, 1)
+    phi, share = _angles(dim)
+    bound = float(np.cos(np.interp(PASSING / n, share, phi)))
+    if cosine < 1 and follows(dim, bound, cosine) < FOLLOW:
+        low, high = 0.0, bound
+        for _ in range(40):
+            mid = (low + high) / 2
+            low, high = (mid, high) if follows(dim, mid, cosine) >= FOLLOW else (low, mid)
+        bound = low
+    directions = LISTED / share_of(dim, bound)
+    blocks = 1
+    while directions ** (1 / blocks) > MOST_WORDS and 4 * (blocks + 1) <= dim:
+        blocks += 1
+    first = Plan(bound, blocks, int(np.ceil(directions ** (1 / blocks))), 1)
+    p = meets(first, cosine, dim)
+    return first._replace(codes=1 if p >= 1 else int(np.ceil(SHARED / -np.log1p(-p))))
+
+
+def meets(by: Plan, cosine: float, dim: int) -> float:
+    """A lower bound (three standard errors) of the chance that two vectors of that cosine share a filter of one code."""
+    rng, hits = np.random.default_rng(7), 0
+    for c in range(CODES):
+        x, z = rng.standard_normal((2, TRIALS // CODES, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (x * z).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        (i, f), (j, g) = (decode(v, by, c) for v in (x, y))
+        n = by.filters
+        hits += len(np.unique(np.intersect1d(i * n + f, j * n + g, assume_unique=True) // n))
+    p = hits / TRIALS
+    return max(p - 3 * np.sqrt(p * (1 - p) / TRIALS) - 9 / TRIALS, 1 / TRIALS)
 
 
 @cache
-def code(dim: int, blocks: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A random rotation, and each block's codewords, scaled so that a whole direction has length 1."""
-    rng = np.random.default_rng(64)
-    rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    out = []
+def code(dim: int, blocks: int, words: int, number: int) -> list[np.ndarray]:
+    """Each block's codewords as columns, turned back into the space; a direction is a sum of one of each block, at length 1."""
+    if dim == 1:
+        return [np.array([[1.0, -1.0]], np.float32)]
+    rng = np.random.default_rng([64, dim, blocks, words, number])
+    turn, out = np.linalg.qr(rng.standard_normal((dim, dim)))[0], []
     for part in np.array_split(np.arange(dim), blocks):
         c = rng.standard_normal((words, len(part)))
-        out.append(c / np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(len(part) / dim))
-    return rotation, out
+        c *= np.sqrt(len(part) / dim) / np.linalg.norm(c, axis=1, keepdims=True)
+        out.append((turn[:, part] @ c.T).astype(np.float32))
+    return out
 
 
-def decode(x: np.ndarray, bound: float, blocks: int, words: int) -> list[list[int]]:
-    """For each unit vector all filters whose direction has an inner product of at least bound / sqrt(dim) with it.
+def decode(x: np.ndarray, by: Plan, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all filters of a code that unit vectors pass, by row and filter.
 
-    List decoding of a product code; groups() doesn't use it any more, as how many filters a pair shares depends on where it lies.
     Block by block, a partial direction goes on only if the best words of the other blocks could still lift it to the bound.
     """
-    dim = x.shape[1]
-    rotation, codes = code(dim, blocks, words)
-    parts = np.array_split(x @ rotation, np.cumsum([c.shape[1] for c in codes])[:-1], axis=1)
-    scores = [p @ c.T for p, c in zip(parts, codes, strict=True)]
-    best = [s.max(axis=1) for s in scores]
-    need = bound / np.sqrt(dim)
-    row, ids, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+    scores = [x.astype(np.float32) @ c for c in code(x.shape[1], by.blocks, by.words, number)]
+    rest = np.zeros((len(scores) + 1, len(x)), np.float32)
+    for k in range(len(scores) - 1, -1, -1):
+        rest[k] = rest[k + 1] + scores[k].max(axis=1)
+    row, ids, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.float32)
     for k, s in enumerate(scores):
-        rest = sum(best[k + 1 :], np.zeros(len(x)))
-        reach = total[:, None] + s[row] + rest[row][:, None]
-        at, word = np.nonzero(reach >= need)
+        reach = s[row]
+        reach += (total + rest[k + 1][row])[:, None]
+        at, word = np.nonzero(reach >= np.float32(by.bound))
         total = total[at] + s[row[at], word]
-        ids = ids[at] * words + word
+        ids = ids[at] * by.words + word
         row = row[at]
-    out: list[list[int]] = [[] for _ in range(len(x))]
-    for r, i in zip(row.tolist(), ids.tolist(), strict=True):
-        out[r].append(i)
-    return out
+    return row, ids
+
+
+def filters(x: np.ndarray, by: Plan) -> list[np.ndarray]:
+    """The filters of all codes that each unit vector passes, in ascending order; without codes all pass the only one."""
+    if not by.codes:
+        return [np.zeros(1, np.int64)] * len(x)
+    found = [decode(x, by, c) for c in range(by.codes)]
+    row = np.concatenate([r for r, _ in found])
+    ids = np.concatenate([f + c * by.filters for c, (_, f) in enumerate(found)])
+    order = np.argsort(row, kind="stable")
+    return np.split(ids[order], np.searchsorted(row[order], np.arange(1, len(x))))
+
+
+def width(by: Plan) -> type:
+    """The narrowest numbers that hold the plan's filters."""
+    most = max(1, by.codes) * by.filters
+    return np.uint16 if most <= 1 << 16 else np.uint32 if most <= 1 << 32 else np.uint64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -119,6 +173,67 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def first_only(near: np.ndarray, before: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> None:
+    """Clears the pairs (p[i], q[j]) of a filter that have met in an earlier one, so that each counts once."""
+    i, j = np.nonzero(near)
+    if len(i) <= 4 * (len(p) + len(q)):
+        sets = {k: set(before[k].tolist()) for k in {*p[i].tolist(), *q[j].tolist()}}
+        met = [not sets[a].isdisjoint(sets[b]) for a, b in zip(p[i].tolist(), q[j].tolist(), strict=True)]
+        met = np.array(met, bool)
+        near[i[met], j[met]] = False
+        return
+    # many pairs: filter by filter, all pairs of those that passed it
+    rows, cols = (np.unique(k) for k in (i, j))
+
+    def passed(at: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = [before[k] for k in side[at]]
+        who = np.repeat(at, [len(x) for x in ids])
+        ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], who[order]
+
+    (f, a), (g, b) = passed(rows, p), passed(cols, q)
+    both = np.intersect1d(f, g)
+    cuts = [np.searchsorted(f, both), np.searchsorted(f, both, "right"), np.searchsorted(g, both), np.searchsorted(g, both, "right")]
+    for fa, fb, ga, gb in zip(*(k.tolist() for k in cuts), strict=True):
+        near[np.ix_(a[fa:fb], b[ga:gb])] = False
+
+
+def roots(n: int, p: np.ndarray, q: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each of n rows the first row of its component under the links near[p, q]: a forest, which is enough for components."""
+    i, j = np.nonzero(near)
+    top = np.arange(n)
+    if not len(i):
+        return top
+    if len(i) > 16 * n:  # dense: whole neighbourhoods at a time
+        full = np.zeros((n, n), bool)
+        full[p[i], q[j]] = full[q[j], p[i]] = True
+        seen = ~full.any(axis=1)
+        for k in range(n):
+            if not seen[k]:
+                mine, edge = np.zeros(n, bool), np.zeros(n, bool)
+                mine[k] = edge[k] = True
+                while edge.any():
+                    edge = full[edge].any(axis=0) & ~mine
+                    mine |= edge
+                seen |= mine
+                top[mine] = k
+        return top
+    up = list(range(n))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for a, b in zip(p[i].tolist(), q[j].tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return np.array([root(k) for k in range(n)], int)
+
+
 def groups(
     df: DataFrame, vector: str = "embedding", id_col: str = "vec_id", keep: list[str] | None = None, cosine: float = 0.9
 ) -> DataFrame:
@@ -143,7 +258,8 @@ def groups(
 
     classes = good.groupBy("v").agg(F.min("rid").alias("rep"), F.min("id").alias("id"), F.count("*").alias("c"))
     classes = ws.write(classes, "classes")
-    plans = {r["d"]: plan(r["count"], cosine, r["d"]) for r in classes.groupBy(F.size("v").alias("d")).count().collect()}
+    sizes = classes.groupBy(F.size("v").alias("d")).count().collect()  # a row for each length
+    plans = {r["d"]: plan(r["count"], cosine, r["d"]) for r in sizes}
 
     def split():
         def run(r):
@@ -151,62 +267,47 @@ def groups(
             for d in sorted(set(map(len, r["v"]))):
                 at = [k for k, v in enumerate(r["v"]) if len(v) == d]
                 x = np.array([r["v"][k] for k in at], raw)
-                w = buckets(unit(x), *plans[d])
+                found, wide = filters(unit(x), plans[d]), width(plans[d])
                 for name in ("rep", "c"):
                     out[name] += [r[name][k] for k in at]
                 out["d"] += [d] * len(at)
                 out["u"] += [u.tobytes() for u in x]
-                out["w"] += [k.tobytes() for k in w]
-                out["f"] += w.tolist()
+                out["w"] += [f.astype(wide).tobytes() for f in found]
+                out["f"] += [f.tolist() for f in found]
             return out
 
         return run
 
-    found = ws.write(map_rows(classes.select("rep", "c", "v"), split, "rep bigint, c bigint, d int, u binary, w binary, f array<int>"), "filters")
-    each = found.select("d", F.posexplode("f").alias("t", "f"))
-    sizes = ws.write(each.groupBy("d", "t", "f").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    # a bucket of many rows is cut into blocks, and each pair of blocks is a group of its own
-    each = found.select("rep", "c", "d", "u", "w", F.posexplode("f").alias("t", "f")).join(sizes, ["d", "t", "f"])
+    found = ws.write(map_rows(classes.select("rep", "c", "v"), split, "rep bigint, c bigint, d int, u binary, w binary, f array<bigint>"), "filters")
+    passing = found.select("d", F.explode("f").alias("f")).groupBy("d", "f").agg(F.count("*").alias("n"))
+    passing = ws.write(passing.where("n > 1"), "sizes")
+    # a row for each filter that a vector passes, with those before it; a filter that many pass is cut into blocks, and each
+    # pair of blocks is a group of its own
+    each = found.select("rep", "c", "d", "u", "w", (F.octet_length("w") / F.size("f")).cast("int").alias("wide"), F.posexplode("f").alias("t", "f"))
+    each = each.withColumn("w", F.expr("substring(w, 1, t * wide)")).drop("t", "wide").join(passing, ["d", "f"])
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     each = each.withColumn("b", F.pmod(F.xxhash64("rep"), n_blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    each = each.select("d", "t", "f", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "c", "u", "w")
+    each = each.select("d", "f", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "rep", "c", "u", "w")
+    wide = {d: width(p) for d, p in plans.items()}
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, t, _, lo, hi = (int(k) for k in key)
+        dim, _, lo, hi = (int(k) for k in key)
         rep, c, b = pdf["rep"].to_numpy(), pdf["c"].to_numpy(), pdf["b"].to_numpy()
         x = unit(np.frombuffer(b"".join(pdf["u"]), raw).reshape(len(pdf), dim))
+        p = np.flatnonzero(b == lo)
+        q = p if lo == hi else np.flatnonzero(b == hi)
+        near = x[p] @ x[q].T >= cosine
         if lo == hi:
-            i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-        else:
-            p, q = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
-            i, j = np.nonzero(x[p] @ x[q].T >= cosine)
-            i, j = p[i], q[j]
-        # a pair counts in the first table where both have the same bucket
-        before = np.frombuffer(b"".join(pdf["w"]), np.int32).reshape(len(pdf), -1)[:, :t]
-        first = np.ones(len(i), bool)
-        for at in range(0, len(i), 65536):
-            first[at : at + 65536] = ~(before[i[at : at + 65536]] == before[j[at : at + 65536]]).any(axis=1)
+            near = np.triu(near, 1)
+        first_only(near, [np.frombuffer(w, wide[dim]) for w in pdf["w"]], p, q)
         links = np.zeros(len(pdf), np.int64)
-        np.add.at(links, i[first], c[j[first]])
-        np.add.at(links, j[first], c[i[first]])
-        # of the links only a forest goes on: enough for components
-        up = list(range(len(pdf)))
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = root(p), root(q)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-        top = np.array([root(k) for k in range(len(pdf))], int)
+        np.add.at(links, p, near.astype(np.int64) @ c[q])
+        np.add.at(links, q, near.astype(np.int64).T @ c[p])
+        top = roots(len(pdf), p, q, near)
         use = (links > 0) | (top != np.arange(len(pdf)))
         return pd.DataFrame({"a": rep[use], "b": rep[top][use], "links": links[use]})
 
-    got = ws.write(each.groupBy("d", "t", "f", "lo", "hi").applyInPandas(compare, "a bigint, b bigint, links bigint"), "compared")
+    got = ws.write(each.groupBy("d", "f", "lo", "hi").applyInPandas(compare, "a bigint, b bigint, links bigint"), "compared")
     comps = components(got.select("a", "b"), ws, "cc")
     links = got.groupBy("a").agg(F.sum("links").alias("links"))
     named = classes.select("rep", "id", "c").join(comps, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")

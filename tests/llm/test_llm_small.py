@@ -360,12 +360,36 @@ def isolated_pairs(n, cosine, dim=64):
     return x, cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("n", [10_256, 50_000, 250_000, 1_000_000, 10_000_000])
-@pytest.mark.parametrize("cosine", [0.9, 0.92, 0.98])
-def test_embedding_pairs_meet_at_any_size(n, cosine):
-    turns, tables = embed_dup.plan(n, 0.9, 64)
-    x, y = (embed_dup.buckets(v, turns, tables) for v in isolated_pairs(2000, cosine))
-    assert turns and (x == y).any(axis=1).mean() >= 0.999
+@pytest.mark.parametrize("n", [500, 10_256, 51_282, 1_000_000, 1_000_000_000])
+@pytest.mark.parametrize("dim", [1, 2, 4, 8, 16, 64, 768])
+def test_embedding_pairs_meet_at_any_size(n, dim):
+    by = embed_dup.plan(n, 0.9, dim)
+    x, y = isolated_pairs(300, 0.9, dim) if dim > 1 else (np.ones((9, 1)), np.ones((9, 1)))
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(embed_dup.filters(x, by), embed_dup.filters(y, by), strict=True)]
+    assert np.mean(met) >= 0.99 and (by.codes > 0) == (n > embed_dup.BLOCK)
+    if dim >= 16 and n <= 1_000_000:
+        assert n * embed_dup.share_of(dim, by.bound) < 600  # few vectors a filter
+
+
+@pytest.mark.parametrize("lo_hi", [True, False])
+def test_pairs_count_in_their_first_filter(lo_hi):
+    rng = np.random.default_rng(8)
+    before = [np.sort(rng.choice(40, rng.integers(0, 6), replace=False)).astype(np.uint16) for _ in range(60)]
+    p, q = (np.arange(60), np.arange(60)) if lo_hi else (np.arange(25), np.arange(25, 60))
+    for share in (0.02, 0.9):  # few pairs, and many
+        near = rng.random((len(p), len(q))) < share
+        if lo_hi:
+            near = np.triu(near, 1)
+        want = np.array([[near[i, j] and set(before[a]).isdisjoint(before[b]) for j, b in enumerate(q)] for i, a in enumerate(p)])
+        embed_dup.first_only(near, before, p, q)
+        assert (near == want).all()
+        top = embed_dup.roots(60, p, q, near)
+        full = np.eye(60, dtype=bool)
+        full[np.ix_(p, q)] |= near
+        full |= full.T
+        for _ in range(6):
+            full = full @ full
+        assert (top == full.argmax(axis=1)).all()
 
 
 def test_isolated_embedding_pairs_are_linked(spark):
@@ -382,16 +406,21 @@ def test_embeddings_of_mixed_lengths(spark):
     assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
 
 
-def test_list_decoding_is_complete():
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_list_decoding_is_complete(blocks):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((50, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rotation, codes = embed_dup.code(64, 3, 8)
-    found = embed_dup.decode(x, 1.5, 3, 8)
-    for v, f in zip(x @ rotation, found, strict=True):
-        a, b, c = np.split(v, np.cumsum([k.shape[1] for k in codes])[:-1])
-        every = (codes[0] @ a)[:, None, None] + (codes[1] @ b)[None, :, None] + (codes[2] @ c)[None, None, :]
-        assert set(np.flatnonzero(every.ravel() >= 1.5 / 8).tolist()) == set(f)
+    by = embed_dup.Plan(1.5 / 8, blocks, 8, 2)
+    for number in range(2):
+        parts = embed_dup.code(64, blocks, 8, number)
+        every = np.zeros((64, 1))
+        for c in parts:  # all directions, the last block's codeword running fastest
+            every = (every[:, :, None] + c[:, None, :]).reshape(64, -1)
+        assert np.allclose(np.linalg.norm(every, axis=0), 1, atol=1e-5)
+        row, ids = embed_dup.decode(x, by, number)
+        want = np.argwhere(x.astype(np.float32) @ every >= 1.5 / 8)
+        assert set(map(tuple, want.tolist())) == set(zip(row.tolist(), ids.tolist(), strict=True))
 
 
 # 9
