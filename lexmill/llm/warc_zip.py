@@ -1,8 +1,9 @@
 """WARC records in ZIP-packaged archives: a writer, and a reader that never extracts.
 
-An archive is a ZIP file whose members are stored as they are: the records, each a gzip member of its own, and an index of
-record positions. The reader parses the end of the central directory (the ZIP64 one where there is one), locates both members
-by their local headers and reads single records by range.
+An archive is a ZIP file whose members are stored as they are: the records, each a gzip member of its own after one that
+describes the archive, and an index of record positions in lines of fixed width. The reader parses the end of the central
+directory (the ZIP64 one where there is one), locates both members by their local headers, and reads a range of index lines and
+the records that they name.
 """
 
 from __future__ import annotations
@@ -10,31 +11,41 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import json
 import struct
+import uuid
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import STEP
+from lexmill.llm.common import STEP, blocks
 from lexmill.session import Workspace
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.txt"
+#: An index line: offset and length of a record.
+LINE = "%020d %012d\n"
+LINE_BYTES = len(LINE % (0, 0))
 #: Bytes of records after which a writer begins another archive.
 ARCHIVE_BYTES = 256 << 20
-#: Records that one reading task gets at a time.
-RANGE_RECORDS = 2_000
+#: Records that a reading task gets at a time, and bytes of them that are read at once (a larger record alone).
+RANGE_RECORDS, READ_BYTES = 2_000, 8 << 20
+#: Most partitions that ranges are dealt to.
+MOST_PARTS = 20_000
 
 
 def _fs(uri: str):
-    """A pyarrow file system and the path in it."""
+    """A pyarrow file system and the path in it; Hadoop's names of object stores are known."""
     from pyarrow import fs
 
+    for hadoop, plain in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if uri.startswith(hadoop):
+            uri = plain + uri[len(hadoop) :]
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
@@ -111,14 +122,30 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields and block of a record that record() made."""
-    raw = zlib.decompress(data, 31)
+    """Fields by lower-case name, and block, of a record in a gzip member or as it is.
+
+    Names count in any case, space around values doesn't count, folded lines belong to the line before.
+    """
+    raw = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields: dict[str, str] = {}
+    name = ""
+    for x in lines[1:]:
+        if x[:1] in (" ", "\t") and name:
+            fields[name] += " " + x.strip()
+            continue
+        name, colon, value = x.partition(":")
+        if not colon:
+            raise ValueError("a header line without a colon")
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    n = int(fields["content-length"])
+    if len(rest) < n:
+        raise ValueError("a record ends before its block does")
+    return fields, rest[:n]
 
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -129,25 +156,46 @@ def _line(value) -> str:
     return json.dumps(value, ensure_ascii=True)
 
 
-class _Archive:
-    """Records of one archive; close() stores them and their index."""
+def _uri(url: str) -> str:
+    """The address with what can't stand in one quoted; quotes that it has stay."""
+    return quote(url, safe="%:/?#[]@!$&'()*+,;=~")
+
 
-    def __init__(self):
-        self.data, self.index = io.BytesIO(), []
+def _record_id(folder: str, rid: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}#{rid}')}>"
 
-    def add(self, key: str, rec: bytes) -> None:
-        self.index.append(json.dumps({"key": key, "offset": self.data.tell(), "length": len(rec)}))
-        self.data.write(rec)
 
-    def save(self, folder: str, name: str) -> tuple[str, int]:
+class _Archive:
+    """An archive being written: records go straight to the file, positions are kept for the index that close() writes."""
+
+    def __init__(self, folder: str, name: str, stamp: str):
         fs, path = _fs(folder)
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/{name}.tmp") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for member, content in ((DATA, self.data.getbuffer()), (INDEX, "\n".join(self.index).encode())):
-                with z.open(zipfile.ZipInfo(member, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True) as m:
-                    m.write(content)
-        fs.move(f"{path}/{name}.tmp", f"{path}/{name}")
-        return f"{folder}/{name}", len(self.index)
+        self.fs, self.path, self.uri = fs, f"{path}/{name}", f"{folder}/{name}"
+        self.out = fs.open_output_stream(f"{self.path}.tmp")
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_STORED)
+        self.member = self.zip.open(zipfile.ZipInfo(DATA, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True)
+        self.at, self.index = array("Q"), array("Q")
+        about = b"software: lexmill\r\nformat: WARC File Format 1.1\r\n"
+        first = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", stamp), ("Content-Type", "application/warc-fields")], about)
+        self.member.write(first)
+        self.size = len(first)
+
+    def add(self, rec: bytes) -> None:
+        self.at.append(self.size)
+        self.index.append(len(rec))
+        self.member.write(rec)
+        self.size += len(rec)
+
+    def close(self) -> tuple[str, int]:
+        self.member.close()
+        with self.zip.open(zipfile.ZipInfo(INDEX, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True) as m:
+            for x in zip(self.at, self.index, strict=True):
+                m.write((LINE % x).encode())
+        self.zip.close()
+        self.out.close()
+        self.fs.move(f"{self.path}.tmp", self.path)
+        return self.uri, len(self.index)
 
 
 def write(
@@ -155,48 +203,57 @@ def write(
 ) -> DataFrame:
     """Writes a record for each row into archives below folder; returns the table (path, records) of archives, written there too.
 
-    Of the rows with equal payloads of at least min_bytes bytes, the one with the largest id (of rows that repeat it, one of
-    them) is a response, the others are revisits that refer to it; rows with smaller payloads are all responses. A null payload
-    counts as empty. A task that is run again writes archives under other names, and only those of the finished run are listed.
+    Of the rows with equal payloads of at least min_bytes bytes, the one with the largest id (of rows that repeat it, or that
+    have no id at all, one of them) is a response, the others are revisits that refer to it; rows with smaller payloads are all
+    responses. A null payload counts as empty; a null address is left to the record's own name. Records, revisits and what
+    they refer to have names of their own; page id, address and length of the payload stand in fields besides the standard
+    ones, as far as these don't state them. A task that is run again writes archives under other names, and only those of the
+    finished run are listed. Records are written one by one, so that a task holds one payload and its index at a time.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "warc")
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("id"), (F.col(url) if url else F.lit(None)).cast("string").alias("url"), body.alias("p"))
     rows = ws.write(rows.withColumn("k", F.sha1("p")).withColumn("rid", F.monotonically_increasing_id()), "rows")
-    narrow = rows.select("rid", "id", "k", F.octet_length("p").cast("long").alias("n"))
-    first = narrow.where(F.col("n") >= min_bytes).groupBy("k").agg(F.max(F.struct("id", "rid")).alias("w"), F.count("*").alias("c"))
-    first = ws.write(first.where("c > 1").select("k", F.col("w.id").alias("to"), F.col("w.rid").alias("to_rid")), "first")
-    again = ws.write(narrow.join(first, "k").where("rid <> to_rid and n >= %d" % min_bytes).select("rid", "to"), "again")
-    named = rows.join(again.withColumn("revisit", F.lit(True)), "rid", "left")
+    narrow = rows.select("rid", "id", "url", "k", F.octet_length("p").cast("long").alias("n"))
+    first = narrow.where(F.col("n") >= min_bytes).groupBy("k").agg(F.max(F.struct("id", "rid", "url")).alias("w"), F.count("*").alias("c"))
+    first = ws.write(first.where("c > 1").select("k", F.col("w.id").alias("to"), F.col("w.rid").alias("to_rid"), F.col("w.url").alias("to_url")), "first")
+    again = ws.write(narrow.select("rid", "k", "n").join(first, "k").where(F.col("n") >= min_bytes).where("rid <> to_rid").select("rid", "to", "to_rid", "to_url"), "again")
+    named = rows.join(again, "rid", "left")
     stamp = "2000-01-01T00:00:00Z"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        mine, archive = uuid.uuid4().hex, _Archive()
+        mine, archive = uuid.uuid4().hex, None
         done: list[tuple[str, int]] = []
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                r = b.slice(at, STEP).to_pydict()
-                for rid, id_, link, p, revisit, to in zip(r["rid"], r["id"], r["url"], r["p"], r["revisit"], r["to"], strict=True):
-                    kind = "revisit" if revisit else "response"
+            for part in blocks(b):
+                r = part.to_pydict()
+                for rid, id_, link, p, to, to_rid, to_url in zip(*(r[c] for c in ("rid", "id", "url", "p", "to", "to_rid", "to_url")), strict=True):
+                    kind, name = "response" if to_rid is None else "revisit", _record_id(folder, rid)
+                    target = name[1:-1] if link is None else _uri(link)
                     fields = [
-                        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{rid}>"), ("WARC-Date", stamp), ("WARC-Target-URI", _line(link)),
-                        ("WARC-Payload-Digest", f"sha1:{payload_digest(p)}"), ("Page-ID", _line(id_)), ("Payload-Length", str(len(p))),
-                        ("Content-Type", "application/http; msgtype=response"),
+                        ("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", stamp), ("WARC-Target-URI", target),
+                        ("WARC-Payload-Digest", f"sha1:{payload_digest(p)}"), ("Content-Type", "application/http; msgtype=response"),
+                        ("Payload-Length", str(len(p))), ("Page-ID", _line(id_)),
                     ]
-                    if revisit:
-                        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Refers-To-Page-ID", _line(to))]
-                    archive.add(str(rid), record(fields, _HTTP + (b"" if revisit else p)))
-                    if archive.data.tell() >= ARCHIVE_BYTES:
-                        done.append(archive.save(folder, f"{mine}-{len(done)}.zip"))
-                        archive = _Archive()
-        if archive.index:
-            done.append(archive.save(folder, f"{mine}-{len(done)}.zip"))
+                    if target != link:
+                        fields.append(("Page-Address", _line(link)))
+                    if to_rid is not None:
+                        other = _record_id(folder, to_rid)
+                        fields += [
+                            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", other),
+                            ("WARC-Refers-To-Target-URI", other[1:-1] if to_url is None else _uri(to_url)), ("WARC-Refers-To-Date", stamp), ("Refers-To-Page-ID", _line(to)),
+                        ]
+                    archive = archive or _Archive(folder, f"{mine}-{len(done)}.zip", stamp)
+                    archive.add(record(fields, _HTTP + (b"" if to_rid is not None else p)))
+                    if archive.size >= ARCHIVE_BYTES:
+                        done.append(archive.close())
+                        archive = None
+        if archive:
+            done.append(archive.close())
         yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "records": pa.array([n for _, n in done], pa.int64())})
 
-    named.select("rid", "id", "url", "p", "revisit", "to").mapInArrow(run, "path string, records bigint").write.parquet(f"{folder}/listing")
+    named.select("rid", "id", "url", "p", "to", "to_rid", "to_url").mapInArrow(run, "path string, records bigint").write.parquet(f"{folder}/listing")
     ws.drop("rows", "first", "again")
     return spark.read.schema("path string, records bigint").parquet(f"{folder}/listing")
 
@@ -211,6 +268,7 @@ def read(spark: SparkSession, listing: DataFrame, payloads: bool = False) -> Dat
     differs from its length or digest, or where an archive holds another number of records than listed.
     """
     ranges = listing.select("path", "records", F.explode(F.sequence(F.lit(0), F.floor((F.col("records") - 1) / RANGE_RECORDS))).alias("part"))
+    parts = listing.agg(F.sum(F.floor((F.col("records") - 1) / RANGE_RECORDS) + 1)).first()[0] or 1
     schema = FIELDS + (", payload binary" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
@@ -220,35 +278,48 @@ def read(spark: SparkSession, listing: DataFrame, payloads: bool = False) -> Dat
         with fs.open_input_file(where) as f:
             z = ZipReader(f, f.size())
             at, n = z.stored(INDEX)
-            index = z.read(at, n).decode().split("\n")
-            if len(index) != total:
-                raise ValueError(f"{path} has {len(index)} records, not {total}")
+            if n != total * LINE_BYTES:
+                raise ValueError(f"{path} has {n // LINE_BYTES} records, not {total}")
+            count = min(RANGE_RECORDS, total - part * RANGE_RECORDS)
+            lines = z.read(at + part * RANGE_RECORDS * LINE_BYTES, count * LINE_BYTES).decode().splitlines()
+            places = [(int(x[:20]), int(x[21:])) for x in lines]
             base, size = z.stored(DATA)
-            for line in index[part * RANGE_RECORDS : (part + 1) * RANGE_RECORDS]:
-                x = json.loads(line)
-                if x["offset"] + x["length"] > size:
-                    raise ValueError(f"{path}: a record ends behind its member")
-                fields, block = parse(z.read(base + x["offset"], x["length"]))
-                http, _, payload = block.partition(b"\r\n\r\n")
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                length, kind = int(fields["Payload-Length"]), fields["WARC-Type"]
-                if kind == "response" and (len(payload) != length or payload_digest(payload) != digest):
-                    raise ValueError(f"{path}: a payload differs from its digest")
-                to = json.loads(fields["Refers-To-Page-ID"]) if kind == "revisit" else None
-                yield (json.loads(fields["Page-ID"]), json.loads(fields["WARC-Target-URI"]), length, digest, kind, to, payload if kind == "response" else None)
+            if places and sum(places[-1]) > size:
+                raise ValueError(f"{path}: a record ends behind its member")
+            k = 0
+            while k < len(places):  # records that stand together are read together
+                begin, to = places[k][0], k
+                while to < len(places) and (to == k or sum(places[to]) - begin <= READ_BYTES):
+                    to += 1
+                held = z.read(base + begin, sum(places[to - 1]) - begin)
+                for offset, length in places[k:to]:
+                    yield page(path, *parse(held[offset - begin : offset - begin + length]))
+                k = to
+
+    def page(path: str, fields: dict[str, str], block: bytes) -> tuple:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        digest = fields["warc-payload-digest"].removeprefix("sha1:")
+        length, kind = int(fields["payload-length"]), fields["warc-type"]
+        if kind == "response" and (len(payload) != length or payload_digest(payload) != digest):
+            raise ValueError(f"{path}: a payload differs from its digest")
+        link = json.loads(fields["page-address"]) if "page-address" in fields else fields["warc-target-uri"]
+        to = json.loads(fields["refers-to-page-id"]) if kind == "revisit" else None
+        return json.loads(fields["page-id"]), link, length, digest, kind, to, payload if kind == "response" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, total, part in zip(*b.to_pydict().values(), strict=True):
                 held: list[tuple] = []
+                size = 0
                 for x in records(path, total, part):
                     held.append(x[: len(names)])
-                    if len(held) == STEP:
+                    size += x[2] if payloads else 0
+                    if len(held) == STEP or size >= READ_BYTES:
                         yield _batch(held, names, types)
-                        held = []
+                        held, size = [], 0
                 yield _batch(held, names, types)
 
-    return ranges.repartition(F.col("path"), F.col("part")).mapInArrow(run, schema)
+    return ranges.repartition(min(parts, MOST_PARTS), "path", "part").mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
