@@ -10,6 +10,9 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +21,21 @@ from pyspark.sql import types as T
 from lexmill.llm.common import ascii_words, map_rows
 from lexmill.session import Workspace
 
-#: Words of benchmark items that one automaton holds; more items are dealt with in blocks, one pass over the documents each.
-MAX_BLOCK_WORDS = 2_000_000
+#: Words of benchmark items that one automaton holds (some 90 MB in a worker, and 350 MB in the driver while it is built); more items
+#: are dealt with in blocks, one pass over the documents each. An item alone may have more.
+MAX_BLOCK_WORDS = 500_000
+#: Documents with hits of earlier blocks, and hits and items in all, that are broadcast to the last pass; more are joined by a shuffle.
+MAX_BROADCAST_HITS = 500_000
 #: A word of a text, as code points.
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 class SuffixAutomaton:
-    """Of several word sequences. owners[state] lists the items in which the state's window occurs."""
+    """Of several word sequences.
+
+    While it is built, a state's transitions are a dictionary. Then states with a single one, which most are, keep it in two
+    flat arrays, and so do states whose window occurs in a single item.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
@@ -46,17 +56,33 @@ class SuffixAutomaton:
                     ends.append((last, at))
             if len(ids) < window:
                 shorts.setdefault(tuple(ids), []).append(at)
-        self.owners: dict[int, set[int]] = {}
+        owners: dict[int, set[int]] = {}  # the items in which a state's window occurs
         for state, at in ends:  # the state whose strings include the last `window` words of this prefix
             while self.length[self.link[state]] >= window:
                 state = self.link[state]
-            self.owners.setdefault(state, set()).add(at)
+            owners.setdefault(state, set()).add(at)
         self.short: dict[int, list[tuple[int, int]]] = {}  # state -> (length, item) of whole short items among its strings
         for ids, whose in shorts.items():
             state = 0
             for c in ids:
                 state = self.next[state][c]
             self.short.setdefault(state, []).extend((len(ids), at) for at in whose)
+        n = len(self.next)
+        self.word, self.to, self.owner = (array("i", [-1]) * n for _ in range(3))
+        self.branches: dict[int, dict[int, int]] = {}
+        for state, out in enumerate(self.next):
+            if len(out) == 1:
+                [(self.word[state], self.to[state])] = out.items()
+            elif out:
+                self.branches[state] = out
+        self.shared: dict[int, list[int]] = {}
+        for state, who in owners.items():
+            if len(who) == 1:
+                [self.owner[state]] = who
+            else:
+                self.shared[state] = sorted(who)
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        del self.next
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -89,34 +115,44 @@ class SuffixAutomaton:
         return twin
 
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int], int]:
-        """Hit word ranges (start, end), merged and in order; items with an occurring window; the longest match."""
-        vocab, nxt, link, length, window = self.vocab.get, self.next, self.link, self.length, self.window
+        """Hit word ranges (start, end), merged and in order; items with an occurring window; the longest match if any is hit."""
+        vocab, link, length, window = self.vocab.get, self.link, self.length, self.window
+        single, to, branches = self.word, self.to, self.branches.get
         hits: list[tuple[int, int]] = []
         items: set[int] = set()
         state = n = longest = 0
         short = self.short
-        root = nxt[0]
         for i, w in enumerate(words):
             c = vocab(w)
             if c is None:
                 state = n = 0
                 continue
-            to = nxt[state].get(c)
-            if to is None:
-                while state and c not in nxt[state]:
-                    state = link[state]
-                n = length[state] + 1
-                state = nxt[state][c] if state else root[c]
-            else:
-                state = to
-                n += 1
+            while True:
+                if single[state] == c:
+                    state = to[state]
+                    n += 1
+                    break
+                found = branches(state)
+                if found is not None and c in found:
+                    state = found[c]
+                    n += 1
+                    break
+                if not state:  # a word of the vocabulary goes on from the root, unless no item was put in
+                    n = 0
+                    break
+                state = link[state]
+                n = length[state]
             if n > longest:
                 longest = n
             if n >= window:
                 s = state
                 while length[link[s]] >= window:
                     s = link[s]
-                items |= self.owners[s]
+                at = self.owner[s]
+                if at >= 0:
+                    items.add(at)
+                else:
+                    items.update(self.shared[s])
                 hits.append((i + 1 - window, i + 1))
             if short:
                 s = state
@@ -126,34 +162,39 @@ class SuffixAutomaton:
                             items.add(at)
                             hits.append((i + 1 - size, i + 1))
                     s = link[s]
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(hits):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, items, longest
+        return joined(hits), items, longest if hits else 0
+
+
+def joined(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch or overlap as one."""
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(hits):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 _AUTOMATA: dict[str, SuffixAutomaton] = {}
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, window: int, max_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items' words, dealt into blocks of at most max_words words (an item alone may have more)."""
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
+def _blocks(items: DataFrame, item_id: str, text: str, window: int, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items' words in blocks of at most max_words words (an item alone may have more), one block at a time; at least one."""
+    block: list[tuple[str, list[bytes]]] = []
     held = 0
     rows = items.select(F.col(item_id).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").distinct()
     for r in rows.toLocalIterator():
         words = ascii_words(r["t"])
         if held and held + len(words) > max_words:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["k"], words))
+            yield block
+            block, held = [], 0
+        block.append((r["k"], words))
         held += len(words)
-    return blocks
+    yield block
 
 
-SCAN = "__rid bigint, __n_words bigint, __hits array<struct<a:int,b:int>>, __items array<string>, __longest int"
+HITS = "array<struct<a:int,b:int>>"
 
 
 def scan(
@@ -163,61 +204,68 @@ def scan(
     """Every row of df (columns `keep`, all by default) with what the benchmark items have in common with its text.
 
     Adds __n_words, __hits (word ranges inside an occurring window, merged), __items (ids of items with an occurring window,
-    as strings, sorted, each once) and __longest (longest run of words shared with an item). A null or empty text has no
-    words. Items without id, text or words never occur; items that repeat count once. Without items nothing is hit. More
-    items than one block holds are dealt with block by block, and the blocks' hits are merged.
+    as strings, sorted, each once) and __longest (longest run of words shared with an item, 0 if nothing is hit). A null or
+    empty text has no words. Items without id, text or words never occur; items that repeat count once. Without items nothing
+    is hit. More items than one block holds are dealt with block by block: what the later blocks hit is written and handed to
+    a last pass with the first one. Rows that repeat are scanned each; an empty table gives an empty one. Of a very long text
+    its words are held at once.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("__n_words", "__hits", "__items", "__longest")]
-    blocks = _blocks(items, item_id, item_text, window, max_block_words)
-    types = {f.name: f.dataType for f in df.schema.fields}
+    mark = uuid.uuid4().hex
+    rid, held_text, prior = (f"__{k}{mark}" for k in "rtp")  # no column of df has such a name
+    spark = df.sparkSession
 
-    def one(block, frame: DataFrame, carried: list[str]) -> DataFrame:
-        held = frame.sparkSession.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window), 5))
-        mark = uuid.uuid4().hex
-        fields = [T.StructField(k, types[k] if k in types else T.LongType()) for k in carried]
-        schema = T.StructType(fields + T._parse_datatype_string(SCAN).fields[1:])
+    def one(block, frame: DataFrame, carried: list[str], with_prior: bool = False) -> DataFrame:
+        held = spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window), 5))
+        name = uuid.uuid4().hex
+        schema = T.StructType([frame.schema[k] for k in carried] + T._parse_datatype_string(f"__n_words bigint, __hits {HITS}, __items array<string>, __longest int").fields)
 
         def make():
-            if mark not in _AUTOMATA:
+            if name not in _AUTOMATA:
                 _AUTOMATA.clear()
-                _AUTOMATA[mark] = pickle.loads(held.value)
-            sam = _AUTOMATA[mark]
+                _AUTOMATA[name] = pickle.loads(held.value)
+            sam = _AUTOMATA[name]
 
             def run(rows):
                 out = {k: rows[k] for k in carried} | {"__n_words": [], "__hits": [], "__items": [], "__longest": []}
-                for t in rows["__scan"]:
+                for t, known in zip(rows[held_text], rows[prior] if with_prior else [None] * len(rows[held_text]), strict=True):
                     words = ascii_words(t)
                     hits, found, longest = sam.matches(words)
+                    names = {sam.items[x] for x in found}
+                    if known:
+                        hits = joined(hits + [(h["a"], h["b"]) for h in known["hits"]])
+                        names |= set(known["items"])
+                        longest = max(longest, known["longest"])
                     out["__n_words"].append(len(words))
                     out["__hits"].append([{"a": a, "b": b} for a, b in hits])
-                    out["__items"].append(sorted({sam.items[x] for x in found}))
+                    out["__items"].append(sorted(names))
                     out["__longest"].append(longest)
                 return out
 
             return run
 
-        return map_rows(frame.select(*carried, frame[text].alias("__scan")), make, schema)
+        return map_rows(frame.select(*carried, frame[text].alias(held_text), *([prior] if with_prior else [])), make, schema)
 
-    if len(blocks) == 1:
-        return one(blocks[0], df, keep)
-    ws = Workspace(df.sparkSession, "decontam")
-    base = ws.write(df.withColumn("__rid", F.monotonically_increasing_id()), "docs")
-    parts = [ws.write(one(b, base, ["__rid"]), f"block{i}") for i, b in enumerate(blocks)]
+    blocks = _blocks(items, item_id, item_text, window, max_block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return one(first, df, keep)
+    ws = Workspace(spark, "decontam")
+    base = ws.write(df.withColumn(rid, F.monotonically_increasing_id()), "docs")
+    parts = []
+    for i, block in enumerate(chain([second], blocks)):
+        parts.append(ws.write(one(block, base, [rid]).where(F.size("__hits") > 0), f"block{i}"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    merged = found.groupBy("__rid").agg(
-        F.max("__n_words").alias("__n_words"),
-        F.array_sort(F.flatten(F.collect_list("__hits"))).alias("__hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
-        F.max("__longest").alias("__longest"),
-    )
-    step = (  # ranges that touch or overlap become one
-        "aggregate(__hits, cast(array() as array<struct<a:int,b:int>>), (s, h) -> case when size(s) > 0 and "
-        "element_at(s, -1).b >= h.a then concat(slice(s, 1, size(s) - 1), array(named_struct('a', element_at(s, -1).a, 'b', "
-        "greatest(element_at(s, -1).b, h.b)))) else concat(s, array(h)) end)"
+    found = found.groupBy(rid).agg(
+        F.array_distinct(F.flatten(F.collect_list("__hits"))).alias("hits"),
+        F.array_distinct(F.flatten(F.collect_list("__items"))).alias("items"),
+        F.max("__longest").alias("longest"),
     )
-    return base.join(merged.withColumn("__hits", F.expr(step)), "__rid").select(*keep, "__n_words", "__hits", "__items", "__longest")
+    found = ws.write(found.select(rid, F.struct("hits", "items", "longest").alias(prior)), "found")
+    size = found.agg(F.sum(F.size(f"{prior}.hits") + F.size(f"{prior}.items"))).first()[0] or 0
+    return one(first, base.join(F.broadcast(found) if size <= MAX_BROADCAST_HITS else found, rid, "left"), keep, True)
 
 
 def cut(text: str, hits: list[tuple[int, int]]) -> str:
@@ -237,7 +285,7 @@ def decontaminate(
     """df's own columns, without the spans that it shares with benchmark items.
 
     Spans of at least `window` words (or a whole shorter item) are cut out of the text. A document of which more than
-    max_coverage of the words are hit, or that has no words left, is removed. Other documents pass unchanged, those without
+    max_coverage of the words are hit is removed. Other documents pass unchanged, those without
     text among them. n_chars names a column that follows the text's length.
     """
     names = df.columns
