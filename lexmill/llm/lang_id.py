@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import STEP, map_rows
+from lexmill.llm.common import blocks, map_rows
 from lexmill.llm.ftrl import Ftrl, softmax, temperature
 
 #: Features: hashes of lower-cased 1-, 2- and 3-grams.
@@ -73,8 +73,8 @@ def _frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df_, n = np.zeros(DIM, np.int64), 0
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                for t in b.column(0).slice(at, STEP).to_pylist():
+            for part in blocks(b):
+                for t in part.column(0).to_pylist():
                     if t and (x := counts(t)) is not None:
                         df_ += x > 0
                         n += 1
@@ -151,6 +151,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("__lang_pred", "__score")]
     held, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5)), uuid.uuid4().hex
+    held_text = f"__t{mark}"
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + ", __lang_pred string, __score double"
 
     def make():
@@ -160,9 +161,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         m = _MODELS[mark]
 
         def run(r):
-            got = [m.predict(t) for t in r["__t"]]
+            got = [m.predict(t) for t in r[held_text]]
             return {k: r[k] for k in keep} | {"__lang_pred": [a for a, _ in got], "__score": [b for _, b in got]}
 
         return run
 
-    return map_rows(df.select(*keep, F.col(text).alias("__t")), make, schema)
+    return map_rows(df.select(*keep, F.col(text).alias(held_text)), make, schema)
