@@ -11,6 +11,7 @@ import pickle
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import ascii_words, map_rows
 from lexmill.llm.ftrl import Ftrl, softmax
 
-#: Labelled rows that the models are fitted on, at most; least rows of a feature; folds; bytes of a word's beginnings.
-TRAIN_ROWS, MIN_ROWS, FOLDS, PREFIXES = 10_000, 4, 5, (6, 8)
+#: Labelled rows that the models are fitted on, and bytes of their texts, at most; least rows of a feature; folds; bytes of a
+#: word's beginnings.
+TRAIN_ROWS, TRAIN_BYTES, MIN_ROWS, FOLDS, PREFIXES = 10_000, 64 << 20, 4, 5, (6, 8)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -63,31 +65,81 @@ def _score(model: Ftrl, rows) -> np.ndarray:
     return np.array([softmax(v @ w[i] + w[-1])[1] for i, v in rows])
 
 
-def train(df: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Chain:
-    """Fits the chain on rows of df that have all labels 0 or 1.
-
-    At most about `rows` labelled keys are used, taken by a hash of the key; the bound makes the sample small enough to be
-    broadcast and fitted on the driver. Keys with differing labels count as often as they are labelled. Without usable rows,
-    or with a single class, the chain predicts 0 throughout.
-    """
-    chain = Chain(categories)
+def _sample(df: DataFrame, labels: DataFrame, categories: list[str], key: str, text: str, rows: int, most_bytes: int) -> list[tuple[np.ndarray, list[int]]]:
+    """(features, labels) of the rows to fit on, in the order of a hash of key and text."""
     usable = labels.select(F.col(key).alias("__k"), *[F.col(c).cast("int").alias(c) for c in categories]).where(
         " and ".join(["__k is not null", *[f"`{c}` in (0, 1)" for c in categories]])
     )
     n = usable.count()
     if not n:
-        return chain
-    few = usable.where(F.pmod(F.xxhash64("__k"), F.lit(1 << 20)) < min(1.0, rows / n) * (1 << 20)).limit(2 * rows)
+        return []
+    h = F.xxhash64("__k")
+    few = usable.where(F.pmod(h, F.lit(1 << 20)) < min(1.0, rows / n) * (1 << 20)).orderBy(h, *categories).limit(2 * rows)
     texts = df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(few), "__k")
-    schema = "k string, f binary, " + ", ".join(f"`{c}` int" for c in categories)
+    texts = texts.withColumn("__h", F.xxhash64("__k", "__t"))
+    # the first rows by hash whose texts stay within the bound; of rows that repeat one counts
+    sizes = texts.groupBy("__h").agg(F.max(F.octet_length("__t")).alias("b")).orderBy("__h").limit(2 * rows).collect()
+    held, last = 0, None
+    for r in sizes:
+        held += r["b"]
+        if held > most_bytes and last is not None:
+            break
+        last = r["__h"]
+    if last is None:
+        return []
 
     def make():
-        return lambda r: {"k": [str(k) for k in r["__k"]], "f": [features(t).tobytes() for t in r["__t"]]} | {c: r[c] for c in categories}
+        return lambda r: {"h": r["__h"], "f": [features(t).tobytes() for t in r["__t"]]} | {c: r[c] for c in categories}
+
+    schema = "h bigint, f binary, " + ", ".join(f"`{c}` int" for c in categories)
+    got = map_rows(texts.where(F.col("__h") <= last), make, schema).dropDuplicates(["h", *categories]).collect()
+    got.sort(key=lambda r: (r["h"], *[r[c] for c in categories]))
+    return [(np.frombuffer(r["f"], np.uint32), [r[c] for c in categories]) for r in got]
+
+
+def _fold(k: int, sparse: list[np.ndarray], earlier: np.ndarray, y: list[int], n_names: int) -> bytes:
+    """The probabilities of fold k's rows by a model of the other rows; for k = FOLDS the weights of a model of all rows."""
+    j = earlier.shape[1]
+    x = [(np.append(at, n_names + np.arange(j)), np.append(np.ones(len(at)), earlier[i])) for i, at in enumerate(sparse)]
+    part = [i for i in range(len(x)) if i % FOLDS != k]
+    model = _fit([x[i] for i in part], [y[i] for i in part], n_names + j)
+    if k < FOLDS:
+        return _score(model, [x[i] for i in range(k, len(x), FOLDS)]).tobytes()
+    w = model.weights()
+    return (w[:, 1] - w[:, 0]).tobytes()
+
+
+def _folds(spark, sparse: list[np.ndarray], earlier: np.ndarray, y: list[int], n_names: int) -> dict[int, np.ndarray]:
+    """_fold() of every fold, a task each."""
+    held = spark.sparkContext.broadcast(pickle.dumps((sparse, earlier, y, n_names), 5))
 
-    got = sorted(map_rows(texts, make, schema).collect(), key=lambda r: (r["k"], r["f"]))
-    found = [np.frombuffer(r["f"], np.uint32) for r in got]
-    if not found:
+    def run(batches):
+        for b in batches:
+            ks = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"k": pa.array(ks, pa.int64()), "w": pa.array([_fold(k, *pickle.loads(held.value)) for k in ks], pa.binary())})
+
+    got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "k bigint, w binary").collect()
+    held.unpersist()
+    return {r["k"]: np.frombuffer(r["w"]) for r in got}
+
+
+def train(
+    df: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text",
+    rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES,
+) -> Chain:
+    """Fits the chain on rows of df that have all labels 0 or 1.
+
+    At most about `rows` labelled keys are used, taken by a hash of the key, and of their rows those that come first by a hash
+    of key and text until the texts have most_bytes bytes (one row at least). The sample is so small enough to be collected
+    and broadcast; folds are fitted by a task each. Rows of df that repeat key and text count once; keys with differing labels
+    count as often as they are labelled. Without usable rows the chain has no models and predicts 0 throughout; with a single
+    class it predicts that one; with fewer than MIN_ROWS rows, or words that no MIN_ROWS rows share, models are a bias only.
+    """
+    chain = Chain(categories)
+    got = _sample(df, labels, categories, key, text, rows, most_bytes)
+    if not got:
         return chain
+    found = [f for f, _ in got]
     names, times = np.unique(np.concatenate(found), return_counts=True)
     names = names[times >= MIN_ROWS]
     sparse = []
@@ -95,19 +147,14 @@ def train(df: DataFrame, labels: DataFrame, categories: list[str], key: str = "d
         at = np.searchsorted(names, f)
         at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == f)] if len(names) else np.empty(0, int)
         sparse.append(at)
-    fold = np.arange(len(sparse)) % FOLDS
     earlier = np.zeros((len(sparse), 0))
-    for j, c in enumerate(categories):
-        y = [r[c] for r in got]
-        x = [(np.append(at, len(names) + np.arange(j)), np.append(np.ones(len(at)), earlier[i])) for i, at in enumerate(sparse)]
-        oof = np.zeros(len(x))
+    for j in range(len(categories)):
+        y = [labelled[j] for _, labelled in got]
+        made = _folds(df.sparkSession, sparse, earlier, y, len(names))
+        oof = np.zeros(len(sparse))
         for k in range(FOLDS):
-            part = [i for i in range(len(x)) if fold[i] != k]
-            mine = [i for i in range(len(x)) if fold[i] == k]
-            m = _fit([x[i] for i in part], [y[i] for i in part], len(names) + j)
-            oof[mine] = _score(m, [x[i] for i in mine])
-        w = _fit(x, y, len(names) + j).weights()
-        w = w[:, 1] - w[:, 0]
+            oof[k::FOLDS] = made[k]
+        w = made[FOLDS]
         held = np.flatnonzero(w[: len(names)])
         chain.models.append((names[held], w[held], w[len(names) : len(names) + j], float(w[-1])))
         earlier = np.column_stack([earlier, oof])
@@ -130,12 +177,12 @@ def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     """Columns `keep` (all by default) with __p_<category> of each category, and __rejected: whether the last one is predicted.
 
     A null text, and one without words, has probabilities of 0. Whole texts count; rows that repeat are predicted alike.
-    Columns of df that have the names of outputs are replaced.
+    Columns of df that have the names of outputs are replaced. A very long text costs memory for its distinct words only.
     """
     made = {f"__p_{c}" for c in chain.names} | {"__rejected"}
     keep = [c for c in (df.columns if keep is None else keep) if c not in made]
     held, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(chain, 5)), uuid.uuid4().hex
-    names = chain.names
+    names, held_text = chain.names, f"__t{mark}"
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     schema += "".join(f", `__p_{c}` double" for c in names) + ", __rejected boolean"
 
@@ -146,9 +193,9 @@ def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
         m = _CHAINS[mark]
 
         def run(r):
-            p = [m.predict(features(t)) for t in r["__t"]]
+            p = [m.predict(features(t)) for t in r[held_text]]
             return {k: r[k] for k in keep} | {f"__p_{c}": [x[i] for x in p] for i, c in enumerate(names)} | {"__rejected": [x[-1] >= m.threshold for x in p]}
 
         return run
 
-    return map_rows(df.select(*keep, F.col(text).alias("__t")), make, schema)
+    return map_rows(df.select(*keep, F.col(text).alias(held_text)), make, schema)
