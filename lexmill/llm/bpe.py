@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lexmill.llm.common import map_rows
+from lexmill.llm.common import held, map_rows
 from lexmill.llm.pretokenize import pretokenizer
 
 #: Pre-tokens that a worker remembers, and the longest one that it does.
@@ -145,14 +145,9 @@ class BytePairCodec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], BytePairCodec] = {}
-
-
 def codec(path: str, pattern: str) -> BytePairCodec:
     """The codec of a file, one for each Python worker."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = BytePairCodec.load(path, pattern)
-    return _CODECS[path, pattern]
+    return held(("bpe", path, pattern), lambda: BytePairCodec.load(path, pattern))
 
 
 #: Outputs of roundtrip(), with their types.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,17 @@ def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+_HELD: dict[tuple, Any] = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from task to task; only the latest, so that those of several operators don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType | str) -> DataFrame:
     """Runs a function over blocks of an Arrow batch (see blocks()); very long texts so come a few at a time.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import ascii_words, map_rows
+from lexmill.llm.common import ascii_words, held, map_rows
 from lexmill.session import Workspace
 
 #: Words of benchmark items that one automaton holds (some 90 MB in a worker, and 350 MB in the driver while it is built); more items
@@ -176,21 +176,18 @@ def joined(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-_AUTOMATA: dict[str, SuffixAutomaton] = {}
-
-
 def _blocks(items: DataFrame, item_id: str, text: str, window: int, max_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items' words in blocks of at most max_words words (an item alone may have more), one block at a time; at least one."""
     block: list[tuple[str, list[bytes]]] = []
-    held = 0
+    size = 0
     rows = items.select(F.col(item_id).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").distinct()
     for r in rows.toLocalIterator():
         words = ascii_words(r["t"])
-        if held and held + len(words) > max_words:
+        if size and size + len(words) > max_words:
             yield block
-            block, held = [], 0
+            block, size = [], 0
         block.append((r["k"], words))
-        held += len(words)
+        size += len(words)
     yield block
 
 
@@ -216,15 +213,12 @@ def scan(
     spark = df.sparkSession
 
     def one(block, frame: DataFrame, carried: list[str], with_prior: bool = False) -> DataFrame:
-        held = spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window), 5))
+        sent = spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window), 5))
         name = uuid.uuid4().hex
         schema = T.StructType([frame.schema[k] for k in carried] + T._parse_datatype_string(f"__n_words bigint, __hits {HITS}, __items array<string>, __longest int").fields)
 
         def make():
-            if name not in _AUTOMATA:
-                _AUTOMATA.clear()
-                _AUTOMATA[name] = pickle.loads(held.value)
-            sam = _AUTOMATA[name]
+            sam = held(("automaton", name), lambda: pickle.loads(sent.value))
 
             def run(rows):
                 out = {k: rows[k] for k in carried} | {"__n_words": [], "__hits": [], "__items": [], "__longest": []}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import blocks, map_rows
+from lexmill.llm.common import blocks, held, map_rows
 from lexmill.llm.ftrl import Ftrl, softmax, temperature
 
 #: Features: hashes of lower-cased 1-, 2- and 3-grams.
@@ -131,14 +131,11 @@ def train(df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         xs.append((at, x / np.linalg.norm(x)))
         ys.append(langs.index(r["lang"]))
     fit = [i for i in range(len(xs)) if i % 5]
-    held = [i for i in range(len(xs)) if not i % 5]
+    kept = [i for i in range(len(xs)) if not i % 5]
     model = Ftrl(DIM, len(langs), alpha=1.0, l1=0.02, l2=0.1).fit([xs[i] for i in fit], [ys[i] for i in fit])
     w = model.weights()
-    logits = np.array([xs[i][1] @ w[xs[i][0]] + w[-1] for i in held]).reshape(len(held), len(langs))
-    return Model(langs, idf, model, temperature(logits, np.array([ys[i] for i in held], int)))
-
-
-_MODELS: dict[str, Model] = {}
+    logits = np.array([xs[i][1] @ w[xs[i][0]] + w[-1] for i in kept]).reshape(len(kept), len(langs))
+    return Model(langs, idf, model, temperature(logits, np.array([ys[i] for i in kept], int)))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -150,15 +147,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     import uuid
 
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("__lang_pred", "__score")]
-    held, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5)), uuid.uuid4().hex
+    sent, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5)), uuid.uuid4().hex
     held_text = f"__t{mark}"
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + ", __lang_pred string, __score double"
 
     def make():
-        if mark not in _MODELS:
-            _MODELS.clear()
-            _MODELS[mark] = pickle.loads(held.value)
-        m = _MODELS[mark]
+        m = held(("language", mark), lambda: pickle.loads(sent.value))
 
         def run(r):
             got = [m.predict(t) for t in r[held_text]]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ascii_words, map_rows
+from lexmill.llm.common import ascii_words, held, map_rows
 from lexmill.llm.ftrl import Ftrl, softmax
 
 #: Labelled rows that the models are fitted on, and bytes of their texts, at most; least rows of a feature; folds; bytes of a
@@ -79,10 +79,10 @@ def _sample(df: DataFrame, labels: DataFrame, categories: list[str], key: str, t
     texts = texts.withColumn("__h", F.xxhash64("__k", "__t"))
     # the first rows by hash whose texts stay within the bound; of rows that repeat one counts
     sizes = texts.groupBy("__h").agg(F.max(F.octet_length("__t")).alias("b")).orderBy("__h").limit(2 * rows).collect()
-    held, last = 0, None
+    size, last = 0, None
     for r in sizes:
-        held += r["b"]
-        if held > most_bytes and last is not None:
+        size += r["b"]
+        if size > most_bytes and last is not None:
             break
         last = r["__h"]
     if last is None:
@@ -97,29 +97,46 @@ def _sample(df: DataFrame, labels: DataFrame, categories: list[str], key: str, t
     return [(np.frombuffer(r["f"], np.uint32), [r[c] for c in categories]) for r in got]
 
 
-def _fold(k: int, sparse: list[np.ndarray], earlier: np.ndarray, y: list[int], n_names: int) -> bytes:
+class _Rows:
+    """Rows (indices, values) of a sample, made when they are asked for: features that a row has, then earlier probabilities."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray, earlier: np.ndarray, n_names: int, use: list[int]):
+        self.flat, self.ends, self.earlier, self.use = flat, ends, earlier, use
+        self.more = n_names + np.arange(earlier.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.use)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k >= len(self.use):
+            raise IndexError
+        i = self.use[k]
+        at = self.flat[self.ends[i] : self.ends[i + 1]]
+        return np.append(at, self.more), np.append(np.ones(len(at)), self.earlier[i])
+
+
+def _fold(k: int, flat: np.ndarray, ends: np.ndarray, earlier: np.ndarray, y: list[int], n_names: int) -> bytes:
     """The probabilities of fold k's rows by a model of the other rows; for k = FOLDS the weights of a model of all rows."""
-    j = earlier.shape[1]
-    x = [(np.append(at, n_names + np.arange(j)), np.append(np.ones(len(at)), earlier[i])) for i, at in enumerate(sparse)]
-    part = [i for i in range(len(x)) if i % FOLDS != k]
-    model = _fit([x[i] for i in part], [y[i] for i in part], n_names + j)
+    every = range(len(y))
+    part = [i for i in every if i % FOLDS != k]
+    model = _fit(_Rows(flat, ends, earlier, n_names, part), [y[i] for i in part], n_names + earlier.shape[1])
     if k < FOLDS:
-        return _score(model, [x[i] for i in range(k, len(x), FOLDS)]).tobytes()
+        return _score(model, _Rows(flat, ends, earlier, n_names, list(every[k::FOLDS]))).tobytes()
     w = model.weights()
     return (w[:, 1] - w[:, 0]).tobytes()
 
 
-def _folds(spark, sparse: list[np.ndarray], earlier: np.ndarray, y: list[int], n_names: int) -> dict[int, np.ndarray]:
+def _folds(spark, flat: np.ndarray, ends: np.ndarray, earlier: np.ndarray, y: list[int], n_names: int) -> dict[int, np.ndarray]:
     """_fold() of every fold, a task each."""
-    held = spark.sparkContext.broadcast(pickle.dumps((sparse, earlier, y, n_names), 5))
+    sent = spark.sparkContext.broadcast((flat, ends, earlier, y, n_names))
 
     def run(batches):
         for b in batches:
             ks = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"k": pa.array(ks, pa.int64()), "w": pa.array([_fold(k, *pickle.loads(held.value)) for k in ks], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array(ks, pa.int64()), "w": pa.array([_fold(k, *sent.value) for k in ks], pa.binary())})
 
     got = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "k bigint, w binary").collect()
-    held.unpersist()
+    sent.unpersist()
     return {r["k"]: np.frombuffer(r["w"]) for r in got}
 
 
@@ -146,17 +163,18 @@ def train(
     for f in found:
         at = np.searchsorted(names, f)
         at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == f)] if len(names) else np.empty(0, int)
-        sparse.append(at)
+        sparse.append(at.astype(np.int32))
+    flat, ends = np.concatenate(sparse), np.cumsum([0, *map(len, sparse)])
     earlier = np.zeros((len(sparse), 0))
     for j in range(len(categories)):
         y = [labelled[j] for _, labelled in got]
-        made = _folds(df.sparkSession, sparse, earlier, y, len(names))
+        made = _folds(df.sparkSession, flat, ends, earlier, y, len(names))
         oof = np.zeros(len(sparse))
         for k in range(FOLDS):
             oof[k::FOLDS] = made[k]
         w = made[FOLDS]
-        held = np.flatnonzero(w[: len(names)])
-        chain.models.append((names[held], w[held], w[len(names) : len(names) + j], float(w[-1])))
+        some = np.flatnonzero(w[: len(names)])
+        chain.models.append((names[some], w[some], w[len(names) : len(names) + j], float(w[-1])))
         earlier = np.column_stack([earlier, oof])
     chain.threshold = _best_threshold(oof, np.array(y))
     return chain
@@ -170,9 +188,6 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(grid[best[np.argmin(abs(grid[best] - 0.5))]])
 
 
-_CHAINS: dict[str, Chain] = {}
-
-
 def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (all by default) with __p_<category> of each category, and __rejected: whether the last one is predicted.
 
@@ -181,16 +196,13 @@ def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     """
     made = {f"__p_{c}" for c in chain.names} | {"__rejected"}
     keep = [c for c in (df.columns if keep is None else keep) if c not in made]
-    held, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(chain, 5)), uuid.uuid4().hex
+    sent, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(chain, 5)), uuid.uuid4().hex
     names, held_text = chain.names, f"__t{mark}"
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     schema += "".join(f", `__p_{c}` double" for c in names) + ", __rejected boolean"
 
     def make():
-        if mark not in _CHAINS:
-            _CHAINS.clear()
-            _CHAINS[mark] = pickle.loads(held.value)
-        m = _CHAINS[mark]
+        m = held(("toxicity", mark), lambda: pickle.loads(sent.value))
 
         def run(r):
             p = [m.predict(features(t)) for t in r[held_text]]
