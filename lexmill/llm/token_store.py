@@ -12,31 +12,103 @@ import hashlib
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import STEP, map_rows
-from lexmill.llm.pretokenize import pretokenizer
+from lexmill.llm import pretokenize
+from lexmill.llm.common import blocks, held, map_rows
 from lexmill.session import Workspace
 
-#: Least and largest chunk in ids, and the mean distance of cuts beyond the least; ids that the rolling hash covers.
+#: Least and largest chunk in ids, and the mean distance of cuts beyond the least; ids that the rolling hash covers, a power of 2.
 MIN_CHUNK, MAX_CHUNK, MEAN_CHUNK, WINDOW = 128, 2048, 512, 16
-#: Pre-tokens whose ids a worker remembers, and the longest one.
-MEMO_SIZE, MEMO_CHARS = 1_000_000, 64
+#: Pre-tokens whose ids a worker remembers, their ids in all, the longest pre-token, and code points that are looked up at a time.
+MEMO_SIZE, MEMO_IDS, MEMO_CHARS, SPAN = 1_500_000, 1 << 23, 64, 1 << 20
+#: Pre-tokens that the library gets at a time, with an added token between them.
+TOGETHER = 500
+
+
+class Memo:
+    """Ids of pre-tokens by a 64-bit hash, in flat arrays: open addressing with room for MEMO_SIZE entries and a span's more."""
+
+    def __init__(self, bits: int = 22):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.room = MEMO_SIZE + SPAN
+        self.key, self.slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.start, self.count, self.mark = np.zeros(self.room, np.int64), np.zeros(self.room, np.int32), np.zeros(self.room, np.uint64)
+        self.ids, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def clear(self) -> None:
+        self.key[:] = 0
+        self.used = self.n = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        left = np.arange(len(h))
+        at = (h >> self.shift).astype(np.int64)
+        while len(left):
+            k = self.key[at]
+            hit = k == h[left]
+            out[left[hit]] = self.slot[at[hit]]
+            go = ~hit & (k != 0)
+            left, at = left[go], (at[go] + 1) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, mark: np.ndarray, made: list[np.ndarray], keyed: bool = True) -> np.ndarray:
+        """Entries for hashes that differ and have none; without a key they won't be found again."""
+        counts, ids = np.array([len(x) for x in made], np.int64), np.concatenate(made)
+        new = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, 2 * len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[new] = self.used + np.cumsum(counts) - counts
+        self.count[new], self.mark[new] = counts, mark
+        self.used += len(ids)
+        self.n += len(h)
+        left = np.arange(len(h) if keyed else 0)
+        at = (h[left] >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.key[at] == 0
+            self.key[at[free]] = h[left[free]]  # of several that go to one place the last stays
+            mine = free & (self.key[at] == h[left])
+            self.slot[at[mine]] = new[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & self.mask
+        return new
+
+
+@cache
+def _mixers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each character, and powers of an odd number and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    rng = np.random.default_rng(4)
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.full(SPAN + MEMO_CHARS + 1, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+    return rng.integers(1, 1 << 64, 0x10000, np.uint64), up, down
+
+
+def hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash other than 0 of each piece codes[start:end]; equal pieces have equal ones."""
+    table, up, down = _mixers()
+    with np.errstate(over="ignore"):
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[codes] * up[: len(codes)])])
+        h = (upto[end] - upto[start]) * down[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    return h | np.uint64(1)
 
 
 class Encoder:
     """A tokenizer of the tokenizers library, with the ids of pre-tokens seen lately.
 
     Pre-tokens are encoded independently of each other by a byte-level BPE, so a text's ids are those of its pre-tokens in a
-    row; the library encodes each pre-token. It gets whole texts without a pattern, and where a text holds an added token.
+    row; the library encodes each pre-token. Equal pre-tokens are known by a hash, their length, and their first and last
+    characters. The library gets whole texts where another pattern than the known one is given, and those that hold an added
+    token or characters of uncertain class.
     """
 
     def __init__(self, path: str, pattern: str | None):
@@ -45,45 +117,109 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
-        self.find = pretokenizer(pattern) if pattern else None
-        self.memo: dict[str, bytes] = {}  # ids as little-endian numbers of four bytes; emptied when full
+        self.added = re.compile("|".join(added)).search if added else lambda t: None
+        plain = [(k, x.content) for k, x in self.tokenizer.get_added_tokens_decoder().items() if not (x.single_word or x.lstrip or x.rstrip or x.normalized)]
+        self.between = plain[0] if plain else None
+        self.known = pattern == pretokenize.PATTERN
+        self.memo = Memo() if self.known else None
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """The ids of pieces without added tokens: many go to the library as one text, with an added token between them."""
+        if not self.between or len(pieces) < 2:
+            return self._library(pieces)
+        mark, text = self.between
+        out = []
+        for at in range(0, len(pieces), TOGETHER):
+            [ids] = self._library([text.join(pieces[at : at + TOGETHER])])
+            begin = 0
+            for end in [*np.flatnonzero(ids == mark).tolist(), len(ids)]:
+                out.append(ids[begin:end])
+                begin = end + 1
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        if not self.find:
-            return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        whole = [k for k, t in enumerate(texts) if t and self.added and self.added.search(t)]
+        unsure = pretokenize.unsure().search
+        whole = [k for k, t in enumerate(texts) if t and (not self.known or self.added(t) or unsure(t))]
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+        for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         aside = set(whole)
-        found = [self.find(t) if t and k not in aside else [] for k, t in enumerate(texts)]
-        new = set(filterfalse(self.memo.__contains__, chain.from_iterable(found)))
-        if len(self.memo) + len(new) > MEMO_SIZE:
-            self.memo.clear()
-            new = set(chain.from_iterable(found))
-        pieces = list(new)
-        got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.memo.update((p, array("I", x.ids).tobytes()) for p, x in zip(pieces, got, strict=True))
-        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, x)), "<u4") for x in found]
-        for p in pieces:
-            if len(p) > MEMO_CHARS:
-                del self.memo[p]
-        for k, x in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
-            out[k] = np.array(x.ids, "<u4")
+        mine = [k for k, t in enumerate(texts) if t and k not in aside]
+        if mine:
+            for k, ids in zip(mine, self._by_pieces([texts[k] for k in mine]), strict=True):
+                out[k] = ids
         return out
 
-
-_ENCODERS: dict[tuple, Encoder] = {}
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "\0".join([*texts, ""])
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        start = pretokenize.starts(codes, ends)
+        end = np.append(start[1:], len(codes))
+        mark = np.zeros(len(codes), bool)
+        mark[ends] = True
+        piece = ~mark[start]
+        start, end = start[piece], end[piece]
+        got: list[np.ndarray] = []
+        counts = np.zeros(len(start), np.int64)
+        at = 0
+        while at < len(start):  # spans of bounded length, a longer piece alone
+            to = max(at + 1, int(np.searchsorted(end, start[at] + SPAN, "right")))
+            n, ids = self._span(joined, codes, start[at:to], end[at:to])
+            counts[at:to] = n
+            got.append(ids)
+            at = to
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.concatenate([np.empty(0, np.uint32), *got]).astype("<u4", copy=False)
+        first = upto[np.searchsorted(start, np.concatenate([[0], ends[:-1] + 1]))].tolist()
+        return [ids[a:b] for a, b in zip(first, [*first[1:], len(ids)], strict=True)]
+
+    def _span(self, joined: str, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids."""
+        size = end - start
+        if len(start) == 1 and size[0] > MEMO_CHARS:
+            return self._plainly(joined, start, end)
+        base = int(start[0])
+        h = hashes(codes[base : int(end[-1])], start - base, end - base)
+        mark = codes[start].astype(np.uint64) << np.uint64(32) | codes[end - 1].astype(np.uint64) << np.uint64(16) | size.astype(np.uint64)
+        memo = self.memo
+        if memo.n > MEMO_SIZE or memo.used > MEMO_IDS:
+            memo.clear()
+
+        def made(at: np.ndarray) -> list[np.ndarray]:
+            return self._pieces([joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+
+        slot = memo.find(h)
+        long = size > MEMO_CHARS
+        holes = np.flatnonzero((slot < 0) & ~long)
+        if len(holes):
+            _, first, which = np.unique(h[holes], return_index=True, return_inverse=True)
+            new = holes[first]
+            slot[holes] = memo.add(h[new], mark[new], made(new))[which]
+        if long.any():
+            at = np.flatnonzero(long)
+            slot[at] = memo.add(h[at], mark[at], made(at), keyed=False)
+        if (memo.mark[slot] != mark).any():  # two pieces with one hash
+            return self._plainly(joined, start, end)
+        n = memo.count[slot].astype(np.int64)
+        upto = np.cumsum(n)
+        place = np.arange(int(upto[-1])) + np.repeat(memo.start[slot] - (upto - n), n)
+        return n, memo.ids[place]
+
+    def _plainly(self, joined: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [joined[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        different = list(dict.fromkeys(pieces))
+        made = dict(zip(different, self._pieces(different), strict=True))
+        return np.array([len(made[p]) for p in pieces], np.int64), np.concatenate([made[p] for p in pieces])
 
 
 def encoder(path: str, pattern: str | None) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
-
-
-@cache
-def _powers() -> np.ndarray:
-    return np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 1)], np.uint64)
+    """The encoder of a file, one for each Python worker."""
+    return held(("tokens", path, pattern), lambda: Encoder(path, pattern))
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -92,10 +228,10 @@ def cuts(ids: np.ndarray) -> list[int]:
     if n <= MIN_CHUNK:
         return [n] if n else []
     with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64) + np.uint64(1)
-        h = np.zeros(n - WINDOW + 1, np.uint64)
-        for k, p in enumerate(_powers()):
-            h += x[k : n - WINDOW + 1 + k] * p
+        h, p, reach = ids.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, 1
+        while reach < WINDOW:  # of `reach` ids each, then of twice as many
+            h = h[:-reach] * np.uint64(p) + h[reach:]
+            p, reach = p * p & (1 << 64) - 1, 2 * reach
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
     ends = np.flatnonzero(h >> np.uint64(64 - MEAN_CHUNK.bit_length() + 1) == 0) + WINDOW
@@ -130,11 +266,18 @@ def merkle(leaves: list[bytes]) -> bytes:
 def pack(ids: np.ndarray) -> bytes:
     """Ids as little-endian numbers of two bytes where they fit, else four, compressed; the first byte tells which."""
     small = not len(ids) or int(ids.max()) < 1 << 16
-    return (b"\2" if small else b"\4") + zlib.compress(ids.astype("<u2" if small else "<u4").tobytes(), 1)
+    return (b"\2" if small else b"\4") + _zstd()[0](ids.astype("<u2" if small else "<u4").tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), "<u2" if data[:1] == b"\2" else "<u4").astype("<u4")
+    return np.frombuffer(_zstd()[1](data[1:]), "<u2" if data[:1] == b"\2" else "<u4").astype("<u4")
+
+
+@cache
+def _zstd() -> tuple:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
 class Store:
@@ -203,8 +346,7 @@ def write(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                part = b.slice(at, STEP)
+            for part in blocks(b):
                 n = part.column("n").to_numpy()
                 ends = start + np.cumsum(n)
                 roots = [merkle([c["d"] for c in x]) for x in part.column("chunks").to_pylist()]
