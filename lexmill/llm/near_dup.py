@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import map_rows, text_key
@@ -36,7 +36,11 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words than size are one shingle, none give none."""
+    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words than size are one shingle, none give none.
+
+    Sets are compared by these hashes: two different shingles of a pair of texts of 20,000 words each fall on one hash with a
+    probability of 2e-11.
+    """
     words = text.encode().translate(_LOWER).split() if text else []  # bytes.split() cuts at \\x20 and \\x09-\\x0d only
     if not words:
         return np.empty(0, np.uint64)
@@ -115,17 +119,68 @@ def groups(
     df: DataFrame, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, size: int = 5,
     similarity: tuple[int, int] = (75, 100), bands: int = BANDS, rows: int = ROWS, miss: float = MISS,
 ) -> DataFrame:
-    """Every row of df (columns `keep`, all by default) with its group of near-duplicates.
+    """Every row of df (columns `keep`, all but the text by default) with its group of near-duplicates.
 
     Adds __n_shingles, __component (smallest id of the rows it is linked with directly or over others, itself included) and
     __kept (one row of each group: the smallest id, and of rows that repeat it the first). Two rows are linked if their
     shingle sets have similarity[1] * intersection >= similarity[0] * union. A row without words has no shingles and is
     linked with nothing. A row without id takes part; a group that has no id at all has a null component, and one row of it
-    is kept. An empty table gives an empty one.
+    is kept. An empty table gives an empty one. Columns in `keep` are carried through two shuffles, so long ones had better
+    stay out; deduplicate() gives whole rows.
     """
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in keep if c not in ("__n_shingles", "__component", "__kept")]
+    out = _labelled(df, text, id_col, keep, size, similarity, bands, rows, miss)
+    return out.select(
+        *[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)],
+        F.col("n").alias("__n_shingles"),
+        F.col("component").alias("__component"),
+        F.col("kept").alias("__kept"),
+    )
+
+
+def deduplicate(
+    df: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, similarity: tuple[int, int] = (75, 100),
+    bands: int = BANDS, rows: int = ROWS, miss: float = MISS,
+) -> DataFrame:
+    """df's own columns; of each group that groups() finds one row, the one with the smallest id.
+
+    Texts aren't carried along: the rows to leave out are known by hashes of id and text, and df is read again without them.
+    These hashes are broadcast if they are few (counted first), else joined by a shuffle. Of rows that repeat both id and text
+    one stays. Rows without words all stay, null texts among them. An empty table gives an empty one.
+    """
+    ws = Workspace(df.sparkSession, "neardup-rows")
+    found = _labelled(df, text, id_col, [], size, similarity, bands, rows, miss)
+
+    def row_key(id_: Column, k2: Column) -> Column:
+        return F.xxhash64(F.lit(2), id_, id_.isNull(), k2)
+
+    each = found.select("k1", row_key(F.col("id"), F.col("k2")).alias("k3"), F.col("kept").cast("int").alias("kept"))
+    each = each.groupBy("k1", "k3").agg(F.sum("kept").alias("kept"), F.count("*").alias("c")).where("kept < c")
+    each = ws.write(each, "gone")
+    again = each.where("kept > 0").select("k1", "k3")
+    n, n_again = each.count(), again.count()
+    if not n:
+        return df
+    names = df.columns
+    a, b = f"__a{ws.path[-12:]}", f"__b{ws.path[-12:]}"  # no column of df has such a name
+    k1, k2 = text_key(text)
+    tagged = df.select("*", k1.alias(a), row_key(F.col(id_col).cast("long"), k2).alias(b))
+
+    def listed(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("k1").alias(a), F.col("k3").alias(b))
+        return F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
+
+    out = tagged.join(listed(each), [a, b], "left_anti")
+    if n_again:
+        out = out.unionByName(tagged.join(listed(again), [a, b], "left_semi").dropDuplicates([a, b]))
+    return out.select(names)
+
+
+def _labelled(df, text, id_col, keep, size, similarity, bands, rows, miss) -> DataFrame:
+    """(k_0, ..., id, k1, k2, n, component, kept) of every row: the columns `keep`, keys, shingles, group, whether it stays."""
     spark = df.sparkSession
     ws = Workspace(spark, "neardup")
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__n_shingles", "__component", "__kept")]
     n_hashes = bands * rows
     need, of = similarity
 
@@ -207,10 +262,10 @@ def groups(
     first = ws.write(first, "kept")
     out = out.join(first, "rid", "left")
     return out.select(
-        *[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)],
-        F.col("n").alias("__n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("__component"),
-        ((F.col("n") == 0) | F.coalesce("first", F.lit(False))).alias("__kept"),
+        *carried,
+        "n",
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"),
+        ((F.col("n") == 0) | F.coalesce("first", F.lit(False))).alias("kept"),
     )
 
 
