@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found in every text by fixed patterns and by a looser one for random-looking tokens. Hashes of their values
-are counted over the whole corpus by distinct repositories and owners. A value that many owners have is a copied example; one
-that a single owner has looks live. Loose candidates become spans only if they look live; base spans always stay.
+are counted over the whole corpus by distinct repositories and owners. A value that many owners have, or that stands in very
+many repositories of whatever owners, is a copied example; one that a single owner has looks live. Loose candidates become
+spans only if they look live; base spans always stay.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import map_rows
@@ -28,8 +29,10 @@ KINDS = ("assign", "access", "hex", "owned")
 #: A loose candidate: so long, with a digit and both cases, and at least so many bits a character.
 LOOSE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 MIN_BITS = 3.5
-#: From so many distinct owners on, a value counts as a copied example.
-EXAMPLE_OWNERS = 3
+#: From so many distinct owners, or so many distinct repositories (forks of one owner's), on a value counts as a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
+#: Values with a verdict other than `live` that redact() broadcasts, at 16 bytes each; more are joined by a shuffle.
+MAX_BROADCAST_VALUES = 200_000
 
 
 def _bits(s: str) -> float:
@@ -58,48 +61,62 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
 SPAN = "struct<kind:string,start:int,end:int,verdict:string>"
 
 
+def _hash(value: str) -> bytes:
+    return hashlib.sha256(value.encode()).digest()[:16]
+
+
+def _who(repository: str, owner: str | None) -> tuple[Column, Column]:
+    repo = F.col(repository).cast("string")
+    return repo, F.col(owner).cast("string") if owner else F.substring_index(repo, "/", 1)
+
+
+def _ownership(hits: DataFrame, example_owners: int, example_repositories: int) -> DataFrame:
+    """(h, owners, repos, n, verdict) of each value from hits (h, o, r).
+
+    (value, owner, repository) is counted on the map side first, so that a value copied everywhere stays cheap.
+    """
+    use = hits.groupBy("h", "o", "r").agg(F.count("*").alias("n"))
+    use = use.groupBy("h", "o").agg(F.count("r").alias("repos"), F.sum("n").alias("n"))
+    use = use.groupBy("h").agg(F.count("o").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
+    verdict = F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repositories), "example")
+    return use.withColumn("verdict", verdict.when(F.col("owners") == 1, "live").when(F.col("owners") == 0, "unowned").otherwise("shared"))
+
+
 def scan(
-    df: DataFrame, text: str = "text", repository: str = "source", owner: str | None = None,
-    keep: list[str] | None = None, example_owners: int = EXAMPLE_OWNERS,
+    df: DataFrame, text: str = "text", repository: str = "source", owner: str | None = None, keep: list[str] | None = None,
+    example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
-    """Every row of df (columns `keep`, all by default) with __spans, the secrets found in its text.
+    """Every row of df (columns `keep`, all but the text by default) with __spans, the secrets found in its text.
 
-    A span has kind (assign, access, hex, owned), start, end and verdict: `example` from example_owners distinct owners on,
-    `live` with one owner, else `shared`. owner is a column; without one, it is what the repository's name has before its
-    first slash. A null repository or owner counts as one of its own. A null or empty text has no spans. Rows that repeat
-    are scanned each; an empty table gives an empty one.
+    A span has kind (assign, access, hex, owned), start, end and verdict: `example` from example_owners distinct owners or
+    example_repositories distinct repositories on, `live` with one owner, `unowned` where no row that has it names one, else
+    `shared`. owner is a column; without one, it is what the repository's name has before its first slash. A null or empty
+    text has no spans. Rows that repeat are scanned each; an empty table gives an empty one. A very long text is a block of
+    its own in its task, with a list of its candidates.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c not in ("__spans",)]
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in keep if c not in ("__spans",)]
     ws = Workspace(df.sparkSession, "secrets")
-    repo = F.coalesce(F.col(repository).cast("string"), F.lit("\0"))
-    who = F.coalesce(F.col(owner).cast("string"), F.lit("\0")) if owner else F.substring_index(repo, "/", 1)
+    repo, who = _who(repository, owner)
     narrow = df.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)], repo.alias("r"), who.alias("o"), F.col(text).alias("t"))
     types = [f"k_{i}" for i in range(len(keep))]
     schema = ", ".join(f"{k} {narrow.schema[k].dataType.simpleString()}" for k in types)
-    schema += ", r string, o string, found array<struct<kind:int,start:int,end:int,h:string>>"
+    schema += (", " if types else "") + "r string, o string, found array<struct<kind:int,start:int,end:int,h:binary>>"
 
     def make():
         def run(rows):
-            found = [
-                [{"kind": k, "start": a, "end": b, "h": hashlib.sha256(v.encode()).hexdigest()[:32]} for k, a, b, v in find(t)]
-                for t in rows["t"]
-            ]
+            found = [[{"kind": k, "start": a, "end": b, "h": _hash(v)} for k, a, b, v in find(t)] for t in rows["t"]]
             return {k: rows[k] for k in (*types, "r", "o")} | {"found": found}
 
         return run
 
     docs = ws.write(map_rows(narrow, make, schema).withColumn("rid", F.monotonically_increasing_id()), "docs")
     hits = docs.where(F.size("found") > 0).select("rid", "r", "o", F.explode("found").alias("c")).select("rid", "r", "o", "c.*")
-    # (hash, owner, repository) is counted once on the map side, so that a value copied everywhere stays cheap
-    use = hits.groupBy("h", "o", "r").agg(F.count("*").alias("n"))
-    use = use.groupBy("h", "o").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    use = use.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
-    use = ws.write(use, "ownership")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") == 1, "live").otherwise("shared")
+    use = ws.write(_ownership(hits, example_owners, example_repositories), "ownership")
     named = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     judged = (
         hits.select("rid", "kind", "start", "end", "h")
-        .join(use.select("h", verdict.alias("verdict")), "h")
+        .join(use.select("h", "verdict"), "h")
         .where((F.col("kind") < 3) | (F.col("verdict") == "live"))
         .groupBy("rid")
         .agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "verdict", named.alias("name")))).alias("s"))
@@ -110,35 +127,73 @@ def scan(
     return out.select(*[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)], F.coalesce("__spans", none).alias("__spans"))
 
 
+def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with the mark in place of spans (start, end), which are in order; spans that overlap are replaced together."""
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def redact(
-    df: DataFrame, text: str = "text", repository: str = "source", owner: str | None = None,
-    mark: str = "<secret>", n_chars: str | None = None, example_owners: int = EXAMPLE_OWNERS,
+    df: DataFrame, text: str = "text", repository: str = "source", owner: str | None = None, mark: str = "<secret>", n_chars: str | None = None,
+    example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, max_broadcast: int = MAX_BROADCAST_VALUES,
 ) -> DataFrame:
     """df's own columns; in its text every span that isn't a copied example is replaced by the mark.
 
     Spans that overlap are replaced together. Rows without such spans, null texts among them, pass unchanged. n_chars names a
-    column that follows the text's length.
+    column that follows the text's length. Two passes over the texts: the first gives hashes of candidates for the ownership
+    table, the second finds the candidates again and looks their verdicts up, so that no text is shuffled. Values that aren't
+    live are broadcast if they are at most max_broadcast (counted first); otherwise candidates of the texts that have some are
+    joined with the ownership table, and the rows of those texts with their spans.
     """
-    found = scan(df, text, repository, owner, None, example_owners)
-    names = df.columns
-    found = found.withColumn("__spans", F.filter("__spans", lambda s: s["verdict"] != "example"))
+    spark, names = df.sparkSession, df.columns
+    ws = Workspace(spark, "redact")
+    repo, who = _who(repository, owner)
+
+    def candidates():
+        def run(rows):
+            out: dict[str, list] = {"r": [], "o": [], "h": []}
+            for r, o, t in zip(rows["r"], rows["o"], rows["t"], strict=True):
+                for _, _, _, v in find(t):
+                    out["r"].append(r)
+                    out["o"].append(o)
+                    out["h"].append(_hash(v))
+            return out
+
+        return run
+
+    hits = map_rows(df.select(repo.alias("r"), who.alias("o"), F.col(text).alias("t")), candidates, "r string, o string, h binary")
+    use = ws.write(_ownership(hits, example_owners, example_repositories).select("h", "verdict"), "ownership")
+    other = use.where("verdict <> 'live'")
+    if other.count() <= max_broadcast:
+        verdicts = spark.sparkContext.broadcast({bytes(r["h"]): r["verdict"] for r in other.collect()})
+
+        def judge(_: list, t: str | None) -> list[tuple[int, int]]:
+            known = verdicts.value
+            found = [(k, a, b, known.get(_hash(v), "live")) for k, a, b, v in find(t)]
+            return [(a, b) for k, a, b, v in found if v != "example" and (k < 3 or v == "live")]
+
+        frame, spans = df, None
+    else:
+        spans = f"__s{ws.path[-12:]}"  # no column of df has such a name
+
+        def judge(s: list | None, _: str | None) -> list[tuple[int, int]]:
+            return [(x["start"], x["end"]) for x in s or [] if x["verdict"] != "example"]
+
+        frame = scan(df, text, repository, owner, names, example_owners, example_repositories).withColumnRenamed("__spans", spans)
 
     def make():
         def run(rows):
             new = []
-            for t, spans in zip(rows[text], rows["__spans"], strict=True):
-                if not spans:
-                    new.append(t)
-                    continue
-                out, at = [], 0
-                for s in spans:
-                    if s["start"] >= at:
-                        out += [t[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                new.append("".join(out) + t[at:])
+            for i, t in enumerate(rows[text]):
+                found = judge(rows[spans][i] if spans else [], t)
+                new.append(without(t, found, mark) if found else t)
             return {k: rows[k] for k in names} | {text: new}
 
         return run
 
-    out = map_rows(found, make, df.schema)
+    out = map_rows(frame, make, df.schema)
     return out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType)) if n_chars else out
