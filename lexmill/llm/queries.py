@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, secret_scan, sharding, token_store, toxicity, warc_zip
+from lexmill.llm.oracles import ORACLE_SQL  # noqa: F401
 from lexmill.session import Workspace
 
 
@@ -80,7 +81,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.col("__longest").alias("longest_match"),
     )
 
 
@@ -91,7 +91,7 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.col("__n_shingles").alias("n_shingles"),
         F.col("__component").alias("component_id"),
-        (F.col("doc_id") == F.col("__component")).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.col("__component"), F.col("__kept")).alias("kept"),
     )
 
 
@@ -143,4 +143,3 @@ QUERIES = {
     "op9_warc_zip": op9_warc_zip,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
