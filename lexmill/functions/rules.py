@@ -90,3 +90,33 @@ def court_level(court: Column) -> Column:
 def family(model: Column) -> Column:
     """What a model's slug has before its first slash or double underscore."""
     return F.regexp_extract(model, r"^(.*?)(?:/|__|$)", 1)
+
+
+def older_flags(text: Column, refusal: str) -> tuple[Column, Column]:
+    """(refusal, unknown): whether an answer refuses within its first 400 characters, or only says that it doesn't know."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    bare = F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ .]+|[ .]+$", "")))
+    unknown = F.translate(bare, "’", "'").isin("unknown", "i don't know", "i do not know")
+    return (t != "") & ~unknown & F.substring(t, 1, 400).rlike(f"(?i){refusal}"), unknown
+
+
+def verdict_value(word: Column) -> Column:
+    """violation is true, no_violation false, anything else nothing."""
+    return F.when(word == "violation", True).when(word == "no_violation", False)
+
+
+def exact_verdict(said: Column, gold: Column) -> Column:
+    """Whether there is a verdict and it is the gold one."""
+    return said.isNotNull() & said.eqNullSafe(gold)
+
+
+def furniture_bucket(own: Column, near: Column, minor: Sequence[str]) -> Column:
+    """A span's own kind, else that of its neighbourhood, else __residual; minor kinds are __other."""
+    c = F.when(own != "-", own).otherwise(near)
+    return F.when(c == "-", "__residual").when(c.isin(*minor), "__other").otherwise(c)
+
+
+def alignment_warning(prefix_tokens: Column, tokens: Column, first: Column) -> Column:
+    """Where a prefix's tokens end in those of the whole: no_suffix_tokens if nothing is behind, boundary_merge if a token spans the
+    seam. first is the index of the first token that begins at or behind the seam, null without one."""
+    return F.when(first.isNull(), "no_suffix_tokens").when(~F.slice(tokens, F.lit(1), first).eqNullSafe(prefix_tokens), "boundary_merge").otherwise("")
