@@ -57,3 +57,15 @@ def swap_column(text: Column, forms: dict[str, str], gender: str | None = None)
         return s.map(lambda x: swap(x, forms, gender), na_action="ignore")
 
     return run(text)
+
+
+def replaced(text: Column, forms: dict[str, str]) -> Column:
+    """Each form by its new one, longest first and only as whole words, in built-in functions: every form is first taken by a mark that
+    no text has, so that a new form is never replaced again."""
+    longest = sorted(forms, key=lambda k: (-len(k), k))
+    mark = "\ue000{}\ue001".format
+    for i, k in enumerate(longest):
+        text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_]){re.escape(k)}(?![\p{{L}}\p{{N}}_])", mark(i))
+    for i, k in enumerate(longest):
+        text = F.replace(text, F.lit(mark(i)), F.lit(forms[k]))
+    return text

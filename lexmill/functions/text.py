@@ -227,3 +227,91 @@ def unwrap_lines(wrap_min: int = 55):
 
     unwrap.one = one
     return unwrap
+
+
+def plain_words(s: Column) -> Column:
+    """The words of a-z, 0-9 and ' of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit("([a-z0-9']+)"), 1)
+
+
+def between_marks(s: Column, start: str, end: str) -> Column:
+    """What stands behind the first start mark and before the first end mark after it, without white space at the ends."""
+    body = F.when(s.rlike(start), F.regexp_replace(s, f"(?s)^.*?(?:{start})", "")).otherwise(s)
+    return F.regexp_replace(F.when(body.rlike(end), F.regexp_replace(body, f"(?s)(?:{end}).*$", "")).otherwise(body), r"^\s+|\s+$", "")
+
+
+def first_of(s: Column, patterns: list[str]) -> Column:
+    """The first group of the first pattern that is found, white space as blanks; null where none is."""
+    return F.coalesce(*[F.nullif(squeeze(F.regexp_extract(s, p, 1)), F.lit("")) for p in patterns])
+
+
+def file_name_parts(name: Column) -> Column:
+    """(year, court, caption) of names like cl_2020_ca9_Some_v_Other.pdf; other names are a caption without their ending."""
+    pattern = r"(?i)^cl_(\d{4})_([a-z0-9]+)_(.+)\.pdf$"
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    caption = F.when(part(3) != "", part(3)).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
+    return F.struct(part(1).alias("year"), part(2).alias("court"), squeeze(F.replace(F.replace(caption, F.lit("_"), F.lit(" ")), F.lit("."), F.lit(". "))).alias("caption"))
+
+
+def highlighted(s: Column, pattern: str) -> Column:
+    """The text with a mark before the lines that hold the pattern, whatever the case, and blanks before the others."""
+    return F.array_join(F.transform(F.split(s, "\n"), lambda x: F.concat(F.when(x.rlike(f"(?i){pattern}"), "> ").otherwise("  "), x)), "\n")
+
+
+def safe_name(s: Column) -> Column:
+    """A file name: letters, digits, _ . and - stay, the rest is _."""
+    return F.regexp_replace(s, r"[^\p{L}\p{N}_.\-]", "_")
+
+
+def p_text(p: Column) -> Column:
+    """A p value in three places without the leading zero, or <.001."""
+    return F.when(p < 0.001, "<.001").otherwise(F.regexp_replace(F.format_string("%.3f", p), "^0+", ""))
+
+
+def in_range(index: Column, n: Column) -> Column:
+    """An index if it is one of n places, else null."""
+    return F.when((index >= 0) & (index < n), index)
+
+
+def professions(s: Column, known: list[str]) -> Column:
+    """The known professions that a text names, in the list's order."""
+    return F.filter(F.array(*[F.lit(k) for k in known]), lambda k: F.contains(F.lower(s), k))
+
+
+def first_name(s: Column) -> Column:
+    """The first of two capitalised words in a row, the simplest sign of a person's name; null without such."""
+    return F.nullif(F.regexp_extract(s, r"\b([A-Z][a-z]+) [A-Z][a-z]+\b", 1), F.lit(""))
+
+
+def query_variants(caption: Column, common: list[str], least: int = 3) -> Column:
+    """Search phrases for a caption that may have lost its end: itself, without its last word, its three longest distinctive words, and
+    the longest; each once, whatever the case, without those of fewer than `least` characters."""
+    words = F.filter(F.split(caption, r"[^A-Za-z0-9']+"), lambda w: w != "")
+    telling = F.filter(words, lambda w: ~F.lower(w).isin(*common) & (F.length(w) > 3))
+    ranked = F.array_sort(F.transform(telling, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    top = F.transform(F.slice(ranked, 1, 3), lambda x: x["w"])
+    every = F.array(F.trim(caption), F.array_join(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), " "), F.array_join(top, " "), F.coalesce(F.get(top, 0), F.lit("")))
+    fits = F.filter(every, lambda q: F.length(q) >= least)
+    lower = F.transform(fits, lambda q: F.lower(q))
+    return F.filter(fits, lambda q, i: F.array_position(lower, F.lower(q)) == i + 1)
+
+
+def spaced_headings(found: Column, least: int = 20) -> Column:
+    """Headings (place, heading) in order without those that begin fewer than `least` characters behind the last one kept."""
+    none = F.slice(found, 1, 0)
+    far = lambda kept, h: (F.size(kept) == 0) | (h["place"] - F.element_at(kept, -1)["place"] >= least)
+    return F.aggregate(found, none, lambda kept, h: F.when(F.size(kept) == 0, F.array(h)).when(far(kept, h), F.concat(kept, F.array(h))).otherwise(kept))
+
+
+def word_blocks(words: Column, blocks: int, least: int) -> Column:
+    """Words in about so many blocks of equal length, at least `least` words each; a shorter rest is left out."""
+    size = F.greatest(F.lit(least), F.floor(F.size(words) / blocks).cast("int"))
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), size)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(starts, lambda s: F.slice(words, s, size)), lambda b: F.size(b) >= least)
+
+
+def flipped(word: Column, pairs: dict[str, str]) -> Column:
+    """A word's counterpart with its capitals: all, the first or none; words without one stay."""
+    new = F.coalesce(*[F.when(F.lower(word) == a, F.lit(b)) for a, b in pairs.items()], F.lit(None))
+    cased = F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(new)).when(F.substring(word, 1, 1) == F.upper(F.substring(word, 1, 1)), F.initcap(new)).otherwise(new)
+    return F.coalesce(cased, word)

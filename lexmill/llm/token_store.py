@@ -277,7 +277,7 @@ def unpack(data: bytes) -> np.ndarray:
 def _zstd() -> tuple:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    return zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
 
 class Store:

@@ -37,4 +37,4 @@ def query(sql: str | None = None):
 
 
 # the modules below register their queries
-from lexmill.plans import balance, evaluation, overlap, panel, predicates, probes, records, relational, sequences, texts  # noqa: E402, F401
+from lexmill.plans import balance, evaluation, overlap, panel, predicates, probes, records, relational, scalars, sequences, texts  # noqa: E402, F401
