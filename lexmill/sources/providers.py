@@ -124,3 +124,25 @@ def ask_once_per_key(items: DataFrame, key: str, prompt: str, make: Callable[[],
 
     once = items.groupBy(key).agg(F.min(prompt).alias("__q"))
     return items.join(ask(once, [key], "__q", make).select(key, "answer"), key, "left")
+
+
+#: What an answer is judged in, and the anchors that a quality goes to.
+DIMENSIONS, ANCHORS = ("factor_recall", "grounding", "outcome", "verdict", "similarity", "quality"), (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def judge_dimensions(items: DataFrame, key: str, text, make: Callable[[], Provider]) -> DataFrame:
+    """(key, factor_recall, similarity, quality, anchor, verdict, outcome, grounded): each dimension is a question of its own to the
+    provider, whose answer is JSON with score and verdict; what isn't answered is null."""
+    from pyspark.sql import functions as F
+
+    asked = items.select(key, F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("dimension"), text.alias("__t"))
+    asked = asked.withColumn("__p", F.concat("dimension", F.lit(": "), "__t")).drop("__t")
+    got = ask(asked, [key, "dimension"], "__p", make)
+    got = got.select(key, "dimension", F.from_json("answer", "score double, verdict boolean").alias("a"))
+    of = lambda d, field: F.max(F.when(F.col("dimension") == d, F.col(f"a.{field}")))
+    near = F.array_min(F.array(*[F.struct(F.abs(F.col("quality") - a).alias("gap"), F.lit(a).alias("anchor")) for a in ANCHORS]))
+    out = got.groupBy(key).agg(
+        of("factor_recall", "score").alias("factor_recall"), of("similarity", "score").alias("similarity"), of("quality", "score").alias("quality"),
+        of("verdict", "verdict").alias("verdict"), of("outcome", "verdict").alias("outcome"), of("grounding", "verdict").alias("grounded"),
+    )
+    return out.withColumn("anchor", F.when(F.col("quality").isNotNull(), near["anchor"])).select(key, "factor_recall", "similarity", "quality", "anchor", "verdict", "outcome", "grounded")

@@ -151,3 +151,31 @@ def judgments(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """JSON Lines of several judges; adds judge, the name of each file's folder."""
     df = spark.read.schema(schema).json(glob)
     return df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("judge"))
+
+
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document as a row; a section that the schema names and the document lacks is an error."""
+    doc = spark.read.text(path, wholetext=True)
+    want = T._parse_datatype_string(schema)
+    out = doc.select(F.from_json("value", want).alias("v"))
+    there = [F.when(F.get_json_object(doc["value"], f"$.{f.name}").isNull(), F.raise_error(F.lit(f"{f.name} is missing"))).otherwise(F.lit(True)) for f in want.fields]
+    ok = doc.select(F.from_json("value", want).alias("v"), *[x.alias(f"__{i}") for i, x in enumerate(there)])
+    return ok.where(F.expr(" and ".join(f"__{i}" for i in range(len(there))))).select("v.*") if there else out.select("v.*")
+
+
+def files_with(spark: SparkSession, folder: str, part: str) -> list[str]:
+    """Paths of a folder's files whose names hold a text; an error if there are none."""
+    names = spark.read.format("binaryFile").load(folder).select("path").where(F.regexp_extract("path", r"([^/]+)$", 1).contains(part))
+    found = sorted(r[0] for r in names.limit(100_001).collect())
+    if not found:
+        raise FileNotFoundError(f"no file of {folder} holds {part!r}")
+    return found
+
+
+def refused(url: Column, hosts: Sequence[str]) -> Column:
+    """Whether an address is on a host that asks not to be read, or below one."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
+    out = F.lit(False)
+    for h in hosts:
+        out = out | (host == h) | host.endswith("." + h)
+    return out

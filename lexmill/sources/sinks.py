@@ -62,3 +62,33 @@ def rating_sheet(manifest: DataFrame, questions: DataFrame, references: DataFram
     """The manifest with question, reference, answer and a column for each judge's score, all by key; what is missing is null."""
     out = manifest.join(questions, key, "left").join(references, key, "left").join(answers, key, "left")
     return out.join(scores.groupBy(key).pivot("judge", list(judges)).agg(F.avg("score")), key, "left")
+
+
+#: Files that the driver writes one by one, at most.
+MOST_FILES = 10_000
+
+
+def named_files(spark, folder: str, files: dict[str, str]) -> None:
+    """Small files under names of their own, by the session's file system; for reports and single documents, not for tables."""
+    if len(files) > MOST_FILES:
+        raise ValueError("more files than the driver writes one by one")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, content in files.items():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
+        try:
+            out.write(bytearray(content.encode()))
+        finally:
+            out.close()
+
+
+def save_json(spark, folder: str, name: str, value) -> None:
+    """A value as one JSON document."""
+    import json
+
+    named_files(spark, folder, {name: json.dumps(value, ensure_ascii=False, sort_keys=True)})
+
+
+def write_once(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """JSON Lines beside what is there: a log that only grows."""
+    df.select(*columns).write.mode("append").json(path)
