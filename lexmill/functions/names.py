@@ -1,14 +1,14 @@
-"""Names swapped in texts, with a check that nothing else changed."""
+"""Names swapped in texts, in built-in functions, and what tells whether anything else changed."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lexmill.operators.relational import multiset_difference
 
 # Gendered honorifics, and pronouns by the direction of a swap ("her" is taken as possessive).
 HONORIFICS = ("mr", "mrs", "ms", "miss", "mister", "madam", "sir")
@@ -16,56 +16,57 @@ PRONOUNS = {
     "female": (("he", "she"), ("him", "her"), ("his", "her"), ("himself", "herself")),
     "male": (("she", "he"), ("herself", "himself"), ("hers", "his"), ("her", "his")),
 }
+_BEFORE, _BEHIND = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
-def swap(text: str, forms: dict[str, str], gender: str | None = None) -> str:
-    """Each form of a name by its new one, longest first, only as whole words; with a gender also pronouns, capitals kept.
+def _in_one_pass(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Each pattern by its text, in order, as whole words: what is found first becomes a mark that no text has, so that nothing is
+    replaced twice."""
+    mark = "\ue000{}\ue001".format
+    for i, (pattern, _) in enumerate(rules):
+        text = F.regexp_replace(text, f"{_BEFORE}(?:{pattern}){_BEHIND}", mark(i))
+    for i, (_, new) in enumerate(rules):
+        text = F.replace(text, F.lit(mark(i)), F.lit(new))
+    return text
 
-    All replacements are made in one pass, so that a new name is never replaced again.
-    """
-    longest_first = sorted(forms, key=len, reverse=True)
-    names = re.compile("|".join(rf"(?<!\w){re.escape(k)}(?!\w)" for k in longest_first) or r"(?!)")
-    out = names.sub(lambda m: forms[m[0]], text)
-    if gender:
-        new = dict(PRONOUNS[gender])
-        some = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(new, key=len, reverse=True))})(?!\w)", re.I)
-        out = some.sub(lambda m: new[m[0].lower()].capitalize() if m[0][0].isupper() else new[m[0].lower()], out)
-    return out
 
+def replaced(text: Column, forms: dict[str, str]) -> Column:
+    """Each form by its new one, longest first."""
+    return _in_one_pass(text, [(re.escape(k), forms[k]) for k in sorted(forms, key=lambda k: (-len(k), k))])
 
-def counts(text: str) -> Counter:
-    return Counter(w.lower() for w in re.findall("[A-Za-z]+", text))
 
+def swapped(text: Column, forms: dict[str, str], gender: str | None = None) -> Column:
+    """Names by their new ones; with a gender pronouns too, capitalised where they were."""
+    out = replaced(text, forms)
+    if not gender:
+        return out
+    turned = []
+    for old, new in PRONOUNS[gender]:
+        turned.append((f"{old[0].upper()}(?i:{old[1:]})", new.capitalize()))
+        turned.append((f"{old[0]}(?i:{old[1:]})", new))
+    return _in_one_pass(out, turned)
 
-def unexpected(before: str, after: str, names: list[str], gender_swapped: bool) -> set[str]:
-    """Words whose counts differ although they are no name, honorific or (after a swap of gender) pronoun."""
-    a, b = counts(before), counts(after)
-    allowed = {w for n in names for w in counts(n)} | set(HONORIFICS)
-    if gender_swapped:
-        allowed |= {w for pairs in PRONOUNS.values() for pair in pairs for w in pair}
-    return (set(a - b) | set(b - a)) - allowed
 
+def words_of(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys, word): every word of a-z in a text, lower-cased."""
+    return df.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)).alias("word"))
 
-def leaks(after: str, old: list[str], new: list[str]) -> set[str]:
-    """Old names that are still there and aren't new ones."""
-    return {n for n in old if n.lower() in counts(after)} - {n for n in old if n.lower() in {x.lower() for x in new}}
 
+def changed_words(df: DataFrame, keys: Sequence[str], before: str, after: str, allowed: DataFrame) -> DataFrame:
+    """(keys, word, n_a, n_b): words that a text has more or less often than before, other than those of allowed (word)."""
+    moved = multiset_difference(words_of(df, keys, before), words_of(df, keys, after), list(keys), "word")
+    return moved.join(allowed.select("word").distinct(), "word", "left_anti").select(*keys, "word", "n_a", "n_b")
 
-def swap_column(text: Column, forms: dict[str, str], gender: str | None = None) -> Column:
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: swap(x, forms, gender), na_action="ignore")
 
-    return run(text)
+def leaked_words(df: DataFrame, keys: Sequence[str], after: str, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(keys, word): words of old names (word) that a text still has and that no new name (word) has."""
+    gone = old.select("word").distinct().join(new.select("word").distinct(), "word", "left_anti")
+    return words_of(df, keys, after).distinct().join(gone, "word", "left_semi")
 
 
-def replaced(text: Column, forms: dict[str, str]) -> Column:
-    """Each form by its new one, longest first and only as whole words, in built-in functions: every form is first taken by a mark that
-    no text has, so that a new form is never replaced again."""
-    longest = sorted(forms, key=lambda k: (-len(k), k))
-    mark = "\ue000{}\ue001".format
-    for i, k in enumerate(longest):
-        text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}_]){re.escape(k)}(?![\p{{L}}\p{{N}}_])", mark(i))
-    for i, k in enumerate(longest):
-        text = F.replace(text, F.lit(mark(i)), F.lit(forms[k]))
-    return text
+def may_change(spark, names: Sequence[str], gender_swapped: bool) -> DataFrame:
+    """(word): what a swap may touch: words of names, honorifics and, after a swap of gender, pronouns."""
+    words = {w for n in names for w in re.findall("[a-z]+", n.lower())} | set(HONORIFICS)
+    if gender_swapped:
+        words |= {w for pairs in PRONOUNS.values() for pair in pairs for w in pair}
+    return spark.createDataFrame([(w,) for w in sorted(words)], "word string")

@@ -29,7 +29,7 @@ FURNITURE = (
     ("statutory_citation", r"\b\d+\s*U\.?S\.?C\.?|\bC\.?F\.?R\.?\s*§|§\s*\d|\bRule\s+\d+[a-z]?[-–]?\d|\bSection\s+\d+\([a-z]\)"),
     ("scotus_boilerplate", r"syllabus|Reporter of Decisions|Detroit Timber|constitutes no part of the opinion"),
     ("pleading_template", r"unless enjoined|reasonably likely to continue|substantial assistance|in connection with the purchase or sale|knowingly or recklessly|for the foregoing reasons|failed to state a claim|upon which relief can be granted"),
-    ("quoted_precedent", r"\b\d+\s+F\.\s?(?:2d|3d|4th|Supp\.?)|\b\d+\s+U\.\s?S\.\s+\d+|[“\"][^”\"]{40,}[”\"]"),
+    ("quoted_precedent", r"\b\d+\s+F\.\s?(?:2d|3d|4th|Supp\.?)|\b\d+\s+U\.\s?S\.\s+\d+|\([A-Z][a-z]*\.?\s*Cir\.\s*\d{4}\)|\bv\.\s+[A-Z][\w.]+.{0,40}\d{3}|[“\"][^”\"]{40,}[”\"]"),
     ("court_furniture", r"UNITED STATES COURT OF APPEALS|FOR PUBLICATION|Before:.*Circuit Judges|Argued|Submitted|Decided:|NOT FOR PUBLICATION|PER CURIAM"),
 )
 

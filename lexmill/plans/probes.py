@@ -81,21 +81,41 @@ def probe_questions(t):
     return op.questions(t.documents, "doc_id", "text")
 
 
-@query()
+def _swapped(t):
+    text = F.concat(F.lit("Mr. Ann Lee said that he and "), F.col("c_name"), F.lit(" met Lee; His view was that Leeway, he said himself, matters. "), F.when(F.col("c_custkey") % 5 == 0, "Annie saw Ann.").otherwise("No more."))
+    x = t.customer.select("c_custkey", text.alias("before"))
+    return x.withColumn("after", names.swapped(F.col("before"), {"Mr. Ann Lee": "Ms. Eve Roe", "Lee": "Roe", "Ann": "Eve"}, "female"))
+
+
+_SWAPPED = "x AS (SELECT c_custkey, 'Ms. Eve Roe said that she and '||c_name||' met Roe; Her view was that Leeway, she said herself, matters. '||CASE WHEN c_custkey%5=0 THEN 'Annie saw Eve.' ELSE 'No more.' END AS after FROM customer)"
+
+
+@query(f"WITH {_SWAPPED} SELECT c_custkey, after AS text FROM x")
 def name_swaps(t):
-    """Names swapped in texts."""
-    text = F.concat(F.lit("Mr. Ann Lee said that he and "), F.col("c_name"), F.lit(" met Lee; his view was that Leeway matters."))
-    return t.customer.select("c_custkey", names.swap_column(text, {"Mr. Ann Lee": "Ms. Eve Roe", "Lee": "Roe", "Ann": "Eve"}, "female").alias("text"))
+    """Names swapped in texts, with pronouns."""
+    return _swapped(t).select("c_custkey", F.col("after").alias("text"))
 
 
-@query()
-def heading_scores(t):
-    """headings of each page against the next one's."""
-    from pyspark.sql import Window
+@query("""SELECT c_custkey, 'met' AS word, 1 AS n_a, 0 AS n_b, false AS leak FROM customer WHERE c_custkey%7=0 UNION ALL SELECT c_custkey, 'knew', 0, 1, false FROM customer WHERE c_custkey%7=0 UNION ALL SELECT c_custkey, 'lee', NULL, NULL, true FROM customer WHERE c_custkey%11=0""")
+def name_swap_check(t):
+    """Words that a swap should not have touched, and old names that it left."""
+    x = _swapped(t).withColumn("after", F.when(F.col("c_custkey") % 7 == 0, F.replace("after", F.lit(" met "), F.lit(" knew "))).otherwise(F.col("after")))
+    x = x.withColumn("after", F.when(F.col("c_custkey") % 11 == 0, F.concat("after", F.lit(" Mrs. Lee"))).otherwise(F.col("after")))
+    changed = names.changed_words(x, ["c_custkey"], "before", "after", names.may_change(t.spark, ["Ann Lee", "Eve Roe"], True))
+    of = lambda *w: t.spark.createDataFrame([(v,) for v in w], "word string")
+    leaks = names.leaked_words(x, ["c_custkey"], "after", of("ann", "lee"), of("eve", "roe"))
+    none = F.lit(None).cast("bigint")
+    return changed.withColumn("leak", F.lit(False)).union(leaks.select("c_custkey", "word", none, none, F.lit(True)))
 
+
+@query(r"""WITH h AS (SELECT page_id, array_to_string(regexp_extract_all(html,'<li><a[^>]*>([^<]+)</a>',1),'; ') AS t FROM pages), l AS (SELECT page_id, list_filter(list_transform(string_split_regex(t,'[\n;]+'), lambda p: trim(regexp_replace(regexp_replace(lower(regexp_replace(trim(p),'^\s*(?:[IVXL]+|[A-Za-z]|\d{1,2})[.)]\s*','')),'[^\p{L}\p{N}_\s]',' ','g'),'\s+',' ','g'))), lambda x: len(x)>=3) AS h FROM h),
+x AS (SELECT g.page_id, g.h AS g, p.h AS p FROM l g JOIN l p ON p.page_id+8=g.page_id WHERE len(g.h)>0), y AS (SELECT *, len(list_filter(g, lambda a: len(list_filter(p, lambda b: contains(b,a) OR contains(a,b) OR len(list_intersect(list_distinct(string_split(a,' ')),list_distinct(string_split(b,' '))))>=0.6*len(list_distinct(string_split(a,' ')))))>0)) AS f, list_distinct(flatten(list_transform(g, lambda a: string_split(a,' ')))) AS k, flatten(list_transform(p, lambda a: string_split(a,' '))) AS s FROM x),
+z AS (SELECT *, f*1.0/len(g) AS r, least(1.0, len(list_filter(s, lambda w: NOT list_contains(k,w)))*1.0/len(k)) AS m FROM y) SELECT page_id, CAST(floor(r*1e6+0.5) AS BIGINT) AS recall, CAST(greatest(0,len(p)-f) AS INTEGER) AS extras, CAST(floor(greatest(0.0,r-0.5*m)*1e6+0.5) AS BIGINT) AS score, CAST(len(g) AS INTEGER) AS n_gold, CAST(len(p) AS INTEGER) AS n_pred FROM z""")
+def heading_scores(t):
+    """headings of each page against those of the page eight before."""
     h = t.pages.select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r"<li><a[^>]*>([^<]+)</a>"), 1), "; ").alias("gold"))
-    x = h.withColumn("pred", F.lag("gold").over(Window.partitionBy(F.col("page_id") % 8).orderBy("page_id")))
-    return x.select("page_id", headings.heading_score("pred", "gold").alias("s")).select("page_id", "s.*")
+    x = h.join(h.select((F.col("page_id") + 8).alias("page_id"), F.col("gold").alias("pred")), "page_id")
+    return _m(headings.heading_scores(x, ["page_id"], "pred", "gold"), "recall", "score")
 
 
 @query()

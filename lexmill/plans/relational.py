@@ -107,17 +107,11 @@ def common_arm_split(t):
     return t.orders.select(arm.alias("arm"), own.alias("model_arm")).groupBy("arm", "model_arm").agg(F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT page_id, regexp_extract(url,'^https?://([^/?#]+)',1) AS host, md5(html) AS body, page_id%50 AS slot FROM pages WHERE page_id%2=1), o AS (SELECT regexp_extract(url,'^https?://([^/?#]+)',1) AS host, md5(html) AS body, page_id%50 AS slot FROM pages WHERE page_id%2=0 AND page_id<40)
-SELECT page_id, host FROM n WHERE host NOT IN (SELECT host FROM o) AND body NOT IN (SELECT body FROM o) AND slot NOT IN (SELECT slot FROM o)""")
+@query("""WITH RECURSIVE p AS (SELECT page_id, nullif(lower(regexp_extract(url,'(?i)^https?://([^?#]*)',1)),'') AS address, nullif(trim(regexp_replace(lower(regexp_extract(html,'(?i)<title[^>]*>([^<]*)',1)),'[^\\p{L}\\p{N}]+',' ','g')),'') AS title, coalesce(regexp_matches(url,'^(?i)https:'),false) AS new FROM pages),
+n AS (SELECT *, row_number() OVER (ORDER BY page_id) AS k FROM p WHERE new AND (address IS NULL OR address NOT IN (SELECT address FROM p WHERE NOT new AND address IS NOT NULL)) AND (title IS NULL OR title NOT IN (SELECT title FROM p WHERE NOT new AND title IS NOT NULL))),
+r AS (SELECT 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS t, false AS keep UNION ALL SELECT n.k, CASE WHEN z THEN list_append(r.a, address) ELSE r.a END, CASE WHEN z THEN list_append(r.t, title) ELSE r.t END, z FROM (SELECT r.k AS rk, r.a, r.t FROM r) r JOIN (SELECT * FROM n) n ON n.k=r.rk+1, LATERAL (SELECT NOT coalesce(list_contains(r.a, address),false) AND NOT coalesce(list_contains(r.t, title),false) AS z))
+SELECT page_id, address, title FROM n JOIN r USING (k) WHERE keep""")
 def three_layer_dedup(t):
-    """Pages new by host, by body and by slot."""
-    p = t.pages.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.md5(F.col("html").cast("binary")).alias("body"), (F.col("page_id") % 50).alias("slot"))
-    new, old = p.where("page_id % 2 = 1"), p.where("page_id % 2 = 0 and page_id < 40")
-    return op.three_layer_dedup(new, old, ["host", "body", "slot"]).select("page_id", "host")
-
-
-@query()
-def three_layer_dedup_whole(t):
     """Pages by https that are new by address, folded title and id against all others, one page for each of these."""
     title = F.trim(F.regexp_replace(F.lower(F.regexp_extract("html", r"(?i)<title[^>]*>([^<]*)", 1)), r"[^\p{L}\p{N}]+", " "))
     address = F.lower(F.regexp_extract("url", r"^(?i:https?)://([^?#]*)", 1))

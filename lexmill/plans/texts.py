@@ -39,21 +39,11 @@ def _cases(text: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text},'(?i){_re(p)}') THEN '{k}'" for k, p in rules.FURNITURE) + " END"
 
 
-@query(f"""WITH s AS (SELECT item_id, text, item_id%7/10.0 AS self, item_id%5/10.0 AS post, CASE WHEN item_id%3=0 THEN 'post' ELSE 'pre' END AS arm FROM benchmark UNION ALL SELECT 1000+doc_id, substr(text,1,800), 0.0, 0.0, 'pre' FROM documents)
-SELECT item_id, CASE WHEN self>=0.25 THEN 'in_document_repetition' WHEN post>=0.25 THEN 'recurring_furniture' WHEN arm LIKE '%post%' THEN 'post_cutoff_predictable' WHEN ({_cases("substr(text,1,100)")}) IS NOT NULL THEN 'furniture_by_pattern' WHEN ({_cases("text")}) IS NOT NULL THEN 'quoted_in_context' ELSE 'MEMORISATION_CANDIDATE' END AS verdict, coalesce(({_cases("text")}),'-') AS category FROM s""")
-def hotspot_verdicts(t):
-    """K3: what makes a span unremarkable."""
-    s = t.benchmark.select("item_id", "text", (F.col("item_id") % 7 / 10).alias("self"), (F.col("item_id") % 5 / 10).alias("post"), F.when(F.col("item_id") % 3 == 0, "post").otherwise("pre").alias("arm"))
-    s = s.union(t.documents.select(F.col("doc_id") + 1000, F.substring("text", 1, 800), F.lit(0.0), F.lit(0.0), F.lit("pre")))
-    category, near = rules.first_match(F.substring("text", 1, 100), rules.FURNITURE), rules.first_match(F.col("text"), rules.FURNITURE)
-    return s.select("item_id", rules.hotspot_verdict(F.col("self"), F.col("post"), F.col("arm"), category, near).alias("verdict"), F.coalesce(near, F.lit("-")).alias("category"))
-
-
 @query(f"""WITH d AS (SELECT doc_id, text, unnest(range(0, greatest(len(text),1), 400)) AS lo FROM documents), s AS (SELECT 'item' AS kind, item_id AS id, 0 AS lo, text AS span, text AS near, item_id%7/10.0 AS self, item_id%5/10.0 AS post, CASE WHEN item_id%3=0 THEN 'post' ELSE 'pre' END AS arm FROM benchmark
 UNION ALL SELECT 'document', doc_id, lo, substr(text,lo+1,400), substr(text,greatest(lo-400,0)+1,least(lo,400)+800), 0.0, 0.0, 'pre' FROM d)
 SELECT kind, id, CAST(lo AS INT) AS lo, CASE WHEN self>=0.25 THEN 'in_document_repetition' WHEN post>=0.25 THEN 'recurring_furniture' WHEN arm LIKE '%post%' THEN 'post_cutoff_predictable' WHEN ({_cases("span")}) IS NOT NULL THEN 'furniture_by_pattern' WHEN ({_cases("near")}) IS NOT NULL THEN 'quoted_in_context' ELSE 'MEMORISATION_CANDIDATE' END AS verdict, coalesce(({_cases("span")}),'-') AS category, coalesce(({_cases("near")}),'-') AS category_near FROM s""")
-def hotspot_verdicts_whole(t):
-    """K3: the same for spans of 400 characters over every whole document, each with the 400 characters on either side."""
+def hotspot_verdicts(t):
+    """K3: what makes a span unremarkable: items, and spans of 400 characters over every document with 400 on either side."""
     b = t.benchmark.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.lit(0).alias("lo"), F.col("text").alias("span"), F.col("text").alias("near"), (F.col("item_id") % 7 / 10).alias("self"), (F.col("item_id") % 5 / 10).alias("post"), F.when(F.col("item_id") % 3 == 0, "post").otherwise("pre").alias("arm"))
     d = t.documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(400))).alias("lo"))
     near = F.substring("text", F.greatest(F.col("lo") - 400, F.lit(0)) + 1, F.least("lo", F.lit(400)) + 800)

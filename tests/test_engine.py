@@ -81,7 +81,7 @@ def test_hotspots_behind_the_beginning(spark, tmp_path):
     text = "word " * 400 + "for the foregoing reasons " + "word " * 400
     spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.lo: r.verdict for r in QUERIES["hotspot_verdicts_whole"](spark, str(tmp_path)).collect()}
+    got = {r.lo: r.verdict for r in QUERIES["hotspot_verdicts"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(0, len(text), 400)) and got[2000] == "furniture_by_pattern"
     assert {lo for lo, v in got.items() if v == "quoted_in_context"} == {1600, 2400}
 
@@ -196,7 +196,7 @@ def test_layers_over_all_pages(spark, tmp_path):
     page = lambda i, url, title: (i, url, f"<title>{title}</title>")
     rows = [page(200, "http://a.org/x", "One"), page(101, "https://a.org/x?q=1", "Two"), page(102, "https://b.org/", "one!"), page(104, "https://c.org/", "Three"), page(106, "https://c.org/#top", "Four"), page(108, "https://d.org/", "Four")]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    assert sorted(r.page_id for r in QUERIES["three_layer_dedup_whole"](spark, str(tmp_path)).collect()) == [104, 108]
+    assert sorted(r.page_id for r in QUERIES["three_layer_dedup"](spark, str(tmp_path)).collect()) == [104, 108]
 
 
 def test_sources(spark, tmp_path):
@@ -287,15 +287,21 @@ def test_workspace_roundtrip(spark):
 def test_names_headings_vocabulary(spark):
     from lexmill.functions import headings, names
 
-    before = "Mr. Ann Lee said he knew Lee; His Leeway is himself."
-    after = names.swap(before, {"Mr. Ann Lee": "Ms. Eve Roe", "Lee": "Roe"}, "female")
-    assert after == "Ms. Eve Roe said she knew Roe; Her Leeway is herself."
-    assert not names.unexpected(before, after, ["Ann", "Lee", "Eve", "Roe"], True) and not names.leaks(after, ["Ann", "Lee"], ["Eve", "Roe"])
-    assert names.unexpected(before, after.replace("knew", "met"), ["Ann", "Lee", "Eve", "Roe"], True) == {"knew", "met"} and names.leaks(before, ["Ann"], []) == {"Ann"}
+    x = spark.createDataFrame([(1, "Mr. Ann Lee said he knew Lee; His Leeway is himself. HE too.")], "k int, before string")
+    x = x.withColumn("after", names.swapped(F.col("before"), {"Mr. Ann Lee": "Ms. Eve Roe", "Lee": "Roe"}, "female"))
+    assert x.first().after == "Ms. Eve Roe said she knew Roe; Her Leeway is herself. She too."
+    allowed = names.may_change(spark, ["Ann Lee", "Eve Roe"], True)
+    word = lambda *w: spark.createDataFrame([(v,) for v in w], "word string")
+    assert names.changed_words(x, ["k"], "before", "after", allowed).count() == 0
+    assert names.leaked_words(x, ["k"], "after", word("ann", "lee"), word("eve", "roe")).count() == 0
+    wrong = x.withColumn("after", F.replace("after", F.lit("knew"), F.lit("met")))
+    assert {r.word for r in names.changed_words(wrong, ["k"], "before", "after", allowed).collect()} == {"knew", "met"}
+    assert {r.word for r in names.leaked_words(x, ["k"], "before", word("ann", "lee"), word("lee")).collect()} == {"ann"}
     gold = "I. Background facts; II. Standard of review"
-    assert headings.score(gold, gold) == {"recall": 1.0, "extras": 0, "score": 1.0, "gold": 2, "pred": 2}
-    assert headings.score("Background facts; invented words here", gold)["recall"] == 0.5 and headings.score("x", "") is None
+    rows = [(1, gold, gold), (2, "Background facts; invented words here", gold), (3, "x", ""), (4, None, gold)]
+    got = {r.k: r for r in headings.heading_scores(spark.createDataFrame(rows, "k int, p string, g string"), ["k"], "p", "g").collect()}
+    assert set(got) == {1, 2, 4} and got[1][1:] == (1.0, 0, 1.0, 2, 2) and got[2].recall == 0.5 and got[4].score == 0
     words = ["a", "b"]
     assert headings.resolve([0, "1", "new", "new", 9, True, None, " ", 2], words) == ["a", "b", "new", "new", None, None, None, None, "new"] and words == ["a", "b", "new"]
-    r = spark.createDataFrame([("ab  c", gold), (None, None)], "t string, g string").select(headings.word_spans("t").alias("w"), headings.heading_score("g", "g").alias("s")).collect()
-    assert [tuple(x) for x in r[0].w] == [(0, 2), (4, 5)] and r[0].s.score == 1.0 and r[1].w is None
+    r = spark.createDataFrame([("ab  c",), (None,)], "t string").select(headings.word_spans("t").alias("w")).collect()
+    assert [tuple(x) for x in r[0].w] == [(0, 2), (4, 5)] and r[1].w is None
