@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.numbers import ratio
@@ -34,19 +34,37 @@ def judge_pairs(ratings: DataFrame, unit: str, judge: str, value: str) -> DataFr
     return left.join(right, unit).where("a < b")
 
 
+def average_ranks(counts: DataFrame, by: Sequence[str], value: str, n: str) -> DataFrame:
+    """counts with rank: the average rank of a value among a group's values, of which counts has each different one once, n times.
+
+    Values are ordered within a group by a window over the different ones only: as many rows as a scale has steps.
+    """
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.withColumn("rank", before + (F.col(n) + 1) / 2)
+
+
 def pair_agreement(pairs: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, n, pearson, spearman, mean_diff, mad) for pairs of judges with at least so many common units.
 
-    Spearman is the correlation of average ranks within the pair's common units.
+    Spearman is the correlation of average ranks within the pair's common units. Pairs are counted by (a, b, x, y) first, so that
+    what goes on has a row for each different pair of values, not for each unit.
     """
-    w = lambda v: Window.partitionBy("a", "b").orderBy(v)
-    ties = lambda v: F.count("*").over(Window.partitionBy("a", "b", v))
-    r = pairs.withColumn("rx", F.rank().over(w("x")) + (ties("x") - 1) / 2).withColumn("ry", F.rank().over(w("y")) + (ties("y") - 1) / 2)
-    return (
-        r.groupBy("a", "b")
-        .agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.avg(F.col("x") - F.col("y")).alias("mean_diff"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mad"))
-        .where(F.col("n") >= least)
+    c = pairs.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    for v in ("x", "y"):
+        ranks = average_ranks(c.groupBy("a", "b", v).agg(F.sum("n").alias("__n")), ["a", "b"], v, "__n")
+        c = c.join(ranks.select("a", "b", v, F.col("rank").alias(f"r{v}")), ["a", "b", v])
+    n = F.sum("n")
+
+    def corr(x: str, y: str) -> Column:
+        x, y = F.col(x), F.col(y)
+        s = lambda e: F.sum(F.col("n") * e)
+        return F.try_divide(n * s(x * y) - s(x) * s(y), F.sqrt((n * s(x * x) - s(x) * s(x)) * (n * s(y * y) - s(y) * s(y))))
+
+    mean = lambda e: F.sum(F.col("n") * e) / n
+    out = c.groupBy("a", "b").agg(
+        n.alias("n"), corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"), mean(F.col("x") - F.col("y")).alias("mean_diff"), mean(F.abs(F.col("x") - F.col("y"))).alias("mad")
     )
+    return out.where(F.col("n") >= least)
 
 
 def anchor_agreement(pairs: DataFrame, levels: Sequence[float]) -> DataFrame:
@@ -60,11 +78,24 @@ def anchor_agreement(pairs: DataFrame, levels: Sequence[float]) -> DataFrame:
 
 
 def judge_usage(ratings: DataFrame, judge: str, value: str) -> DataFrame:
-    """(judge, n, mean, sd, median, at_max): at_max is the share of a judge's ratings at its own maximum."""
-    top = ratings.withColumn("__m", F.max(value).over(Window.partitionBy(judge)))
-    return top.groupBy(judge).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.median(value).alias("median"), F.avg((F.col(value) == F.col("__m")).cast("int")).alias("at_max")
-    )
+    """(judge, n, mean, sd, median, at_max): at_max is the share of a judge's ratings at its own maximum, of all its rows.
+
+    Ratings are counted by judge and value first; all figures come from these counts.
+    """
+    v = F.col(value)
+    c = ratings.groupBy(judge, v.cast("double").alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(judge)
+    c = c.withColumn("upto", F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).over(w.orderBy(F.col("v").asc_nulls_last())))
+    c = c.withColumn("all", F.sum("c").over(w)).withColumn("n", F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).over(w)).withColumn("max", F.max("v").over(w))
+    some = F.col("v").isNotNull()
+    # the two middle ratings, by the first value whose count reaches them
+    low = F.min(F.when(some & (F.col("upto") >= F.floor((F.col("n") + 1) / 2)), F.col("v")))
+    high = F.min(F.when(some & (F.col("upto") >= F.floor(F.col("n") / 2) + 1), F.col("v")))
+    n, s, q = (F.sum(F.when(some, F.col("c") * e)) for e in (F.lit(1), F.col("v"), F.col("v") * F.col("v")))
+    return c.groupBy(judge).agg(
+        F.coalesce(n, F.lit(0)).alias("n"), F.try_divide(s, n).alias("mean"), F.sqrt(F.try_divide(q - s * s / n, n - 1)).alias("sd"), ((low + high) / 2).alias("median"),
+        F.try_divide(F.sum(F.when(F.col("v") == F.col("max"), F.col("c")).otherwise(0)).cast("double"), F.sum(F.when(F.col("max").isNotNull(), F.col("c")))).alias("at_max"),
+    )
 
 
 def spread(ratings: DataFrame, unit: str, value: str) -> DataFrame:
@@ -95,17 +126,27 @@ def profiles(selected: DataFrame, model: str, feature: str, case: str) -> DataFr
     return n.select(model, feature, ratio("c", F.sum("c").over(Window.partitionBy(model))).alias("p"))
 
 
+#: Models of a pairwise matrix: their list goes to every task.
+MOST_MODELS = 2_000
+
+
 def jsd(profile: DataFrame, model: str, feature: str) -> DataFrame:
-    """(a, b, d): Jensen-Shannon divergence in bits of each pair of models, a < b.
+    """(a, b, d): Jensen-Shannon divergence in bits of each pair of models, a < b; 1 where two have no feature in common.
 
-    Features that only one of two has add p / 2 each: d = 1 - (shared mass) / 2 + what shared features add.
+    Features that only one of two has add p / 2 each: d = 1 - (shared mass) / 2 + what shared features add. Pairs come from the list
+    of models, which is counted.
     """
+    models = profile.select(model).distinct()
+    if models.limit(MOST_MODELS + 1).count() > MOST_MODELS:
+        raise ValueError("more models than a matrix of pairs is made for")
+    every = models.select(F.col(model).alias("a")).join(F.broadcast(models.select(F.col(model).alias("b"))), F.col("a") < F.col("b"))
     l, r = profile.select(F.col(model).alias("a"), feature, F.col("p")), profile.select(F.col(model).alias("b"), feature, F.col("p").alias("q"))
     m = (F.col("p") + F.col("q")) / 2
-    both = l.join(r, feature).where("a < b").groupBy("a", "b").agg(
+    shared = l.join(r, feature).where("a < b").groupBy("a", "b").agg(
         F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.sum(F.col("p") * F.log2(F.col("p") / m) / 2 + F.col("q") * F.log2(F.col("q") / m) / 2).alias("k")
     )
-    return both.select("a", "b", (F.col("k") + (1 - F.col("sp")) / 2 + (1 - F.col("sq")) / 2).alias("d"))
+    d = F.col("k") + (1 - F.col("sp")) / 2 + (1 - F.col("sq")) / 2
+    return every.join(shared, ["a", "b"], "left").select("a", "b", F.coalesce(d, F.lit(1.0)).alias("d"))
 
 
 def family_ratio(pairs: DataFrame, families: DataFrame, model: str, family: str) -> DataFrame:
@@ -116,10 +157,10 @@ def family_ratio(pairs: DataFrame, families: DataFrame, model: str, family: str)
 
 
 def family_recovery(pairs: DataFrame, families: DataFrame, model: str, family: str) -> DataFrame:
-    """(n, hits, chance): how often a model's nearest neighbour is of its family, and how often a random one would be."""
+    """(n, hits, chance): how often a model's nearest neighbour is of its family, and how often a random one would be, among the models
+    that have pairs."""
     f = families.select(model, family)
-    sizes = f.groupBy(family).agg(F.count("*").alias("nf"))
     x = nearest(pairs).join(f.select(F.col(model).alias("a"), F.col(family).alias("fa")), "a").join(f.select(F.col(model).alias("nearest"), F.col(family).alias("fb")), "nearest")
-    x = x.join(sizes.withColumnRenamed(family, "fa"), "fa")
-    n = F.count("*")
-    return x.agg(n.alias("n"), F.count_if(F.col("fa") == F.col("fb")).alias("hits"), F.try_divide(F.avg(F.col("nf") - 1), (n - 1).cast("double")).alias("chance"))
+    by = x.groupBy("fa").agg(F.count("*").alias("nf"), F.count_if(F.col("fa") == F.col("fb")).alias("hits"))
+    n = F.sum("nf")
+    return by.agg(n.alias("n"), F.sum("hits").alias("hits"), F.try_divide((F.sum(F.col("nf") * (F.col("nf") - 1))).cast("double"), (n * (n - 1)).cast("double")).alias("chance"))

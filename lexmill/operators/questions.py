@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.numbers import ratio
 from lexmill.functions.text import sentences, split_prompt
+from lexmill.operators.relational import place_in_group
 
 LENGTHS = (6, 12, 24, 48)
 
@@ -36,13 +37,13 @@ def questions(df: DataFrame, key: str, text: str, depths: Sequence[float] = (0.2
 
 def span_ids(df: DataFrame, group: str, prefix: Column, order: Sequence[Column]) -> DataFrame:
     """Adds id: a prefix and a number of four digits within each group."""
-    return df.withColumn("id", F.format_string("%s%04d", prefix, F.row_number().over(Window.partitionBy(group).orderBy(*order))))
+    return place_in_group(df, group, order, "__k").withColumn("id", F.format_string("%s%04d", prefix, F.col("__k") + 1)).drop("__k")
 
 
 def batches(df: DataFrame, by: str, order: Sequence[Column], size: int) -> DataFrame:
     """Adds number (from 1) and batch (from 0) within each group."""
-    rn = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("number", rn).withColumn("batch", F.floor((F.col("number") - 1) / size).cast("int"))
+    x = place_in_group(df, by, order, "__k").withColumn("number", (F.col("__k") + 1).cast("int")).drop("__k")
+    return x.withColumn("batch", F.floor((F.col("number") - 1) / size).cast("int"))
 
 
 def judge_matrix(df: DataFrame, generator: str, judge: str, score: str, judges: Sequence) -> DataFrame:

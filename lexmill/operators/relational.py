@@ -78,10 +78,43 @@ def collision_suffix(df: DataFrame, name: str, order: str, out: str = "uid") ->
     return df.withColumn(out, F.when(F.count("*").over(w) > 1, F.concat_ws("__", F.col(name), k.cast("string"))).otherwise(F.col(name)))
 
 
+def place_in_group(df: DataFrame, group: str, order: Sequence[Column], out: str) -> DataFrame:
+    """Adds out: a row's place in its group, from 0, in an order that tells the group's rows apart.
+
+    A window over a group would put it into one task. Instead rows are dealt by ranges of group and order, and written with their
+    place in their partition; where a group's rows of a partition begin follows from a table with a row for each (partition, group).
+    """
+    ws = Workspace(df.sparkSession, "places")
+    keys = [f"__o{i}" for i in range(len(order))]
+    x = df.withColumns({k: _plain(c) for k, c in zip(keys, order, strict=True)})
+    ways = [F.desc_nulls_last(k) if _falls(c) else F.asc_nulls_first(k) for k, c in zip(keys, order, strict=True)]
+    x = x.repartitionByRange(F.col(group), *ways).sortWithinPartitions(F.col(group), *ways).drop(*keys)
+    row = F.monotonically_increasing_id()
+    x = ws.write(x.withColumn("__part", F.shiftright(row, 33)).withColumn("__at", row.bitwiseAND((1 << 33) - 1)), "placed")
+    parts = x.groupBy(F.col(group).alias("__g"), "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__g", F.col("__part").alias("__p"), (before - F.col("__first")).alias("__base"))
+    x = x.join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return x.withColumn(out, F.col("__at") + F.col("__base")).drop("__part", "__at", "__g", "__p", "__base")
+
+
+def _falls(c: Column) -> bool:
+    """Whether a sort column is descending."""
+    return " DESC " in f" {c._jc.toString()} "
+
+
+def _plain(c: Column) -> Column:
+    """The value that a sort column orders by."""
+    text = c._jc.toString()
+    for mark in (" DESC NULLS LAST", " DESC NULLS FIRST", " ASC NULLS FIRST", " ASC NULLS LAST"):
+        if text.endswith(mark):
+            return F.expr(text.removesuffix(mark))
+    return c
+
+
 def round_robin(df: DataFrame, bucket: str, order: Sequence[Column], turn: int = 1) -> DataFrame:
-    """`turn` rows of each bucket in rotation: adds place, from 0, in the interleaved order (bucket by bucket name)."""
-    rn = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
-    out = df.withColumn("__rn", rn).withColumn("round", F.floor(F.col("__rn") / turn).cast("long"))
+    """`turn` rows of each bucket in rotation: adds round and slot, from 0, in the interleaved order (bucket by bucket name)."""
+    out = place_in_group(df, bucket, order, "__rn").withColumn("round", F.floor(F.col("__rn") / turn).cast("long"))
     return out.withColumn("slot", F.pmod("__rn", F.lit(turn)).cast("long")).drop("__rn")
 
 

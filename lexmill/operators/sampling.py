@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,8 @@ def stratified(df: DataFrame, key: str, score: str, edges: list[float], total: i
         more = min(size.get(i, 0) - take[i], carry)
         take[i] += more
         carry -= more
-    order = F.row_number().over(Window.partitionBy("band").orderBy(draw(key, seed), key))
-    quota = F.element_at(F.array(*[F.lit(x) for x in take]), F.col("band") + 1)
-    return rows.withColumn("__rn", order).where(F.col("__rn") <= quota).drop("__rn")
+    parts = [rows.where(F.col("band") == i).orderBy(draw(key, seed), key).limit(n) for i, n in enumerate(take) if n]
+    return reduce(DataFrame.union, parts) if parts else rows.limit(0)
 
 
 def three_strata(df: DataFrame, key: str, spread: str, score: str, n: int, seed: int = 0) -> DataFrame:

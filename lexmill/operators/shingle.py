@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.numbers import ratio
-from lexmill.functions.text import shingle_words, shingles
+from lexmill.functions.text import shingle_words
+from lexmill.session import Workspace
 
 
 def words_once(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -14,33 +15,67 @@ def words_once(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.explode(F.array(shingle_words(F.col(text)))).alias("w"))
 
 
+#: Different shingles of the smaller side that are broadcast as longs; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def shingle_hashes(words: Column, size: int) -> Column:
+    """64-bit hashes of the different shingles of an array of words.
+
+    Shingles go on as these longs: of ten billion different ones two fall together with a probability of some percent.
+    """
+    n = F.size(words)
+    runs = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
+    return F.array_distinct(F.when(n >= size, runs).otherwise(F.array().cast("array<bigint>")))
+
+
 def shingle_table(df: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
     """(key, shingle), each once for a text."""
-    return words_once(df, [key], text).select(key, F.explode(shingles(F.col("w"), size)).alias("shingle"))
+    return words_once(df, [key], text).select(key, F.explode(shingle_hashes(F.col("w"), size)).alias("shingle"))
+
+
+def _among(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of df whose shingle is one of wanted (different ones), before anything is shuffled if these are few."""
+    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return df.join(F.broadcast(wanted) if few else wanted, "shingle", "left_semi")
 
 
 def containment(queries: DataFrame, corpus: DataFrame, key: str, text: str, corpus_key: str, corpus_text: str, size: int = 8) -> DataFrame:
     """(key, corpus_key, shared, share) of the corpus texts that share a shingle with a query text.
 
-    Corpus shingles that no query has are dropped before anything is counted; a shingle that very many texts have is one row
-    for each text and query that has it.
+    Corpus shingles that no query has are dropped where they are made; a shingle that very many texts have is one row for each text
+    and query that has it.
     """
-    q = shingle_table(queries, key, text, size)
-    c = shingle_table(corpus, corpus_key, corpus_text, size)
+    ws = Workspace(queries.sparkSession, "containment")
+    q = ws.write(shingle_table(queries, key, text, size), "queries")
+    c = _among(shingle_table(corpus, corpus_key, corpus_text, size), q.select("shingle").distinct())
     n = q.groupBy(key).agg(F.count("*").alias("n"))
     hits = q.join(c, "shingle").groupBy(key, corpus_key).agg(F.count("*").alias("shared"))
     return hits.join(n, key).select(key, corpus_key, "shared", ratio("shared", "n").alias("share"))
 
 
-def recurrence(spans: DataFrame, corpus: DataFrame, key: str, doc: str, text: str, corpus_doc: str, corpus_text: str, size: int = 8) -> DataFrame:
-    """(key, shingles, recur): the share of a span's shingles that some other document of the corpus has.
+def recurrence(spans: DataFrame, corpus: DataFrame, doc: str, text: str, arm: str, words: str = "words", start: str = "start", size: int = 8) -> DataFrame:
+    """spans (doc, start, words) with shingles, in_post, in_other_pre and in_own: the shares of a span's different shingles that another
+    document of the post arm has, that another one of the pre arm has, and that its own document has wholly before the span.
 
-    Only the number of documents (up to two) and one of them are kept for each shingle, so that a frequent one stays one row.
+    start is the number of words before a span. corpus: (doc, text, arm). Of each shingle only two documents of each arm are kept, the
+    first and the last, so that a frequent one stays one row. A span without shingles is left out; a null arm is in neither.
     """
-    s = words_once(spans, [key, doc], text).select(key, doc, F.explode(shingles(F.col("w"), size)).alias("shingle"))
-    wanted = s.select("shingle").distinct()
-    c = shingle_table(corpus, corpus_doc, corpus_text, size).join(wanted, "shingle", "left_semi")
-    c = c.groupBy("shingle").agg(F.min(corpus_doc).alias("lo"), F.max(corpus_doc).alias("hi"))
-    other = (F.col("lo") != F.col(doc)) | (F.col("hi") != F.col(doc))
-    j = s.join(c, "shingle", "left")
-    return j.groupBy(key).agg(F.count("*").alias("shingles"), ratio(F.count_if(F.coalesce(other, F.lit(False)) & F.col("lo").isNotNull()), F.count("*")).alias("recur"))
+    ws = Workspace(spans.sparkSession, "recurrence")
+    s = spans.select(doc, start, F.explode(shingle_hashes(F.col(words), size)).alias("shingle"))
+    s = ws.write(s, "spans")
+    w = words_once(corpus, [doc, arm], text)
+    n = F.size("w")
+    runs = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.struct(F.xxhash64(F.array_join(F.slice("w", i, size), " ")).alias("shingle"), (i - 1).alias("at")))
+    each = w.where(n >= size).select(doc, arm, F.explode(runs).alias("x")).select(doc, arm, "x.*")
+    each = ws.write(_among(each, s.select("shingle").distinct()).groupBy("shingle", doc, arm).agg(F.min("at").alias("at")), "corpus")
+    ends = [f(F.when(F.col(arm) == a, F.col(doc))).alias(f"{a}_{k}") for a in ("post", "pre") for k, f in (("lo", F.min), ("hi", F.max))]
+    c = each.groupBy("shingle").agg(*ends)
+    own = each.select("shingle", doc, F.col("at").alias("__at"))
+    x = s.join(c, "shingle", "left").join(own, ["shingle", doc], "left")
+    other = lambda a: F.coalesce((F.col(f"{a}_lo") != F.col(doc)) | (F.col(f"{a}_hi") != F.col(doc)), F.lit(False))
+    share = lambda c: ratio(F.count_if(c), F.count("*"))
+    return x.groupBy(doc, start).agg(
+        F.count("*").alias("shingles"), share(other("post")).alias("in_post"), share(other("pre")).alias("in_other_pre"),
+        share(F.coalesce(F.col("__at") + size <= F.col(start), F.lit(False))).alias("in_own"),
+    )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,45 @@ MAX_MODELS = 2_000
 
 
 def _uniform(*parts) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) from a digest, which any engine can make."""
+    parts = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def poisson_steps(most: int = 9) -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, ...: a weight is how many of these a number in [0, 1) reaches."""
+    out, p = [], math.exp(-1)
+    for k in range(1, most + 1):
+        out.append((out[-1] if out else 0.0) + p)
+        p /= k
+    return out
+
+
+def _weight(u: Column) -> Column:
+    out = F.lit(0)
+    for step in poisson_steps():
+        out = out + (u >= step).cast("int")
+    return out
+
+
+def bucket(case: Column | str, buckets: int) -> Column:
+    """One of so many buckets of cases, by a digest; what is drawn anew are buckets, so that a replicate costs a row for each."""
+    case = F.col(case) if isinstance(case, str) else case
+    return F.conv(F.substring(F.md5(case.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % buckets
+
+
+def divergences(counts: DataFrame, by: Sequence[str], model: str, feature: str, n: str) -> DataFrame:
+    """(by, a, b, d): Jensen-Shannon divergence of each pair of models by their counts of features, a < b; 1 without a common feature."""
+    from pyspark.sql import Window
+
+    p = counts.where(F.col(n) > 0).select(*by, F.col(model).alias("m"), F.col(feature).alias("f"), ratio(n, F.sum(n).over(Window.partitionBy(*by, model))).alias("p"))
+    m = p.select(*by, "m").distinct()
+    every = m.withColumnRenamed("m", "a").join(m.withColumnRenamed("m", "b"), list(by)).where("a < b")
+    x = p.withColumnRenamed("m", "a").join(p.select(*by, "f", F.col("m").alias("b"), F.col("p").alias("q")), [*by, "f"]).where("a < b")
+    h = (F.col("p") + F.col("q")) / 2
+    k = F.sum(F.col("p") * F.log2(F.col("p") / h) / 2 + F.col("q") * F.log2(F.col("q") / h) / 2)
+    x = x.groupBy(*by, "a", "b").agg((k + (1 - F.sum("p")) / 2 + (1 - F.sum("q")) / 2).alias("d"))
+    return every.join(x, [*by, "a", "b"], "left").select(*by, "a", "b", F.coalesce("d", F.lit(1.0)).alias("d"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -80,6 +118,12 @@ def t_test(df: DataFrame, by: Sequence[str], delta: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(delta).alias("n"), t.alias("t")).withColumn("t_p", student_p("t", "n"))
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_p(z: pd.Series) -> pd.Series:
+    """Two-sided p of a standard normal."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore").astype("float64")
+
+
 def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
     """(n, w, z, p): signed ranks of non-zero differences with average ranks, normal approximation; one row.
 
@@ -92,29 +136,44 @@ def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
     out = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
     k = F.col("n")
     z = F.try_divide(F.col("w") - k * (k + 1) / 4, F.sqrt(k * (k + 1) * (2 * k + 1) / 24 - F.col("ties") / 48))
-    tail = F.udf(lambda x: None if x is None else math.erfc(abs(x) / math.sqrt(2)), "double")
-    return out.select("n", "w", z.alias("z")).withColumn("p", tail("z"))
+    return out.select("n", "w", z.alias("z")).withColumn("p", normal_p("z"))
+
+
+def _at(values: str, q: float) -> Column:
+    """The order statistic of a sorted array at a share of its length."""
+    return F.element_at(values, F.least((F.floor(F.lit(q) * F.size(values)) + 1).cast("int"), F.size(values)))
 
 
-def bootstrap_ci(df: DataFrame, by: str, cluster: str, value: str, replicates: int, seed: int, level: float = 0.95) -> DataFrame:
-    """(by, mean, lo, hi): percentile interval of the mean, clusters drawn with Poisson weights; ends are order statistics.
+def bootstrap_means(df: DataFrame, by: str, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """(by, r, m): the mean of each replicate, clusters drawn with Poisson weights; replicates that draw nothing are left out.
 
-    Rows are summed by cluster first, so that a replicate costs a row for each cluster; each replicate is one more pair of sums.
+    Rows are summed by cluster first, so that a replicate costs a row for each cluster.
     """
     c = df.groupBy(by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     each = c.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = _uniform(F.col(cluster), F.col("r"), seed)
-    weight, below, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 10):  # the inverse of the Poisson distribution function
-        below += p
-        weight = weight + (u >= below).cast("int")
-        p /= k
-    m = each.withColumn("w", weight).groupBy(by, "r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n")).cast("double")).alias("m"))
+    each = each.withColumn("w", _weight(_uniform(F.col(cluster), F.col("r"), seed)))
+    m = each.groupBy(by, "r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n")).cast("double")).alias("m"))
+    return m.where("m is not null")
+
+
+def bootstrap_ci(df: DataFrame, by: str, cluster: str, value: str, replicates: int = 20_000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(by, mean, lo, hi): percentile interval of the mean by bootstrap_means(); its ends are order statistics."""
+    m = bootstrap_means(df, by, cluster, value, replicates, seed)
+    out = m.groupBy(by).agg(F.array_sort(F.collect_list("m")).alias("m"))  # as many numbers as replicates
+    mean = df.groupBy(by).agg((F.sum(value) / F.count(value)).alias("mean"))
     a = (1 - level) / 2
-    out = m.where("m is not null").groupBy(by).agg(F.array_sort(F.collect_list("m")).alias("m"))
-    at = lambda q: F.element_at("m", F.least((F.floor(F.lit(q) * F.size("m")) + 1).cast("int"), F.size("m")))
-    mean = c.groupBy(by).agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return out.join(mean, by).select(by, "mean", at(a).alias("lo"), at(1 - a).alias("hi"))
+    return out.join(mean, by).select(by, "mean", _at("m", a).alias("lo"), _at("m", 1 - a).alias("hi"))
+
+
+def ranking(df: DataFrame, model: str, cluster: str, value: str, replicates: int = 2_000, seed: int = 0) -> DataFrame:
+    """(model, mean, lo, hi, sd, wins): the interval of a model's mean, the spread of its replicates, and the share of replicates in
+    which it has the smallest mean (ties to the smallest model)."""
+    m = bootstrap_means(df, model, cluster, value, replicates, seed)
+    best = m.groupBy("r").agg(F.min(F.struct("m", model)).alias("x")).select(F.col(f"x.{model}").alias(model)).groupBy(model).agg(F.count("*").alias("won"))
+    out = m.groupBy(model).agg(F.array_sort(F.collect_list("m")).alias("m"), F.stddev_samp("m").alias("sd"))
+    mean = df.groupBy(model).agg((F.sum(value) / F.count(value)).alias("mean"))
+    out = out.join(mean, model).join(best, model, "left")
+    return out.select(model, "mean", _at("m", 0.025).alias("lo"), _at("m", 0.975).alias("hi"), "sd", (F.coalesce("won", F.lit(0)) / replicates).alias("wins"))
 
 
 def permutation_p(pairs: DataFrame, families: DataFrame, model: str, family: str, replicates: int, seed: int, plus_one: bool = True) -> DataFrame:
@@ -127,7 +186,7 @@ def permutation_p(pairs: DataFrame, families: DataFrame, model: str, family: str
     f = families.select(F.col(model).alias("m"), F.col(family).alias("fam"))
     ranked = f.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m")))
     deals = f.select("m").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    deals = deals.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(F.xxhash64("m", "r", F.lit(seed)), "m")))
+    deals = deals.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", F.col("m").cast("string"), F.col("r").cast("string"), F.lit(str(seed))).cast("binary")), "m")))
     deals = deals.join(ranked.select("k", "fam"), "k").select("r", "m", "fam").union(f.select(F.lit(0).alias("r"), "m", "fam"))
     x = pairs.join(deals.select("r", F.col("m").alias("a"), F.col("fam").alias("fa")), "a").join(deals.select("r", F.col("m").alias("b"), F.col("fam").alias("fb")), ["r", "b"])
     g = x.groupBy("r").agg((F.avg(F.when(F.col("fa") != F.col("fb"), F.col("d"))) - F.avg(F.when(F.col("fa") == F.col("fb"), F.col("d")))).alias("gap"))
@@ -138,38 +197,85 @@ def permutation_p(pairs: DataFrame, families: DataFrame, model: str, family: str
     return out.select("observed", ((hits + one) / (F.size("null") + one)).alias("p"))
 
 
-def matched_null(df: DataFrame, by: str, key: str, label: str, hit: Column, trials: int, seed: int) -> DataFrame:
-    """(by, observed, null_mean, lo, hi, p): share of hits against that of guesses drawn from the group's own label shares.
+def matched_null(df: DataFrame, by: str, label: str, guess: str, trials: int = 10_000, seed: int = 0) -> DataFrame:
+    """(by, n, observed, null_mean, lo, hi, p): the share of guesses that hit the label, against guesses drawn from the group's own
+    label shares: mean and order statistics of the trials, and (trials at least as good + 1) / (trials + 1).
 
-    Only counts of labels matter: in a trial each row's guess agrees with probability sum of squared shares; the number of
-    agreeing rows of each label is drawn by a normal approximation of the binomial, from hashes.
+    In a trial every row draws a guess. The draws of rows with one label hit it independently with its share, so that their hits
+    are one binomial draw; only counts of labels are drawn for, whatever the number of rows.
     """
-    n = df.where(F.col(label).isNotNull()).groupBy(by, label).agg(F.count("*").alias("c"), F.count_if(hit).alias("h"))
-    t = n.groupBy(by).agg(F.sum("c").alias("n"), F.sum("h").alias("h")).withColumnRenamed(by, "__b")
-    x = n.join(t.select("__b", "n"), F.col(by) == F.col("__b")).withColumn("p", ratio("c", "n")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    z = F.sqrt(-2 * F.log(1 - _uniform(F.col(label), F.col("r"), F.lit(seed)))) * F.cos(2 * math.pi * _uniform(F.col(label), F.col("r"), F.lit(seed + 1)))
-    drawn = F.greatest(F.lit(0.0), F.least(F.col("c").cast("double"), F.round(F.col("c") * F.col("p") + z * F.sqrt(F.col("c") * F.col("p") * (1 - F.col("p"))))))
-    s = x.groupBy(by, "r").agg((F.sum(drawn) / F.max("n")).alias("s")).groupBy(by).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    out = s.join(t, F.col(by) == F.col("__b")).withColumn("observed", ratio("h", "n"))
-    at = lambda q: F.element_at("s", (F.floor(F.lit(q) * F.size("s")) + 1).cast("int"))
+    n = df.where(F.col(label).isNotNull()).groupBy(by, label).agg(F.count("*").alias("c"), F.count_if(F.col(guess) == F.col(label)).alias("h"))
+    t = n.groupBy(F.col(by).alias("__b")).agg(F.sum("c").alias("n"), F.sum("h").alias("h"), F.array_sort(F.collect_list(F.struct(label, "c"))).alias("__c"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def shares(groups: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for g, c in zip(groups, counts, strict=True):
+            c = np.array(c, np.int64)
+            rng = np.random.default_rng([seed, zlib.crc32(str(g).encode())])
+            out.append(np.sort(rng.binomial(c, c / c.sum(), (trials, len(c))).sum(1) / c.sum()))
+        return pd.Series(out)
+
+    out = t.withColumn("s", shares(F.col("__b").cast("string"), F.transform("__c", lambda x: x["c"]))).withColumn("observed", ratio("h", "n"))
     mean = F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / F.size("s")
-    return out.select(by, "observed", mean.alias("null_mean"), at(0.025).alias("lo"), at(0.975).alias("hi"), ((F.size(F.filter("s", lambda v: v >= F.col("observed"))) + 1) / (F.size("s") + 1)).alias("p"))
-
-
-def split_half(selected: DataFrame, case: str, divergence: Callable[[DataFrame], DataFrame], replicates: int, seed: int) -> DataFrame:
-    """(replicate, r): correlation of the divergences that two halves of the cases give."""
-    out = None
-    for k in range(replicates):
-        side = F.pmod(F.xxhash64(case, F.lit(seed), F.lit(k)), F.lit(2))
-        x, y = divergence(selected.where(side == 0)), divergence(selected.where(side == 1).select(selected.columns))
-        j = x.select("a", "b", F.col("d").alias("x")).join(y.select("a", "b", F.col("d").alias("y")), ["a", "b"])
-        one = j.agg(F.lit(k).alias("replicate"), F.corr("x", "y").alias("r"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    p = (F.size(F.filter("s", lambda v: v >= F.col("observed"))) + 1) / (F.size("s") + 1)
+    return out.select(F.col("__b").alias(by), "n", "observed", mean.alias("null_mean"), _at("s", 0.025).alias("lo"), _at("s", 0.975).alias("hi"), p.alias("p"))
+
+
+def chance_of_hit(df: DataFrame, by: str, label: str) -> DataFrame:
+    """(by, n, expected): how often guesses drawn from a group's label shares hit, in closed form: the sum of squared shares."""
+    n = df.where(F.col(label).isNotNull()).groupBy(by, label).agg(F.count("*").alias("c"))
+    t = n.groupBy(by).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return t.select(by, "n", (F.col("q") / (F.col("n") * F.col("n"))).alias("expected"))
+
 
+def _by_bucket(selected: DataFrame, model: str, case: str, feature: str, buckets: int) -> DataFrame:
+    """(m, f, k, n): in how many cases of a bucket a model selects a feature."""
+    x = selected.select(F.col(model).alias("m"), F.col(feature).alias("f"), F.col(case).alias("c")).distinct()
+    return x.groupBy("m", "f", bucket("c", buckets).alias("k")).agg(F.count("*").alias("n"))
 
-def distance_drivers(pairs: DataFrame, values: DataFrame, families: DataFrame, model: str, value: str, family: str) -> DataFrame:
-    """(intercept, gap, same_family, r2, r2_gap): least squares of d on |difference of a value| and same family; one row.
+
+def split_half(selected: DataFrame, model: str, case: str, feature: str, replicates: int = 200, seed: int = 0, buckets: int = 512) -> DataFrame:
+    """(replicates, r, r05, r95, null_r, null_r95), one row: correlations of the divergences that two halves of the cases give, their
+    mean and order statistics, and the same with the second half's models shuffled."""
+    from pyspark.sql import Window
+
+    c = _by_bucket(selected, model, case, feature, buckets).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    side = (_uniform(F.col("k"), F.col("r"), seed) >= 0.5).cast("int")
+    d = divergences(c.groupBy("r", side.alias("side"), "m", "f").agg(F.sum("n").alias("n")), ["r", "side"], "m", "f", "n")
+    first, second = d.where("side = 0").select("r", "a", "b", F.col("d").alias("x")), d.where("side = 1").select("r", "a", "b", F.col("d").alias("y"))
+    models = c.select("r", "m").distinct()
+    rank = F.row_number().over(Window.partitionBy("r").orderBy("m"))
+    shuffled = F.row_number().over(Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", F.col("m").cast("string"), F.col("r").cast("string"), F.lit(f"{seed}null")).cast("binary")), "m"))
+    to = models.withColumn("i", rank).join(models.select("r", F.col("m").alias("to"), shuffled.alias("i")), ["r", "i"]).select("r", "m", "to")
+    dealt = second.join(to.select("r", F.col("m").alias("a"), F.col("to").alias("ta")), ["r", "a"]).join(to.select("r", F.col("m").alias("b"), F.col("to").alias("tb")), ["r", "b"])
+    dealt = dealt.select("r", F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"), "y")
+    corr = lambda y: first.join(y, ["r", "a", "b"]).groupBy("r").agg(F.corr("x", "y").alias("c"))
+    both = corr(second).join(corr(dealt).withColumnRenamed("c", "z"), "r", "left")
+    out = both.agg(F.count("c").alias("replicates"), F.avg("c").alias("r"), F.array_sort(F.collect_list("c")).alias("c"), F.avg("z").alias("null_r"), F.array_sort(F.collect_list("z")).alias("z"))
+    return out.select("replicates", "r", _at("c", 0.05).alias("r05"), _at("c", 0.95).alias("r95"), "null_r", _at("z", 0.95).alias("null_r95"))
+
+
+def edge_stability(selected: DataFrame, model: str, case: str, feature: str, replicates: int = 500, seed: int = 0, buckets: int = 512) -> DataFrame:
+    """(model, nearest, stable): a model's nearest neighbour, and the share of bootstrap replicates over cases in which it is the same."""
+    c = _by_bucket(selected, model, case, feature, buckets)
+
+    def nearest(counts: DataFrame) -> DataFrame:
+        d = divergences(counts, ["r"], "m", "f", "n")
+        d = d.union(d.select("r", "b", "a", "d"))
+        return d.groupBy("r", "a").agg(F.min(F.struct("d", "b")).alias("x")).select("r", F.col("a").alias("m"), F.col("x.b").alias("nearest"))
+
+    seen = nearest(c.groupBy("m", "f").agg(F.sum("n").alias("n")).withColumn("r", F.lit(-1))).select("m", "nearest")
+    each = c.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = each.withColumn("w", _weight(_uniform(F.col("k"), F.col("r"), seed))).groupBy("r", "m", "f").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    got = nearest(drawn).join(seen.withColumnRenamed("nearest", "own"), "m")
+    share = got.groupBy("m").agg(F.avg((F.col("nearest") == F.col("own")).cast("int")).alias("stable"))
+    return seen.join(share, "m", "left").select(F.col("m").alias("model"), "nearest", "stable")
+
+
+def distance_drivers(pairs: DataFrame, values: DataFrame, families: DataFrame, model: str, value: str, family: str, permutations: int = 2_000) -> DataFrame:
+    """(intercept, gap, same_family, r2, r2_gap, p): least squares of d on |difference of a value| and same family, and how often families
+    dealt by chance add as much to R2; one row.
 
     All sums that the normal equations need come from one aggregation; 3 x 3 equations are solved on the driver.
     """
@@ -191,11 +297,39 @@ def distance_drivers(pairs: DataFrame, values: DataFrame, families: DataFrame, m
 
     b, r2 = fit(["1", "g", "s"])
     _, only = fit(["1", "g"])
-    return pairs.sparkSession.createDataFrame([(float(b[0]), float(b[1]), float(b[2]), r2, only)], "intercept double, gap double, same_family double, r2 double, r2_gap double")
-
-
-def mds(pairs: DataFrame, dims: int = 2) -> DataFrame:
-    """(model, x1, x2, ...): classical scaling of a divergence matrix. Models are counted first: the matrix is made on the driver."""
+    p = _family_p(x, pairs, values, families, model, value, family, r2 - only, permutations)
+    return pairs.sparkSession.createDataFrame([(float(b[0]), float(b[1]), float(b[2]), r2, only, p)], "intercept double, gap double, same_family double, r2 double, r2_gap double, p double")
+
+
+def _family_p(x, pairs, values, families, model, value, family, observed: float, permutations: int) -> float | None:
+    """(permutations that add at least as much + 1) / (permutations + 1): what families add to R2 when models get them by chance."""
+    rows = pairs.join(values.select(F.col(model).alias("a"), F.col(value).alias("va")), "a").join(values.select(F.col(model).alias("b"), F.col(value).alias("vb")), "b")
+    rows = rows.select("a", "b", "d", F.abs(F.col("va") - F.col("vb")).alias("g")).limit(MAX_MODELS * 50 + 1).collect()
+    if len(rows) > MAX_MODELS * 50 or not permutations:
+        return None
+    of = dict(families.select(model, family).limit(MAX_MODELS + 1).collect())
+    names = sorted({n for r in rows for n in (r["a"], r["b"])})
+    at = {n: i for i, n in enumerate(names)}
+    a, b = (np.array([at[r[c]] for r in rows]) for c in ("a", "b"))
+    d, g = (np.array([r[c] for r in rows], float) for c in ("d", "g"))
+    base = np.column_stack([np.ones(len(d)), g])
+    left = d - base @ np.linalg.lstsq(base, d, rcond=None)[0]
+    total = ((d - d.mean()) ** 2).sum()
+    kinds = np.array([str(of[n]) for n in names])
+
+    def added(labels: np.ndarray) -> float:
+        s = (labels[a] == labels[b]).astype(float)
+        s -= base @ np.linalg.lstsq(base, s, rcond=None)[0]
+        return float((s @ left) ** 2 / (s @ s) / total) if s @ s > 1e-12 and total else 0.0
+
+    rng = np.random.default_rng(0)
+    hits = sum(added(kinds[rng.permutation(len(kinds))]) >= observed - 1e-12 for _ in range(permutations))
+    return (hits + 1) / (permutations + 1)
+
+
+def mds(pairs: DataFrame, dims: int = 2, squared: bool = True) -> DataFrame:
+    """(model, x1, x2, ...): classical scaling of a matrix of distances, or with squared=False of divergences whose square roots are the
+    distances. Models are counted first: the matrix is made on the driver."""
     models = [r[0] for r in pairs.select(F.col("a").alias("m")).union(pairs.select("b")).distinct().orderBy("m").limit(MAX_MODELS + 1).collect()]
     if len(models) > MAX_MODELS:
         raise ValueError("more models than a matrix on the driver is made for")
@@ -204,7 +338,7 @@ def mds(pairs: DataFrame, dims: int = 2) -> DataFrame:
     for r in pairs.select("a", "b", "d").collect():
         d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = r["d"]
     c = np.eye(len(d)) - 1 / max(len(d), 1)
-    w, v = np.linalg.eigh(-0.5 * c @ (d**2) @ c)
+    w, v = np.linalg.eigh(-0.5 * c @ (d**2 if squared else d) @ c)
     order = np.argsort(-w)[:dims]
     x = v[:, order] * np.sqrt(np.maximum(w[order], 0))
     x *= np.where(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])] < 0, -1, 1)  # signs are free: the largest entry is positive

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import overlap as fn
@@ -10,6 +9,7 @@ from lexmill.functions.numbers import millionths
 from lexmill.functions.rules import containment_verdict
 from lexmill.functions.text import WORD
 from lexmill.operators import shingle
+from lexmill.operators.relational import place_in_group
 from lexmill.plans.registry import query
 
 
@@ -17,11 +17,17 @@ def _words(text="text"):
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 1)
 
 
+def _next(t, order):
+    """(doc_id, next): each document and the one behind it in its language."""
+    d = place_in_group(t.documents.select("doc_id", "lang"), "lang", [*order, F.col("doc_id")], "k")
+    return d.join(d.select("lang", (F.col("k") - 1).alias("k"), F.col("doc_id").alias("next")), ["lang", "k"]).select("doc_id", "lang", "next")
+
+
 def _pairs(t):
-    """Each document's words 11 to 30 with those of the next document in md5 order within its language."""
+    """Each document's words 11 to 30 (the span that the floor is measured on) with those of the next document in md5 order in its language."""
     d = t.documents.select("doc_id", "lang", F.slice(_words(), 11, 20).alias("g")).where(F.size("g") > 0)
-    w = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    return d.withColumn("p", F.lead("g").over(w)).where("p is not null")
+    k = place_in_group(d, "lang", [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")], "k")
+    return k.join(k.select("lang", (F.col("k") - 1).alias("k"), F.col("g").alias("p")), ["lang", "k"]).drop("k")
 
 
 _PAIRS = """d AS (SELECT doc_id, lang, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_'']+'),11,30) AS g FROM documents),
@@ -56,8 +62,7 @@ def overlap_scores_native(t):
 @query()
 def overlap_scores_full(t):
     """All scores of each document's whole text against the next one's of its language."""
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    after = t.documents.select("doc_id", F.lead("doc_id").over(w).alias("next")).where("next is not null")
+    after = _next(t, []).select("doc_id", "next")
     texts = t.documents.select("doc_id", F.col("text").alias("gold"))
     pred = texts.select(F.col("doc_id").alias("next"), F.col("gold").alias("pred"))
     pairs = after.join(texts, "doc_id").join(pred, "next").where("pred is not null")
@@ -77,11 +82,15 @@ def shingle_containment(t):
     return out.select("item_id", "doc_id", "shared", millionths("share").alias("share"), containment_verdict(F.col("share")).alias("verdict"))
 
 
-@query(f"""WITH b AS (SELECT item_id, unnest({_SH}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)), d AS (SELECT DISTINCT doc_id, unnest({_SH}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-c AS (SELECT s, min(doc_id) AS lo, max(doc_id) AS hi FROM d GROUP BY s)
-SELECT item_id, count(*) AS shingles, CAST(floor(avg(CASE WHEN lo<>item_id OR hi<>item_id THEN 1.0 ELSE 0.0 END)*1e6+0.5) AS BIGINT) AS recur FROM b LEFT JOIN c USING (s) GROUP BY item_id""")
+@query(f"""WITH w AS (SELECT doc_id, CASE WHEN doc_id%2=0 THEN 'pre' ELSE 'post' END AS arm, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, arm, len(w) AS n, p-1 AS p, array_to_string(w[p:p+7],' ') AS s FROM w, unnest(range(1, greatest(len(w)-6,1))) AS t(p)),
+f AS (SELECT doc_id, s, min(p) AS p FROM s GROUP BY ALL), c AS (SELECT s, min(doc_id) FILTER (WHERE arm='post') AS ol, max(doc_id) FILTER (WHERE arm='post') AS oh, min(doc_id) FILTER (WHERE arm='pre') AS rl, max(doc_id) FILTER (WHERE arm='pre') AS rh FROM s GROUP BY s),
+x AS (SELECT DISTINCT doc_id, p-p%60 AS start, s FROM s WHERE p%60<=22 AND p-p%60+30<=n)
+SELECT doc_id, CAST(start AS INTEGER) AS start, count(*) AS shingles, CAST(floor(avg(CASE WHEN ol<>doc_id OR oh<>doc_id THEN 1.0 ELSE 0.0 END)*1e6+0.5) AS BIGINT) AS in_post, CAST(floor(avg(CASE WHEN rl<>doc_id OR rh<>doc_id THEN 1.0 ELSE 0.0 END)*1e6+0.5) AS BIGINT) AS in_other_pre, CAST(floor(avg(CASE WHEN p+8<=start THEN 1.0 ELSE 0.0 END)*1e6+0.5) AS BIGINT) AS in_own
+FROM x JOIN c USING (s) JOIN f USING (doc_id, s) GROUP BY ALL""")
 def recurrence_fractions(t):
-    """How much of each item recurs in documents other than the one of its own number."""
-    spans = t.benchmark.select("item_id", F.col("item_id").alias("own"), "text")
-    out = shingle.recurrence(spans, t.documents, "item_id", "own", "text", "doc_id", "text")
-    return out.withColumn("recur", millionths("recur"))
+    """How much of spans of thirty words, one every sixty, recurs in other documents of either arm, and earlier in their own."""
+    d = t.documents.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "pre").otherwise("post").alias("arm"))
+    w = shingle.words_once(d, ["doc_id"], "text").where(F.size("w") >= 30)
+    spans = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 30, F.lit(60))).alias("start")).select("doc_id", "start", F.slice("w", F.col("start") + 1, F.lit(30)).alias("words"))
+    out = shingle.recurrence(spans, d, "doc_id", "text", "arm")
+    return out.withColumns({c: millionths(c) for c in ("in_post", "in_other_pre", "in_own")})

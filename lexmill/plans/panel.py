@@ -100,7 +100,8 @@ def within_across_ratio(t):
     return _m(op.family_ratio(_jsd(t), _families(t), "model", "family"), "within", "across", "ratio")
 
 
-@query(f"""WITH {_J}, s2 AS (SELECT a,b,d FROM d UNION ALL SELECT b,a,d FROM d), k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM s2) SELECT count(*) AS n, count(*) FILTER (WHERE a%3=b%3) AS hits, CAST(floor(avg(3)/11.0*1e6+0.5) AS BIGINT) AS chance FROM k WHERE r=1""")
+@query(f"""WITH {_J}, s2 AS (SELECT a,b,d FROM d UNION ALL SELECT b,a,d FROM d), k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM s2), m AS (SELECT a%3 AS f, count(*) AS nf, count(*) FILTER (WHERE a%3=b%3) AS hits FROM k WHERE r=1 GROUP BY 1)
+SELECT CAST(sum(nf) AS BIGINT) AS n, CAST(sum(hits) AS BIGINT) AS hits, CAST(floor(sum(nf*(nf-1))/(sum(nf)*(sum(nf)-1))*1e6+0.5) AS BIGINT) AS chance FROM m""")
 def nearest_neighbour_purity(t):
     """Nearest neighbours of the same family."""
     return _m(op.family_recovery(_jsd(t), _families(t), "model", "family"), "chance")

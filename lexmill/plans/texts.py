@@ -8,6 +8,7 @@ from lexmill.functions import rules
 from lexmill.functions import text as tx
 from lexmill.functions.numbers import millionths
 from lexmill.operators import stats
+from lexmill.plans.panel import _J
 from lexmill.plans.registry import query
 
 # literals that stand for model answers; conversations are added to them
@@ -135,18 +136,35 @@ def unwrapped_lines(t):
     return out.select("doc_id", n("text").alias("before"), n("clean").alias("after"), F.md5(F.col("clean").cast("binary")).alias("clean"))
 
 
-@query()
+def _u(key: str) -> str:
+    return f"CAST('0x'||substr(md5({key}),1,8) AS BIGINT)/4294967296.0"
+
+
+def _w(u: str) -> str:
+    return "(" + "+".join(f"CAST({u}>={x!r}::DOUBLE AS INTEGER)" for x in stats.poisson_steps()) + ")"
+
+
+def _mil(x: str) -> str:
+    return f"CAST(floor(({x})*1e6+0.5) AS BIGINT)"
+
+
+@query(f"""WITH {_J}, fm AS (SELECT range AS m, range%3 AS fam, row_number() OVER (ORDER BY range) AS k FROM range(12)), zz AS (SELECT r, m, row_number() OVER (PARTITION BY r ORDER BY md5(m||'|'||r||'|0'), m) AS k FROM fm, (SELECT unnest(range(1,2001)) AS r)),
+e AS (SELECT r, zz.m, fm.fam FROM zz JOIN fm USING (k) UNION ALL SELECT 0, m, fam FROM fm), g AS (SELECT x.r, avg(CASE WHEN x.fam<>y.fam THEN d END)-avg(CASE WHEN x.fam=y.fam THEN d END) AS gap FROM d JOIN e x ON x.m=d.a JOIN e y ON y.m=d.b AND y.r=x.r GROUP BY x.r), o AS (SELECT gap AS observed FROM g WHERE r=0)
+SELECT {_mil('observed')} AS observed, {_mil('(count(*) FILTER (WHERE gap>=observed)+1)/(count(*)+1.0)')} AS p FROM g, o WHERE r>0 GROUP BY observed""")
 def permutation_test(t):
-    """Within-family divergence against families dealt anew."""
+    """Within-family divergence against families dealt anew, 2,000 times."""
     from lexmill.plans.panel import _families, _jsd
 
-    return stats.permutation_p(_jsd(t), _families(t), "model", "family", 500, 0)
+    return stats.permutation_p(_jsd(t), _families(t), "model", "family", 2000, 0).select(millionths("observed").alias("observed"), millionths("p").alias("p"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT event_type, user_id, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL), e AS (SELECT event_type, s, n, r, {_u("user_id||'|'||r||'|0'")} AS u FROM c, (SELECT unnest(range(0,2000)) AS r)), w AS (SELECT *, {_w('u')} AS w FROM e),
+m AS (SELECT event_type, r, sum(w*s)/sum(w*n) AS m FROM w GROUP BY ALL HAVING sum(w*n)>0), l AS (SELECT event_type, list_sort(list(m)) AS m FROM m GROUP BY 1)
+SELECT event_type, {_mil('avg(value)')} AS mean, {_mil('any_value(m)[1+CAST(floor(0.025*len(any_value(m))) AS INTEGER)]')} AS lo, {_mil('any_value(m)[1+CAST(floor(0.975*len(any_value(m))) AS INTEGER)]')} AS hi FROM l JOIN events USING (event_type) GROUP BY event_type""")
 def bootstrap_mean_ci(t):
-    """Percentile intervals of means by type."""
-    return stats.bootstrap_ci(t.events.select("event_type", "user_id", "value"), "event_type", "user_id", "value", 200, 0)
+    """Percentile intervals of means by type, from 2,000 replicates over users."""
+    out = stats.bootstrap_ci(t.events.select("event_type", "user_id", "value"), "event_type", "user_id", "value", 2000, 0)
+    return out.withColumns({c: millionths(c) for c in ("mean", "lo", "hi")})
 
 
 @query("""SELECT g, up, down FROM (SELECT l_suppkey%5 AS g, count(*) FILTER (WHERE l_quantity>25) AS up, count(*) FILTER (WHERE l_quantity<25) AS down FROM lineitem GROUP BY 1)""")
@@ -156,11 +174,34 @@ def sign_test_counts(t):
     return stats.sign_test(x, ["g"], "d").select("g", "up", "down")
 
 
-@query()
+@query(f"""WITH x AS (SELECT l_suppkey%5 AS g, l_linenumber-4 AS d FROM lineitem), c AS (SELECT g, count(*) FILTER (WHERE d>0) AS up, count(*) FILTER (WHERE d<0) AS down FROM x GROUP BY g),
+p AS (SELECT g, sum(exp(lgamma(up+down+1)-lgamma(i+1)-lgamma(up+down-i+1)-(up+down)*ln(2))) AS p FROM c, unnest(range(0,least(up,down)+1)) AS t(i) GROUP BY g) SELECT g, up, down, {_mil('least(1,2*p)')} AS sign_p FROM c JOIN p USING (g)""")
 def sign_test_p(t):
-    """Exact two-sided sign test, and R12: t test, of quantities against 25."""
-    x = t.lineitem.select((F.col("l_suppkey") % 5).alias("g"), (F.col("l_quantity") - 25).alias("d"))
-    return stats.sign_test(x, ["g"], "d").join(stats.t_test(x, ["g"], "d"), "g")
+    """Exact two-sided sign test of line numbers against 4."""
+    x = t.lineitem.select((F.col("l_suppkey") % 5).alias("g"), (F.col("l_linenumber") - 4).alias("d"))
+    return stats.sign_test(x, ["g"], "d").withColumn("sign_p", millionths("sign_p"))
+
+
+@query(f"""WITH x AS (SELECT l_suppkey%5 AS g, l_quantity-25.5 AS d FROM lineitem) SELECT g, count(d) AS n, {_mil('avg(d)/(stddev_samp(d)/sqrt(count(d)))')} AS t FROM x GROUP BY g""")
+def t_test(t):
+    """One-sample t of quantities against 25.5."""
+    x = t.lineitem.select((F.col("l_suppkey") % 5).alias("g"), (F.col("l_quantity") - 25.5).alias("d"))
+    return stats.t_test(x, ["g"], "d").select("g", "n", millionths("t").alias("t"))
+
+
+@query()
+def t_test_p(t):
+    """The same with its two-sided p."""
+    x = t.lineitem.select((F.col("l_suppkey") % 5).alias("g"), (F.col("l_quantity") - 25.5).alias("d"))
+    return stats.t_test(x, ["g"], "d")
+
+
+@query(f"""WITH x AS (SELECT l_quantity-24 AS d FROM lineitem WHERE l_quantity<>24), k AS (SELECT abs(d) AS s, count(*) AS c, count(*) FILTER (WHERE d>0) AS up FROM x GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY s)-(c-1)/2.0 AS rank FROM k),
+a AS (SELECT CAST(sum(c) AS DOUBLE) AS n, CAST(sum(rank*up) AS DOUBLE) AS w, CAST(sum(c*c*c-c) AS DOUBLE) AS t FROM r) SELECT CAST(n AS BIGINT) AS n, CAST(floor(w*10+0.5) AS BIGINT) AS w10, {_mil('(w-n*(n+1)/4)/sqrt(n*(n+1)*(2*n+1)/24-t/48)')} AS z FROM a""")
+def wilcoxon_ranks(t):
+    """Signed ranks of quantities against 24."""
+    out = stats.wilcoxon(t.lineitem.select((F.col("l_quantity") - 24).alias("d")), "d")
+    return out.select("n", F.floor(F.col("w") * 10 + 0.5).cast("long").alias("w10"), millionths("z").alias("z"))
 
 
 @query()
@@ -168,22 +209,58 @@ def mds_embedding(t):
     """Two coordinates of each model from divergences."""
     from lexmill.plans.panel import _jsd
 
-    return stats.mds(_jsd(t))
+    return stats.mds(_jsd(t), squared=False)  # the root of the divergence is a metric
+
+
+def _guesses(t):
+    return t.orders.withColumn("guess", F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderpriority")).otherwise("1-URGENT"))
 
 
 @query()
 def prior_matched_null(t):
-    """Guesses drawn from the labels' own shares, 300 trials, by status."""
-    return stats.matched_null(t.orders, "o_orderstatus", "o_orderkey", "o_orderpriority", F.col("o_orderpriority") == "1-URGENT", 300, 0)
+    """How often guesses hit, against 10,000 trials of guesses drawn from the labels' own shares, by status."""
+    return stats.matched_null(_guesses(t), "o_orderstatus", "o_orderpriority", "guess")
 
 
-@query()
+@query(f"""SELECT o_orderstatus, CAST(sum(c) AS BIGINT) AS n, {_mil('sum(c*c)*1.0/(sum(c)*sum(c))')} AS expected FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS c FROM orders GROUP BY ALL) GROUP BY o_orderstatus""")
+def prior_matched_chance(t):
+    """The same null's mean in closed form."""
+    return stats.chance_of_hit(t.orders, "o_orderstatus", "o_orderpriority").withColumn("expected", millionths("expected"))
+
+
+_SEL = "s0 AS (SELECT DISTINCT l_suppkey%12 AS m, l_partkey%40 AS f, l_orderkey AS c FROM lineitem), n0 AS (SELECT m, f, CAST('0x'||substr(md5(CAST(c AS VARCHAR)),1,8) AS BIGINT)%512 AS k, count(*) AS n FROM s0 GROUP BY ALL)"
+
+
+def _jsd_by(by: str, counts: str) -> str:
+    """d1: divergences of pairs of models in each group of `by`, from counts (by, m, f, n)."""
+    on = " AND ".join(f"x.{b}=y.{b}" for b in by.split(", "))
+    cols = ", ".join(f"x.{b}" for b in by.split(", "))
+    return f"""p1 AS (SELECT {by}, m, f, n/CAST(sum(n) OVER (PARTITION BY {by}, m) AS DOUBLE) AS p FROM {counts} WHERE n>0), m1 AS (SELECT DISTINCT {by}, m FROM p1), e1 AS (SELECT {cols}, x.m AS a, y.m AS b FROM m1 x JOIN m1 y ON {on} AND x.m<y.m),
+h1 AS (SELECT {cols}, x.m AS a, y.m AS b, sum(x.p*log2(x.p/((x.p+y.p)/2))/2+y.p*log2(y.p/((x.p+y.p)/2))/2)+(1-sum(x.p))/2+(1-sum(y.p))/2 AS d FROM p1 x JOIN p1 y ON {on} AND x.f=y.f AND x.m<y.m GROUP BY ALL),
+d1 AS (SELECT {', '.join(f'e1.{b}' for b in by.split(', '))}, e1.a, e1.b, coalesce(h1.d,1.0) AS d FROM e1 LEFT JOIN h1 USING ({by}, a, b))"""
+
+
+def _selected(t):
+    return t.lineitem.select((F.col("l_suppkey") % 12).alias("model"), F.col("l_orderkey").alias("c"), (F.col("l_partkey") % 40).alias("f"))
+
+
+@query(f"""WITH {_SEL}, c1 AS (SELECT r, CASE WHEN {_u("k||'|'||r||'|0'")}>=0.5 THEN 1 ELSE 0 END AS side, m, f, sum(n) AS n FROM n0, (SELECT unnest(range(0,50)) AS r) GROUP BY ALL), {_jsd_by('r, side', 'c1')},
+mm AS (SELECT DISTINCT r, m FROM c1), i1 AS (SELECT r, m, row_number() OVER (PARTITION BY r ORDER BY m) AS i FROM mm), i2 AS (SELECT r, m AS z, row_number() OVER (PARTITION BY r ORDER BY md5(m||'|'||r||'|0null'), m) AS i FROM mm), mt AS (SELECT r, m, z FROM i1 JOIN i2 USING (r, i)),
+q1 AS (SELECT x.r, corr(x.d, y.d) AS c FROM d1 x JOIN d1 y ON x.r=y.r AND x.a=y.a AND x.b=y.b AND x.side=0 AND y.side=1 GROUP BY 1), dz AS (SELECT y.r, least(p.z,q.z) AS a, greatest(p.z,q.z) AS b, y.d FROM d1 y JOIN mt p ON p.r=y.r AND p.m=y.a JOIN mt q ON q.r=y.r AND q.m=y.b WHERE side=1),
+q2 AS (SELECT x.r, corr(x.d, y.d) AS z FROM d1 x JOIN dz y ON x.r=y.r AND x.a=y.a AND x.b=y.b AND x.side=0 GROUP BY 1), l AS (SELECT count(c) AS n, avg(c) AS r, list_sort(list(c)) AS c, avg(z) AS nr, list_sort(list(z)) AS z FROM q1 LEFT JOIN q2 USING (r))
+SELECT n AS replicates, {_mil('r')} AS r, {_mil('c[1+CAST(floor(0.05*len(c)) AS INTEGER)]')} AS r05, {_mil('c[1+CAST(floor(0.95*len(c)) AS INTEGER)]')} AS r95, {_mil('nr')} AS null_r, {_mil('z[1+CAST(floor(0.95*len(z)) AS INTEGER)]')} AS null_r95 FROM l""")
 def split_half_replication(t):
-    """Correlation of divergences from two halves of the orders."""
-    from lexmill.operators import panel
+    """Correlations of divergences from two halves of the orders, 50 times, and with models shuffled."""
+    out = stats.split_half(_selected(t), "model", "c", "f", 50, 0)
+    return out.withColumns({c: millionths(c) for c in ("r", "r05", "r95", "null_r", "null_r95")})
+
 
-    s = t.lineitem.select((F.col("l_suppkey") % 12).alias("model"), F.col("l_orderkey").alias("c"), (F.col("l_partkey") % 40).alias("f"))
-    return stats.split_half(s, "c", lambda half: panel.jsd(panel.profiles(half, "model", "f", "c"), "model", "f"), 2, 0)
+@query(f"""WITH {_SEL}, c1 AS (SELECT r, m, f, sum(n*{_w(_u("k||'|'||r||'|0'"))}) AS n FROM n0, (SELECT unnest(range(0,100)) AS r) GROUP BY ALL UNION ALL SELECT -1, m, f, sum(n) FROM n0 GROUP BY ALL), {_jsd_by('r', 'c1')},
+s1 AS (SELECT r, a, b, d FROM d1 UNION ALL SELECT r, b, a, d FROM d1), k1 AS (SELECT r, a, b, row_number() OVER (PARTITION BY r, a ORDER BY d, b) AS i FROM s1), o AS (SELECT a, b FROM k1 WHERE i=1 AND r=-1)
+SELECT o.a AS model, o.b AS nearest, {_mil('avg(CASE WHEN k1.b=o.b THEN 1.0 ELSE 0.0 END)')} AS stable FROM o LEFT JOIN k1 ON k1.a=o.a AND k1.i=1 AND k1.r>=0 GROUP BY ALL""")
+def edge_stability(t):
+    """How often a model's nearest neighbour stays the same when orders are drawn anew, 100 times."""
+    return stats.edge_stability(_selected(t), "model", "c", "f", 100, 0).withColumn("stable", millionths("stable"))
 
 
 @query()

@@ -105,7 +105,7 @@ def test_alpha(spark):
 def test_divergence(spark):
     p = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0), ("c", "x", 1.0), ("d", "x", 0.5), ("d", "y", 0.5)], "m string, f string, p double")
     got = {(r.a, r.b): r.d for r in panel.jsd(p, "m", "f").collect()}
-    assert got["a", "c"] == 0 and ("a", "b") not in got and abs(got["a", "d"] - 0.31127812445913283) < 1e-12
+    assert got["a", "c"] == 0 and got["a", "b"] == 1 and abs(got["a", "d"] - 0.31127812445913283) < 1e-12
 
 
 def test_baselines(spark):
@@ -123,11 +123,12 @@ def test_sign_and_t(spark):
 
 
 def test_recurrence_excludes_own_document(spark):
-    t = " ".join(f"w{i}" for i in range(20))
-    corpus = spark.createDataFrame([(1, t), (2, "something else entirely, with more than eight words in it"), (3, t)], "doc int, text string")
-    spans = spark.createDataFrame([("s", 1, t), ("z", 2, "something else entirely, with more than eight words in it")], "k string, own int, text string")
-    got = {r.k: r.recur for r in shingle.recurrence(spans, corpus, "k", "own", "text", "doc", "text").collect()}
-    assert got == {"s": 1.0, "z": 0.0}
+    w = [f"w{i}" for i in range(20)]
+    own = "something else entirely with more than eight words in it".split()
+    corpus = spark.createDataFrame([(1, " ".join(w), "pre"), (2, " ".join(own + ["x"] * 8 + own), "post"), (3, " ".join(w), "post"), (4, " ".join(w), None)], "doc int, text string, arm string")
+    spans = spark.createDataFrame([(1, 0, w), (2, 0, own), (2, 18, own), (3, 0, w)], "doc int, start int, words array<string>")
+    got = {(r.doc, r.start): (r.in_post, r.in_other_pre, r.in_own) for r in shingle.recurrence(spans, corpus, "doc", "text", "arm").collect()}
+    assert got == {(1, 0): (1, 0, 0), (2, 0): (0, 0, 0), (2, 18): (0, 0, 1), (3, 0): (0, 1, 0)}
 
 
 def test_no_overlap(spark):
@@ -305,3 +306,47 @@ def test_names_headings_vocabulary(spark):
     assert headings.resolve([0, "1", "new", "new", 9, True, None, " ", 2], words) == ["a", "b", "new", "new", None, None, None, None, "new"] and words == ["a", "b", "new"]
     r = spark.createDataFrame([("ab  c",), (None,)], "t string").select(headings.word_spans("t").alias("w")).collect()
     assert [tuple(x) for x in r[0].w] == [(0, 2), (4, 5)] and r[1].w is None
+
+
+def test_places_over_few_groups(spark):
+    rows = [(i, i % 3, (i * 7919) % 500) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i bigint, g int, v int").repartition(7)
+    for order, sign in (([F.col("v"), F.col("i")], 1), ([F.desc("v"), F.col("i")], -1)):
+        got = {r.i: r.k for r in relational.place_in_group(df, "g", order, "k").collect()}
+        for g in range(3):
+            mine = sorted((sign * v, i) for i, h, v in rows if h == g)
+            assert [got[i] for _, i in mine] == list(range(len(mine)))
+    assert relational.place_in_group(df.limit(0), "g", [F.col("i")], "k").count() == 0
+
+
+def test_matched_null_draws_from_the_shares(spark):
+    df = spark.createDataFrame([("g", x, "a") for x in "aaabbc" * 200], "g string, l string, p string")
+    r = stats.matched_null(df, "g", "l", "p", 4000).first()
+    assert r.observed == 0.5 and abs(r.null_mean - (0.25 + 1 / 9 + 1 / 36)) < 0.002 and r.lo < r.null_mean < r.hi < 0.5 and r.p < 0.001
+    assert abs(stats.chance_of_hit(df, "g", "l").first().expected - (0.25 + 1 / 9 + 1 / 36)) < 1e-12
+
+
+def test_roots_of_divergences_are_embedded(spark):
+    p = spark.createDataFrame([(m, f, (m * 7 + f * 3) % 5 + 1) for m in range(5) for f in range(6)], "m int, f int, n int").withColumn("r", F.lit(0))
+    d = stats.divergences(p, ["r"], "m", "f", "n").drop("r")
+    x = {r.model: (r.x1, r.x2, r.x3, r.x4) for r in stats.mds(d, 4, squared=False).collect()}
+    assert all(abs(math.dist(x[r.a], x[r.b]) ** 2 - r.d) < 1e-9 for r in d.collect())
+
+
+def test_families_that_explain_distance(spark):
+    fam = spark.createDataFrame([(m, m // 4) for m in range(12)], "m int, fam int")
+    val = spark.createDataFrame([(m, float(m * 5 % 7)) for m in range(12)], "m int, v double")
+    pairs = spark.createDataFrame([(a, b, (0.1 if a // 4 == b // 4 else 0.5) + 0.01 * ((a * 3 + b) % 5)) for a in range(12) for b in range(a + 1, 12)], "a int, b int, d double")
+    r = stats.distance_drivers(pairs, val, fam, "m", "v", "fam", 300).first()
+    assert r.same_family < -0.3 and r.r2 - r.r2_gap > 0.8 and r.p < 0.02
+
+
+def test_refused_hosts_and_missing_sections(spark, tmp_path):
+    got = spark.createDataFrame([("https://a.example.org/x",), ("http://notexample.org",), ("HTTP://u@Example.org:80?q",), (None,)], "u string").select(readers.refused(F.col("u"), ["example.org"]).alias("r")).collect()
+    assert [r.r for r in got] == [True, False, True, None]
+    sinks.save_json(spark, str(tmp_path / "d"), "s.json", {"a": 1})
+    assert readers.json_document(spark, str(tmp_path / "d/s.json"), "a bigint").first().a == 1
+    with pytest.raises(Exception, match="missing"):
+        readers.json_document(spark, str(tmp_path / "d/s.json"), "a bigint, b bigint").collect()
+    with pytest.raises(FileNotFoundError):
+        readers.files_with(spark, str(tmp_path / "d"), "none")
