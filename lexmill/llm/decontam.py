@@ -208,6 +208,12 @@ def scan(
     its words are held at once.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("__n_words", "__hits", "__items", "__longest")]
+    return _passes(df, items, text, item_id, item_text, window, keep, max_block_words, None)
+
+
+def _passes(df, items, text, item_id, item_text, window, keep, max_block_words, max_coverage: float | None) -> DataFrame:
+    """What scan() gives; with max_coverage instead the columns `keep`, the text among them cut, without the rows that go: in the same
+    pass, so that texts go to Python once."""
     mark = uuid.uuid4().hex
     rid, held_text, prior = (f"__{k}{mark}" for k in "rtp")  # no column of df has such a name
     spark = df.sparkSession
@@ -215,11 +221,26 @@ def scan(
     def one(block, frame: DataFrame, carried: list[str], with_prior: bool = False) -> DataFrame:
         sent = spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window), 5))
         name = uuid.uuid4().hex
-        schema = T.StructType([frame.schema[k] for k in carried] + T._parse_datatype_string(f"__n_words bigint, __hits {HITS}, __items array<string>, __longest int").fields)
+        cutting = max_coverage is not None and carried == keep
+        made = T._parse_datatype_string(f"__n_words bigint, __hits {HITS}, __items array<string>, __longest int").fields
+        schema = T.StructType([frame.schema[k] for k in carried] + ([] if cutting else made))
 
         def make():
             sam = held(("automaton", name), lambda: pickle.loads(sent.value))
 
+            def clean(rows):
+                kept, new = [], []
+                for i, t in enumerate(rows[text]):
+                    words = ascii_words(t)
+                    hits = sam.matches(words)[0]
+                    if with_prior and rows[prior][i]:
+                        hits = joined(hits + [(h["a"], h["b"]) for h in rows[prior][i]["hits"]])
+                    n_hit = sum(b - a for a, b in hits)
+                    if n_hit <= max_coverage * len(words):
+                        kept.append(i)
+                        new.append(cut(t, hits) if n_hit else t)
+                return {k: [rows[k][i] for i in kept] for k in carried} | {text: new}
+
             def run(rows):
                 out = {k: rows[k] for k in carried} | {"__n_words": [], "__hits": [], "__items": [], "__longest": []}
                 for t, known in zip(rows[held_text], rows[prior] if with_prior else [None] * len(rows[held_text]), strict=True):
@@ -236,9 +257,10 @@ def scan(
                     out["__longest"].append(longest)
                 return out
 
-            return run
+            return clean if cutting else run
 
-        return map_rows(frame.select(*carried, frame[text].alias(held_text), *([prior] if with_prior else [])), make, schema)
+        scanned = [] if cutting else [frame[text].alias(held_text)]
+        return map_rows(frame.select(*carried, *scanned, *([prior] if with_prior else [])), make, schema)
 
     blocks = _blocks(items, item_id, item_text, window, max_block_words)
     first, second = next(blocks), next(blocks, None)
@@ -282,21 +304,5 @@ def decontaminate(
     max_coverage of the words are hit is removed. Other documents pass unchanged, those without
     text among them. n_chars names a column that follows the text's length.
     """
-    names = df.columns
-    found = scan(df, items, text, item_id, item_text, window, None, max_block_words)
-
-    def make():
-        def run(rows):
-            new, ok = [], []
-            for t, n, hits in zip(rows[text], rows["__n_words"], rows["__hits"], strict=True):
-                spans = [(h["a"], h["b"]) for h in hits]
-                n_hit = sum(b - a for a, b in spans)
-                ok.append(not n_hit or n_hit <= max_coverage * n)
-                new.append(cut(t, spans) if n_hit and ok[-1] else t)
-            return {k: rows[k] for k in names} | {text: new, "__ok": ok}
-
-        return run
-
-    out = map_rows(found, make, T.StructType([*df.schema.fields, T.StructField("__ok", T.BooleanType())]))
-    out = out.where("__ok").drop("__ok")
+    out = _passes(df, items, text, item_id, item_text, window, df.columns, max_block_words, max_coverage)
     return out.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType)) if n_chars else out

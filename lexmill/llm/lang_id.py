@@ -148,7 +148,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("__lang_pred", "__score")]
     sent, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, 5)), uuid.uuid4().hex
-    held_text = f"__t{mark}"
+    held_text = text if text in keep else f"__t{mark}"  # the text goes to Python once
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + ", __lang_pred string, __score double"
 
     def make():
@@ -160,4 +160,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
         return run
 
-    return map_rows(df.select(*keep, F.col(text).alias(held_text)), make, schema)
+    return map_rows(df.select(*keep, *([] if text in keep else [F.col(text).alias(held_text)])), make, schema)

@@ -197,7 +197,7 @@ def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     made = {f"__p_{c}" for c in chain.names} | {"__rejected"}
     keep = [c for c in (df.columns if keep is None else keep) if c not in made]
     sent, mark = df.sparkSession.sparkContext.broadcast(pickle.dumps(chain, 5)), uuid.uuid4().hex
-    names, held_text = chain.names, f"__t{mark}"
+    names, held_text = chain.names, text if text in keep else f"__t{mark}"  # the text goes to Python once
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     schema += "".join(f", `__p_{c}` double" for c in names) + ", __rejected boolean"
 
@@ -210,4 +210,4 @@ def predict(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
 
         return run
 
-    return map_rows(df.select(*keep, F.col(text).alias(held_text)), make, schema)
+    return map_rows(df.select(*keep, *([] if text in keep else [F.col(text).alias(held_text)])), make, schema)
