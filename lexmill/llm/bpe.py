@@ -16,12 +16,11 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
+from lexmill.llm import pretokenize
 from lexmill.llm.common import held, map_rows
+from lexmill.llm.piece_ids import PieceIds
 from lexmill.llm.pretokenize import pretokenizer
 
-#: Pre-tokens that a worker remembers, and the longest one that it does.
-MEMO_SIZE, MEMO_CHARS = 400_000, 64
-
 
 class BytePairCodec:
     """Encodes and decodes by a file of base64 tokens and ranks."""
@@ -36,7 +35,7 @@ class BytePairCodec:
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.byte_rank = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
         self.pair_rank = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
-        self.memo: dict[str, tuple[int, ...]] = {}  # emptied when full, so its memory is bounded
+        self.by_pieces = PieceIds(self._arrays) if pattern == pretokenize.PATTERN else None
 
     @classmethod
     def load(cls, path: str, pattern: str) -> BytePairCodec:
@@ -126,19 +125,24 @@ class BytePairCodec:
             out.append(tuple(ids))
         return out
 
+    def _arrays(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.encode_pieces([p.encode() for p in pieces])]
+
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of each text; pre-tokens not seen lately are encoded together."""
-        found = [self.find(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(found))
-        if len(self.memo) + len(new) > MEMO_SIZE:
-            self.memo.clear()
-        new.difference_update(self.memo)
-        pieces = list(new)
-        self.memo.update(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
-        out = [list(chain.from_iterable(map(self.memo.__getitem__, x))) for x in found]
-        for p in pieces:
-            if len(p) > MEMO_CHARS:
-                del self.memo[p]
+        unsure = pretokenize.unsure().search
+        plain = [k for k, t in enumerate(texts) if t and self.by_pieces and not unsure(t)]
+        out: list[list[int]] = [[] for _ in texts]
+        if plain:
+            for k, ids in zip(plain, self.by_pieces.encode_all([texts[k] for k in plain]), strict=True):
+                out[k] = ids.tolist()
+        aside = set(plain)
+        rest = [k for k, t in enumerate(texts) if t and k not in aside]
+        found = [self.find(texts[k]) for k in rest]
+        pieces = list(set(chain.from_iterable(found)))
+        known = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
+        for k, x in zip(rest, found, strict=True):
+            out[k] = list(chain.from_iterable(map(known.__getitem__, x)))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
