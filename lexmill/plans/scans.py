@@ -122,11 +122,11 @@ def manifest(t):
     return readers.manifest(t.spark, f"{folder}/m.json", "court").select("case_id", "year", "arm")
 
 
-@query("SELECT n_name AS case_id, CASE WHEN n_nationkey%3=0 THEN 'courtlistener' WHEN n_nationkey%3=1 THEN 'pdf_clean' ELSE 'pdf_raw' END AS text_source, md5(CASE WHEN n_nationkey%3=0 THEN repeat(n_name||' a ',30) WHEN n_nationkey%3=1 THEN repeat(n_name||' b ',30) ELSE repeat(n_name||' c ',30) END) AS text FROM nation")
+@query("SELECT n_name AS case_id, CASE WHEN n_nationkey%3=0 THEN 'fetched' WHEN n_nationkey%3=1 THEN 'pdf_clean' ELSE 'pdf_raw' END AS text_source, md5(CASE WHEN n_nationkey%3=0 THEN repeat(n_name||' a ',30) WHEN n_nationkey%3=1 THEN repeat(n_name||' b ',30) ELSE repeat(n_name||' c ',30) END) AS text FROM nation")
 def whole_texts(t):
     """Whole texts, from the first source that has a long enough one."""
     folder, rows = _at(t, "texts"), t.nation.limit(1000).collect()  # 25 nations
-    names = ("courtlistener", "pdf_clean", "pdf_raw")
+    names = ("fetched", "pdf_clean", "pdf_raw")
     for k, (name, letter) in enumerate(zip(names, "abc", strict=True)):
         files = {f"{r['n_name']}.txt": f"{r['n_name']} {letter} " * 30 if r["n_nationkey"] % 3 <= k else "short" for r in rows}
         sinks.named_files(t.spark, f"{folder}/{name}", files)
