@@ -104,10 +104,45 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
 FROM p
 """
 
+#: CRC-32 of a string of ASCII characters, bit by bit: a code is a step of its own, then eight shifts (-1).
+_CRC32 = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295)"
+_TRIE = rf"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+each AS (SELECT c, c - c % 20 AS base, {_CRC32.format(c="c")} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+turns AS (
+  SELECT each.c, 0 AS own, k, role, text FROM each JOIN own ON own.c = each.base WHERE k <= h
+  UNION ALL SELECT c, 1, k, role, text FROM own JOIN each USING (c) WHERE k > h
+),
+paths AS (
+  SELECT c, d, text, l[1:d] AS path, d = len(l) AS last FROM (
+    SELECT c, row_number() OVER w AS d, text, list({{'r': role, 't': text}}) OVER (PARTITION BY c ORDER BY own, k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l
+    FROM turns WINDOW w AS (PARTITION BY c ORDER BY own, k)
+  )
+  UNION ALL SELECT c, 0, '', [], c NOT IN (SELECT c FROM turns) FROM each
+),
+nodes AS (
+  SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saved,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends
+  FROM paths GROUP BY path
+),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+sums AS (
+  SELECT path[1:k] AS path, count_if(n_children = 0) AS n_leaves, sum(saved) AS saved FROM full_nodes, unnest(range(0, depth + 1)) AS t(k) GROUP BY 1
+)
+SELECT x.depth, x.conv_id, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+FROM full_nodes x JOIN sums USING (path) LEFT JOIN nodes p ON x.depth > 0 AND p.path = x.path[1:x.depth - 1]
+"""
+
 ORACLE_SQL = {
     "op3_secret_scan": _SECRETS,
     "op5_decontamination": _DECONTAMINATION,
     "op6_near_dup": _NEAR_DUP,
     "op8_embedding_dup": _EMBEDDINGS,
     "op9_warc_zip": _WARC,
+    "op12_prefix_trie": _TRIE,
 }

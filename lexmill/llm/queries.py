@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, secret_scan, sharding, token_store, toxicity, warc_zip
+from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, prefix_trie, secret_scan, sharding, token_store, toxicity, warc_zip
 from lexmill.llm.oracles import ORACLE_SQL  # noqa: F401
 from lexmill.session import Workspace
 
@@ -131,6 +131,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain, keep=["doc_id"]).withColumnsRenamed({f"__p_{c}": f"p_{c}" for c in CATEGORIES} | {"__rejected": "toxic"})
 
 
+def rebuilt_conversations(turns: DataFrame, ws: Workspace) -> DataFrame:
+    """(conv, from_own, place, digest, words) of rebuilt conversations; a row of place 0 stands for each of them.
+
+    Conversation c takes the first h turns of conversation c - c % 20 and its own after its first h; h is crc32(c) % 4. Turns
+    of equal number are in the order of a digest of role and text. Turns without a conv_id belong to none.
+    """
+    own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv"), "turn", *prefix_trie.turn_columns())
+    own = ws.write(prefix_trie.placed(own, ws, "own", [F.col("turn").asc_nulls_first(), F.col("digest")]), "placed")
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    each = own.where("place = 1").select("conv")
+    heads = own.where("conv % 20 = 0 and place <= 3").withColumnRenamed("conv", "base")
+    heads = each.withColumn("base", F.col("conv") - F.col("conv") % 20).join(heads, "base").where(F.col("place") <= h)
+    roots = each.select("conv", F.lit(0).alias("from_own"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("words"))
+    heads = heads.select("conv", F.lit(0).alias("from_own"), "place", "digest", "words")
+    return roots.union(heads).union(own.where(F.col("place") > h).select("conv", F.lit(1).alias("from_own"), "place", "digest", "words"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    ws = Workspace(spark, "trie")
+    turns = rebuilt_conversations(_read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), ws)
+    return prefix_trie.trie(turns, ws, [F.col("from_own"), F.col("place")]).drop("k1", "k2", "n_ends")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -142,4 +166,5 @@ QUERIES = {
     "op8_embedding_dup": op8_embedding_dup,
     "op9_warc_zip": op9_warc_zip,
     "op10_toxicity": op10_toxicity,
+    "op12_prefix_trie": op12_prefix_trie,
 }
