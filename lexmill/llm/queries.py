@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, prefix_trie, secret_scan, sharding, token_store, toxicity, warc_zip
+from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, prefix_trie, secret_scan, sharding, token_store, toxicity, warc_zip, whitening
 from lexmill.llm.oracles import ORACLE_SQL  # noqa: F401
 from lexmill.session import Workspace
 
@@ -155,6 +155,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(turns, ws, [F.col("from_own"), F.col("place")]).drop("k1", "k2", "n_ends")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened."""
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), keep=["vec_id"])
+    return found.withColumnsRenamed({c: c.removeprefix("__") for c in found.columns})
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -167,4 +173,5 @@ QUERIES = {
     "op9_warc_zip": op9_warc_zip,
     "op10_toxicity": op10_toxicity,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
