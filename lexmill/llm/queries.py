@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, prefix_trie, secret_scan, sharding, token_store, toxicity, warc_zip, whitening
+from lexmill.llm import bpe, decontam, embed_dup, lang_id, near_dup, pii, prefix_trie, secret_scan, sharding, token_store, toxicity, warc_zip, whitening
 from lexmill.llm.oracles import ORACLE_SQL  # noqa: F401
 from lexmill.session import Workspace
 
@@ -131,6 +131,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain, keep=["doc_id"]).withColumnsRenamed({f"__p_{c}": f"p_{c}" for c in CATEGORIES} | {"__rejected": "toxic"})
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and those that the trees add, as kinds like_email and so on."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    found = pii.scan(docs, pii.train(docs), keep=["doc_id"])
+    base = F.filter("__spans", lambda s: s["base"])
+
+    def joined(spans):
+        kind = lambda s: F.when(s["base"], s["kind"]).otherwise(F.concat(F.lit("like_"), s["kind"]))
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
+
+
 def rebuilt_conversations(turns: DataFrame, ws: Workspace) -> DataFrame:
     """(conv, from_own, place, digest, words) of rebuilt conversations; a row of place 0 stands for each of them.
 
@@ -172,6 +186,7 @@ QUERIES = {
     "op8_embedding_dup": op8_embedding_dup,
     "op9_warc_zip": op9_warc_zip,
     "op10_toxicity": op10_toxicity,
+    "op11_pii": op11_pii,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_whitening": op13_whitening,
 }

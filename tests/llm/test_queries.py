@@ -41,12 +41,26 @@ def texts():
     return out
 
 
+def conversations():
+    """Shared beginnings, copies, nulls, ties, repeated rows, bases that are short or absent, negative ids, a long conversation."""
+    rng = np.random.default_rng(13)
+    out = []
+    for c in [*range(-45, -35), *range(-3, 70), *range(200, 230)]:
+        if c in (40, 200):  # no base
+            continue
+        for k in range(1 if c in (20, 0) else rng.integers(1, 7)):
+            out.append((c, int(k) if k else None, ("user", "assistant", None)[k % 3], (None, "", "hi there", f"some words {rng.integers(3)} here")[rng.integers(4)]))
+    out += [(500, k, "user", "again and again") for k in range(300)] + [(501, k, "user", "again and again") for k in range(280)] + [(502, k, "user", "again and again") for k in range(280)]
+    out += [(503, 1, "a", "one"), (503, 1, "b", "two"), (503, 1, "b", "two"), (503, 1, "a", "one"), (504, 1, "b", "two"), (504, 1, "a", "one"), (504, 1, "a", "one"), (504, 1, "b", "two")]
+    return out + [(None, 1, "user", "of no conversation"), (505, 7, "user", LONG)]
+
+
 def language(rng, lang, n):
     parts = {"en": ["the", "ing", "th", "and"], "de": ["der", "sch", "ung", "ein"]}[lang]
     return " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(n))
 
 
-def write(spark, folder, rows, vectors, pages, items, labels):
+def write(spark, folder, rows, vectors, pages, items, labels, turns=()):
     def table(name, data, schema):
         df = spark.createDataFrame(data, schema)
         for c in CLASH:
@@ -58,6 +72,7 @@ def write(spark, folder, rows, vectors, pages, items, labels):
     table("pages", pages, "page_id bigint, url string, html string")
     table("benchmark", items, "item_id bigint, text string")
     table("labels", labels, "doc_id bigint, quality int, toxic int")
+    table("conversations", list(turns), "conv_id bigint, turn bigint, role string, text string")
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +93,7 @@ def small(spark, tmp_path_factory):
     html = ["<p>a</p>", None, "", "<p>a</p>", "abc", "abc", LONG, "<p>ä\r\n\r\nb</p>", "<p>a</p>", "alone"]
     pages = [(5 * i, None if i == 4 else f"http://x/{i} ü%20\r\n", h) for i, h in enumerate(html)]
     items = [(7, ITEM), (10, "Tiny item"), (3, None), (4, " .. "), (8, "beta gamma delta epsilon zeta eta theta iota kappa lambda other end"), (7, ITEM), (None, "see here")]
-    write(spark, folder, rows, vectors, pages, items, labels)
+    write(spark, folder, rows, vectors, pages, items, labels, conversations())
     return folder, rows
 
 
@@ -170,7 +185,7 @@ def test_repeated_and_null_ids_do_no_harm(spark, tmp_path):
     pages = [(None, "u", "x"), (None, "u", "x"), (1, "u", "y"), (1, "u", "y"), (2, None, None)]
     write(spark, str(tmp_path), rows, vectors, pages, [(1, "one text")], [(1, 1, 0), (1, 0, 1), (None, 1, 1)])
     for name, query in QUERIES.items():
-        n = {"op8_embedding_dup": 4}.get(name, 5)
+        n = {"op8_embedding_dup": 4, "op12_prefix_trie": 0, "op13_whitening": 8}.get(name, 5)
         assert len(query(spark, str(tmp_path)).collect()) == n, name
     got = sorted((r.page_id or 0, r.record_type) for r in QUERIES["op9_warc_zip"](spark, str(tmp_path)).collect())
     assert got == [(0, "response"), (0, "revisit"), (1, "response"), (1, "revisit"), (2, "response")]
