@@ -141,8 +141,10 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = lambda s: F.when(s["base"], s["kind"]).otherwise(F.concat(F.lit("like_"), s["kind"]))
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
 
 
 def rebuilt_conversations(turns: DataFrame, ws: Workspace) -> DataFrame:
