@@ -58,12 +58,6 @@ def both_arms(df: DataFrame, key: str, arm: str, first, second) -> DataFrame:
     return df.where(F.col(arm).isin(first, second)).join(keys, key, "left_semi")
 
 
-def no_overlap(spans: DataFrame, used: DataFrame, key: str) -> DataFrame:
-    """Spans [lo, hi) of a key that overlap none of the used ones of the same key."""
-    u = used.select(F.col(key).alias("__k"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    return spans.join(u, (F.col(key) == F.col("__k")) & (F.col("lo") < F.col("__hi")) & (F.col("hi") > F.col("__lo")), "left_anti")
-
-
 def nearest(distances: DataFrame) -> DataFrame:
     """(a, nearest, d) from unordered pairs (a, b, d): each end's closest partner, ties to the smaller one."""
     both = distances.select("a", "b", "d").union(distances.select("b", "a", "d"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -85,17 +85,64 @@ def assign_names(df: DataFrame, index: str, pool: list[str], offset: int = 0, av
     return df.withColumn("name", F.get(turn, 0))
 
 
-def matched_controls(spans: DataFrame, lengths: DataFrame, key: str, tries: int = 30, want: int = 3, seed: int = 0) -> DataFrame:
-    """For each span (key, id, lo, hi) up to `want` spans of equal length in the same text that overlap no span of it.
+CONTROLS = "array<struct<word:int,lo:int,hi:int>>"
 
-    lengths: (key, n_chars). Starts are hashes of (span, try); of the tries that fit, the first ones are kept. Controls of
-    one span may overlap each other.
+
+def matched_controls(df: DataFrame, key: str, text: str, spans: str, taken: str | None = None, tries: int = 30, want: int = 3, prefix: int = 10, margin: int = 5, room: int = 40) -> DataFrame:
+    """(key, span, n_words, tries, controls) of each target span of a text: up to `want` other spans of as many words.
+
+    spans is an array of (lo, hi) in characters, taken one of what must be kept clear besides. Targets are served in order, by
+    at most tries * want draws each: a draw is the start, by a digest of key, span and draw, of words from prefix + margin on,
+    and is kept if it overlaps no target, nothing taken, and no control before it. controls have the first word's number and
+    the place in characters. A text with fewer than prefix + span + room words has no controls and no draws; a null text, or one
+    without spans, has no rows. A text and its spans are one row, so a task holds one text's spans at a time.
     """
-    from lexmill.operators.relational import no_overlap
-
-    size = F.col("hi") - F.col("lo")
-    tried = spans.join(lengths, key).where(F.col("n_chars") >= size).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    start = F.pmod(F.xxhash64("id", "try", F.lit(seed)), F.col("n_chars") - size + 1)
-    tried = tried.select(key, "id", "try", start.alias("lo"), (start + size).alias("hi"))
-    free = no_overlap(tried, spans, key)
-    return free.withColumn("k", F.row_number().over(Window.partitionBy(key, "id").orderBy("try"))).where(F.col("k") <= want).drop("try")
+    t = dict(df.dtypes)[key]
+
+    def run(frames):
+        import hashlib
+        import re
+        from bisect import bisect_left, insort
+
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for k, body, targets, other in zip(f["k"], f["t"], f["s"], f["u"], strict=True):
+                if body is None or targets is None:
+                    continue
+                words = [m.span() for m in re.finditer(r"\S+", body)]
+                ends = [b for _, b in words]
+                # what is taken, in words: those that a span touches
+                used = [_words_of(words, ends, x["lo"], x["hi"]) for x in [*targets, *(other if other is not None else ())]]
+                used = sorted(x for x in used if x[0] < x[1])
+                widest = max((b - a for a, b in used), default=0)
+                for i, x in enumerate(targets):
+                    a, b = _words_of(words, ends, x["lo"], x["hi"])
+                    size, made, found = b - a, 0, []
+                    last = len(words) - size - margin
+                    if size > 0 and len(words) >= prefix + size + room and last >= prefix + margin:
+                        while len(found) < want and made < tries * want:
+                            h = int(hashlib.md5(f"{k}|{i}|{made}".encode()).hexdigest()[:8], 16)
+                            w, made = prefix + margin + h % (last - prefix - margin + 1), made + 1
+                            at = bisect_left(used, (w - widest, 0))
+                            while at < len(used) and used[at][0] < w + size and used[at][1] <= w:
+                                at += 1
+                            if at == len(used) or used[at][0] >= w + size:
+                                insort(used, (w, w + size))
+                                widest = max(widest, size)
+                                found.append({"word": w, "lo": words[w][0], "hi": words[w + size - 1][1]})
+                    out.append((k, i, size, made, found))
+            yield pd.DataFrame(out, columns=["k", "span", "n_words", "tries", "controls"])
+
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    x = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(spans).alias("s"), (F.col(taken) if taken else none).alias("u"))
+    out = x.mapInPandas(run, f"k {t}, span int, n_words int, tries int, controls {CONTROLS}")
+    return out.withColumnRenamed("k", key)
+
+
+def _words_of(words: list[tuple[int, int]], ends: list[int], lo: int, hi: int) -> tuple[int, int]:
+    """The words that a stretch of characters touches, as a range."""
+    from bisect import bisect_left, bisect_right
+
+    return bisect_right(ends, lo), bisect_left(words, (hi, 0))

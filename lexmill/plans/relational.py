@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions.headings import word_spans
 from lexmill.functions.numbers import millionths
+from lexmill.operators import intervals, sampling
 from lexmill.operators import relational as op
-from lexmill.operators import sampling
 from lexmill.plans.registry import query
 
 
@@ -71,7 +72,54 @@ def interval_overlap_anti(t):
     e = t.events.select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lo"))
     a = e.where("event_type = 'click'").withColumn("hi", F.col("lo") + 600)
     u = e.where("event_type <> 'click'").withColumn("hi", F.col("lo") + 1800)
-    return op.no_overlap(a, u, "user_id").select("event_id")
+    return intervals.no_overlap(a, u, "user_id").select("event_id")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS lo, CAST(floor(epoch(ts)) AS BIGINT) + 60 + event_id % 5 * event_id % 40000 AS hi FROM events)
+SELECT a.user_id, a.event_id AS a, b.event_id AS b, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM e a JOIN e b ON a.user_id=b.user_id AND a.lo<b.hi AND b.lo<a.hi WHERE a.event_type='click' AND b.event_type='purchase'""")
+def interval_pairs(t):
+    """Clicks and purchases of a user whose times overlap, with what they share; lasting from a minute to half a day."""
+    lo = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    e = t.events.select("event_id", "user_id", "event_type", lo.alias("lo"), (lo + 60 + F.col("event_id") % 5 * F.col("event_id") % 40000).alias("hi"))
+    a = e.where("event_type = 'click'").withColumnRenamed("event_id", "a")
+    return intervals.overlap_pairs(a, e.where("event_type = 'purchase'").withColumnRenamed("event_id", "b"), "user_id", "a", "b")
+
+
+_CONTROLS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w, len(regexp_extract_all(text, '\S+')) AS n FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, w, n, least(12, n - n // 4) AS s1, least(12, n - n // 2) AS s2 FROM d WHERE n > 0),
+step AS (
+  SELECT doc_id, n, s1, s2, 0 AS i, 0 AS made, CAST([] AS INTEGER[]) AS found, [[n // 4, n // 4 + s1], [n // 2, n // 2 + s2]] AS used FROM x
+  UNION ALL
+  SELECT doc_id, n, s1, s2, CASE WHEN over THEN i + 1 ELSE i END, CASE WHEN over THEN 0 ELSE made + 1 END,
+    CASE WHEN over THEN [] WHEN fits THEN list_append(found, w) ELSE found END, CASE WHEN NOT over AND fits THEN list_append(used, [w, w + size]) ELSE used END
+  FROM (SELECT *, NOT over AND len(list_filter(used, lambda u: u[1] < w + size AND u[2] > w)) = 0 AS fits FROM (
+    SELECT *, len(found) >= 3 OR made >= 90 OR n < 10 + size + 40 OR n - size - 5 < 15 AS over, 15 + CAST('0x' || substr(md5(doc_id || '|' || i || '|' || made), 1, 8) AS BIGINT) % greatest(1, n - size - 5 - 15 + 1) AS w
+    FROM (SELECT *, CASE i WHEN 0 THEN s1 ELSE s2 END AS size FROM step WHERE i < 2)
+  ))
+),
+ends AS (SELECT * FROM step s WHERE i < 2 QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY made DESC, len(found) DESC) = 1)
+SELECT ends.doc_id, CAST(i AS INTEGER) AS span, CAST(CASE i WHEN 0 THEN ends.s1 ELSE ends.s2 END AS INTEGER) AS n_words, CAST(made AS INTEGER) AS tries, array_to_string(found, ',') AS starts,
+  md5(array_to_string(list_transform(found, lambda k: array_to_string(w[k + 1:k + CASE i WHEN 0 THEN ends.s1 ELSE ends.s2 END], ' ')), '|')) AS texts
+FROM ends JOIN x USING (doc_id)
+"""
+
+
+@query(_CONTROLS)
+def matched_controls(t):
+    """For two spans of twelve words of each document up to three control spans of equal length, with the draws made."""
+    d = t.documents.select("doc_id", "text", word_spans("text").alias("w")).where("size(w) > 0")
+
+    def target(part: int):
+        first = F.floor(F.size("w") / part).cast("int")
+        last = F.least(first + 12, F.size("w")) - 1
+        return F.struct(F.get("w", first)["start"].alias("lo"), F.get("w", last)["end"].alias("hi"))
+
+    got = sampling.matched_controls(d.withColumn("targets", F.array(target(4), target(2))), "doc_id", "text", "targets")
+    plain = lambda c: F.array_join(F.regexp_extract_all(F.substring(F.col("text"), c["lo"] + 1, c["hi"] - c["lo"]), F.lit(r"(\S+)"), F.lit(1)), " ")
+    texts = F.md5(F.array_join(F.transform("controls", plain), "|").cast("binary"))
+    starts = F.array_join(F.transform("controls", lambda c: c["word"].cast("string")), ",")
+    return got.join(d.select("doc_id", "text"), "doc_id").select("doc_id", "span", "n_words", "tries", starts.alias("starts"), texts.alias("texts"))
 
 
 @query("""WITH d AS (SELECT doc_id, md5(text) AS name FROM documents), k AS (SELECT *, count(*) OVER (PARTITION BY name) AS c, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS r FROM d)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import overlap, rules, text
-from lexmill.operators import balance, evaluation, panel, relational, sampling, sequence, shingle, stats
+from lexmill.operators import balance, evaluation, intervals, panel, relational, sampling, sequence, shingle, stats
 from lexmill.plans.registry import QUERIES
 from lexmill.session import Workspace
 from lexmill.sources import providers, readers, sinks
@@ -134,13 +134,7 @@ def test_recurrence_excludes_own_document(spark):
 def test_no_overlap(spark):
     used = spark.createDataFrame([("c", 8, 12)], "k string, lo int, hi int")
     spans = spark.createDataFrame([("c", 5, 9), ("c", 12, 15), ("d", 8, 9)], "k string, lo int, hi int")
-    assert sorted((r.k, r.lo) for r in relational.no_overlap(spans, used, "k").collect()) == [("c", 12), ("d", 8)]
-
-
-def test_matched_controls(spark):
-    spans = spark.createDataFrame([("c", f"s{i}", i * 50, i * 50 + 20) for i in range(5)], "k string, id string, lo bigint, hi bigint")
-    got = sampling.matched_controls(spans, spark.createDataFrame([("c", 1000)], "k string, n_chars bigint"), "k").collect()
-    assert len(got) == 15 and all(r.hi - r.lo == 20 and not any(r.lo < b and r.hi > a for a, b in ((i * 50, i * 50 + 20) for i in range(5))) for r in got)
+    assert sorted((r.k, r.lo) for r in intervals.no_overlap(spans, used, "k").collect()) == [("c", 12), ("d", 8)]
 
 
 def test_stratified_carries_quotas(spark):
