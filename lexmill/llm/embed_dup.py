@@ -24,12 +24,12 @@ from lexmill.session import Workspace
 
 #: A pair at the least similarity shares no filter of any code with a chance of at most e^-SHARED.
 SHARED = 14.0
-#: Rows of a block within a filter; vectors that pass a filter on average, as far as the dimension allows.
-BLOCK, PASSING = 1024, 512
-#: Filters of one code that a vector passes on average; most codewords of a block (few vectors need few directions, which one block
-#: holds; directions of several blocks depend on each other more, so that more have to be listed); share of the partners at the
-#: least cosine of a filter's vectors that pass it too, at least (narrower caps would keep partners apart in few dimensions).
-LISTED, MOST_WORDS, FOLLOW = 4, 4096, 0.2
+#: Rows of a block within a filter; vectors that pass a filter on average, as far as the dimension allows, but at most this share.
+BLOCK, PASSING, WIDEST = 1024, 512, 1 / 8
+#: Filters of one code that a vector passes on average (directions of one code depend on each other, so that many codes with few
+#: directions each list fewer filters for the same chance of meeting); most codewords of a block, and least dimensions; share of the
+#: partners at the least cosine of a filter's vectors that pass it too, at least (narrower caps keep partners apart in few dimensions).
+LISTED, MOST_WORDS, DIMENSIONS, FOLLOW = 0.25, 4096, 4, 0.2
 #: Pairs, and codes that they are dealt to, from which the chance of meeting in a code is measured.
 TRIALS, CODES = 8192, 8
 
@@ -62,7 +62,8 @@ def follows(dim: int, bound: float, cosine: float) -> float:
 
 
 class Plan(NamedTuple):
-    """Filters for a number of vectors: least inner product, blocks and codewords of a code, codes. Without codes there is one bucket."""
+    """Filters for a number of vectors: least inner product, blocks and codewords of a code, codes. Without codes (a least cosine
+    that nearly any pair has) there is one bucket."""
 
     bound: float
     blocks: int
@@ -77,14 +78,14 @@ class Plan(NamedTuple):
 
 @cache
 def plan(n: int, cosine: float, dim: int) -> Plan:
-    """Caps that PASSING of n vectors pass on average, as many directions a code that a vector passes LISTED of them, and as many
-    codes as SHARED asks for, by the measured chance of meeting."""
-    if n <= BLOCK or cosine <= 0:
+    """Caps that PASSING of n vectors pass on average, as many directions a code that a vector passes LISTED of them, in two blocks or
+    more where the dimension allows it, and as many codes as SHARED asks for, by the measured chance of meeting."""
+    if cosine <= 0:
         return Plan(-1.0, 1, 1, 0)
     if dim == 1:
         return Plan(0.5, 1, 2, 1)
     phi, share = _angles(dim)
-    bound = float(np.cos(np.interp(PASSING / n, share, phi)))
+    bound = float(np.cos(np.interp(min(WIDEST, PASSING / n), share, phi)))
     if cosine < 1 and follows(dim, bound, cosine) < FOLLOW:
         low, high = 0.0, bound
         for _ in range(40):
@@ -92,10 +93,10 @@ def plan(n: int, cosine: float, dim: int) -> Plan:
             low, high = (mid, high) if follows(dim, mid, cosine) >= FOLLOW else (low, mid)
         bound = low
     directions = LISTED / share_of(dim, bound)
-    blocks = 1
-    while directions ** (1 / blocks) > MOST_WORDS and 4 * (blocks + 1) <= dim:
+    blocks = 2 if 2 * DIMENSIONS <= dim else 1
+    while directions ** (1 / blocks) > MOST_WORDS and DIMENSIONS * (blocks + 1) <= dim:
         blocks += 1
-    first = Plan(bound, blocks, int(np.ceil(directions ** (1 / blocks))), 1)
+    first = Plan(bound, blocks, max(2, int(np.ceil(directions ** (1 / blocks)))), 1)
     p = meets(first, cosine, dim)
     return first._replace(codes=1 if p >= 1 else int(np.ceil(SHARED / -np.log1p(-p))))
 
