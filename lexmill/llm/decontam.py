@@ -14,6 +14,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,17 +57,26 @@ class SuffixAutomaton:
                     ends.append((last, at))
             if len(ids) < window:
                 shorts.setdefault(tuple(ids), []).append(at)
+        # the ancestor whose strings include a state's last `window` words; links lead to shorter states, so their own are known first
+        order = np.argsort(np.array(self.length), kind="stable").tolist()
+        self.top = array("i", range(len(self.next)))
+        for state in order:
+            up = self.link[state]
+            if up >= 0 and self.length[up] >= window:
+                self.top[state] = self.top[up]
         owners: dict[int, set[int]] = {}  # the items in which a state's window occurs
-        for state, at in ends:  # the state whose strings include the last `window` words of this prefix
-            while self.length[self.link[state]] >= window:
-                state = self.link[state]
-            owners.setdefault(state, set()).add(at)
+        for state, at in ends:
+            owners.setdefault(self.top[state], set()).add(at)
         self.short: dict[int, list[tuple[int, int]]] = {}  # state -> (length, item) of whole short items among its strings
         for ids, whose in shorts.items():
             state = 0
             for c in ids:
                 state = self.next[state][c]
             self.short.setdefault(state, []).extend((len(ids), at) for at in whose)
+        # the nearest ancestor, or the state itself, at which a short item ends; 0 where there is none
+        self.ender = array("i", [0]) * len(self.next)
+        for state in order[1:]:
+            self.ender[state] = state if state in self.short else self.ender[self.link[state]]
         n = len(self.next)
         self.word, self.to, self.owner = (array("i", [-1]) * n for _ in range(3))
         self.branches: dict[int, dict[int, int]] = {}
@@ -145,9 +155,7 @@ class SuffixAutomaton:
             if n > longest:
                 longest = n
             if n >= window:
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
+                s = self.top[state]
                 at = self.owner[s]
                 if at >= 0:
                     items.add(at)
@@ -155,13 +163,13 @@ class SuffixAutomaton:
                     items.update(self.shared[s])
                 hits.append((i + 1 - window, i + 1))
             if short:
-                s = state
-                while s > 0:
-                    for size, at in short.get(s, ()):
+                s = self.ender[state]
+                while s > 0:  # at most one state for each length below a window
+                    for size, at in short[s]:
                         if size <= n:
                             items.add(at)
                             hits.append((i + 1 - size, i + 1))
-                    s = link[s]
+                    s = self.ender[link[s]]
         return joined(hits), items, longest if hits else 0
 
 
