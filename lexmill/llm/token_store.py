@@ -17,7 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm import pretokenize
@@ -231,7 +231,7 @@ def write(
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """A row for each part of the recipes: its rows and tokens, and the Merkle root over its documents' roots in order.
+    """A row for each part of the recipes: tokens before it, its rows and tokens, and the Merkle root over its documents' roots in order.
 
     Files hold whole parts in order, or runs of a part; runs are summed up by tree nodes of 1,024 documents each.
     """
@@ -239,7 +239,8 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
     nodes = nodes.groupBy("part", "k").agg(F.array_sort(F.collect_list(F.struct("at", "root"))).alias("r"), F.sum("n").alias("n"), F.count("*").alias("c"))
     nodes = nodes.select("part", "k", "n", "c", F.sha2(F.aggregate("r", F.lit(b""), lambda s, x: F.concat(s, x["root"])), 256).alias("h"))
     parts = nodes.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("h"), F.sum("c").alias("rows"), F.sum("n").alias("tokens"))
-    return parts.select("part", F.lit(0).cast("long").alias("first"), "rows", "tokens", F.unhex(F.sha2(F.array_join("h.h", ""), 256)).alias("root"))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    return parts.select("part", before.cast("long").alias("first"), "rows", "tokens", F.unhex(F.sha2(F.array_join("h.h", ""), 256)).alias("root"))
 
 
 # crc32 of joined data from crc32s of its parts: multiplication by x^(8 n) modulo the polynomial
@@ -333,12 +334,32 @@ def read_back(store: Store) -> DataFrame:
 
 
 def reconstruct(store: Store, wanted: DataFrame) -> DataFrame:
-    """(id, ids) of the documents whose ids `wanted` (column id) lists, put together from chunks."""
-    each = store.recipes.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "part", "at", F.posexplode_outer("chunks").alias("k", "c"))
-    got = each.select("id", "part", "at", "k", "c.d").join(store.chunks.select("d", "data"), "d", "left")
-    got = got.groupBy("id", "part", "at").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("c"))
+    """(id, ids) of the documents whose ids `wanted` (column id) lists, put together from chunks.
 
-    def make():
-        return lambda r: {"id": r["id"], "ids": [np.concatenate([np.empty(0, "<u4"), *[unpack(x["data"]) for x in c if x["data"]]]).astype(np.int64).tolist() for c in r["c"]]}
+    Every chunk is held against its digest and every document's chunks against its root; a chunk that is missing or altered is
+    an error, never a shorter document. A document without ids has none; an id that the store lacks has no row.
+    """
+    each = store.recipes.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "part", "at", "root", F.posexplode_outer("chunks").alias("k", "c"))
+    got = each.select("id", "part", "at", "root", "k", "c.d").join(store.chunks.select("d", "data"), "d", "left")
+    got = got.groupBy("id", "part", "at").agg(F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("k", "d", "data"))).alias("c"))
 
-    return map_rows(got.select("id", "c"), make, "id bigint, ids array<bigint>")
+    def make():
+        def whole(k, root: bytes, chunks: list) -> list[int]:
+            parts, digests = [np.empty(0, "<u4")], []
+            for x in chunks:
+                if x["d"] is None:  # a document without ids
+                    continue
+                if x["data"] is None:
+                    raise ValueError(f"chunk {x['d'].hex()} of document {k} is missing")
+                ids = unpack(x["data"])
+                if digest(ids.tobytes()) != x["d"]:
+                    raise ValueError(f"chunk {x['d'].hex()} of document {k} doesn't match its digest")
+                parts.append(ids)
+                digests.append(x["d"])
+            if digests and merkle(digests) != root:
+                raise ValueError(f"document {k} doesn't match its root")
+            return np.concatenate(parts).astype(np.int64).tolist()
+
+        return lambda r: {"id": r["id"], "ids": [whole(*x) for x in zip(r["id"], r["root"], r["c"], strict=True)]}
+
+    return map_rows(got.select("id", "root", "c"), make, "id bigint, ids array<bigint>")
