@@ -37,4 +37,4 @@ def query(sql: str | None = None):
 
 
 # the modules below register their queries
-from lexmill.plans import balance, crawls, evaluation, overlap, panel, predicates, probes, records, relational, scalars, scans, sequences, texts  # noqa: E402, F401
+from lexmill.plans import asked, balance, crawls, evaluation, overlap, panel, predicates, probes, records, relational, scalars, scans, sequences, texts  # noqa: E402, F401
