@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.numbers import ratio
 from lexmill.functions.text import heading_kind, sentences, squeeze, usable_sentence, without_noise, word_blocks
-from lexmill.operators.relational import place_in_group
+from lexmill.operators.relational import By, place_in_group
 from lexmill.operators.sampling import scramble
 
 #: Words of a completion's prompt, in rotation by a document's number; words of the answer after an anchor.
@@ -221,12 +221,12 @@ def control_set(df: DataFrame, key: str, text: str, chunks: int = 8, least: int
     return out.select("__id.*", *[c for c in out.columns if c != "__id"])
 
 
-def span_ids(df: DataFrame, group: str, prefix: Column, order: Sequence[Column]) -> DataFrame:
+def span_ids(df: DataFrame, group: str, prefix: Column, order: Sequence[str | By]) -> DataFrame:
     """Adds id: a prefix and a number of four digits within each group."""
     return place_in_group(df, group, order, "__k").withColumn("id", F.format_string("%s%04d", prefix, F.col("__k") + 1)).drop("__k")
 
 
-def batches(df: DataFrame, by: str, order: Sequence[Column], size: int) -> DataFrame:
+def batches(df: DataFrame, by: str, order: Sequence[str | By], size: int) -> DataFrame:
     """Adds number (from 1) and batch (from 0) within each group."""
     x = place_in_group(df, by, order, "__k").withColumn("number", (F.col("__k") + 1).cast("int")).drop("__k")
     return x.withColumn("batch", F.floor((F.col("number") - 1) / size).cast("int"))

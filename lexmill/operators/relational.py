@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,48 +66,87 @@ def nearest(distances: DataFrame) -> DataFrame:
     return best.select("a", F.col("m.b").alias("nearest"), F.col("m.d").alias("d"))
 
 
-def collision_suffix(df: DataFrame, name: str, order: str, out: str = "uid") -> DataFrame:
-    """A unique name: the name itself, or name__k in order where several rows have it."""
-    w = Window.partitionBy(name)
-    k = F.row_number().over(w.orderBy(order))
-    return df.withColumn(out, F.when(F.count("*").over(w) > 1, F.concat_ws("__", F.col(name), k.cast("string"))).otherwise(F.col(name)))
+class By(NamedTuple):
+    """What rows are ordered by: a column, whether it falls, and where nulls go (by default first, or last if it falls)."""
+
+    column: str | Column
+    falling: bool = False
+    nulls_last: bool | None = None
 
+    def of(self, c: str) -> Column:
+        """The order of a column of that name."""
+        last = self.falling if self.nulls_last is None else self.nulls_last
+        if self.falling:
+            return F.desc_nulls_last(c) if last else F.desc_nulls_first(c)
+        return F.asc_nulls_last(c) if last else F.asc_nulls_first(c)
 
-def place_in_group(df: DataFrame, group: str, order: Sequence[Column], out: str) -> DataFrame:
-    """Adds out: a row's place in its group, from 0, in an order that tells the group's rows apart.
+
+def place_in_group(df: DataFrame, group: str | None, order: Sequence[str | By], out: str) -> DataFrame:
+    """Adds out: a row's place in its group, from 0, in an order that tells the group's rows apart; without a group, among all rows.
 
     A window over a group would put it into one task. Instead rows are dealt by ranges of group and order, and written with their
     place in their partition; where a group's rows of a partition begin follows from a table with a row for each (partition, group).
+    Null groups are a group of their own. Of rows that the order doesn't tell apart any may come first.
     """
     ws = Workspace(df.sparkSession, "places")
-    keys = [f"__o{i}" for i in range(len(order))]
-    x = df.withColumns({k: _plain(c) for k, c in zip(keys, order, strict=True)})
-    ways = [F.desc_nulls_last(k) if _falls(c) else F.asc_nulls_first(k) for k, c in zip(keys, order, strict=True)]
-    x = x.repartitionByRange(F.col(group), *ways).sortWithinPartitions(F.col(group), *ways).drop(*keys)
+    by = [By(c) if isinstance(c, str) else c for c in order]
+    keys = [f"__o{i}" for i in range(len(by))]
+    x = df.withColumns({k: F.col(c.column) if isinstance(c.column, str) else c.column for k, c in zip(keys, by, strict=True)})
+    x = x.withColumn("__g", F.col(group) if group else F.lit(0))
+    ways = [F.col("__g"), *[c.of(k) for k, c in zip(keys, by, strict=True)]]
+    x = x.repartitionByRange(*ways).sortWithinPartitions(*ways).drop(*keys)
     row = F.monotonically_increasing_id()
     x = ws.write(x.withColumn("__part", F.shiftright(row, 33)).withColumn("__at", row.bitwiseAND((1 << 33) - 1)), "placed")
-    parts = x.groupBy(F.col(group).alias("__g"), "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    parts = x.groupBy("__g", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("__g", F.col("__part").alias("__p"), (before - F.col("__first")).alias("__base"))
-    x = x.join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    return x.withColumn(out, F.col("__at") + F.col("__base")).drop("__part", "__at", "__g", "__p", "__base")
+    parts = parts.select(F.col("__g").alias("__h"), F.col("__part").alias("__p"), (before - F.col("__first")).alias("__base"))
+    x = x.join(parts, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__p")))
+    return x.withColumn(out, F.col("__at") + F.col("__base")).drop("__part", "__at", "__g", "__h", "__p", "__base")
 
 
-def _falls(c: Column) -> bool:
-    """Whether a sort column is descending."""
-    return " DESC " in f" {c._jc.toString()} "
+def collision_suffix(df: DataFrame, name: str, order: str, out: str = "uid") -> DataFrame:
+    """A unique name: the name itself, or name__k in order where several rows have it. A null name stays null.
+
+    Names are counted first; only rows whose name comes again are numbered, by place_in_group, so that a name that very many
+    rows have is dealt over many tasks.
+    """
+    ws = Workspace(df.sparkSession, "names")
+    again = ws.write(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).count().where("count > 1").select("__name"), "again")
+    once = df.join(again, F.col(name) == F.col("__name"), "left_anti").withColumn(out, F.col(name))
+    many = place_in_group(df.join(again, F.col(name) == F.col("__name"), "left_semi"), name, [order], "__k")
+    return once.unionByName(many.withColumn(out, F.concat_ws("__", F.col(name), (F.col("__k") + 1).cast("string"))).drop("__k"))
 
 
-def _plain(c: Column) -> Column:
-    """The value that a sort column orders by."""
-    text = c._jc.toString()
-    for mark in (" DESC NULLS LAST", " DESC NULLS FIRST", " ASC NULLS FIRST", " ASC NULLS LAST"):
-        if text.endswith(mark):
-            return F.expr(text.removesuffix(mark))
-    return c
+def grow_vocabulary(df: DataFrame, value: str, order: Sequence[str | By], known: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, vocabulary): df with entry and place of each value in a vocabulary that grows as rows come in order.
 
+    A value that is a whole number means the entry of that place, if there is one when its row comes; other texts, trimmed, are
+    entries, new ones being added at the end; null and blank values, and numbers out of range, have neither entry nor place.
+    `known` are the entries at the start. vocabulary has (place, entry, first), first being the row that added it, -1 for known.
 
-def round_robin(df: DataFrame, bucket: str, order: Sequence[Column], turn: int = 1) -> DataFrame:
+    When an entry is added depends on texts alone, so nothing is resolved row by row: texts are reduced to their first rows,
+    which are numbered by ranges, and a number finds its entry if that was added by a row before its own.
+    """
+    spark, ws = df.sparkSession, Workspace(df.sparkSession, "vocabulary")
+    text = F.trim(F.col(value))
+    number = text.rlike(r"^-*[0-9]+$")
+    x = place_in_group(df, None, order, "__n")
+    index = F.when(number, F.coalesce(F.expr(f"try_cast(trim(`{value}`) as bigint)"), F.lit(-1)))
+    x = ws.write(x.withColumn("__i", index).withColumn("__t", F.when(~number & (text != ""), text)), "rows")
+    start = [(i, e, -1) for i, e in enumerate(dict.fromkeys(known))]
+    old = spark.createDataFrame(start, "place bigint, entry string, first bigint")
+    new = x.where("__t is not null").groupBy(F.col("__t").alias("entry")).agg(F.min("__n").alias("first")).join(F.broadcast(old.select("entry")), "entry", "left_anti")
+    new = place_in_group(new, None, ["first"], "__k").select((F.col("__k") + len(start)).alias("place"), "entry", "first")
+    every = ws.write(old.union(new), "entries")
+    by_text = x.where("__t is not null").join(every.select(F.col("entry").alias("__t"), "entry", "place"), "__t", "left")
+    there = every.select(F.col("place").alias("__p"), "entry", "place", "first")
+    by_index = x.where("__i is not null").join(there, (F.col("__i") == F.col("__p")) & (F.col("first") < F.col("__n")), "left")
+    none = x.where("__t is null and __i is null").withColumns({"entry": F.lit(None).cast("string"), "place": F.lit(None).cast("bigint")})
+    cols = [*df.columns, "entry", "place"]
+    return by_text.select(cols).union(by_index.select(cols)).union(none.select(cols)), every
+
+
+def round_robin(df: DataFrame, bucket: str, order: Sequence[str | By], turn: int = 1) -> DataFrame:
     """`turn` rows of each bucket in rotation: adds round and slot, from 0, in the interleaved order (bucket by bucket name)."""
     out = place_in_group(df, bucket, order, "__rn").withColumn("round", F.floor(F.col("__rn") / turn).cast("long"))
     return out.withColumn("slot", F.pmod("__rn", F.lit(turn)).cast("long")).drop("__rn")

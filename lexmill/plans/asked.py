@@ -92,7 +92,7 @@ _QUESTIONS = f"WITH {_context(_SOURCE, 45)}, q AS ({' UNION ALL '.join(_ALL)}) S
 @query(_QUESTIONS)
 def questions_of_documents(t):
     """All twenty ids and the anchored family for every document, answered or not, with where answers stand."""
-    d = place_in_group(t.documents.withColumn("__all", F.lit(0)), "__all", [F.col("doc_id")], "n")
+    d = place_in_group(t.documents, None, ["doc_id"], "n")
     facts = {
         "Q01": ("Where is this from?", F.col("source")), "Q02": ("In what year was it filed?", (1990 + F.col("doc_id") % 35).cast("string")),
         "Q03": ("Who are the parties?", F.lower(F.concat("lang", F.lit(" v. "), "source"))), "Q04": ("On what date?", F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 12000).cast("int"))),

@@ -9,7 +9,7 @@ from lexmill.functions.numbers import millionths
 from lexmill.functions.rules import containment_verdict
 from lexmill.functions.text import WORD
 from lexmill.operators import shingle
-from lexmill.operators.relational import place_in_group
+from lexmill.operators.relational import By, place_in_group
 from lexmill.plans.registry import query
 
 
@@ -19,14 +19,14 @@ def _words(text="text"):
 
 def _next(t, order):
     """(doc_id, next): each document and the one behind it in its language."""
-    d = place_in_group(t.documents.select("doc_id", "lang"), "lang", [*order, F.col("doc_id")], "k")
+    d = place_in_group(t.documents.select("doc_id", "lang"), "lang", [*map(By, order), "doc_id"], "k")
     return d.join(d.select("lang", (F.col("k") - 1).alias("k"), F.col("doc_id").alias("next")), ["lang", "k"]).select("doc_id", "lang", "next")
 
 
 def _pairs(t):
     """Each document's words 11 to 30 (the span that the floor is measured on) with those of the next document in md5 order in its language."""
     d = t.documents.select("doc_id", "lang", F.slice(_words(), 11, 20).alias("g")).where(F.size("g") > 0)
-    k = place_in_group(d, "lang", [F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id")], "k")
+    k = place_in_group(d, "lang", [By(F.md5(F.col("doc_id").cast("string").cast("binary"))), "doc_id"], "k")
     return k.join(k.select("lang", (F.col("k") - 1).alias("k"), F.col("g").alias("p")), ["lang", "k"]).drop("k")
 
 

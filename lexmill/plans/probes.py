@@ -20,13 +20,13 @@ def _m(df, *cols):
 def span_ids(t):
     """Ids that count within a group."""
     x = t.lineitem
-    return op.span_ids(x, "l_returnflag", F.col("l_returnflag"), [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).select("l_orderkey", "l_linenumber", "l_partkey", "id")
+    return op.span_ids(x, "l_returnflag", F.col("l_returnflag"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "id")
 
 
 @query("""SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS number, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)-1)//10 AS INTEGER) AS batch FROM part""")
 def batch_numbering(t):
     """Numbers and batches of ten within a brand."""
-    return op.batches(t.part, "p_brand", [F.col("p_partkey")], 10).select("p_partkey", "number", "batch")
+    return op.batches(t.part, "p_brand", ["p_partkey"], 10).select("p_partkey", "number", "batch")
 
 
 @query("""WITH x AS (SELECT l_suppkey%4 AS g, l_partkey%4 AS j, l_quantity AS s FROM lineitem) SELECT g, CAST(floor(avg(s) FILTER (WHERE j=0)*1e6+0.5) AS BIGINT) AS by_0, CAST(floor(avg(s) FILTER (WHERE j=1)*1e6+0.5) AS BIGINT) AS by_1, CAST(floor(avg(s) FILTER (WHERE j=2)*1e6+0.5) AS BIGINT) AS by_2, CAST(floor(avg(s) FILTER (WHERE j=3)*1e6+0.5) AS BIGINT) AS by_3, CAST(floor(avg(s)*1e6+0.5) AS BIGINT) AS mean, CAST(floor(avg(s) FILTER (WHERE j=g)*1e6+0.5) AS BIGINT) AS own FROM x GROUP BY g""")

@@ -135,7 +135,7 @@ SELECT o_orderkey, half, CAST(r//3 AS BIGINT) AS round, CAST(r%3 AS BIGINT) AS s
 def round_robin_half_year(t):
     """Orders dealt from half-year buckets, three a turn."""
     o = t.orders.select("o_orderkey", "o_totalprice", op.half_year(F.col("o_orderdate")).alias("half"))
-    return op.round_robin(o, "half", [F.desc("o_totalprice"), F.col("o_orderkey")], 3).drop("o_totalprice")
+    return op.round_robin(o, "half", [op.By("o_totalprice", True), "o_orderkey"], 3).drop("o_totalprice")
 
 
 @query("""WITH c AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY o_custkey),
@@ -235,3 +235,20 @@ def hotspot_funnel(t):
 def having_coverage(t):
     """Parts with at least 13 open lines."""
     return t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "O").alias("found")).where("found >= 13").select("l_partkey", "n")
+
+
+_LINKS = "WITH l AS (SELECT page_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k FROM (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a>', 1) AS w FROM pages)), h AS (SELECT page_id, k, w, CAST('0x' || substr(md5(page_id || '|' || k), 1, 8) AS BIGINT) AS h FROM l)"
+
+
+@query(f"""{_LINKS}, v AS (SELECT page_id, k, CASE WHEN h % 5 = 0 THEN CAST(h % 400 - 20 AS VARCHAR) WHEN h % 31 = 0 THEN ' ' ELSE w END AS value, row_number() OVER (ORDER BY page_id, k) - 1 AS n FROM h),
+x AS (SELECT page_id, k, n, CASE WHEN NOT regexp_matches(trim(value), '^-*[0-9]+$') AND trim(value) <> '' THEN trim(value) END AS t, CASE WHEN regexp_matches(trim(value), '^-*[0-9]+$') THEN CAST(trim(value) AS BIGINT) END AS i FROM v),
+known AS (SELECT * FROM (VALUES (0, 'The', -1), (1, 'unseen', -1)) AS z(place, entry, first)),
+e AS (SELECT place, entry, first FROM known UNION ALL SELECT 1 + row_number() OVER (ORDER BY min(n)), t, min(n) FROM x WHERE t IS NOT NULL AND t NOT IN (SELECT entry FROM known) GROUP BY t)
+SELECT page_id, CAST(k AS INTEGER) AS k, coalesce(a.entry, b.entry) AS entry, CAST(coalesce(a.place, b.place) AS BIGINT) AS place FROM x LEFT JOIN e a ON a.entry = x.t LEFT JOIN e b ON b.place = x.i AND b.first < x.n""")
+def growing_vocabulary(t):
+    """link texts of all pages as entries of a vocabulary that grows as they come; every fifth is a number that means an entry."""
+    links = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<li><a[^>]*>([^<]*)</a>"), F.lit(1))).alias("k", "w"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    value = F.when(h % 5 == 0, (h % 400 - 20).cast("string")).when(h % 31 == 0, " ").otherwise(F.col("w"))
+    rows, _ = op.grow_vocabulary(links.select("page_id", "k", value.alias("value")), "value", ["page_id", "k"], ["The", "unseen"])
+    return rows.select("page_id", "k", "entry", "place")

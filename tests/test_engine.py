@@ -296,21 +296,57 @@ def test_names_headings_vocabulary(spark):
     rows = [(1, gold, gold), (2, "Background facts; invented words here", gold), (3, "x", ""), (4, None, gold)]
     got = {r.k: r for r in headings.heading_scores(spark.createDataFrame(rows, "k int, p string, g string"), ["k"], "p", "g").collect()}
     assert set(got) == {1, 2, 4} and got[1][1:] == (1.0, 0, 1.0, 2, 2) and got[2].recall == 0.5 and got[4].score == 0
-    words = ["a", "b"]
-    assert headings.resolve([0, "1", "new", "new", 9, True, None, " ", 2], words) == ["a", "b", "new", "new", None, None, None, None, "new"] and words == ["a", "b", "new"]
     r = spark.createDataFrame([("ab  c",), (None,)], "t string").select(headings.word_spans("t").alias("w")).collect()
     assert [tuple(x) for x in r[0].w] == [(0, 2), (4, 5)] and r[1].w is None
 
 
 def test_places_over_few_groups(spark):
-    rows = [(i, i % 3, (i * 7919) % 500) for i in range(2000)]
-    df = spark.createDataFrame(rows, "i bigint, g int, v int").repartition(7)
-    for order, sign in (([F.col("v"), F.col("i")], 1), ([F.desc("v"), F.col("i")], -1)):
-        got = {r.i: r.k for r in relational.place_in_group(df, "g", order, "k").collect()}
-        for g in range(3):
-            mine = sorted((sign * v, i) for i, h, v in rows if h == g)
-            assert [got[i] for _, i in mine] == list(range(len(mine)))
-    assert relational.place_in_group(df.limit(0), "g", [F.col("i")], "k").count() == 0
+    rows = [(i, i % 3 or None, (i * 7919) % 500 if i % 11 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i bigint, g int, v int").repartition(7).withColumn("a DESC b", F.col("v"))
+    By = relational.By
+    for by, falling, last in ((By("v"), 0, 0), (By("v", True), 1, 1), (By("v", False, True), 0, 1), (By(F.col("`a DESC b`"), True, False), 1, 0)):
+        got = {r.i: r.k for r in relational.place_in_group(df, "g", [by, "i"], "k").collect()}
+        for g in (None, 1, 2):
+            mine = sorted((((v is None) == bool(last)), (-v if falling else v) if v is not None else 0, i) for i, h, v in rows if h == g)
+            assert [got[i] for _, _, i in mine] == list(range(len(mine)))
+    every = relational.place_in_group(df, None, ["i"], "k").collect()
+    assert all(r.k == r.i for r in every) and len(every) == 2000
+    assert relational.place_in_group(df.limit(0), "g", ["i"], "k").count() == 0
+
+
+def test_collision_suffix_of_a_hot_name(spark):
+    df = spark.range(0, 5000, 1, 5).select("id", F.when(F.col("id") % 10 == 1, F.concat(F.lit("n"), "id")).when(F.col("id") % 10 != 2, "hot").alias("name"))
+    got = {r.id: r.uid for r in relational.collision_suffix(df, "name", "id").collect()}
+    hot = [i for i in range(5000) if i % 10 not in (1, 2)]
+    assert [got[i] for i in hot] == [f"hot__{k + 1}" for k in range(len(hot))] and got[11] == "n11" and got[12] is None and len(got) == 5000
+
+
+def test_a_vocabulary_grows_as_if_row_by_row(spark):
+    """A million values against the sequential definition."""
+    n = 1_000_000
+    h = F.pmod(F.xxhash64("id"), F.lit(1000))
+    text = F.concat(F.lit("t"), F.pmod(F.xxhash64("id", F.lit(1)), F.floor(F.col("id") / 50) + 1).cast("string"))
+    value = F.when(h < 300, F.pmod(F.xxhash64("id", F.lit(2)), F.lit(40_000)).cast("string")).when(h < 310, " ").when(h < 320, F.lit(None)).when(h < 330, "--3").when(h < 500, "hot").otherwise(text)
+    df = spark.range(0, n, 1, 8).select("id", value.alias("v"))
+    rows, words = relational.grow_vocabulary(df, "v", ["id"], ["zero", "one"])
+    got = rows.select("id", "v", "place", "entry").toPandas().sort_values("id")
+    places, order = {"zero": 0, "one": 1}, ["zero", "one"]
+    for v, place, entry in zip(got.v, got.place, got.entry, strict=True):
+        t = v.strip() if v is not None else ""
+        if t.lstrip("-").isdigit():
+            i = int(t) if t.count("-") < 2 else -1
+            want = i if 0 <= i < len(order) else None
+        elif t:
+            if t not in places:
+                places[t] = len(order)
+                order.append(t)
+            want = places[t]
+        else:
+            want = None
+        assert (place == want and entry == order[want]) if want is not None else (place != place and entry is None)
+    assert [r.entry for r in words.orderBy("place").collect()] == order and len(got) == n
+    none, few = relational.grow_vocabulary(df.limit(0), "v", ["id"])
+    assert none.count() == 0 and few.count() == 0
 
 
 def test_matched_null_draws_from_the_shares(spark):
