@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.numbers import ratio
+from lexmill.operators.order import average_ranks, percentiles
 from lexmill.operators.relational import nearest
 
 
@@ -34,15 +35,6 @@ def judge_pairs(ratings: DataFrame, unit: str, judge: str, value: str) -> DataFr
     return left.join(right, unit).where("a < b")
 
 
-def average_ranks(counts: DataFrame, by: Sequence[str], value: str, n: str) -> DataFrame:
-    """counts with rank: the average rank of a value among a group's values, of which counts has each different one once, n times.
-
-    Values are ordered within a group by a window over the different ones only: as many rows as a scale has steps.
-    """
-    before = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col(n) + 1) / 2)
-
-
 def pair_agreement(pairs: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, n, pearson, spearman, mean_diff, mad) for pairs of judges with at least so many common units.
 
@@ -80,22 +72,13 @@ def anchor_agreement(pairs: DataFrame, levels: Sequence[float]) -> DataFrame:
 def judge_usage(ratings: DataFrame, judge: str, value: str) -> DataFrame:
     """(judge, n, mean, sd, median, at_max): at_max is the share of a judge's ratings at its own maximum, of all its rows.
 
-    Ratings are counted by judge and value first; all figures come from these counts.
+    The median is an exact percentile by ranges, so a judge may have any number of different values. Null judges are one.
     """
-    v = F.col(value)
-    c = ratings.groupBy(judge, v.cast("double").alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(judge)
-    c = c.withColumn("upto", F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).over(w.orderBy(F.col("v").asc_nulls_last())))
-    c = c.withColumn("all", F.sum("c").over(w)).withColumn("n", F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).over(w)).withColumn("max", F.max("v").over(w))
-    some = F.col("v").isNotNull()
-    # the two middle ratings, by the first value whose count reaches them
-    low = F.min(F.when(some & (F.col("upto") >= F.floor((F.col("n") + 1) / 2)), F.col("v")))
-    high = F.min(F.when(some & (F.col("upto") >= F.floor(F.col("n") / 2) + 1), F.col("v")))
-    n, s, q = (F.sum(F.when(some, F.col("c") * e)) for e in (F.lit(1), F.col("v"), F.col("v") * F.col("v")))
-    return c.groupBy(judge).agg(
-        F.coalesce(n, F.lit(0)).alias("n"), F.try_divide(s, n).alias("mean"), F.sqrt(F.try_divide(q - s * s / n, n - 1)).alias("sd"), ((low + high) / 2).alias("median"),
-        F.try_divide(F.sum(F.when(F.col("v") == F.col("max"), F.col("c")).otherwise(0)).cast("double"), F.sum(F.when(F.col("max").isNotNull(), F.col("c")))).alias("at_max"),
-    )
+    v = F.col(value).cast("double")
+    plain = ratings.groupBy(judge).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.count("*").alias("__all"))
+    middle = percentiles(ratings, [judge], value, [0.5]).select(F.col(judge).alias("__judge"), F.col("p0").alias("median"), "largest")
+    out = plain.join(middle, F.col(judge).eqNullSafe(F.col("__judge")), "left")
+    return out.select(judge, "n", "mean", "sd", "median", F.try_divide(F.col("largest").cast("double"), F.when(F.col("n") > 0, F.col("__all"))).alias("at_max"))
 
 
 def spread(ratings: DataFrame, unit: str, value: str) -> DataFrame:

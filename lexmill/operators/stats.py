@@ -127,12 +127,12 @@ def normal_p(z: pd.Series) -> pd.Series:
 def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
     """(n, w, z, p): signed ranks of non-zero differences with average ranks, normal approximation; one row.
 
-    Ranks come from counts of each different size, cumulated, so that only different sizes are ordered together.
+    Ranks come from counts of each different size, which are ordered by ranges (see order.below).
     """
-    from pyspark.sql import Window
+    from lexmill.operators.order import average_ranks
 
     n = df.where(F.col(delta) != 0).groupBy(F.abs(delta).alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col(delta) > 0).alias("up"))
-    r = n.withColumn("rank", F.sum("c").over(Window.orderBy("size")) - (F.col("c") - 1) / 2)
+    r = average_ranks(n, [], "size", "c")
     out = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
     k = F.col("n")
     z = F.try_divide(F.col("w") - k * (k + 1) / 4, F.sqrt(k * (k + 1) * (2 * k + 1) / 24 - F.col("ties") / 48))

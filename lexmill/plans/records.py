@@ -180,15 +180,31 @@ def empirical_floor(t):
     return x.agg(F.count("*").alias("n"), millionths(F.avg("value")).alias("floor"))
 
 
+@query("""WITH e AS (SELECT len(text)*0.37::DOUBLE+doc_id*0.001::DOUBLE AS v, source AS g, lang FROM documents), d AS (SELECT avg(v) AS m FROM e), r AS (SELECT abs(v-m) AS s, v>m AS up, g, v FROM e, d WHERE v<>m),
+k AS (SELECT *, rank() OVER (ORDER BY s)+(count(*) OVER (PARTITION BY s)-1)/2.0 AS rank FROM r)
+SELECT g, CAST(count(*) AS BIGINT) AS n, CAST(floor(sum(rank*CAST(up AS INTEGER))*10+0.5) AS BIGINT) AS rank_sum10, CAST(floor(quantile_cont(v,0.1)*1e6+0.5) AS BIGINT) AS p10, CAST(floor(median(v)*1e6+0.5) AS BIGINT) AS p50, CAST(floor(quantile_cont(v,0.99)*1e6+0.5) AS BIGINT) AS p99 FROM k GROUP BY g""")
+def continuous_ranks(t):
+    """Rank sums of signed differences and percentiles by source, of a measure that no two documents share."""
+    from lexmill.operators.order import average_ranks, percentiles
+
+    x = t.documents.select(F.col("source").alias("g"), (F.length("text") * F.lit(0.37) + F.col("doc_id") * F.lit(0.001)).alias("v"))
+    x = x.crossJoin(F.broadcast(x.agg(F.avg("v").alias("m")))).where("v <> m")  # one row
+    ranks = average_ranks(x.groupBy(F.abs(F.col("v") - F.col("m")).alias("s")).agg(F.count("*").alias("c")), [], "s", "c").select("s", "rank")
+    sums = x.withColumn("s", F.abs(F.col("v") - F.col("m"))).join(ranks, "s").groupBy("g").agg(F.count("*").alias("n"), F.floor(F.sum(F.when(F.col("v") > F.col("m"), F.col("rank")).otherwise(0)) * 10 + 0.5).cast("long").alias("rank_sum10"))
+    q = percentiles(x, ["g"], "v", [0.1, 0.5, 0.99]).select(F.col("g").alias("__g"), F.col("p0").alias("p10"), F.col("p1").alias("p50"), F.col("p2").alias("p99"))
+    return _m(sums.join(q, F.col("g").eqNullSafe(F.col("__g"))).drop("__g"), "p10", "p50", "p99")
+
+
 @query(f"""WITH s AS (SELECT l_partkey, max(l_quantity)-min(l_quantity) AS v FROM lineitem GROUP BY 1) SELECT count(*) AS n, {_mil('avg(v)')} AS mean, {_mil('stddev_samp(v)')} AS sd, min(v) AS min, quantile_cont(v,0.25) AS q25, median(v) AS q50, quantile_cont(v,0.75) AS q75, max(v) AS max FROM s""")
 def spread_described(t):
     """The spread of ratings over items, described."""
+    from lexmill.operators.order import percentiles
     from lexmill.operators.panel import spread
 
     x = spread(t.lineitem, "l_partkey", "l_quantity")
-    q = lambda p: F.percentile("spread", F.lit(p))
-    out = x.agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), F.stddev_samp("spread").alias("sd"), F.min("spread").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("spread").alias("max"))
-    return _m(out, "mean", "sd")
+    q = percentiles(x, [], "spread", [0.25, 0.5, 0.75]).select(F.col("p0").alias("q25"), F.col("p1").alias("q50"), F.col("p2").alias("q75"))
+    out = x.agg(F.count("*").alias("n"), F.avg("spread").alias("mean"), F.stddev_samp("spread").alias("sd"), F.min("spread").alias("min"), F.max("spread").alias("max"))
+    return _m(out.crossJoin(F.broadcast(q)).select("n", "mean", "sd", "min", "q25", "q50", "q75", "max"), "mean", "sd")  # two tables of one row
 
 
 @query(f"""WITH x AS (SELECT l_suppkey%4 AS g, l_partkey%4 AS j, l_linenumber%2 AS q, CASE WHEN l_returnflag<>'R' THEN l_quantity END AS s FROM lineitem), m AS (SELECT g, j, avg(s) AS m, avg(s) FILTER (WHERE q=1)-avg(s) FILTER (WHERE q=0) AS e, avg(CASE WHEN s IS NULL THEN 1.0 ELSE 0.0 END) AS i FROM x GROUP BY ALL)
