@@ -13,39 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions.numbers import ratio
+from lexmill.operators.resample import replicate_sums
+from lexmill.session import Workspace
 
 #: Models that a pairwise matrix may have on the driver.
 MAX_MODELS = 2_000
 
 
-def _uniform(*parts) -> Column:
-    """A number in [0, 1) from a digest, which any engine can make."""
-    parts = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-
-
-def poisson_steps(most: int = 9) -> list[float]:
-    """The distribution function of Poisson(1) at 0, 1, ...: a weight is how many of these a number in [0, 1) reaches."""
-    out, p = [], math.exp(-1)
-    for k in range(1, most + 1):
-        out.append((out[-1] if out else 0.0) + p)
-        p /= k
-    return out
-
-
-def _weight(u: Column) -> Column:
-    out = F.lit(0)
-    for step in poisson_steps():
-        out = out + (u >= step).cast("int")
-    return out
-
-
-def bucket(case: Column | str, buckets: int) -> Column:
-    """One of so many buckets of cases, by a digest; what is drawn anew are buckets, so that a replicate costs a row for each."""
-    case = F.col(case) if isinstance(case, str) else case
-    return F.conv(F.substring(F.md5(case.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % buckets
-
-
 def divergences(counts: DataFrame, by: Sequence[str], model: str, feature: str, n: str) -> DataFrame:
     """(by, a, b, d): Jensen-Shannon divergence of each pair of models by their counts of features, a < b; 1 without a common feature."""
     from pyspark.sql import Window
@@ -147,13 +121,11 @@ def _at(values: str, q: float) -> Column:
 def bootstrap_means(df: DataFrame, by: str, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
     """(by, r, m): the mean of each replicate, clusters drawn with Poisson weights; replicates that draw nothing are left out.
 
-    Rows are summed by cluster first, so that a replicate costs a row for each cluster.
+    Rows are summed by cluster first; see resample.replicate_sums for what a replicate costs.
     """
     c = df.groupBy(by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    each = c.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    each = each.withColumn("w", _weight(_uniform(F.col(cluster), F.col("r"), seed)))
-    m = each.groupBy(by, "r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n")).cast("double")).alias("m"))
-    return m.where("m is not null")
+    m = replicate_sums(c, [by], cluster, ["s", "n"], replicates, seed)
+    return m.select(by, "r", F.try_divide("s", "n").alias("m")).where("m is not null")
 
 
 def bootstrap_ci(df: DataFrame, by: str, cluster: str, value: str, replicates: int = 20_000, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -229,23 +201,23 @@ def chance_of_hit(df: DataFrame, by: str, label: str) -> DataFrame:
     return t.select(by, "n", (F.col("q") / (F.col("n") * F.col("n"))).alias("expected"))
 
 
-def _by_bucket(selected: DataFrame, model: str, case: str, feature: str, buckets: int) -> DataFrame:
-    """(m, f, k, n): in how many cases of a bucket a model selects a feature."""
-    x = selected.select(F.col(model).alias("m"), F.col(feature).alias("f"), F.col(case).alias("c")).distinct()
-    return x.groupBy("m", "f", bucket("c", buckets).alias("k")).agg(F.count("*").alias("n"))
+def _selections(selected: DataFrame, model: str, case: str, feature: str) -> DataFrame:
+    """(m, f, c, n): each different selection once, n being 1."""
+    return selected.select(F.col(model).alias("m"), F.col(feature).alias("f"), F.col(case).alias("c")).distinct().withColumn("n", F.lit(1.0))
 
 
-def split_half(selected: DataFrame, model: str, case: str, feature: str, replicates: int = 200, seed: int = 0, buckets: int = 512) -> DataFrame:
-    """(replicates, r, r05, r95, null_r, null_r95), one row: correlations of the divergences that two halves of the cases give, their
-    mean and order statistics, and the same with the second half's models shuffled."""
+def split_half(selected: DataFrame, model: str, case: str, feature: str, replicates: int = 200, seed: int = 0) -> DataFrame:
+    """(replicates, r, r05, r95, null_r, null_r95), one row: correlations of the divergences that two even halves of the cases give,
+    their mean and order statistics, and the same with the second half's models shuffled."""
     from pyspark.sql import Window
 
-    c = _by_bucket(selected, model, case, feature, buckets).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    side = (_uniform(F.col("k"), F.col("r"), seed) >= 0.5).cast("int")
-    d = divergences(c.groupBy("r", side.alias("side"), "m", "f").agg(F.sum("n").alias("n")), ["r", "side"], "m", "f", "n")
+    each = Workspace(selected.sparkSession, "halves").write(replicate_sums(_selections(selected, model, case, feature), ["m", "f"], "c", ["n"], replicates, seed, halves=True), "sums")
+    every = _selections(selected, model, case, feature).groupBy("m", "f").agg(F.sum("n").alias("total"))
+    c = each.join(every, ["m", "f"]).select("r", "m", "f", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("n").alias("n")), F.struct(F.lit(0).alias("side"), (F.col("total") - F.col("n")).alias("n")))).alias("x")).select("r", "x.side", "m", "f", "x.n")
+    d = divergences(c, ["r", "side"], "m", "f", "n")
     first, second = d.where("side = 0").select("r", "a", "b", F.col("d").alias("x")), d.where("side = 1").select("r", "a", "b", F.col("d").alias("y"))
     models = c.select("r", "m").distinct()
-    rank = F.row_number().over(Window.partitionBy("r").orderBy("m"))
+    rank = F.row_number().over(Window.partitionBy("r").orderBy("m"))  # as many rows as models
     shuffled = F.row_number().over(Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", F.col("m").cast("string"), F.col("r").cast("string"), F.lit(f"{seed}null")).cast("binary")), "m"))
     to = models.withColumn("i", rank).join(models.select("r", F.col("m").alias("to"), shuffled.alias("i")), ["r", "i"]).select("r", "m", "to")
     dealt = second.join(to.select("r", F.col("m").alias("a"), F.col("to").alias("ta")), ["r", "a"]).join(to.select("r", F.col("m").alias("b"), F.col("to").alias("tb")), ["r", "b"])
@@ -256,26 +228,25 @@ def split_half(selected: DataFrame, model: str, case: str, feature: str, replica
     return out.select("replicates", "r", _at("c", 0.05).alias("r05"), _at("c", 0.95).alias("r95"), "null_r", _at("z", 0.95).alias("null_r95"))
 
 
-def edge_stability(selected: DataFrame, model: str, case: str, feature: str, replicates: int = 500, seed: int = 0, buckets: int = 512) -> DataFrame:
+def edge_stability(selected: DataFrame, model: str, case: str, feature: str, replicates: int = 500, seed: int = 0) -> DataFrame:
     """(model, nearest, stable): a model's nearest neighbour, and the share of bootstrap replicates over cases in which it is the same."""
-    c = _by_bucket(selected, model, case, feature, buckets)
+    x = _selections(selected, model, case, feature)
 
     def nearest(counts: DataFrame) -> DataFrame:
         d = divergences(counts, ["r"], "m", "f", "n")
         d = d.union(d.select("r", "b", "a", "d"))
         return d.groupBy("r", "a").agg(F.min(F.struct("d", "b")).alias("x")).select("r", F.col("a").alias("m"), F.col("x.b").alias("nearest"))
 
-    seen = nearest(c.groupBy("m", "f").agg(F.sum("n").alias("n")).withColumn("r", F.lit(-1))).select("m", "nearest")
-    each = c.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = each.withColumn("w", _weight(_uniform(F.col("k"), F.col("r"), seed))).groupBy("r", "m", "f").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    seen = nearest(x.groupBy("m", "f").agg(F.sum("n").alias("n")).withColumn("r", F.lit(-1))).select("m", "nearest")
+    drawn = Workspace(selected.sparkSession, "edges").write(replicate_sums(x, ["m", "f"], "c", ["n"], replicates, seed), "sums")
     got = nearest(drawn).join(seen.withColumnRenamed("nearest", "own"), "m")
     share = got.groupBy("m").agg(F.avg((F.col("nearest") == F.col("own")).cast("int")).alias("stable"))
     return seen.join(share, "m", "left").select(F.col("m").alias("model"), "nearest", "stable")
 
 
-def distance_drivers(pairs: DataFrame, values: DataFrame, families: DataFrame, model: str, value: str, family: str, permutations: int = 2_000) -> DataFrame:
-    """(intercept, gap, same_family, r2, r2_gap, p): least squares of d on |difference of a value| and same family, and how often families
-    dealt by chance add as much to R2; one row.
+def distance_drivers(pairs: DataFrame, values: DataFrame, families: DataFrame, model: str, value: str, family: str, permutations: int = 20_000) -> DataFrame:
+    """(intercept, gap, same_family, r2, r2_gap, p): least squares of d on |difference of a value| and same family; one row. p is how
+    often families dealt by chance have a coefficient of same_family as low as the observed one (one-sided: kin are nearer).
 
     All sums that the normal equations need come from one aggregation; 3 x 3 equations are solved on the driver.
     """
@@ -297,33 +268,38 @@ def distance_drivers(pairs: DataFrame, values: DataFrame, families: DataFrame, m
 
     b, r2 = fit(["1", "g", "s"])
     _, only = fit(["1", "g"])
-    p = _family_p(x, pairs, values, families, model, value, family, r2 - only, permutations)
+    p = _family_p(pairs, values, families, model, value, family, permutations)
     return pairs.sparkSession.createDataFrame([(float(b[0]), float(b[1]), float(b[2]), r2, only, p)], "intercept double, gap double, same_family double, r2 double, r2_gap double, p double")
 
 
-def _family_p(x, pairs, values, families, model, value, family, observed: float, permutations: int) -> float | None:
-    """(permutations that add at least as much + 1) / (permutations + 1): what families add to R2 when models get them by chance."""
-    rows = pairs.join(values.select(F.col(model).alias("a"), F.col(value).alias("va")), "a").join(values.select(F.col(model).alias("b"), F.col(value).alias("vb")), "b")
-    rows = rows.select("a", "b", "d", F.abs(F.col("va") - F.col("vb")).alias("g")).limit(MAX_MODELS * 50 + 1).collect()
-    if len(rows) > MAX_MODELS * 50 or not permutations:
+def _family_p(pairs, values, families, model, value, family, permutations: int) -> float | None:
+    """(permutations whose coefficient is at most the observed one + 1) / (permutations + 1), when models get families by chance.
+
+    Pairs of models are a bounded matrix (more than MAX_MODELS models are an error). By the theorem of partial regression the
+    coefficient is that of what the gap doesn't explain, so a permutation costs two sums over pairs.
+    """
+    if not permutations:
         return None
     of = dict(families.select(model, family).limit(MAX_MODELS + 1).collect())
+    if len(of) > MAX_MODELS:
+        raise ValueError("more models than a matrix of pairs is made for")
+    rows = pairs.join(values.select(F.col(model).alias("a"), F.col(value).alias("va")), "a").join(values.select(F.col(model).alias("b"), F.col(value).alias("vb")), "b")
+    rows = rows.select("a", "b", "d", F.abs(F.col("va") - F.col("vb")).alias("g")).orderBy("a", "b").collect()
     names = sorted({n for r in rows for n in (r["a"], r["b"])})
     at = {n: i for i, n in enumerate(names)}
     a, b = (np.array([at[r[c]] for r in rows]) for c in ("a", "b"))
     d, g = (np.array([r[c] for r in rows], float) for c in ("d", "g"))
-    base = np.column_stack([np.ones(len(d)), g])
-    left = d - base @ np.linalg.lstsq(base, d, rcond=None)[0]
-    total = ((d - d.mean()) ** 2).sum()
-    kinds = np.array([str(of[n]) for n in names])
+    base = np.linalg.qr(np.column_stack([np.ones(len(d)), g]))[0]
+    left = d - base @ (base.T @ d)
+    kinds = np.unique([str(of[n]) for n in names], return_inverse=True)[1]
 
-    def added(labels: np.ndarray) -> float:
+    def coefficient(labels: np.ndarray) -> float:
         s = (labels[a] == labels[b]).astype(float)
-        s -= base @ np.linalg.lstsq(base, s, rcond=None)[0]
-        return float((s @ left) ** 2 / (s @ s) / total) if s @ s > 1e-12 and total else 0.0
+        s -= base @ (base.T @ s)
+        return float(s @ left / (s @ s)) if s @ s > 1e-12 else 0.0
 
-    rng = np.random.default_rng(0)
-    hits = sum(added(kinds[rng.permutation(len(kinds))]) >= observed - 1e-12 for _ in range(permutations))
+    observed, rng = coefficient(kinds), np.random.default_rng(0)
+    hits = sum(coefficient(kinds[rng.permutation(len(kinds))]) <= observed + 1e-12 for _ in range(permutations))
     return (hits + 1) / (permutations + 1)
 
 

@@ -9,7 +9,7 @@ from lexmill.functions.numbers import millionths
 from lexmill.operators import questions as op
 from lexmill.operators import stats
 from lexmill.plans.registry import query
-from lexmill.plans.texts import _mil, _u, _w
+from lexmill.plans.texts import _WEIGHT, _ab, _mil
 
 
 def _m(df, *cols):
@@ -121,11 +121,11 @@ def heading_scores(t):
     return _m(headings.heading_scores(x, ["page_id"], "pred", "gold"), "recall", "score")
 
 
-@query(f"""WITH x AS (SELECT l_suppkey%12 AS model, CAST('0x'||substr(md5(CAST(l_orderkey AS VARCHAR)),1,8) AS BIGINT)%512 AS c, abs(l_quantity-25) AS d FROM lineitem), c AS (SELECT model, c, sum(d) AS s, count(d) AS n FROM x GROUP BY ALL),
-w AS (SELECT model, s, n, r, {_w(_u("c||'|'||r||'|2'"))} AS w FROM c, (SELECT unnest(range(0,200)) AS r)), m AS (SELECT model, r, sum(w*s)/sum(w*n) AS m FROM w GROUP BY ALL HAVING sum(w*n)>0), b AS (SELECT r, arg_min(model, (m, model)) AS model FROM m GROUP BY r), v AS (SELECT model, count(*) AS won FROM b GROUP BY 1),
+@query(f"""WITH x AS (SELECT l_suppkey%12 AS model, l_orderkey AS c, abs(l_quantity-25) AS d FROM lineitem), c AS (SELECT model, c, sum(d) AS s, count(d) AS n FROM x GROUP BY ALL), e AS (SELECT model, s, n, {_ab('c', '2')} FROM c),
+w AS (SELECT model, r, {_WEIGHT} AS w, s, n FROM e, (SELECT unnest(range(0,2000)) AS r)), m AS (SELECT model, r, sum(w*s)/sum(w*n) AS m FROM w GROUP BY ALL HAVING sum(w*n)>0), b AS (SELECT r, arg_min(model, (m, model)) AS model FROM m GROUP BY r), v AS (SELECT model, count(*) AS won FROM b GROUP BY 1),
 l AS (SELECT model, list_sort(list(m)) AS m, stddev_samp(m) AS sd FROM m GROUP BY 1), g AS (SELECT model, avg(d) AS mean FROM x GROUP BY 1)
-SELECT l.model, {_mil('mean')} AS mean, {_mil('m[1+CAST(floor(0.025*len(m)) AS INTEGER)]')} AS lo, {_mil('m[1+CAST(floor(0.975*len(m)) AS INTEGER)]')} AS hi, {_mil('sd')} AS sd, {_mil('coalesce(won,0)/200.0')} AS wins FROM l JOIN g USING (model) LEFT JOIN v USING (model)""")
+SELECT l.model, {_mil('mean')} AS mean, {_mil('m[1+CAST(floor(0.025*len(m)) AS INTEGER)]')} AS lo, {_mil('m[1+CAST(floor(0.975*len(m)) AS INTEGER)]')} AS hi, {_mil('sd')} AS sd, {_mil('coalesce(won,0)/2000.0')} AS wins FROM l JOIN g USING (model) LEFT JOIN v USING (model)""")
 def gold_ranking(t):
-    """Each model's mean distance, its interval over buckets of orders drawn anew 200 times, and how often it is the best."""
-    x = t.lineitem.select((F.col("l_suppkey") % 12).alias("model"), stats.bucket("l_orderkey", 512).alias("c"), F.abs(F.col("l_quantity") - 25).alias("d"))
-    return _m(stats.ranking(x, "model", "c", "d", 200, 2), "mean", "lo", "hi", "sd", "wins")
+    """Each model's mean distance, its interval over orders drawn anew 2,000 times, and how often it is the best."""
+    x = t.lineitem.select((F.col("l_suppkey") % 12).alias("model"), F.col("l_orderkey").alias("c"), F.abs(F.col("l_quantity") - 25).alias("d"))
+    return _m(stats.ranking(x, "model", "c", "d", 2_000, 2), "mean", "lo", "hi", "sd", "wins")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import rules
 from lexmill.functions import text as tx
 from lexmill.functions.numbers import millionths
-from lexmill.operators import stats
+from lexmill.operators import resample, stats
 from lexmill.plans.panel import _J
 from lexmill.plans.registry import query
 
@@ -136,12 +136,15 @@ def unwrapped_lines(t):
     return out.select("doc_id", n("text").alias("before"), n("clean").alias("after"), F.md5(F.col("clean").cast("binary")).alias("clean"))
 
 
-def _u(key: str) -> str:
-    return f"CAST('0x'||substr(md5({key}),1,8) AS BIGINT)/4294967296.0"
+def _ab(case: str, seed: str) -> str:
+    """The two numbers of a case, a and b."""
+    d = f"md5({case}||'|{seed}')"
+    return f"CAST('0x'||substr({d},1,8) AS BIGINT) AS a, CAST('0x'||substr({d},9,8) AS BIGINT) | 1 AS b"
 
 
-def _w(u: str) -> str:
-    return "(" + "+".join(f"CAST({u}>={x!r}::DOUBLE AS INTEGER)" for x in stats.poisson_steps()) + ")"
+#: A case's draw in replicate r, and its Poisson weight.
+_DRAW = "((a+r*b)%4294967296)"
+_WEIGHT = "(" + "+".join(f"CAST({_DRAW}>={x} AS INTEGER)" for x in resample.poisson_steps()) + ")"
 
 
 def _mil(x: str) -> str:
@@ -158,12 +161,12 @@ def permutation_test(t):
     return stats.permutation_p(_jsd(t), _families(t), "model", "family", 2000, 0).select(millionths("observed").alias("observed"), millionths("p").alias("p"))
 
 
-@query(f"""WITH c AS (SELECT event_type, user_id, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL), e AS (SELECT event_type, s, n, r, {_u("user_id||'|'||r||'|0'")} AS u FROM c, (SELECT unnest(range(0,2000)) AS r)), w AS (SELECT *, {_w('u')} AS w FROM e),
+@query(f"""WITH c AS (SELECT event_type, user_id, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL), e AS (SELECT event_type, s, n, {_ab('user_id', '0')} FROM c), w AS (SELECT event_type, s, n, r, {_WEIGHT} AS w FROM e, (SELECT unnest(range(0,20000)) AS r)),
 m AS (SELECT event_type, r, sum(w*s)/sum(w*n) AS m FROM w GROUP BY ALL HAVING sum(w*n)>0), l AS (SELECT event_type, list_sort(list(m)) AS m FROM m GROUP BY 1)
-SELECT event_type, {_mil('avg(value)')} AS mean, {_mil('any_value(m)[1+CAST(floor(0.025*len(any_value(m))) AS INTEGER)]')} AS lo, {_mil('any_value(m)[1+CAST(floor(0.975*len(any_value(m))) AS INTEGER)]')} AS hi FROM l JOIN events USING (event_type) GROUP BY event_type""")
+SELECT event_type, {_mil('mean')} AS mean, {_mil('m[1+CAST(floor(0.025*len(m)) AS INTEGER)]')} AS lo, {_mil('m[1+CAST(floor(0.975*len(m)) AS INTEGER)]')} AS hi FROM l JOIN (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1) USING (event_type)""")
 def bootstrap_mean_ci(t):
-    """Percentile intervals of means by type, from 2,000 replicates over users."""
-    out = stats.bootstrap_ci(t.events.select("event_type", "user_id", "value"), "event_type", "user_id", "value", 2000, 0)
+    """Percentile intervals of means by type, from 20,000 replicates over users."""
+    out = stats.bootstrap_ci(t.events.select("event_type", "user_id", "value"), "event_type", "user_id", "value", 20_000, 0)
     return out.withColumns({c: millionths(c) for c in ("mean", "lo", "hi")})
 
 
@@ -228,7 +231,7 @@ def prior_matched_chance(t):
     return stats.chance_of_hit(t.orders, "o_orderstatus", "o_orderpriority").withColumn("expected", millionths("expected"))
 
 
-_SEL = "s0 AS (SELECT DISTINCT l_suppkey%12 AS m, l_partkey%40 AS f, l_orderkey AS c FROM lineitem), n0 AS (SELECT m, f, CAST('0x'||substr(md5(CAST(c AS VARCHAR)),1,8) AS BIGINT)%512 AS k, count(*) AS n FROM s0 GROUP BY ALL)"
+_SEL = "s0 AS (SELECT DISTINCT l_suppkey%12 AS m, l_partkey%40 AS f, l_orderkey AS c FROM lineitem)"
 
 
 def _jsd_by(by: str, counts: str) -> str:
@@ -244,23 +247,24 @@ def _selected(t):
     return t.lineitem.select((F.col("l_suppkey") % 12).alias("model"), F.col("l_orderkey").alias("c"), (F.col("l_partkey") % 40).alias("f"))
 
 
-@query(f"""WITH {_SEL}, c1 AS (SELECT r, CASE WHEN {_u("k||'|'||r||'|0'")}>=0.5 THEN 1 ELSE 0 END AS side, m, f, sum(n) AS n FROM n0, (SELECT unnest(range(0,50)) AS r) GROUP BY ALL), {_jsd_by('r, side', 'c1')},
+@query(f"""WITH {_SEL}, o0 AS (SELECT c, row_number() OVER (ORDER BY md5(c||'|0order'), CAST(c AS VARCHAR))-1 AS p FROM (SELECT DISTINCT c FROM s0)), g0 AS (SELECT c, p%2 AS odd, {_ab('(p//2)', '0')} FROM o0),
+c1 AS (SELECT r, xor(CAST({_DRAW}>=2147483648 AS INTEGER), CAST(odd AS INTEGER)) AS side, m, f, count(*) AS n FROM s0 JOIN g0 USING (c), (SELECT unnest(range(0,200)) AS r) GROUP BY ALL), {_jsd_by('r, side', 'c1')},
 mm AS (SELECT DISTINCT r, m FROM c1), i1 AS (SELECT r, m, row_number() OVER (PARTITION BY r ORDER BY m) AS i FROM mm), i2 AS (SELECT r, m AS z, row_number() OVER (PARTITION BY r ORDER BY md5(m||'|'||r||'|0null'), m) AS i FROM mm), mt AS (SELECT r, m, z FROM i1 JOIN i2 USING (r, i)),
 q1 AS (SELECT x.r, corr(x.d, y.d) AS c FROM d1 x JOIN d1 y ON x.r=y.r AND x.a=y.a AND x.b=y.b AND x.side=0 AND y.side=1 GROUP BY 1), dz AS (SELECT y.r, least(p.z,q.z) AS a, greatest(p.z,q.z) AS b, y.d FROM d1 y JOIN mt p ON p.r=y.r AND p.m=y.a JOIN mt q ON q.r=y.r AND q.m=y.b WHERE side=1),
 q2 AS (SELECT x.r, corr(x.d, y.d) AS z FROM d1 x JOIN dz y ON x.r=y.r AND x.a=y.a AND x.b=y.b AND x.side=0 GROUP BY 1), l AS (SELECT count(c) AS n, avg(c) AS r, list_sort(list(c)) AS c, avg(z) AS nr, list_sort(list(z)) AS z FROM q1 LEFT JOIN q2 USING (r))
 SELECT n AS replicates, {_mil('r')} AS r, {_mil('c[1+CAST(floor(0.05*len(c)) AS INTEGER)]')} AS r05, {_mil('c[1+CAST(floor(0.95*len(c)) AS INTEGER)]')} AS r95, {_mil('nr')} AS null_r, {_mil('z[1+CAST(floor(0.95*len(z)) AS INTEGER)]')} AS null_r95 FROM l""")
 def split_half_replication(t):
-    """Correlations of divergences from two halves of the orders, 50 times, and with models shuffled."""
-    out = stats.split_half(_selected(t), "model", "c", "f", 50, 0)
+    """Correlations of divergences from two even halves of the orders, 200 times, and with models shuffled."""
+    out = stats.split_half(_selected(t), "model", "c", "f", 200, 0)
     return out.withColumns({c: millionths(c) for c in ("r", "r05", "r95", "null_r", "null_r95")})
 
 
-@query(f"""WITH {_SEL}, c1 AS (SELECT r, m, f, sum(n*{_w(_u("k||'|'||r||'|0'"))}) AS n FROM n0, (SELECT unnest(range(0,100)) AS r) GROUP BY ALL UNION ALL SELECT -1, m, f, sum(n) FROM n0 GROUP BY ALL), {_jsd_by('r', 'c1')},
+@query(f"""WITH {_SEL}, c0 AS (SELECT m, f, {_ab('c', '0')} FROM s0), c1 AS (SELECT r, m, f, sum({_WEIGHT}) AS n FROM c0, (SELECT unnest(range(0,500)) AS r) GROUP BY ALL UNION ALL SELECT -1, m, f, count(*) FROM s0 GROUP BY ALL), {_jsd_by('r', 'c1')},
 s1 AS (SELECT r, a, b, d FROM d1 UNION ALL SELECT r, b, a, d FROM d1), k1 AS (SELECT r, a, b, row_number() OVER (PARTITION BY r, a ORDER BY d, b) AS i FROM s1), o AS (SELECT a, b FROM k1 WHERE i=1 AND r=-1)
 SELECT o.a AS model, o.b AS nearest, {_mil('avg(CASE WHEN k1.b=o.b THEN 1.0 ELSE 0.0 END)')} AS stable FROM o LEFT JOIN k1 ON k1.a=o.a AND k1.i=1 AND k1.r>=0 GROUP BY ALL""")
 def edge_stability(t):
-    """How often a model's nearest neighbour stays the same when orders are drawn anew, 100 times."""
-    return stats.edge_stability(_selected(t), "model", "c", "f", 100, 0).withColumn("stable", millionths("stable"))
+    """How often a model's nearest neighbour stays the same when orders are drawn anew, 500 times."""
+    return stats.edge_stability(_selected(t), "model", "c", "f", 500, 0).withColumn("stable", millionths("stable"))
 
 
 @query()
