@@ -85,16 +85,16 @@ def assign_names(df: DataFrame, index: str, pool: list[str], offset: int = 0, av
     return df.withColumn("name", F.get(turn, 0))
 
 
-CONTROLS = "array<struct<word:int,lo:int,hi:int>>"
+CONTROLS = "array<struct<word:int,lo:int,hi:int,text:string>>"
 
 
-def matched_controls(df: DataFrame, key: str, text: str, spans: str, taken: str | None = None, tries: int = 30, want: int = 3, prefix: int = 10, margin: int = 5, room: int = 40) -> DataFrame:
+def matched_controls(df: DataFrame, key: str, text: str, spans: str, taken: str | None = None, tries: int = 30, want: int = 3, prefix: int = 10, margin: int = 5, room: int = 40, in_words: bool = False) -> DataFrame:
     """(key, span, n_words, tries, controls) of each target span of a text: up to `want` other spans of as many words.
 
-    spans is an array of (lo, hi) in characters, taken one of what must be kept clear besides. Targets are served in order, by
+    spans is an array of (lo, hi) in characters (in_words: in words), taken one of what must be kept clear besides. Targets are served in order, by
     at most tries * want draws each: a draw is the start, by a digest of key, span and draw, of words from prefix + margin on,
-    and is kept if it overlaps no target, nothing taken, and no control before it. controls have the first word's number and
-    the place in characters. A text with fewer than prefix + span + room words has no controls and no draws; a null text, or one
+    and is kept if it overlaps no target, nothing taken, and no control before it. controls have the first word's number,
+    the place in characters, and the words with single blanks between them. A text with fewer than prefix + span + room words has no controls and no draws; a null text, or one
     without spans, has no rows. A text and its spans are one row, so a task holds one text's spans at a time.
     """
     t = dict(df.dtypes)[key]
@@ -106,7 +106,7 @@ def matched_controls(df: DataFrame, key: str, text: str, spans: str, taken: str
 
         import pandas as pd
 
-        for f in frames:
+        for f in (part for frame in frames for part in _parts(frame)):
             out = []
             for k, body, targets, other in zip(f["k"], f["t"], f["s"], f["u"], strict=True):
                 if body is None or targets is None:
@@ -114,11 +114,12 @@ def matched_controls(df: DataFrame, key: str, text: str, spans: str, taken: str
                 words = [m.span() for m in re.finditer(r"\S+", body)]
                 ends = [b for _, b in words]
                 # what is taken, in words: those that a span touches
-                used = [_words_of(words, ends, x["lo"], x["hi"]) for x in [*targets, *(other if other is not None else ())]]
+                place = (lambda x: (x["lo"], min(x["hi"], len(words)))) if in_words else (lambda x: _words_of(words, ends, x["lo"], x["hi"]))  # noqa: B023
+                used = [place(x) for x in [*targets, *(other if other is not None else ())]]
                 used = sorted(x for x in used if x[0] < x[1])
                 widest = max((b - a for a, b in used), default=0)
                 for i, x in enumerate(targets):
-                    a, b = _words_of(words, ends, x["lo"], x["hi"])
+                    a, b = place(x)
                     size, made, found = b - a, 0, []
                     last = len(words) - size - margin
                     if size > 0 and len(words) >= prefix + size + room and last >= prefix + margin:
@@ -131,7 +132,8 @@ def matched_controls(df: DataFrame, key: str, text: str, spans: str, taken: str
                             if at == len(used) or used[at][0] >= w + size:
                                 insort(used, (w, w + size))
                                 widest = max(widest, size)
-                                found.append({"word": w, "lo": words[w][0], "hi": words[w + size - 1][1]})
+                                lo, hi = words[w][0], words[w + size - 1][1]
+                                found.append({"word": w, "lo": lo, "hi": hi, "text": " ".join(body[lo:hi].split())})
                     out.append((k, i, size, made, found))
             yield pd.DataFrame(out, columns=["k", "span", "n_words", "tries", "controls"])
 
@@ -141,6 +143,12 @@ def matched_controls(df: DataFrame, key: str, text: str, spans: str, taken: str
     return out.withColumnRenamed("k", key)
 
 
+def _parts(frame, rows: int = 256):
+    """A frame a few rows at a time, so that few texts' words are held at once."""
+    for at in range(0, len(frame), rows):
+        yield frame.iloc[at : at + rows]
+
+
 def _words_of(words: list[tuple[int, int]], ends: list[int], lo: int, hi: int) -> tuple[int, int]:
     """The words that a stretch of characters touches, as a range."""
     from bisect import bisect_left, bisect_right

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions.headings import word_spans
 from lexmill.functions.numbers import millionths
 from lexmill.operators import intervals, sampling
 from lexmill.operators import relational as op
@@ -108,18 +107,16 @@ FROM ends JOIN x USING (doc_id)
 @query(_CONTROLS)
 def matched_controls(t):
     """For two spans of twelve words of each document up to three control spans of equal length, with the draws made."""
-    d = t.documents.select("doc_id", "text", word_spans("text").alias("w")).where("size(w) > 0")
+    d = t.documents.withColumn("n", F.regexp_count("text", F.lit(r"\S+"))).where("n > 0")
 
     def target(part: int):
-        first = F.floor(F.size("w") / part).cast("int")
-        last = F.least(first + 12, F.size("w")) - 1
-        return F.struct(F.get("w", first)["start"].alias("lo"), F.get("w", last)["end"].alias("hi"))
+        first = F.floor(F.col("n") / part).cast("int")
+        return F.struct(first.alias("lo"), F.least(first + 12, F.col("n")).alias("hi"))
 
-    got = sampling.matched_controls(d.withColumn("targets", F.array(target(4), target(2))), "doc_id", "text", "targets")
-    plain = lambda c: F.array_join(F.regexp_extract_all(F.substring(F.col("text"), c["lo"] + 1, c["hi"] - c["lo"]), F.lit(r"(\S+)"), F.lit(1)), " ")
-    texts = F.md5(F.array_join(F.transform("controls", plain), "|").cast("binary"))
+    got = sampling.matched_controls(d.withColumn("targets", F.array(target(4), target(2))), "doc_id", "text", "targets", in_words=True)
     starts = F.array_join(F.transform("controls", lambda c: c["word"].cast("string")), ",")
-    return got.join(d.select("doc_id", "text"), "doc_id").select("doc_id", "span", "n_words", "tries", starts.alias("starts"), texts.alias("texts"))
+    texts = F.md5(F.array_join(F.transform("controls", lambda c: c["text"]), "|").cast("binary"))
+    return got.select("doc_id", "span", "n_words", "tries", starts.alias("starts"), texts.alias("texts"))
 
 
 @query("""WITH d AS (SELECT doc_id, md5(text) AS name FROM documents), k AS (SELECT *, count(*) OVER (PARTITION BY name) AS c, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS r FROM d)
