@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -175,11 +174,17 @@ def common_arm(date: Column, cutoffs: Sequence[str]) -> Column:
     return F.when(d <= F.lit(min(cutoffs)).cast("date"), "pre").when(d > F.lit(max(cutoffs)).cast("date"), "post")
 
 
-def three_layer_dedup(new: DataFrame, old: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+#: Rows that a task settles one after the other.
+MOST_TOGETHER = 200_000
+
+
+def three_layer_dedup(new: DataFrame, old: DataFrame, keys: Sequence[str], order: Sequence[str] = (), together: int = MOST_TOGETHER) -> DataFrame:
     """Rows of new that share none of the keys with old; null keys share nothing.
 
     With an order, whose columns tell rows apart, a row is also left out if it shares a key with an earlier row that is kept.
-    Each round keeps the rows that are the first of all their keys, and drops what shares a key with them.
+    Rows that share keys, by others if need be, form components, which don't matter to each other: a component of at most
+    `together` rows is settled in order within one task. A larger one is settled so many rows at a time, from the first on, and
+    what shares a key with what was kept goes before the next rows are taken. The number of jobs doesn't grow with chains.
     """
     out = new
     for k in keys:
@@ -187,21 +192,45 @@ def three_layer_dedup(new: DataFrame, old: DataFrame, keys: Sequence[str], order
     out = out.select(new.columns)
     if not order:
         return out
-    ws, n, kept = Workspace(new.sparkSession, "layers"), 0, []
-    left = ws.write(out.withColumn("__o", F.struct(*order)), "left-0")
-    while not left.isEmpty() or not kept:
-        n += 1
-        found = left
-        for i, k in enumerate(keys):
-            found = found.join(left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("__o").alias(f"__m{i}")), k, "left")
-        first = [F.col(k).isNull() | (F.col(f"__m{i}") == F.col("__o")) for i, k in enumerate(keys)]
-        kept.append(ws.write(found.where(reduce(and_, first)).select(left.columns), f"kept-{n}"))
-        rest = left.join(kept[-1].select("__o"), "__o", "left_anti")
-        for k in keys:
-            rest = rest.join(kept[-1].where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-        left = ws.write(rest.select(left.columns), f"left-{n}")
-        ws.drop(f"left-{n - 1}")
-    return reduce(DataFrame.union, kept).select(new.columns)
+    from lexmill.operators.graph import components
+
+    ws = Workspace(new.sparkSession, "layers")
+    out = ws.write(place_in_group(out, None, list(order), "__n"), "rows")
+    names = [f"k{i}" for i in range(len(keys))]
+    named = out.select("__n", *[F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)])
+    each = named.select("__n", F.posexplode(F.array(*names)).alias("i", "v")).where("v is not null")
+    shared = ws.write(each.groupBy("i", "v").agg(F.min("__n").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "shared")
+    links = each.join(shared, ["i", "v"]).select(F.col("first").alias("a"), F.col("__n").alias("b"))
+    comps = ws.write(components(ws.write(links, "links"), ws), "components")
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("c"))
+    rows = ws.write(named.join(comps, F.col("__n") == F.col("node")).join(sizes, "comp").select("comp", "c", "__n", *names), "members")
+
+    def settle(g):
+        """The rows of a group that share no key with an earlier kept one of it."""
+        g = g.sort_values("__n")
+        kept, used = [], [set() for _ in names]
+        for row in g[["__n", *names]].itertuples(index=False, name=None):
+            if not any(v is not None and v in u for v, u in zip(row[1:], used, strict=True)):
+                kept.append(row[0])
+                for v, u in zip(row[1:], used, strict=True):
+                    if v is not None:
+                        u.add(v)
+        return g[g["__n"].isin(kept)][["__n", *names]]
+
+    schema = ", ".join(["__n long", *(f"{n} string" for n in names)])
+    kept = [ws.write(rows.where(F.col("c") <= together).groupBy("comp").applyInPandas(settle, schema), "kept")]
+    left, k = ws.write(rows.where(F.col("c") > together).select("__n", *names), "left-0"), 0
+    while not left.isEmpty():
+        k += 1
+        last = left.orderBy("__n").limit(together).agg(F.max("__n")).first()[0]
+        kept.append(ws.write(left.where(F.col("__n") <= last).withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(settle, schema), f"kept-{k}"))
+        left = left.where(F.col("__n") > last)
+        for n in names:
+            left = left.join(kept[-1].where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti")
+        left = ws.write(left.select("__n", *names), f"left-{k}")
+        ws.drop(f"left-{k - 1}")
+    gone = rows.select("__n").join(reduce(DataFrame.union, kept).select("__n"), "__n", "left_anti")
+    return out.join(gone, "__n", "left_anti").select(new.columns)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], item: str) -> DataFrame:

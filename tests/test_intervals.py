@@ -66,3 +66,30 @@ def test_matched_controls(spark):
     assert (got["b", 0].controls, got["b", 0].tries) == ([], 0)
     assert (got["e", 1].controls, got["e", 1].tries) == ([], 90)  # the whole text is taken: all draws are made
     assert (got["f", 0].n_words, got["f", 0].tries) == (0, 0)
+
+
+def in_turn(rows):
+    used: tuple = (set(), set())
+    out = []
+    for i, x, y in rows:
+        if x == "old" or y == "b-old" or x in used[0] - {None} or y in used[1] - {None}:
+            continue
+        out.append(i)
+        used[0].add(x)
+        used[1].add(y)
+    return out
+
+
+def test_layers_of_long_chains(spark):
+    """A chain of 10,000 rows that share keys two by two, as if row by row; then random keys, a hot key and nulls, a part at a time."""
+    from lexmill.operators import relational
+
+    rng = np.random.default_rng(6)
+    old = spark.createDataFrame([("old", "b-old")], "x string, y string")
+    chain = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(10_000)]
+    mixed = [(i, f"r{rng.integers(200)}" if i % 5 else None, f"s{rng.integers(200)}" if i % 7 else None) for i in range(500)]
+    mixed += [(3000 + i, "hot", f"h{i // 3}") for i in range(300)] + [(4000, None, None), (4001, "old", None), (4002, None, "b-old")]
+    for rows, together in ((chain, 200_000), (mixed, 250)):
+        df = spark.createDataFrame(rows, "id int, x string, y string").repartition(4)
+        got = relational.three_layer_dedup(df, old, ["x", "y"], ["id"], together)
+        assert got.columns == ["id", "x", "y"] and sorted(r.id for r in got.collect()) == in_turn(rows)
