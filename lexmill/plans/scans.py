@@ -16,6 +16,14 @@ def _at(t, name: str) -> str:
     return Workspace(t.spark, "scans").at(name)
 
 
+def _few(df) -> list:
+    """All rows of a short table, whose files the driver writes one by one; more rows than that are an error."""
+    rows = df.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more rows than the driver writes files for")
+    return rows
+
+
 def _md5(c):
     return F.md5(c.cast("binary"))
 
@@ -79,7 +87,7 @@ def json_any(t):
     lines, array = _at(t, "lines"), _at(t, "array")
     rows = t.nation.select(F.col("n_nationkey").alias("case"), F.col("n_name").alias("response"))
     rows.write.json(lines)
-    sinks.named_files(t.spark, array, {"all.json": json.dumps([r.asDict() for r in rows.limit(1000).collect()])})  # 25 nations
+    sinks.named_files(t.spark, array, {"all.json": json.dumps([r.asDict() for r in _few(rows)])})  # 25 nations
     names = {"case": "case_id", "response": "answer"}
     both = [readers.json_any(t.spark, p, names).select(F.lit(k).alias("form"), F.col("case_id").cast("int").alias("case_id"), "answer") for k, p in (("lines", lines), ("array", array))]
     return both[0].union(both[1])
@@ -98,7 +106,7 @@ def json_document(t):
 def selections(t):
     """A map of cases to chosen features, in long form, with features renamed or dropped by a mapping."""
     folder, cases = _at(t, "selections"), {}
-    rows = t.nation.limit(1000).collect()  # 25 nations
+    rows = _few(t.nation)  # 25 nations
     for r in rows:
         k, i = f"d:{r['n_regionkey']}", r["n_nationkey"]
         case = cases.setdefault(k, {"dataset": "d", "case_id": r["n_regionkey"], "superset": [], "features": {}})
@@ -115,7 +123,7 @@ def selections(t):
 def manifest(t):
     """Cases of a manifest in either layout."""
     folder, parts = _at(t, "manifest"), {"cases": [], "pre_cutoff": [], "post_cutoff_control": []}
-    for r in t.nation.limit(1000).collect():  # 25 nations
+    for r in _few(t.nation):  # 25 nations
         name = ("cases", "pre_cutoff", "post_cutoff_control")[r["n_nationkey"] % 3]
         parts[name].append({"case_id": r["n_name"], "year": r["n_regionkey"], "arm": "own"})
     sinks.save_json(t.spark, folder, "m.json", {"court": parts})
@@ -125,7 +133,7 @@ def manifest(t):
 @query("SELECT n_name AS case_id, CASE WHEN n_nationkey%3=0 THEN 'fetched' WHEN n_nationkey%3=1 THEN 'pdf_clean' ELSE 'pdf_raw' END AS text_source, md5(CASE WHEN n_nationkey%3=0 THEN repeat(n_name||' a ',30) WHEN n_nationkey%3=1 THEN repeat(n_name||' b ',30) ELSE repeat(n_name||' c ',30) END) AS text FROM nation")
 def whole_texts(t):
     """Whole texts, from the first source that has a long enough one."""
-    folder, rows = _at(t, "texts"), t.nation.limit(1000).collect()  # 25 nations
+    folder, rows = _at(t, "texts"), _few(t.nation)  # 25 nations
     names = ("fetched", "pdf_clean", "pdf_raw")
     for k, (name, letter) in enumerate(zip(names, "abc", strict=True)):
         files = {f"{r['n_name']}.txt": f"{r['n_name']} {letter} " * 30 if r["n_nationkey"] % 3 <= k else "short" for r in rows}
@@ -138,7 +146,7 @@ def whole_texts(t):
 def document_pages(t):
     """Pages of binary documents by an extractor that is handed in; here pages end at a form feed."""
     folder = _at(t, "binary")
-    rows = t.nation.limit(1000).collect()  # 25 nations
+    rows = _few(t.nation)  # 25 nations
     sinks.named_files(t.spark, folder, {f"{r['n_name']}.bin": "\f".join(f"{r['n_name']} page {k}" for k in range(r["n_nationkey"] % 3 + 1)) for r in rows})
     out = readers.pages(t.spark, folder, lambda b: b.decode().split("\f"))
     return out.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "page", "text")
@@ -147,7 +155,7 @@ def document_pages(t):
 @query("SELECT n_name||'.txt' AS name, CASE WHEN n_nationkey%2=0 THEN 'first' ELSE 'second' END AS folder FROM nation")
 def file_index(t):
     """Where a file of each name is, in the first folder that has it."""
-    folder, rows = _at(t, "index"), t.nation.limit(1000).collect()  # 25 nations
+    folder, rows = _at(t, "index"), _few(t.nation)  # 25 nations
     sinks.named_files(t.spark, f"{folder}/first", {f"{r['n_name']}.txt": "x" for r in rows if r["n_nationkey"] % 2 == 0})
     sinks.named_files(t.spark, f"{folder}/second", {f"{r['n_name']}.txt": "y" for r in rows})
     out = readers.file_index(t.spark, [f"{folder}/first", f"{folder}/second"])
@@ -157,7 +165,7 @@ def file_index(t):
 @query("SELECT n_nationkey AS id, CASE n_nationkey%2 WHEN 0 THEN 'mcq' ELSE 'essay' END AS content_type, n_name||CASE n_nationkey%2 WHEN 0 THEN '_MCQ.json' ELSE '_essay.json' END AS file FROM nation")
 def typed_tree(t):
     """All files below a folder, with a type from the end of their names."""
-    folder, rows = _at(t, "tree"), t.nation.limit(1000).collect()  # 25 nations
+    folder, rows = _at(t, "tree"), _few(t.nation)  # 25 nations
     for r in rows:
         name = r["n_name"] + ("_essay.json" if r["n_nationkey"] % 2 else "_MCQ.json")
         sinks.named_files(t.spark, f"{folder}/{r['n_regionkey']}/deep", {name: json.dumps([{"id": r["n_nationkey"], "topic": "t"}])})
@@ -239,7 +247,7 @@ def rating_sheet(t):
 def hypotheticals(t):
     """Scenario files with header fields and dashed sections."""
     folder, files = _at(t, "hypotheticals"), {}
-    for r in t.nation.limit(1000).collect():  # 25 nations
+    for r in _few(t.nation):  # 25 nations
         body = f"ID: S-{r['n_nationkey']}\nTopic: Topic {r['n_regionkey']}\n\nFACTS\n-----\nFacts of {r['n_name']}\nin two lines\n\nQUESTION\n--------\nWell?\n"
         files[f"{r['n_name']}.txt"] = body + ("\nANSWER\n------\nYes, it is.\n" if r["n_nationkey"] % 2 == 0 else "")
     sinks.named_files(t.spark, folder, files)
@@ -302,7 +310,7 @@ _STUB = "s AS (SELECT *, sha256('0|'||prompt) AS d FROM p), a AS (SELECT *, (CAS
 
 @query(f"WITH p AS (SELECT p_partkey, 'Rate: '||p_name||' / '||p_type AS prompt FROM part), {_STUB} SELECT p_partkey, CAST(floor(score*1e6+0.5) AS BIGINT) AS score, verdict, text FROM a")
 def judged_by_stub(t):
-    """A provider that is asked with retries and a check of its answers; the stub answers by a digest of the prompt."""
+    """X1, X2 in part: a provider that is asked with retries and a check of its answers; the stub answers by a digest of the prompt."""
     from lexmill.sources import providers
 
     items = t.part.select("p_partkey", F.concat(F.lit("Rate: "), "p_name", F.lit(" / "), "p_type").alias("prompt"))
@@ -323,7 +331,7 @@ def asked_once(t):
 
 @query(f"WITH p AS (SELECT conv_id, turn, 'Answer: '||text AS prompt FROM conversations WHERE role='user'), {_STUB} SELECT conv_id, turn, text AS answer, CASE WHEN score>=0.5 THEN 'accepted' ELSE 'failed' END AS state FROM a")
 def staged_generation(t):
-    """A stage that asks for what isn't done yet, in two runs, and logs which answers pass its check."""
+    """H3, and X4, X5 in part: a stage that asks for what isn't done yet, in two runs, and logs which answers pass its check."""
     from lexmill.sources import providers
 
     path = _at(t, "stage")
@@ -337,7 +345,7 @@ def staged_generation(t):
 
 @query(f"WITH q AS (SELECT item_id, dimension, dimension||': '||text AS prompt FROM benchmark, (SELECT unnest(['factor_recall','grounding','outcome','verdict','similarity','quality']) AS dimension)), p AS (SELECT * FROM q), {_STUB} SELECT item_id, CAST(floor(max(score) FILTER (WHERE dimension='factor_recall')*1e6+0.5) AS BIGINT) AS factor_recall, CAST(floor(max(score) FILTER (WHERE dimension='similarity')*1e6+0.5) AS BIGINT) AS similarity, CAST(floor(max(score) FILTER (WHERE dimension='quality')*1e6+0.5) AS BIGINT) AS quality, CAST(floor(max(round(score*4)/4) FILTER (WHERE dimension='quality')*1e6+0.5) AS BIGINT) AS anchor, bool_or(verdict) FILTER (WHERE dimension='verdict') AS verdict, bool_or(verdict) FILTER (WHERE dimension='outcome') AS outcome, bool_or(verdict) FILTER (WHERE dimension='grounding') AS grounded FROM a GROUP BY item_id")
 def judge_dimensions(t):
-    """An answer judged in six dimensions, each asked by itself, as one row; quality goes to the nearest of five anchors."""
+    """X3 in part: an answer judged in six dimensions, each asked by itself, as one row; quality goes to the nearest of five anchors."""
     from lexmill.sources import providers
 
     got = providers.judge_dimensions(t.benchmark, "item_id", F.col("text"), lambda: providers.Stub(0))

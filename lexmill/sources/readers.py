@@ -163,10 +163,16 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return ok.where(F.expr(" and ".join(f"__{i}" for i in range(len(there))))).select("v.*") if there else out.select("v.*")
 
 
+#: Files that the driver lists by name, at most.
+MOST_FILES = 100_000
+
+
 def files_with(spark: SparkSession, folder: str, part: str) -> list[str]:
     """Paths of a folder's files whose names hold a text; an error if there are none."""
     names = spark.read.format("binaryFile").load(folder).select("path").where(F.regexp_extract("path", r"([^/]+)$", 1).contains(part))
-    found = sorted(r[0] for r in names.limit(100_001).collect())
+    found = sorted(r[0] for r in names.limit(MOST_FILES + 1).collect())
+    if len(found) > MOST_FILES:
+        raise ValueError("more files than the driver lists")
     if not found:
         raise FileNotFoundError(f"no file of {folder} holds {part!r}")
     return found
