@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions import headings, rules
+from lexmill.functions import headings, rules, templates
 from lexmill.functions import text as tx
 from lexmill.plans.registry import query
 
@@ -184,6 +184,22 @@ def alignment_warnings(t):
     return t.orders.select("o_orderkey", rules.alignment_warning(prefix, whole, F.when(k == 0, F.lit(None).cast("int")).otherwise(2)).alias("warning"))
 
 
+@query(r"""WITH t AS (SELECT conv_id, list({'role': coalesce(role,''), 'text': coalesce(text,'')} ORDER BY turn) AS l FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, l[1:len(l)-1] AS l, l[-1].text AS last FROM t WHERE len(l)>1),
+q AS (SELECT conv_id, array_to_string(list_transform(l, lambda x: x.text||chr(10)), '') AS raw, array_to_string(list_transform(l, lambda x: '<|im_start|>'||x.role||chr(10)||x.text||'<|im_end|>'||chr(10)), '')||'<|im_start|>assistant'||chr(10) AS marked,
+'<|begin_of_text|>'||array_to_string(list_transform(l, lambda x: '<|start_header_id|>'||x.role||'<|end_header_id|>'||chr(10)||chr(10)||x.text||'<|eot_id|>'), '')||'<|start_header_id|>assistant<|end_header_id|>'||chr(10)||chr(10) AS headed, rtrim(raw, chr(10)) AS cut, last FROM p),
+m AS (SELECT *, regexp_matches(cut,'\S$') AND regexp_matches(last,'^\S') AS merged FROM q), n AS (SELECT *, CASE WHEN merged THEN regexp_replace(last,'^\S+','') ELSE last END AS rest FROM m)
+SELECT conv_id, md5(raw) AS raw, md5(marked) AS marked, md5(headed) AS headed, CASE WHEN regexp_matches(last,'\S') THEN CAST(len(regexp_extract_all(headed,'\S+')) AS INTEGER) END AS first, CASE WHEN NOT regexp_matches(rest,'\S') THEN 'no_suffix_tokens' WHEN merged THEN 'boundary_merge' ELSE '' END AS warning FROM n""")
+def prefix_texts(t):
+    """What goes before a conversation's last turn, as it is and in two chat templates, where the turn's first token is behind
+    the latter, and what happens at the seam if the former has no line break at its end."""
+    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    x = turns.where(F.size("t") > 1).select("conv_id", F.slice("t", F.lit(1), F.size("t") - 1).alias("p"), F.element_at("t", -1)["text"].alias("last"))
+    x = x.select("conv_id", "last", templates.raw(F.col("p")).alias("raw"), templates.chat(F.col("p"), templates.MARKED).alias("marked"), templates.chat(F.col("p"), templates.HEADED).alias("headed"))
+    first = templates.seam(F.col("headed"), F.col("last"))["first"]
+    joined = templates.seam(F.regexp_replace("raw", r"\n+\z", ""), F.col("last"))["warning"]
+    return x.select("conv_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("raw", "marked", "headed")], first.alias("first"), joined.alias("warning"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN regexp_matches(l,'^[IVXL]{1,5}\\.(\\s+[A-Z].{0,58})?$') THEN 'roman' WHEN regexp_matches(l,'^[A-Z][A-Z .\\-''&]{5,50}$') THEN 'caps' WHEN regexp_matches(l,'^[A-Z]\\.\\s+[A-Z].{2,58}$') THEN 'lettered' END AS kind FROM
 (SELECT conv_id, turn, trim(CASE turn%4 WHEN 0 THEN 'IV. Standing' WHEN 1 THEN 'STATEMENT OF FACTS' WHEN 2 THEN 'B. The second claim' ELSE substr(text,1,60) END) AS l FROM conversations)""")
 def heading_kinds(t):
