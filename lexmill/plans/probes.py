@@ -80,7 +80,7 @@ def numbered_lists(t):
 def probe_questions(t):
     """D9 in part: first and last sentence and completions at seven depths; see questions_of_documents for all ids."""
     asked = [q for q in op.ON_TEXTS if q.qid < "Q14"]
-    q = op.questions(t.documents, "doc_id", "text", index=t.documents["doc_id"], asked=asked)
+    q = op.questions(t.documents, "doc_id", "text", index=F.col("doc_id"), asked=asked)
     return q.select("doc_id", "qid", "prompt", "answer", "found")
 
 
