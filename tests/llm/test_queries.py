@@ -12,8 +12,10 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from test_llm_small import brute_capacity
+from test_pii_trie_whitening import brute as brute_spans
 from tokenizers import Tokenizer
 
+from lexmill.llm.pii import KINDS, base_spans
 from lexmill.llm.queries import ORACLE_SQL, QUERIES
 from lexmill.session import Workspace
 
@@ -36,6 +38,7 @@ def texts():
         out.append(" ".join(w))
     out += [f"some words first {ITEM.upper()} and then more", f"{ITEM} {ITEM}", "tiny item, TINY item", "beta gamma delta epsilon zeta eta theta iota kappa end"]
     out += [f'api_key = "{LOOSE}" {ACCESS}', f"see {LOOSE} here", f"PassWord: hunter22 {HEX}", f"{HEX} {HEX}", f"x {HEX}", "token=abc", f"é😀 secret : {'q' * 30}", f"only {LOOSE[::-1]}"]
+    out += ["mail a.b@c.example.org or +1 (743) 555-3824, 10.0.0.255 not 10.0.0.256, 4111 1111 1111 1111"]
     out += ["x <|endoftext|> y", "naïve ¹²³ 中文 \U0001f600 Ᲊ it's  'S 're\n\n", "z" * 5000]
     out += [" ".join(rng.choice(words, n)) for n in rng.integers(1, 200, 30)]
     return out
@@ -172,6 +175,17 @@ def test_language(spark, small):
     assert held and all(a == b for a, b in held)
 
 
+def test_personal_data(spark, small):
+    got = run(spark, small, "op11_pii")
+    assert len(got) == len(small[1])
+    for i, t, *_ in small[1]:
+        base = brute_spans(t) if len(t or "") < 10_000 else base_spans(t)
+        assert [got[i][f"n_{k}"] for k in KINDS] == [sum(x[0] == k for x in base) for k in range(4)]
+        joined = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and got[i].spans.startswith(joined)
+    assert sum(len(brute_spans(t)) for _, t, *_ in small[1] if len(t or "") < 10_000) >= 4
+
+
 def test_toxicity(spark, small):
     got = run(spark, small, "op10_toxicity")
     assert len(got) == len(small[1]) and not got[0].toxic and not got[7].toxic
