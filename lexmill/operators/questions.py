@@ -21,10 +21,11 @@ _CITES = r"\b(Id\.|supra|infra|Cir\.|U\.S\.C\.)|[§¶]"
 
 
 class Context(NamedTuple):
-    """What questions are made from: usable sentences, words of the squeezed text, headings with their places, the text, its number
+    """What questions are made from: usable sentences and their numbers of words, words of the squeezed text, headings with their places, the text, its number
     in the corpus, and the word at which an anchored family breaks (null without one)."""
 
     sents: Column
+    sizes: Column
     words: Column
     heads: Column
     text: Column
@@ -60,7 +61,7 @@ def completion(percent: int, words: int | None = None, least: int = 6) -> Callab
         n = F.size(c.sents)
         want = F.lit(words) if words else F.element_at(F.array(*[F.lit(x) for x in LENGTHS]), (F.pmod(c.index, F.lit(len(LENGTHS))) + 1).cast("int"))
         at = F.least(n - 1, F.floor(n * percent / 100).cast("int"))
-        j = F.when(n >= least, _nearest(at, F.lit(0), n, lambda k: F.size(F.split(F.get(c.sents, k), " ")) > want + 6))
+        j = F.when(n >= least, _nearest(at, F.lit(0), n, lambda k: F.get(c.sizes, k) > want + 6))
         w = F.split(F.get(c.sents, j), " ")
         why = F.when(n < least, "too few sentences").when(j.isNull(), F.concat(F.lit("no sentence for a prompt of "), want.cast("string")))
         where = F.concat_ws("", F.lit("sentence "), (j + 1).cast("string"), F.lit("/"), n.cast("string"), F.lit(", prompt "), want.cast("string"))
@@ -189,9 +190,9 @@ def questions(df: DataFrame, key: str, text: str, facts: dict[str, tuple[str, Co
     given = {f"__f{i}": F.struct(F.lit(q).alias("qid"), F.lit("A").alias("tier"), F.lit(w).alias("question"), F.lit("").alias("prompt"), F.nullif(a.cast("string"), F.lit("")).alias("answer"), F.lit("from the record").alias("evidence")) for i, (q, (w, a)) in enumerate((facts or {}).items())}
     x = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__t"), (F.lit(0) if index is None else index).cast("bigint").alias("__i"), *[c.alias(k) for k, c in given.items()])
     x = _once(x, __b=squeeze(without_noise(F.col("__t"))), __s=F.filter(sentences(without_noise(F.col("__t"))), lambda x: usable_sentence(x)), __h=_headings(F.col("__t")))
-    x = _once(x, __w=F.filter(F.split("__b", " "), lambda w: w != ""))
+    x = _once(x, __w=F.filter(F.split("__b", " "), lambda w: w != ""), __z=F.transform("__s", lambda s: F.size(F.split(s, " "))))
     x = _once(x, __a=_anchor(F.col("__w"), anchor_percent))
-    c = Context(*[F.col(n) for n in ("__s", "__w", "__h", "__t", "__i", "__a")])
+    c = Context(*[F.col(n) for n in ("__s", "__z", "__w", "__h", "__t", "__i", "__a")])
     made = [*[F.col(k) for k in given]]
     for q in asked:
         said = q.make(c)
