@@ -60,6 +60,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: T.StructType |
             for part in blocks(batch):
                 got = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker stays, and the next task needs memory of other sizes
 
     return df.mapInArrow(run, want)
 
