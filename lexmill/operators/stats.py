@@ -107,8 +107,9 @@ def wilcoxon(df: DataFrame, delta: str) -> DataFrame:
 
     n = df.where(F.col(delta) != 0).groupBy(F.abs(delta).alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col(delta) > 0).alias("up"))
     r = average_ranks(n, [], "size", "c")
-    out = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(F.col("c") ** 3 - F.col("c")).alias("ties"))
-    k = F.col("n")
+    c = F.col("c").cast("decimal(38,0)")  # the cube of a count is beyond a long's range
+    out = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum(c * c * c - c).cast("double").alias("ties"))
+    k = F.col("n").cast("double")
     z = F.try_divide(F.col("w") - k * (k + 1) / 4, F.sqrt(k * (k + 1) * (2 * k + 1) / 24 - F.col("ties") / 48))
     return out.select("n", "w", z.alias("z")).withColumn("p", normal_p("z"))
 

@@ -44,3 +44,17 @@ def test_no_window_over_a_group(spark):
     s = np.abs(v)
     rank = np.array([(s < x).sum() + ((s == x).sum() + 1) / 2 for x in s])
     assert (r.n, r.w) == (len(v), rank[v > 0].sum())
+
+
+def test_many_differences(spark):
+    """The cube of three million is beyond a long's range."""
+    n = 3_000_000
+    r = stats.wilcoxon(spark.range(n).select((F.col("id") % 10 - F.lit(3.0)).alias("d")), "d").first()
+    v = np.array([-3, -2, -1, 1, 2, 3, 4, 5, 6])
+    c = n // 10
+    below = np.array([(abs(v) < abs(x)).sum() for x in v]) * c
+    own = np.array([(abs(v) == abs(x)).sum() for x in v]) * c
+    w = float(((below + (own + 1) / 2) * c)[v > 0].sum())
+    k, ties = 9 * c, 3 * ((2 * c) ** 3 - 2 * c) + 3 * (c**3 - c)
+    z = (w - k * (k + 1) / 4) / (k * (k + 1) * (2 * k + 1) / 24 - ties / 48) ** 0.5
+    assert (r.n, r.w) == (k, w) and abs(r.z - z) < 1e-9 * z
