@@ -188,7 +188,8 @@ def continuous_ranks(t):
     from lexmill.operators.order import average_ranks, percentiles
 
     x = t.documents.select(F.col("source").alias("g"), (F.length("text") * F.lit(0.37) + F.col("doc_id") * F.lit(0.001)).alias("v"))
-    x = x.crossJoin(F.broadcast(x.agg(F.avg("v").alias("m")))).where("v <> m")  # one row
+    m = x.agg(F.avg(F.col("v").cast("decimal(38,18)")).cast("double").alias("m"))  # one row; a mean of doubles has last digits by the order of rows, and they break ties
+    x = x.crossJoin(F.broadcast(m)).where("v <> m")
     ranks = average_ranks(x.groupBy(F.abs(F.col("v") - F.col("m")).alias("s")).agg(F.count("*").alias("c")), [], "s", "c").select("s", "rank")
     sums = x.withColumn("s", F.abs(F.col("v") - F.col("m"))).join(ranks, "s").groupBy("g").agg(F.count("*").alias("n"), F.floor(F.sum(F.when(F.col("v") > F.col("m"), F.col("rank")).otherwise(0)) * 10 + 0.5).cast("long").alias("rank_sum10"))
     q = percentiles(x, ["g"], "v", [0.1, 0.5, 0.99]).select(F.col("g").alias("__g"), F.col("p0").alias("p10"), F.col("p1").alias("p50"), F.col("p2").alias("p99"))

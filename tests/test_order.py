@@ -1,9 +1,12 @@
 """Ranks and percentiles against numpy, in groups hot and small, with nulls and ties, and without windows over a group."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from lexmill.operators import order, stats
+from lexmill.plans.registry import QUERIES
 
 
 def rows(n=5000):
@@ -58,3 +61,15 @@ def test_many_differences(spark):
     k, ties = 9 * c, 3 * ((2 * c) ** 3 - 2 * c) + 3 * (c**3 - c)
     z = (w - k * (k + 1) / 4) / (k * (k + 1) * (2 * k + 1) / 24 - ties / 48) ** 0.5
     assert (r.n, r.w) == (k, w) and abs(r.z - z) < 1e-9 * z
+
+
+def test_the_mean_of_ranked_values_is_exact(spark, tmp_path):
+    data = [(9 * 10**18, "a", "x")] + [(k, "a" * k, "xy"[k % 2]) for k in range(1, 21)] + [(-9 * 10**18, "a", "y")]
+    spark.createDataFrame(data, "doc_id bigint, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.g: (r.n, r.rank_sum10) for r in QUERIES["continuous_ranks"](spark, str(tmp_path)).collect()}
+    v = np.array([len(t) * 0.37 + k * 0.001 for k, t, _ in data])
+    m = math.fsum(v) / len(v)
+    s = np.abs(v - m)
+    rank = np.array([(s < x).sum() + ((s == x).sum() + 1) / 2 for x in s])
+    of = np.array([g for *_, g in data])
+    assert got == {g: ((of == g).sum(), round(rank[(of == g) & (v > m)].sum() * 10)) for g in "xy"}
