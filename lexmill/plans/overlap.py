@@ -90,7 +90,5 @@ FROM x JOIN c USING (s) JOIN f USING (doc_id, s) GROUP BY ALL""")
 def recurrence_fractions(t):
     """How much of spans of thirty words, one every sixty, recurs in other documents of either arm, and earlier in their own."""
     d = t.documents.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "pre").otherwise("post").alias("arm"))
-    w = shingle.words_once(d, ["doc_id"], "text").where(F.size("w") >= 30)
-    spans = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 30, F.lit(60))).alias("start")).select("doc_id", "start", F.slice("w", F.col("start") + 1, F.lit(30)).alias("words"))
-    out = shingle.recurrence(spans, d, "doc_id", "text", "arm")
+    out = shingle.recurrence_at(d, "doc_id", "text", "arm", 30, 60)
     return out.withColumns({c: millionths(c) for c in ("in_post", "in_other_pre", "in_own")})
