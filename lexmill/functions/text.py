@@ -14,8 +14,12 @@ from pyspark.sql import types as T
 FOLD_FROM = "‘’‚‛“”„‐‑‒–—―−    "
 FOLD_TO = "''''\"\"\"-------    "
 FOLD_WORDS = {"­": "", "​": "", "…": "...", "§": "section"}
+#: All of these but the blanks lie in here.
+FOLDED = "[\u00a7\u00ad\u200b-\u2212]"
 
 WORD = r"([\p{L}\p{N}_']+)"
+#: What stands between such words, but for blanks; the commonest characters come first, as they are told at once.
+NO_WORD = r"[^a-z0-9_' \p{L}\p{N}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -25,23 +29,29 @@ def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def is_ascii(s: Column) -> Column:
+    """Whether a text has ASCII characters only."""
+    return F.octet_length(s) == F.char_length(s)
+
+
 def fold(s: Column) -> Column:
     """Typographic quotes, dashes and spaces as plain ones."""
-    s = F.translate(s, FOLD_FROM, FOLD_TO)
+    t = F.translate(s, FOLD_FROM, FOLD_TO)
     for a, b in FOLD_WORDS.items():
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.when(s.rlike(FOLDED), t).otherwise(s)  # translate is slow, and seldom needed
 
 
 def squeeze(s: Column) -> Column:
     """White space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, r"\s(?:\s+|(?<! ))", " "))  # a single blank stays as it is
 
 
 def normalize(s: Column, lower: bool = True, drop_punct: bool = False, compat: bool = False) -> Column:
     """Folded, lower-cased, squeezed; compat applies NFKC first. A null counts as empty."""
     s = F.coalesce(s, F.lit(""))
-    s = fold(nfkc(s) if compat else s)
+    plain = is_ascii(s)  # neither compatibility forms nor folding change that
+    s = F.when(plain, s).otherwise(fold(nfkc(F.when(~plain, s)) if compat else s))
     s = F.lower(s) if lower else s
     s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s]", " ") if drop_punct else s
     return squeeze(s)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import overlap as fn
 from lexmill.functions.numbers import millionths
 from lexmill.functions.rules import containment_verdict
-from lexmill.functions.text import WORD
+from lexmill.functions.text import WORD, normalize
 from lexmill.operators import shingle
 from lexmill.operators.relational import By, place_in_group
 from lexmill.plans.registry import query
@@ -62,11 +62,11 @@ def overlap_scores_native(t):
 @query()
 def overlap_scores_full(t):
     """All scores of each document's whole text against the next one's of its language."""
-    after = _next(t, []).select("doc_id", "next")
-    texts = t.documents.select("doc_id", F.col("text").alias("gold"))
-    pred = texts.select(F.col("doc_id").alias("next"), F.col("gold").alias("pred"))
-    pairs = after.join(texts, "doc_id").join(pred, "next").where("pred is not null")
-    return fn.scores(pairs, "doc_id", "pred", "gold")
+    after = _next(t, []).select(F.col("doc_id").alias("id"), "next")
+    texts = t.documents.where("text is not null").select("doc_id", normalize(F.col("text"), compat=True).alias("n"))
+    a, b = texts.alias("a"), texts.alias("b")  # alike, so that texts are normalised and dealt by doc_id once for both
+    pairs = after.join(a, F.col("id") == F.col("a.doc_id")).select("id", "next", F.col("a.n").alias("gold")).join(b, F.col("next") == F.col("b.doc_id"))
+    return fn.normalized_scores(pairs.select(F.col("id").alias("doc_id"), F.col("b.n").alias("pred"), "gold"), "doc_id", "pred", "gold")
 
 
 _SH = """list_distinct(list_transform(range(1, greatest(len(w)-6,1)), lambda i: array_to_string(list_slice(w,i,i+7),' ')))"""
